@@ -47,3 +47,165 @@ FROM h"""
 
 _reg("hotspot_city", _hotspot_sql("City") + HOTSPOT_SELECT.format(key="City"))
 _reg("hotspot_place", _hotspot_sql("Place") + HOTSPOT_SELECT.format(key="Place"))
+
+
+def _num(with_name: bool = False) -> str:
+    return "WITH " + reviews_num_sql(with_name)
+
+
+_reg("dataset_summary", _num(True) + """
+SELECT COUNT(*) AS total_reviews, COUNT(DISTINCT City) AS unique_cities,
+       COUNT(DISTINCT Place) AS unique_places, COUNT(DISTINCT Name) AS unique_reviewers,
+       ROUND(AVG(Rating), 4) AS avg_rating, ROUND(STDDEV_SAMP(Rating), 4) AS rating_std,
+       MIN(Rating) AS min_rating, MAX(Rating) AS max_rating,
+       CAST(SUM(CASE WHEN Rating = 5 THEN 1 ELSE 0 END) AS BIGINT) AS five_star_count,
+       CAST(SUM(CASE WHEN Rating = 1 THEN 1 ELSE 0 END) AS BIGINT) AS one_star_count
+FROM reviews""")
+
+_reg("dataset_profile", "WITH " + reviews_num_sql(True, cleaned=False) + """
+SELECT COUNT(*) AS rows, CAST(6 AS BIGINT) AS columns,
+       COUNT(DISTINCT City) AS unique_City, COUNT(DISTINCT Place) AS unique_Place,
+       COUNT(DISTINCT Name) AS unique_Name,
+       MIN(Rating) AS Rating_min, MAX(Rating) AS Rating_max,
+       ROUND(AVG(Rating), 4) AS Rating_mean, ROUND(MEDIAN(Rating), 4) AS Rating_median,
+       COUNT(*) FILTER (WHERE City IS NULL) AS null_City, COUNT(*) FILTER (WHERE Place IS NULL) AS null_Place,
+       COUNT(*) FILTER (WHERE Name IS NULL) AS null_Name, COUNT(*) FILTER (WHERE Rating IS NULL) AS null_Rating
+FROM reviews_raw""")
+
+_reg("rating_distribution", _num() + """,
+dist AS (SELECT Rating AS rating, COUNT(*) AS count FROM reviews GROUP BY Rating)
+SELECT rating, count, ROUND(count / (SELECT SUM(count) FROM dist) * 100, 2) AS pct FROM dist""")
+
+_reg("rating_distribution_int", _num() + """,
+dist AS (SELECT CAST(trunc(Rating) AS INTEGER) AS rating, COUNT(*) AS count FROM reviews GROUP BY 1)
+SELECT rating, count, ROUND(count / (SELECT SUM(count) FROM dist) * 100, 2) AS pct FROM dist""")
+
+_reg("city_weighted_rating", _num() + """,
+dist AS (SELECT City, Rating AS rating, COUNT(*) AS count FROM reviews GROUP BY City, Rating)
+SELECT City, ROUND(SUM(rating * count) / CAST(SUM(count) AS DOUBLE), 3) AS avg_rating FROM dist GROUP BY City""")
+
+_reg("top_cities", _num() + """
+SELECT City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_rating,
+       COUNT(DISTINCT Place) AS unique_places
+FROM reviews GROUP BY City ORDER BY review_count DESC, City LIMIT 20""")
+
+_MODE_PLACE_CITY = """,
+pc AS (SELECT Place, City, COUNT(*) AS n FROM reviews GROUP BY Place, City),
+pc_ranked AS (SELECT Place, City, ROW_NUMBER() OVER (PARTITION BY Place ORDER BY n DESC, City) AS rn FROM pc),
+mode_city AS (SELECT Place, City AS mode_city FROM pc_ranked WHERE rn = 1)"""
+
+_reg("top_places", _num() + _MODE_PLACE_CITY + """
+SELECT r.Place, COUNT(r.Rating) AS review_count, ROUND(AVG(r.Rating), 4) AS avg_rating, m.mode_city AS city
+FROM reviews r JOIN mode_city m ON r.Place = m.Place
+GROUP BY r.Place, m.mode_city ORDER BY review_count DESC, r.Place LIMIT 20""")
+
+for _k, _name in (("City", "city_ratings"), ("Place", "place_ratings")):
+    _reg(_name, _num() + f"""
+SELECT {_k}, ROUND(AVG(Rating), 4) AS avg_rating, COUNT(Rating) AS review_count,
+       ROUND(STDDEV_SAMP(Rating), 4) AS rating_std
+FROM reviews GROUP BY {_k}""")
+
+_reg("city_metrics_exact", _num(True) + """
+SELECT City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_rating,
+       ROUND(STDDEV_SAMP(Rating), 4) AS rating_std, ROUND(MIN(Rating), 1) AS min_rating,
+       ROUND(MAX(Rating), 1) AS max_rating, COUNT(DISTINCT Place) AS unique_places,
+       COUNT(DISTINCT Name) AS unique_reviewers,
+       ROUND(AVG(CASE WHEN Rating = 5 THEN 1 ELSE 0 END), 4) AS five_star_rate
+FROM reviews GROUP BY City""")
+
+_PLACE_ENRICHED = """,
+pm AS (SELECT Place, City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_rating,
+              ROUND(STDDEV_SAMP(Rating), 4) AS rating_std FROM reviews GROUP BY Place, City),
+cs AS (SELECT City, COUNT(Rating) AS city_review_count, ROUND(AVG(Rating), 4) AS city_avg_rating,
+              COUNT(DISTINCT Place) AS city_place_count FROM reviews GROUP BY City),
+pe AS (SELECT pm.*, cs.city_review_count, cs.city_avg_rating, cs.city_place_count
+       FROM pm LEFT JOIN cs ON pm.City = cs.City)"""
+
+_reg("place_metrics_enriched", _num() + _PLACE_ENRICHED + "\nSELECT * FROM pe")
+
+_CITY_RANKS = """,
+cm AS (SELECT City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_rating,
+              ROUND(AVG(CASE WHEN Rating = 5 THEN 1 ELSE 0 END), 4) AS five_star_rate
+       FROM reviews GROUP BY City),
+cr AS (SELECT City, review_count, avg_rating, five_star_rate,
+              CAST(RANK() OVER (ORDER BY review_count DESC) AS INTEGER) AS rank,
+              CAST(DENSE_RANK() OVER (ORDER BY review_count DESC) AS INTEGER) AS dense_rank,
+              CAST(ROW_NUMBER() OVER (ORDER BY review_count DESC, City) AS INTEGER) AS row_num,
+              ROUND(PERCENT_RANK() OVER (ORDER BY review_count DESC), 4) AS pct_rank,
+              ROUND(review_count / (SELECT SUM(review_count) FROM cm) * 100, 2) AS review_pct
+       FROM cm)"""
+
+_reg("city_ranks", _num() + _CITY_RANKS + "\nSELECT * FROM cr")
+
+_reg("top_ranked_cities", _num() + _CITY_RANKS + """
+SELECT * FROM cr WHERE review_count > 100 ORDER BY review_count DESC, City LIMIT 20""")
+
+_reg("place_ranks", _num() + """,
+pm AS (SELECT Place, City, COUNT(Rating) AS review_count FROM reviews GROUP BY Place, City)
+SELECT Place, City, review_count,
+       CAST(RANK() OVER (ORDER BY review_count DESC) AS INTEGER) AS rank,
+       CAST(DENSE_RANK() OVER (ORDER BY review_count DESC) AS INTEGER) AS dense_rank,
+       CAST(ROW_NUMBER() OVER (ORDER BY review_count DESC, Place, City) AS INTEGER) AS row_number,
+       ROUND(PERCENT_RANK() OVER (ORDER BY review_count DESC), 4) AS percent_rank
+FROM pm""")
+
+_PLACE_IN_CITY = _PLACE_ENRICHED + """,
+pic AS (SELECT pe.*,
+        CAST(RANK() OVER (PARTITION BY City ORDER BY review_count DESC) AS INTEGER) AS city_rank,
+        CAST(DENSE_RANK() OVER (PARTITION BY City ORDER BY review_count DESC) AS INTEGER) AS city_dense_rank,
+        CAST(ROW_NUMBER() OVER (PARTITION BY City ORDER BY review_count DESC, Place) AS INTEGER) AS city_row_number
+        FROM pe)"""
+
+_reg("place_ranks_in_city", _num() + _PLACE_IN_CITY + "\nSELECT * FROM pic")
+_reg("top_ranked_places", _num() + _PLACE_IN_CITY + """
+SELECT * FROM pic WHERE review_count > 10 ORDER BY review_count DESC, Place, City LIMIT 20""")
+
+_CITY_STATE = """
+city_state AS (SELECT n.n_name AS City, r.r_name AS State
+               FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+               WHERE r.r_name <> 'MIDDLE EAST')"""
+
+_reg("state_metrics", _num() + """,
+cm AS (SELECT City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_rating,
+              ROUND(STDDEV_SAMP(Rating), 4) AS rating_std,
+              ROUND(AVG(CASE WHEN Rating = 5 THEN 1 ELSE 0 END), 4) AS five_star_rate
+       FROM reviews GROUP BY City),""" + _CITY_STATE + """
+SELECT cs.State, CAST(SUM(cm.review_count) AS BIGINT) AS total_reviews, ROUND(AVG(cm.avg_rating), 4) AS avg_rating,
+       ROUND(AVG(cm.rating_std), 4) AS avg_rating_std, COUNT(cm.City) AS num_cities,
+       ROUND(AVG(cm.five_star_rate), 4) AS avg_five_star_rate
+FROM cm JOIN city_state cs ON cm.City = cs.City GROUP BY cs.State""")
+
+_reg("place_primary_city", _num() + _MODE_PLACE_CITY + """
+SELECT Place, mode_city AS primary_city FROM mode_city""")
+
+_reg("places_per_city", _num() + _MODE_PLACE_CITY + """
+SELECT mode_city AS primary_city, COUNT(*) AS place_count FROM mode_city GROUP BY mode_city""")
+
+_PLACE_AVG = """,
+pr AS (SELECT Place, ROUND(AVG(Rating), 4) AS avg_rating FROM reviews GROUP BY Place)"""
+
+_reg("place_rating_histogram", _num() + _PLACE_AVG + """,
+b AS (SELECT MIN(avg_rating) AS mn, MAX(avg_rating) AS mx FROM pr),
+c AS (SELECT CAST(LEAST(FLOOR((avg_rating - mn) / (mx - mn) * 50.0), 49) AS INTEGER) AS bin, COUNT(*) AS count
+      FROM pr, b GROUP BY 1),
+spine AS (SELECT CAST(range AS INTEGER) AS bin FROM range(0, 50))
+SELECT spine.bin, ROUND(mn + (spine.bin + 0.5) * ((mx - mn) / 50.0), 4) AS bin_center,
+       CAST(COALESCE(c.count, 0) AS BIGINT) AS count
+FROM spine CROSS JOIN b LEFT JOIN c ON spine.bin = c.bin""")
+
+_reg("place_rating_box", _num() + _PLACE_AVG + """,
+q AS (SELECT QUANTILE_CONT(avg_rating, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM pr)
+SELECT ROUND(q[1], 4) AS min, ROUND(q[2], 4) AS q1, ROUND(q[3], 4) AS median,
+       ROUND(q[4], 4) AS q3, ROUND(q[5], 4) AS max FROM q""")
+
+_reg("city_place_rollup", _num() + """,
+pm AS (SELECT Place, City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_rating
+       FROM reviews GROUP BY Place, City)
+SELECT City, Place, CAST(SUM(review_count) AS BIGINT) AS total_reviews,
+       ROUND(SUM(avg_rating * review_count) / CAST(SUM(review_count) AS DOUBLE), 4) AS weighted_rating,
+       CAST(GROUPING_ID(City, Place) AS INTEGER) AS level
+FROM pm GROUP BY ROLLUP (City, Place)""")
+
+_reg("first_reviews", _num() + """
+SELECT City, Place, Rating, polarity, subjectivity FROM reviews
+ORDER BY City, Place, Rating, polarity, subjectivity LIMIT 5000""")

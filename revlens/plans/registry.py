@@ -2,9 +2,38 @@
 
 from __future__ import annotations
 
+from revlens.plans import analysis as an
 from revlens.plans import destinations as dest
 
 QUERIES = {
+    # scoring core
     "hotspot_city": dest.hotspot_city,
     "hotspot_place": dest.hotspot_place,
+    # batch analysis
+    "dataset_summary": an.dataset_summary,
+    "dataset_profile": an.dataset_profile,
+    "rating_distribution": an.rating_distribution,
+    "rating_distribution_int": an.rating_distribution_int,
+    "city_weighted_rating": an.city_weighted_rating,
+    "top_cities": an.top_cities,
+    "top_places": an.top_places,
+    "city_ratings": an.city_ratings,
+    "place_ratings": an.place_ratings,
+    "city_metrics": an.city_metrics,
+    "city_metrics_exact": an.city_metrics_exact,
+    "place_metrics_enriched": an.place_metrics_enriched,
+    "city_ranks": an.city_ranks,
+    "place_ranks": an.place_ranks,
+    "place_ranks_in_city": an.place_ranks_in_city,
+    "top_ranked_cities": an.top_ranked_cities,
+    "top_ranked_places": an.top_ranked_places,
+    "state_metrics": an.state_metrics,
+    "place_primary_city": an.place_primary_city,
+    "places_per_city": an.places_per_city,
+    "place_rating_histogram": an.place_rating_histogram,
+    "place_rating_box": an.place_rating_box,
+    "city_place_rollup": an.city_place_rollup,
+    "first_reviews": an.first_reviews,
+    "review_sample": an.review_sample,
+    "record_export": an.record_export,
 }
