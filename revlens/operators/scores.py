@@ -35,12 +35,15 @@ def minmax_columns(df: DataFrame, exprs: dict[str, Column], zero_range: float =
     bound_fields = []
     for n, e in vals.items():
         bound_fields += [F.min(e).alias(f"{n}_mn"), F.max(e).alias(f"{n}_mx")]
-    bounds = src.select(F.struct(*bound_fields).alias("b")).scalar()
+    # bind the subquery once as a column: every field reference then reads the
+    # column instead of copying the subquery plan into the expression tree
+    bcol = f"_mm_{'_'.join(vals)}"
+    out_df = df.withColumn(bcol, src.select(F.struct(*bound_fields).alias("b")).scalar())
     out = {}
     for n, e in vals.items():
-        mn, mx = bounds[f"{n}_mn"], bounds[f"{n}_mx"]
+        mn, mx = F.col(f"{bcol}.{n}_mn"), F.col(f"{bcol}.{n}_mx")
         out[n] = F.when(mx == mn, F.lit(float(zero_range))).otherwise((e - mn) / (mx - mn))
-    return df.withColumns(out)
+    return out_df.withColumns(out).drop(bcol)
 
 
 def hotspot_score(df: DataFrame, weights: tuple[float, float, float] = HOTSPOT_WEIGHTS,
@@ -142,9 +145,10 @@ def similar_places(hotspot_places: DataFrame, seed: str, top_n: int = 10, key: s
     seed_row = (df.withColumn("_p", prio).filter(F.col("_p").isNotNull())
                   .orderBy("_p", order, key).limit(1))
     sv = seed_row.select(F.struct(F.col(key).alias("k"), *[F.col(f) for f in feats]).alias("s")).scalar()
-    dist = F.sqrt(sum((F.col(f) - sv[f]) * (F.col(f) - sv[f]) for f in feats))
+    df = df.withColumn("_seed", sv)
+    dist = F.sqrt(sum((F.col(f) - F.col(f"_seed.{f}")) * (F.col(f) - F.col(f"_seed.{f}")) for f in feats))
     out = (df.withColumn("similarity", F.round(F.lit(1.0) / (F.lit(1.0) + dist), 4))
-             .filter(F.col("similarity").isNotNull() & (F.col(key) != sv["k"])))
+             .filter(F.col("similarity").isNotNull() & (F.col(key) != F.col("_seed.k"))))
     cols = [key, "similarity", "avg_rating", "review_count", "avg_polarity", "hotspot_score"]
     return out.orderBy(F.desc("similarity"), order, key).limit(top_n).select(*cols)
 

@@ -22,7 +22,7 @@ base AS (
   SELECT {key}, round(avg(Rating), 4) AS avg_rating, count(Rating) AS review_count,
          round(stddev_samp(Rating), 4) AS rating_std, coalesce(round(avg(polarity), 4), 0.0) AS avg_polarity
   FROM reviews GROUP BY {key}),
-b AS (
+hb AS (
   SELECT min(avg_rating) AS r0, max(avg_rating) AS r1,
          min(ln(1 + review_count)) AS v0, max(ln(1 + review_count)) AS v1,
          min((avg_polarity + 1.0) / 2.0) AS s0, max((avg_polarity + 1.0) / 2.0) AS s1
@@ -32,7 +32,7 @@ s AS (
          CASE WHEN r1 = r0 THEN 0.0 ELSE (avg_rating - r0) / (r1 - r0) END AS rs,
          CASE WHEN v1 = v0 THEN 0.0 ELSE (ln(1 + review_count) - v0) / (v1 - v0) END AS vs,
          CASE WHEN s1 = s0 THEN 0.0 ELSE ((avg_polarity + 1.0) / 2.0 - s0) / (s1 - s0) END AS ss
-  FROM base, b),
+  FROM base, hb),
 h AS (
   SELECT *, round(0.5 * rs + 0.3 * vs + 0.2 * ss, 6) AS hotspot_score FROM s)
 """
@@ -209,3 +209,174 @@ FROM pm GROUP BY ROLLUP (City, Place)""")
 _reg("first_reviews", _num() + """
 SELECT City, Place, Rating, polarity, subjectivity FROM reviews
 ORDER BY City, Place, Rating, polarity, subjectivity LIMIT 5000""")
+
+
+def _hs(key: str) -> str:
+    """Hotspot table as CTE ``hs`` (rounded components, sequential rank)."""
+    return _hotspot_sql(key) + f""",
+hs AS (SELECT {key}, CAST(ROW_NUMBER() OVER (ORDER BY hotspot_score DESC, {key}) AS INTEGER) AS rank,
+              avg_rating, review_count, rating_std, avg_polarity,
+              ROUND(rs, 6) AS rating_score, ROUND(vs, 6) AS volume_score, ROUND(ss, 6) AS sentiment_score,
+              hotspot_score FROM h)"""
+
+
+_reg("state_hotspots", _hs("City") + "," + _CITY_STATE + """
+SELECT cs.State, CAST(SUM(hs.review_count) AS BIGINT) AS ReviewCount, ROUND(AVG(hs.avg_rating), 4) AS AverageRating,
+       ROUND(AVG(hs.hotspot_score), 4) AS HotspotScore, COUNT(hs.City) AS NumCities,
+       ROUND(AVG(hs.avg_polarity), 4) AS SentimentScore
+FROM hs JOIN city_state cs ON hs.City = cs.City GROUP BY cs.State""")
+
+_reg("reweighted_city_ranks", _hs("City") + """,
+rw AS (SELECT City, hotspot_score, rank AS old_rank,
+              ROUND(0.2 * rating_score + 0.5 * volume_score + 0.3 * sentiment_score, 6) AS custom_hotspot_score
+       FROM hs),
+rr AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY custom_hotspot_score DESC, City) AS INTEGER) AS new_rank FROM rw)
+SELECT City, hotspot_score, custom_hotspot_score, old_rank, new_rank,
+       CAST(old_rank - new_rank AS INTEGER) AS rank_change FROM rr""")
+
+_INSIGHTS = _hs("Place").replace("WITH ", "WITH ", 1) + """,
+pc AS (SELECT Place, City, COUNT(*) AS n FROM reviews GROUP BY Place, City),
+pc_ranked AS (SELECT Place, City, ROW_NUMBER() OVER (PARTITION BY Place ORDER BY n DESC, City) AS rn FROM pc),
+mode_city AS (SELECT Place, City AS mode_city FROM pc_ranked WHERE rn = 1),
+fr AS (SELECT hs.*, COALESCE(m.mode_city, 'Unknown') AS City, COALESCE(hs.rating_std, 0.0) AS std0
+       FROM hs LEFT JOIN mode_city m ON hs.Place = m.Place),
+sb AS (SELECT MIN(std0) AS s0, MAX(std0) AS s1 FROM fr),
+sg AS (SELECT fr.*, COALESCE(rating_score, 0.0) AS r, COALESCE(volume_score, 0.0) AS v,
+              COALESCE(sentiment_score, 0.0) AS s,
+              CASE WHEN s1 = s0 THEN 0.0 ELSE (std0 - s0) / (s1 - s0) END AS sd
+       FROM fr, sb),
+ins AS (SELECT Place, City, review_count, avg_rating, rating_std, hotspot_score,
+               ROUND(0.36 * r + 0.28 * s + 0.20 * (1.0 - sd) + 0.16 * (1.0 - v), 6) AS hidden_gem_score,
+               ROUND(0.35 * v + 0.25 * (1.0 - r) + 0.25 * (1.0 - s) + 0.15 * sd, 6) AS risk_score,
+               ROUND(v, 6) AS confidence_score
+        FROM sg)"""
+
+_reg("place_insights", _INSIGHTS + "\nSELECT * FROM ins")
+_reg("hidden_gems", _INSIGHTS + """
+SELECT * FROM ins WHERE review_count BETWEEN 30 AND 1200 ORDER BY hidden_gem_score DESC, Place LIMIT 25""")
+_reg("risk_places", _INSIGHTS + """
+SELECT * FROM ins WHERE review_count >= 800 ORDER BY risk_score DESC, Place LIMIT 25""")
+
+_reg("similar_places", _hs("Place") + """,
+f AS (SELECT *, avg_rating AS f0, ln(1 + GREATEST(CAST(review_count AS DOUBLE), 0.0)) AS f1,
+             avg_polarity AS f2, hotspot_score AS f3, rating_std AS f4
+      FROM hs WHERE avg_rating IS NOT NULL AND review_count IS NOT NULL AND avg_polarity IS NOT NULL
+                AND hotspot_score IS NOT NULL AND rating_std IS NOT NULL),
+b AS (SELECT MIN(f0) a0, MAX(f0) b0, MIN(f1) a1, MAX(f1) b1, MIN(f2) a2, MAX(f2) b2,
+             MIN(f3) a3, MAX(f3) b3, MIN(f4) a4, MAX(f4) b4 FROM f),
+n AS (SELECT f.*,
+        CASE WHEN b0 = a0 THEN 0.0 ELSE (f0 - a0) / (b0 - a0) END AS g0,
+        CASE WHEN b1 = a1 THEN 0.0 ELSE (f1 - a1) / (b1 - a1) END AS g1,
+        CASE WHEN b2 = a2 THEN 0.0 ELSE (f2 - a2) / (b2 - a2) END AS g2,
+        CASE WHEN b3 = a3 THEN 0.0 ELSE (f3 - a3) / (b3 - a3) END AS g3,
+        CASE WHEN b4 = a4 THEN 0.0 ELSE (f4 - a4) / (b4 - a4) END AS g4
+      FROM f, b),
+seed AS (SELECT * FROM n
+         WHERE lower(Place) = 'part#1' OR contains(lower(Place), 'part#1')
+         ORDER BY CASE WHEN lower(Place) = 'part#1' THEN 0 ELSE 1 END, rank, Place LIMIT 1),
+d AS (SELECT n.Place, n.rank, n.avg_rating, n.review_count, n.avg_polarity, n.hotspot_score,
+             ROUND(1.0 / (1.0 + SQRT((n.g0 - s.g0) * (n.g0 - s.g0) + (n.g1 - s.g1) * (n.g1 - s.g1)
+                                     + (n.g2 - s.g2) * (n.g2 - s.g2) + (n.g3 - s.g3) * (n.g3 - s.g3)
+                                     + (n.g4 - s.g4) * (n.g4 - s.g4))), 4) AS similarity
+      FROM n, seed s WHERE n.Place <> s.Place)
+SELECT Place, similarity, avg_rating, review_count, avg_polarity, hotspot_score
+FROM d ORDER BY similarity DESC, rank, Place LIMIT 10""")
+
+_STATE_TOP_CITIES = _hs("City") + "," + _CITY_STATE + """,
+stc AS (SELECT cs.State, hs.City, hs.avg_rating, hs.review_count, hs.avg_polarity, hs.hotspot_score,
+               CAST(ROW_NUMBER() OVER (PARTITION BY cs.State ORDER BY hs.hotspot_score DESC, hs.City) AS INTEGER)
+                 AS state_rank
+        FROM hs JOIN city_state cs ON hs.City = cs.City)"""
+
+_reg("state_top_cities", _STATE_TOP_CITIES + "\nSELECT * FROM stc WHERE state_rank <= 10")
+_reg("state_detail_summary", _STATE_TOP_CITIES + """
+SELECT State, CAST(SUM(review_count) AS BIGINT) AS total_reviews,
+       ROUND(AVG(NULLIF(avg_rating, 0)), 3) AS avg_rating,
+       ROUND(AVG(NULLIF(avg_polarity, 0)), 4) AS avg_polarity,
+       ROUND(AVG(NULLIF(hotspot_score, 0)), 4) AS avg_hotspot_score
+FROM stc WHERE state_rank <= 10 GROUP BY State""")
+
+_reg("state_top_places", _hs("Place") + "," + _CITY_STATE + """,
+pc AS (SELECT Place, City, COUNT(*) AS n FROM reviews GROUP BY Place, City),
+pc_ranked AS (SELECT Place, City, ROW_NUMBER() OVER (PARTITION BY Place ORDER BY n DESC, City) AS rn FROM pc),
+mode_city AS (SELECT Place, City AS primary_city FROM pc_ranked WHERE rn = 1),
+sp AS (SELECT cs.State, hs.Place, hs.avg_rating, hs.review_count, hs.avg_polarity, hs.hotspot_score,
+              CAST(ROW_NUMBER() OVER (PARTITION BY cs.State ORDER BY hs.hotspot_score DESC, hs.Place) AS INTEGER)
+                AS state_rank
+       FROM hs JOIN mode_city m ON hs.Place = m.Place JOIN city_state cs ON m.primary_city = cs.City)
+SELECT * FROM sp WHERE state_rank <= 10""")
+
+_reg("score_breakdown", _hs("City") + """,
+top AS (SELECT * FROM hs ORDER BY hotspot_score DESC, City LIMIT 20)
+SELECT City, 'rating' AS component, ROUND(0.5 * rating_score, 6) AS contribution FROM top
+UNION ALL SELECT City, 'volume', ROUND(0.3 * volume_score, 6) FROM top
+UNION ALL SELECT City, 'sentiment', ROUND(0.2 * sentiment_score, 6) FROM top""")
+
+_reg("comparison", _hs("City") + "," + _CITY_STATE + """,
+sel AS (SELECT hs.City, COALESCE(hs.avg_rating, 0.0) AS m0,
+               COALESCE(ln(1 + GREATEST(CAST(hs.review_count AS DOUBLE), 0.0)), 0.0) AS m1,
+               COALESCE(hs.avg_polarity, 0.0) AS m2, COALESCE(hs.hotspot_score, 0.0) AS m3
+        FROM hs JOIN city_state cs ON hs.City = cs.City WHERE cs.State = 'EUROPE'),
+b AS (SELECT MIN(m0) a0, MAX(m0) b0, MIN(m1) a1, MAX(m1) b1, MIN(m2) a2, MAX(m2) b2, MIN(m3) a3, MAX(m3) b3 FROM sel),
+n AS (SELECT City,
+        ROUND(CASE WHEN b0 = a0 THEN 0.0 ELSE (m0 - a0) / (b0 - a0) END, 6) AS avg_rating,
+        ROUND(CASE WHEN b1 = a1 THEN 0.0 ELSE (m1 - a1) / (b1 - a1) END, 6) AS review_count,
+        ROUND(CASE WHEN b2 = a2 THEN 0.0 ELSE (m2 - a2) / (b2 - a2) END, 6) AS avg_polarity,
+        ROUND(CASE WHEN b3 = a3 THEN 0.0 ELSE (m3 - a3) / (b3 - a3) END, 6) AS hotspot_score
+      FROM sel, b)
+SELECT City AS Destination, 'avg_rating' AS Metric, avg_rating AS Value FROM n
+UNION ALL SELECT City, 'review_count', review_count FROM n
+UNION ALL SELECT City, 'avg_polarity', avg_polarity FROM n
+UNION ALL SELECT City, 'hotspot_score', hotspot_score FROM n""")
+
+_COORDS = """
+coords AS (
+  SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_name
+              WHEN n_nationkey % 3 = 1 THEN
+                   upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || ' (N' || CAST(n_nationkey AS VARCHAR) || ')'
+              ELSE lower(n_name) || '-x' END AS city,
+         n_nationkey * 1.5 - 10.0 AS lat, n_nationkey * 0.75 + 60.0 AS lon, CAST(n_nationkey AS INTEGER) AS ordinal
+  FROM nation),
+cc AS (SELECT City, trim(regexp_replace(City, '\\s+', ' ', 'g')) AS ex FROM (SELECT DISTINCT City FROM reviews)),
+cc2 AS (SELECT City, ex, lower(regexp_replace(ex, '\\s*\\([^)]*\\)', '', 'g')) AS cl FROM cc),
+dd AS (SELECT trim(regexp_replace(city, '\\s+', ' ', 'g')) AS dex, lat, lon, ordinal FROM coords),
+dd2 AS (SELECT dex, lower(regexp_replace(dex, '\\s*\\([^)]*\\)', '', 'g')) AS dcl, lat, lon, ordinal FROM dd),
+cand AS (
+  SELECT City, 1 AS pass, ordinal, lat, lon FROM cc2 JOIN dd2 ON ex = dex
+  UNION ALL SELECT City, 2, ordinal, lat, lon FROM cc2 JOIN dd2 ON cl = dcl
+  UNION ALL SELECT City, 3, ordinal, lat, lon FROM cc2 JOIN dd2
+            ON dcl <> '' AND cl <> '' AND (starts_with(cl, dcl) OR starts_with(dcl, cl))),
+best AS (SELECT City, lat, lon FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY City ORDER BY pass, ordinal) AS rn FROM cand) WHERE rn = 1)"""
+
+_reg("city_coords", _num() + "," + _COORDS + "\nSELECT City, lat, lon FROM best")
+
+_reg("map_points", _hs("City") + "," + _COORDS + """,
+sel AS (SELECT * FROM hs WHERE hotspot_score >= 0.0 ORDER BY hotspot_score DESC, City LIMIT 60),
+geo AS (SELECT sel.*, best.lat, best.lon,
+               COALESCE(ln(1 + GREATEST(COALESCE(CAST(sel.review_count AS DOUBLE), 0.0), 0.0)), 0.0) AS vol,
+               COALESCE(CAST(sel.hotspot_score AS DOUBLE), 0.0) AS met
+        FROM sel JOIN best ON sel.City = best.City),
+b AS (SELECT MIN(vol) v0, MAX(vol) v1, MIN(met) m0, MAX(met) m1 FROM geo),
+g AS (SELECT geo.*, CASE WHEN v1 = v0 THEN 0.0 ELSE (vol - v0) / (v1 - v0) END AS vs,
+             CASE WHEN m1 = m0 THEN 0.0 ELSE (met - m0) / (m1 - m0) END AS ms FROM geo, b)
+SELECT City, lat, lon, hotspot_score, review_count,
+       ROUND(GREATEST(COALESCE(hotspot_score, 0.0), 0.05), 6) AS weight,
+       ROUND(6.0 + 22.0 * vs, 6) AS radius, ROUND(ms, 6) AS metric_scaled,
+       CASE WHEN ms < 0.33 THEN 'low' WHEN ms < 0.66 THEN 'mid' ELSE 'high' END AS band
+FROM g""")
+
+_reg("map_coverage", _hs("City") + "," + _COORDS + """,
+sel AS (SELECT * FROM hs ORDER BY hotspot_score DESC, City LIMIT 60),
+j AS (SELECT sel.*, best.City IS NOT NULL AS mapped FROM sel LEFT JOIN best ON sel.City = best.City)
+SELECT COUNT(*) FILTER (WHERE mapped) AS mapped, COUNT(*) FILTER (WHERE NOT mapped) AS unmapped,
+       ROUND(MIN(hotspot_score) FILTER (WHERE mapped), 6) AS score_min,
+       ROUND(MAX(hotspot_score) FILTER (WHERE mapped), 6) AS score_max, COUNT(*) AS total
+FROM j""")
+
+_reg("state_coverage", _hs("City") + "," + _CITY_STATE + """,
+j AS (SELECT hs.*, cs.State IS NOT NULL AS mapped FROM hs LEFT JOIN city_state cs ON hs.City = cs.City)
+SELECT COUNT(*) FILTER (WHERE mapped) AS mapped, COUNT(*) FILTER (WHERE NOT mapped) AS unmapped,
+       ROUND(MIN(hotspot_score) FILTER (WHERE mapped), 6) AS score_min,
+       ROUND(MAX(hotspot_score) FILTER (WHERE mapped), 6) AS score_max, COUNT(*) AS total
+FROM j""")

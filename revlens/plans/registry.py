@@ -9,6 +9,21 @@ QUERIES = {
     # scoring core
     "hotspot_city": dest.hotspot_city,
     "hotspot_place": dest.hotspot_place,
+    "state_hotspots": dest.state_hotspots,
+    "reweighted_city_ranks": dest.reweighted_city_ranks,
+    "place_insights": dest.place_insights,
+    "hidden_gems": dest.hidden_gems,
+    "risk_places": dest.risk_places,
+    "similar_places": dest.similar_places,
+    "state_top_cities": dest.state_top_cities,
+    "state_top_places": dest.state_top_places,
+    "state_detail_summary": dest.state_detail_summary,
+    "score_breakdown": dest.score_breakdown,
+    "comparison": dest.comparison,
+    "city_coords": dest.city_coords,
+    "map_points": dest.map_points,
+    "map_coverage": dest.map_coverage,
+    "state_coverage": dest.state_coverage,
     # batch analysis
     "dataset_summary": an.dataset_summary,
     "dataset_profile": an.dataset_profile,
