@@ -185,7 +185,9 @@ _PLACE_AVG = """,
 pr AS (SELECT Place, ROUND(AVG(Rating), 4) AS avg_rating FROM reviews GROUP BY Place)"""
 
 _reg("place_rating_histogram", _num() + _PLACE_AVG + """,
-b AS (SELECT MIN(avg_rating) AS mn, MAX(avg_rating) AS mx FROM pr),
+b AS (SELECT CASE WHEN MIN(avg_rating) = MAX(avg_rating) THEN MIN(avg_rating) - 0.5 ELSE MIN(avg_rating) END AS mn,
+             CASE WHEN MIN(avg_rating) = MAX(avg_rating) THEN MAX(avg_rating) + 0.5 ELSE MAX(avg_rating) END AS mx
+      FROM pr),
 c AS (SELECT CAST(LEAST(FLOOR((avg_rating - mn) / (mx - mn) * 50.0), 49) AS INTEGER) AS bin, COUNT(*) AS count
       FROM pr, b GROUP BY 1),
 spine AS (SELECT CAST(range AS INTEGER) AS bin FROM range(0, 50))
@@ -380,3 +382,155 @@ SELECT COUNT(*) FILTER (WHERE mapped) AS mapped, COUNT(*) FILTER (WHERE NOT mapp
        ROUND(MIN(hotspot_score) FILTER (WHERE mapped), 6) AS score_min,
        ROUND(MAX(hotspot_score) FILTER (WHERE mapped), 6) AS score_max, COUNT(*) AS total
 FROM j""")
+
+
+# ── text queries ────────────────────────────────────────────────────────────
+from revlens.operators.text import word_boundary_pattern  # noqa: E402
+from revlens.sources import dimensions as _dims  # noqa: E402
+from revlens.sources.testdata import REVIEWS_TEXT_SQL  # noqa: E402
+
+_BLANK = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
+
+
+def _blank(x: str) -> str:
+    return f"COALESCE(regexp_replace({x}, '{_BLANK}', '', 'g') = '', TRUE)"
+
+
+def _choose(review: str, raw: str) -> str:
+    return f"(CASE WHEN NOT {_blank(review)} THEN {review} WHEN NOT {_blank(raw)} THEN {raw} ELSE '' END)"
+
+
+def _clean(x: str) -> str:
+    return f"COALESCE(trim(regexp_replace(lower({x}), '[^a-z]+', ' ', 'g')), '')"
+
+
+_LABEL = "CASE WHEN {x} > 0.05 THEN 'Positive' WHEN {x} < -0.05 THEN 'Negative' ELSE 'Neutral' END"
+
+_SENT = "WITH " + REVIEWS_TEXT_SQL + f""",
+txt AS (SELECT doc_id, City, Place, Rating, {_clean(_choose('Review', 'Raw_Review'))} AS ct FROM reviews_text),
+tk AS (SELECT doc_id, City, Place, Rating, string_split(ct, ' ') AS toks FROM txt),
+pr AS (SELECT doc_id, City, Place, Rating, unnest(toks) AS w,
+              unnest(list_concat([''], toks[1:len(toks) - 1])) AS p FROM tk),
+lex AS (SELECT * FROM {_dims.lexicon_values_sql()}),
+sc AS (SELECT pr.doc_id, pr.City, pr.Place, pr.Rating,
+              CASE WHEN lw.polarity IS NULL THEN NULL
+                   ELSE GREATEST(-1.0, LEAST(1.0, lw.polarity * COALESCE(lm.intensity, 1.0))) END AS ps,
+              CASE WHEN lw.subjectivity IS NULL THEN NULL
+                   ELSE GREATEST(0.0, LEAST(1.0, lw.subjectivity *
+                        CASE WHEN COALESCE(lm.intensity, 1.0) > 0 THEN COALESCE(lm.intensity, 1.0) ELSE 1.0 END)) END AS ss
+       FROM pr LEFT JOIN (SELECT * FROM lex WHERE polarity IS NOT NULL) lw ON pr.w = lw.word
+               LEFT JOIN (SELECT * FROM lex WHERE intensity IS NOT NULL) lm ON pr.p = lm.word),
+sent0 AS (SELECT doc_id, City, Place, Rating, COALESCE(ROUND(AVG(ps), 4), 0.0) AS polarity,
+                 COALESCE(ROUND(AVG(ss), 4), 0.0) AS subjectivity
+          FROM sc GROUP BY doc_id, City, Place, Rating),
+sent AS (SELECT *, {_LABEL.format(x='polarity')} AS sentiment FROM sent0),
+ps_c AS (SELECT City, Place, sentiment, COUNT(*) AS n, SUM(polarity) AS s, COUNT(polarity) AS c
+         FROM sent GROUP BY City, Place, sentiment),
+ps_r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY City, Place ORDER BY n DESC, sentiment) AS rn FROM ps_c),
+place_sent AS (SELECT a.City, a.Place, ROUND(t.s / t.c, 4) AS polarity, a.sentiment
+               FROM ps_r a JOIN (SELECT City, Place, SUM(s) AS s, SUM(c) AS c FROM ps_c GROUP BY City, Place) t
+                 ON a.City = t.City AND a.Place = t.Place
+               WHERE a.rn = 1),
+search AS (SELECT r.doc_id, COALESCE(r.City, 'Unknown') AS City, COALESCE(r.Place, 'Unknown') AS Place,
+                  COALESCE(r.Raw_Review, '') AS Review, r.Rating
+           FROM reviews_text r),
+search_s AS (SELECT s.*, p.polarity, p.sentiment FROM search s LEFT JOIN place_sent p
+             ON s.City = p.City AND s.Place = p.Place)"""
+
+_reg("review_text_clean", "WITH " + REVIEWS_TEXT_SQL + f"""
+SELECT doc_id, {_choose('Review', 'Raw_Review')} AS review_text,
+       {_clean(_choose('Review', 'Raw_Review'))} AS clean_text
+FROM reviews_text""")
+
+_reg("sentiment_results", _SENT + "\nSELECT doc_id, City, Place, Rating, polarity, subjectivity, sentiment FROM sent")
+
+for _k, _name in (("City", "sentiment_by_lang"), ("Place", "sentiment_by_source")):
+    _reg(_name, _SENT + f""",
+g AS (SELECT {_k}, ROUND(AVG(polarity), 4) AS avg_polarity, ROUND(AVG(subjectivity), 4) AS avg_subjectivity,
+             COUNT(*) AS review_count FROM sent GROUP BY {_k})
+SELECT *, {_LABEL.format(x='avg_polarity')} AS dominant_sentiment FROM g""")
+
+_reg("sentiment_distribution", _SENT + """,
+d AS (SELECT sentiment AS label, COUNT(*) AS count FROM sent GROUP BY sentiment)
+SELECT label, count, ROUND(count / (SELECT SUM(count) FROM d) * 100, 2) AS pct FROM d""")
+
+_reg("place_sentiment", _SENT + "\nSELECT City, Place, polarity, sentiment FROM place_sent")
+
+_reg("polarity_histogram", _SENT + """,
+b AS (SELECT CASE WHEN MIN(polarity) = MAX(polarity) THEN MIN(polarity) - 0.5 ELSE MIN(polarity) END AS mn,
+             CASE WHEN MIN(polarity) = MAX(polarity) THEN MAX(polarity) + 0.5 ELSE MAX(polarity) END AS mx
+      FROM sent),
+c AS (SELECT CAST(LEAST(FLOOR((polarity - mn) / (mx - mn) * 50.0), 49) AS INTEGER) AS bin, COUNT(*) AS count
+      FROM sent, b GROUP BY 1),
+spine AS (SELECT CAST(range AS INTEGER) AS bin FROM range(0, 50))
+SELECT spine.bin, ROUND(mn + (spine.bin + 0.5) * ((mx - mn) / 50.0), 4) AS bin_center,
+       CAST(COALESCE(c.count, 0) AS BIGINT) AS count
+FROM spine CROSS JOIN b LEFT JOIN c ON spine.bin = c.bin""")
+
+_reg("reviews_with_place_sentiment", _SENT + "\nSELECT doc_id, City, Place, Rating, polarity, sentiment FROM search_s")
+
+_FILTER = """lower(City) = 'en' AND Rating >= 3.0 AND COALESCE(contains(lower(Review), 'the'), FALSE)"""
+
+
+def _sq(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _substring_aspects(mapping: dict, src: str) -> str:
+    """Per-review aspect flags (substring rule), long form of matches."""
+    parts = []
+    for i, (a, kws) in enumerate(mapping.items()):
+        cond = " OR ".join(f"contains(lower(Review), {_sq(k.lower())})" for k in kws)
+        parts.append(f"SELECT {_sq(a)} AS aspect, {i} AS ordinal, Rating FROM {src} WHERE {cond}")
+    spine = " UNION ALL ".join(f"SELECT {_sq(a)} AS aspect, {i} AS ordinal" for i, a in enumerate(mapping))
+    return f"""m AS ({' UNION ALL '.join(parts)}),
+spine AS ({spine}),
+am AS (SELECT spine.aspect, spine.ordinal, CAST(COUNT(m.aspect) AS BIGINT) AS mentions,
+              ROUND(AVG(CASE WHEN isnan(m.Rating) THEN NULL ELSE m.Rating END), 2) AS avg_rating
+       FROM spine LEFT JOIN m ON spine.aspect = m.aspect GROUP BY spine.aspect, spine.ordinal)"""
+
+
+_reg("review_search_aspects", _SENT + f""",
+flt AS (SELECT * FROM search_s WHERE {_FILTER}),
+{_substring_aspects(_dims.SEARCH_ASPECTS, 'flt')}
+SELECT * FROM am""")
+
+_reg("review_search_summary", _SENT + f""",
+flt AS (SELECT * FROM search_s WHERE {_FILTER}),
+{_substring_aspects(_dims.SEARCH_ASPECTS, 'flt')},
+top AS (SELECT aspect AS top_aspect FROM am ORDER BY mentions DESC, ordinal LIMIT 1)
+SELECT COUNT(*) AS count, ROUND(AVG(CASE WHEN isnan(Rating) THEN NULL ELSE Rating END), 2) AS avg_rating,
+       ROUND(AVG(polarity), 4) AS avg_polarity, (SELECT top_aspect FROM top) AS top_aspect
+FROM flt""")
+
+_reg("review_search_rows", _SENT + f""",
+flt AS (SELECT * FROM search_s WHERE {_FILTER})
+SELECT doc_id, City, Place, substr(Review, 1, 400) AS Review, Rating, polarity, sentiment
+FROM flt ORDER BY doc_id LIMIT 50""")
+
+_reg("aspect_mentions_all", _SENT + f""",
+{_substring_aspects(_dims.SEARCH_ASPECTS, 'search_s')}
+SELECT * FROM am""")
+_reg("aspect_mentions_common", _SENT + f""",
+{_substring_aspects(_dims.COMMON_WORD_ASPECTS, 'search_s')}
+SELECT * FROM am""")
+
+
+def _boundary_summary(mapping: dict) -> str:
+    parts = []
+    for a, kws in mapping.items():
+        pat = word_boundary_pattern([k.lower() for k in kws]).replace("'", "''")
+        parts.append(f"SELECT {_sq(a)} AS aspect, Rating FROM rt WHERE regexp_matches(lower(review_text), '{pat}')")
+    return "WITH " + REVIEWS_TEXT_SQL + f""",
+rt0 AS (SELECT doc_id, Rating, {_choose('Review', 'Raw_Review')} AS review_text FROM reviews_text),
+rt AS (SELECT * FROM rt0 WHERE NOT {_blank('review_text')} AND Rating IS NOT NULL),
+m AS ({' UNION ALL '.join(parts)})
+SELECT aspect, COUNT(*) AS mentions, ROUND(AVG(Rating), 6) AS avg_rating,
+       ROUND(AVG(CASE WHEN Rating >= 4 THEN 1.0 ELSE 0.0 END), 6) AS positive_share,
+       ROUND(AVG(CASE WHEN Rating <= 2 THEN 1.0 ELSE 0.0 END), 6) AS negative_share,
+       ROUND((AVG(Rating) - 3.0) / 2.0, 6) AS signal
+FROM m GROUP BY aspect"""
+
+
+_reg("aspect_summary", _boundary_summary(_dims.SUMMARY_ASPECTS))
+_reg("aspect_summary_common", _boundary_summary(_dims.COMMON_WORD_ASPECTS))

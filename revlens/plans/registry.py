@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from revlens.plans import analysis as an
 from revlens.plans import destinations as dest
+from revlens.plans import text as tx
 
 QUERIES = {
     # scoring core
@@ -51,4 +52,20 @@ QUERIES = {
     "first_reviews": an.first_reviews,
     "review_sample": an.review_sample,
     "record_export": an.record_export,
+    # text
+    "review_text_clean": tx.review_text_clean,
+    "sentiment_results": tx.sentiment_results,
+    "sentiment_by_lang": tx.sentiment_by_lang,
+    "sentiment_by_source": tx.sentiment_by_source,
+    "sentiment_distribution": tx.sentiment_distribution,
+    "place_sentiment": tx.place_sentiment,
+    "polarity_histogram": tx.polarity_histogram,
+    "reviews_with_place_sentiment": tx.reviews_with_place_sentiment,
+    "review_search_aspects": tx.review_search_aspects,
+    "review_search_summary": tx.review_search_summary,
+    "review_search_rows": tx.review_search_rows,
+    "aspect_mentions_all": tx.aspect_mentions_all,
+    "aspect_mentions_common": tx.aspect_mentions_common,
+    "aspect_summary": tx.aspect_summary,
+    "aspect_summary_common": tx.aspect_summary_common,
 }

@@ -15,7 +15,7 @@ from revlens.sources.testdata import read_table
 __all__ = [
     "SEARCH_ASPECTS", "SUMMARY_ASPECTS", "DEFAULT_LEXICON", "NEGATORS", "aspects_frame",
     "lexicon_frame", "city_state_from_regions", "coords_from_nations", "values_sql",
-    "aspects_values_sql", "lexicon_values_sql", "CITY_STATE_SQL", "COORDS_SQL",
+    "aspects_values_sql", "lexicon_values_sql", "CITY_STATE_SQL", "COORDS_SQL", "COMMON_WORD_ASPECTS",
 ]
 
 # ── Fixed values (must equal the reviewed application's dictionaries) ─────
@@ -167,3 +167,15 @@ COORDS_SQL = """coords AS (
          n_nationkey * 1.5 - 10.0 AS lat, n_nationkey * 0.75 + 60.0 AS lon,
          CAST(n_nationkey AS INTEGER) AS ordinal
   FROM nation)"""
+
+
+# Frequent words of the synthetic test prose, grouped as aspects, so the
+# word-boundary and substring rules both find matches in the driver's data
+# ('ion' only occurs inside words).
+COMMON_WORD_ASPECTS = {
+    "articles": ["the", "a", "an"],
+    "linking": ["and", "or", "with"],
+    "fragment": ["ion", "tion"],
+    "romance": ["de", "la", "le", "en"],
+    "german": ["der", "die", "und"],
+}
