@@ -2,6 +2,11 @@
 
 Written by hand from the operator definitions, not generated from the
 Spark plans, so a wrong Spark plan shows up as a mismatch.
+
+Rounding: Spark rounds a double HALF_UP on its shortest decimal form
+(0.53375 -> 0.5338 although the binary value is a hair below). Where an
+operator's values often sit on such ties, the twin rounds the same decimal
+form explicitly.
 """
 
 from __future__ import annotations
@@ -534,3 +539,64 @@ FROM m GROUP BY aspect"""
 
 _reg("aspect_summary", _boundary_summary(_dims.SUMMARY_ASPECTS))
 _reg("aspect_summary_common", _boundary_summary(_dims.COMMON_WORD_ASPECTS))
+
+
+# ── trend queries ───────────────────────────────────────────────────────────
+from revlens.sources.testdata import INTEREST_SQL, TREND_STATUS_SQL  # noqa: E402
+
+_TRENDS = "WITH " + INTEREST_SQL + "," + TREND_STATUS_SQL + """,
+base AS (SELECT keyword AS Place, COUNT(*) AS BasePopularity FROM interest GROUP BY keyword
+         ORDER BY BasePopularity DESC, Place LIMIT 20),
+lim AS (SELECT CAST(CAST(MAX(ts) AS DATE) - INTERVAL 3 MONTH AS TIMESTAMP) AS t0 FROM interest),
+mean AS (SELECT keyword, AVG(interest) AS raw FROM interest, lim WHERE ts >= t0 GROUP BY keyword),
+j AS (SELECT b.Place, s.status AS st0, s.notes, m.raw FROM base b
+      LEFT JOIN trend_status s ON b.Place = s.keyword LEFT JOIN mean m ON b.Place = m.keyword),
+j2 AS (SELECT Place, notes, raw,
+              CASE WHEN st0 IS NULL OR (st0 = 'live' AND raw IS NULL) THEN 'unavailable' ELSE st0 END AS status
+       FROM j),
+j3 AS (SELECT *, CASE WHEN status = 'live' THEN raw ELSE 0.0 END AS rts FROM j2),
+bb AS (SELECT MIN(rts) AS lo, MAX(rts) AS hi FROM j3 WHERE status = 'live'),
+trends AS (
+  SELECT Place, ROUND(rts, 6) AS RawTrendScore,
+         CASE WHEN status = 'live' THEN ROUND(CASE WHEN hi = lo THEN 0.5 ELSE (rts - lo) / (hi - lo) END, 6)
+              ELSE 0.0 END AS TrendScore,
+         status, CASE WHEN status = 'live' THEN 'Google Trends' ELSE 'fallback' END AS source,
+         COALESCE(notes, 'No data fetched') AS notes
+  FROM j3, bb)"""
+
+_reg("trend_scores", _TRENDS + "\nSELECT * FROM trends")
+_reg("realtime_scores", _TRENDS + """,
+rt AS (SELECT b.Place, b.BasePopularity, COALESCE(t.TrendScore, 0.0) AS TrendScore,
+              COALESCE(t.status, 'unavailable') AS status, COALESCE(t.source, 'fallback') AS source,
+              COALESCE(t.notes, 'No trend data available') AS notes
+       FROM base b LEFT JOIN trends t ON b.Place = t.Place),
+rt2 AS (SELECT *, ROUND(0.0 * BasePopularity + 1.0 * TrendScore, 6) AS FinalRealtimeScore FROM rt)
+SELECT *, CASE WHEN FinalRealtimeScore > 0.66 THEN 'High' WHEN FinalRealtimeScore > 0.33 THEN 'Medium'
+               ELSE 'Low' END AS trend_band
+FROM rt2""")
+_reg("trend_status_counts", _TRENDS + """
+SELECT COUNT(*) FILTER (WHERE status = 'live') AS live_count,
+       COUNT(*) FILTER (WHERE status <> 'live') AS not_live_count, COUNT(*) AS total FROM trends""")
+_reg("trend_status_breakdown", _TRENDS + "\nSELECT status, COUNT(*) AS count FROM trends GROUP BY status")
+
+
+# ── ML feature frame ────────────────────────────────────────────────────────
+_reg("place_features", _num() + _MODE_PLACE_CITY + """,
+place AS (SELECT Place, ROUND(AVG(Rating), 4) AS avg_rating, COUNT(Rating) AS review_count,
+                 ROUND(STDDEV_SAMP(Rating), 4) AS rating_std,
+                 ROUND(AVG(polarity), 4) AS avg_polarity, ROUND(AVG(subjectivity), 4) AS avg_subjectivity
+          FROM reviews GROUP BY Place),
+city AS (SELECT City AS primary_city, ROUND(AVG(Rating), 4) AS city_avg_rating,
+                ROUND(AVG(polarity), 4) AS city_avg_polarity FROM reviews GROUP BY City),
+cnt AS (SELECT mode_city AS primary_city, COUNT(*) AS city_place_count FROM mode_city GROUP BY mode_city)
+SELECT p.Place, COALESCE(m.mode_city, 'Unknown') AS primary_city, p.review_count, p.avg_rating,
+       COALESCE(p.rating_std, 0.0) AS rating_std, COALESCE(p.avg_polarity, 0.0) AS avg_polarity,
+       COALESCE(p.avg_subjectivity, 0.0) AS avg_subjectivity,
+       COALESCE(c.city_avg_rating, p.avg_rating) AS city_avg_rating,
+       CAST(COALESCE(n.city_place_count, 1) AS BIGINT) AS city_place_count,
+       COALESCE(c.city_avg_polarity, 0.0) AS city_avg_polarity,
+       COALESCE(CAST(ROUND(CAST(CAST(GREATEST(0.0, LEAST(1.0, (c.city_avg_rating - 1.0) / 4.0)) AS VARCHAR)
+                 AS DECIMAL(38, 18)), 4) AS DOUBLE), 0.5) AS city_five_star_rate
+FROM place p LEFT JOIN mode_city m ON p.Place = m.Place
+     LEFT JOIN city c ON m.mode_city = c.primary_city
+     LEFT JOIN cnt n ON m.mode_city = n.primary_city""")

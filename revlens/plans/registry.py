@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from revlens.plans import analysis as an
 from revlens.plans import destinations as dest
+from revlens.plans import ml
 from revlens.plans import text as tx
+from revlens.plans import trends as tr
 
 QUERIES = {
     # scoring core
@@ -68,4 +70,16 @@ QUERIES = {
     "aspect_mentions_common": tx.aspect_mentions_common,
     "aspect_summary": tx.aspect_summary,
     "aspect_summary_common": tx.aspect_summary_common,
+    # trends
+    "trend_scores": tr.trend_scores,
+    "realtime_scores": tr.realtime_scores,
+    "trend_status_counts": tr.trend_status_counts,
+    "trend_status_breakdown": tr.trend_status_breakdown,
+    # popularity model
+    "place_features": ml.place_features,
+    "model_metrics": ml.model_metrics,
+    "feature_importances": ml.feature_importances,
+    "test_predictions": ml.test_predictions,
+    "place_predictions": ml.place_predictions,
+    "residual_histogram": ml.residual_histogram,
 }
