@@ -53,10 +53,13 @@ def coerce_number(c, default: float | None = None, lower: float | None = None) -
     return out
 
 
+NON_BLANK_CLASS = r"[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
+
+
 def is_blank(c) -> Column:
-    """NULL or only white space."""
+    """NULL or only white space (stops at the first non-blank character)."""
     c = as_col(c)
-    return F.coalesce(F.regexp_replace(c, BLANK_CLASS, "") == F.lit(""), F.lit(True))
+    return F.coalesce(~c.rlike(NON_BLANK_CLASS), F.lit(True))
 
 
 def choose_review_text(review="Review", raw="Raw_Review") -> Column:

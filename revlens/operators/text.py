@@ -14,6 +14,7 @@ array functions, so no window or shuffle is needed to find it.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,8 @@ def aspect_flags(text: Column, aspects: dict[str, list[str]], mode: str = "subst
     flags = []
     for aspect, kws in aspects.items():
         if mode == "substring":
-            hit = F.exists(F.array(*[F.lit(k.lower()) for k in kws]), lambda k: F.contains(low, k))
+            # an OR of literal contains() stays in generated code and stops at the first hit
+            hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k.lower())) for k in kws])
         else:
             hit = low.rlike(word_boundary_pattern([k.lower() for k in kws]))
         flags.append(hit.alias(aspect))
@@ -116,20 +118,26 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, text: Column,
     carry = carry or []
     toks = F.split(normalise_text(text), " ")
     prev = F.concat(F.array(F.lit("")), F.slice(toks, 1, F.size(toks) - 1))
-    pairs = df.select(key, *carry, F.explode(F.arrays_zip(toks.alias("w"), prev.alias("p"))).alias("t"))
-    pairs = pairs.select(key, *carry, F.col("t.w").alias("_w"), F.col("t.p").alias("_p"))
+    pairs = df.select(key, F.explode(F.arrays_zip(toks.alias("w"), prev.alias("p"))).alias("t"))
+    pairs = pairs.select(key, F.col("t.w").alias("_w"), F.col("t.p").alias("_p"))
     words = F.broadcast(lexicon.filter(F.col("polarity").isNotNull())
                         .select(F.col("word").alias("_w"), F.col("polarity").alias("_pol"),
                                 F.col("subjectivity").alias("_sub")))
     mods = F.broadcast(lexicon.filter(F.col("intensity").isNotNull())
                        .select(F.col("word").alias("_p"), F.col("intensity").alias("_int")))
-    scored = pairs.join(words, "_w", "left").join(mods, "_p", "left")
+    # only scored tokens continue past the inner join; modifiers are looked up for those
+    scored = pairs.join(words, "_w", "inner").join(mods, "_p", "left")
     m = F.coalesce(F.col("_int"), F.lit(1.0))
-    # greatest/least skip NULLs, so unscored tokens are kept NULL explicitly
-    pol = F.when(F.col("_pol").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_pol") * m)))
-    sub = F.when(F.col("_sub").isNotNull(), F.greatest(
-        F.lit(0.0), F.least(F.lit(1.0), F.col("_sub") * F.when(m > 0, m).otherwise(F.lit(1.0)))))
-    g = scored.groupBy(key, *carry).agg(F.avg(pol).alias("_p"), F.avg(sub).alias("_s"))
+    pol = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_pol") * m))
+    sub = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_sub") * F.when(m > 0, m).otherwise(F.lit(1.0))))
+    null = F.lit(None).cast("double")
+    tokens = scored.select(key, *[F.lit(None).alias(c) for c in carry], pol.alias("_ps"), sub.alias("_ss"))
+    # every review enters once with NULL scores, so unscored reviews survive the grouping
+    reviews = df.select(key, *carry, null.alias("_ps"), null.alias("_ss"))
+    both = reviews.unionByName(tokens.select(key, *[F.col(c).cast(reviews.schema[c].dataType) for c in carry],
+                                             "_ps", "_ss"))
+    g = both.groupBy(key).agg(F.avg("_ps").alias("_p"), F.avg("_ss").alias("_s"),
+                              *[F.max(c).alias(c) for c in carry])
     return g.select(key, *carry,
                     F.coalesce(F.round("_p", decimals), F.lit(0.0)).alias("polarity"),
                     F.coalesce(F.round("_s", decimals), F.lit(0.0)).alias("subjectivity")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from revlens.plans import analysis as an
 from revlens.plans import destinations as dest
-from revlens.plans import ml
+from revlens.plans import load, ml
 from revlens.plans import text as tx
 from revlens.plans import trends as tr
 
@@ -82,4 +82,6 @@ QUERIES = {
     "test_predictions": ml.test_predictions,
     "place_predictions": ml.place_predictions,
     "residual_histogram": ml.residual_histogram,
+    # load curve
+    "load_curve": load.load_curve,
 }

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import clamp, is_valid_number
 
 __all__ = [
-    "read_table", "reviews_num_raw", "reviews_num", "reviews_text_raw", "interest_events",
+    "read_table", "spread", "reviews_num_raw", "reviews_num", "reviews_text_raw", "interest_events",
     "trend_status", "reviews_num_sql", "REVIEWS_TEXT_SQL", "INTEREST_SQL", "TREND_STATUS_SQL",
 ]
 
@@ -27,7 +27,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def reviews_num_raw(spark: SparkSession, sf_dir: str, with_name: bool = False) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work at least one task per core.
+
+    A table stored as one unsplittable file (one Parquet row group) scans in
+    a single task, and everything before the first shuffle runs there. When
+    the scan has fewer splits than the cluster's default parallelism, spread
+    the rows round-robin; a large input already has enough splits and is
+    left alone (no extra shuffle at scale). Only the split count is planned;
+    no data is read.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def reviews_num_raw(spark: SparkSession, sf_dir: str, with_name: bool = False,
+                    with_key: bool = False) -> DataFrame:
     """C1 before cleaning. ``with_name`` adds the orders/customer joins.
 
     nation is 25 rows (fixed by the schema), so it is broadcast; supplier,
@@ -54,12 +71,14 @@ def reviews_num_raw(spark: SparkSession, sf_dir: str, with_name: bool = False) -
         df = (df.join(orders, F.col("l_orderkey") == orders.o_orderkey)
                 .join(cust, F.col("o_custkey") == cust.c_custkey))
         cols.insert(2, F.col("c_name").alias("Name"))
+    if with_key:
+        cols += [F.col("l_orderkey"), F.col("l_linenumber")]
     return df.select(*cols)
 
 
-def reviews_num(spark: SparkSession, sf_dir: str, with_name: bool = False) -> DataFrame:
+def reviews_num(spark: SparkSession, sf_dir: str, with_name: bool = False, with_key: bool = False) -> DataFrame:
     """C1 cleaned: O-11 NULL/NaN drop, O-12 clamp, O-13 key drop, O-14 trim."""
-    raw = reviews_num_raw(spark, sf_dir, with_name)
+    raw = reviews_num_raw(spark, sf_dir, with_name, with_key)
     return (raw.filter(is_valid_number("Rating") & F.col("City").isNotNull() & F.col("Place").isNotNull())
                .withColumns({"Rating": clamp("Rating"), "City": F.trim("City"), "Place": F.trim("Place")}))
 
@@ -89,7 +108,7 @@ reviews AS (
 
 def reviews_text_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2: documents left-joined to labels (labels cover a subset of docs)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     df = docs.join(labels, "doc_id", "left")
     return df.select(
