@@ -4,9 +4,8 @@ Written by hand from the operator definitions, not generated from the
 Spark plans, so a wrong Spark plan shows up as a mismatch.
 
 Rounding: Spark rounds a double HALF_UP on its shortest decimal form
-(0.53375 -> 0.5338 although the binary value is a hair below). Where an
-operator's values often sit on such ties, the twin rounds the same decimal
-form explicitly.
+(0.53375 -> 0.5338 although the binary value is a hair below); every
+``ROUND`` in the twins is rewritten to the same rule (see ``_spark_round``).
 """
 
 from __future__ import annotations
@@ -16,8 +15,48 @@ from revlens.sources.testdata import reviews_num_sql
 SQL: dict[str, str] = {}
 
 
+def _spark_round(sql: str) -> str:
+    """Rewrite every ``ROUND(x, d)`` so DuckDB rounds the way Spark does.
+
+    Spark rounds a double HALF_UP on its shortest decimal text; DuckDB's
+    ROUND scales in binary first, so the two differ on ties such as
+    1.51225 (stored as 1.5122499999999999). Rounding the text form as a
+    DECIMAL reproduces Spark's rule.
+    """
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 5, -1
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        if comma < 0:
+            arg, digits = sql[j + 6:k], "0"
+        else:
+            arg, digits = sql[j + 6:comma], sql[comma + 1:k].strip()
+        arg = _spark_round(arg)
+        out.append(sql[i:j])
+        out.append(f"CAST(ROUND(CAST(CAST(CAST({arg} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)")
+        i = k + 1
+
+
 def _reg(name: str, sql: str) -> None:
-    SQL[name] = sql.strip()
+    SQL[name] = _spark_round(sql.strip())
 
 
 def _hotspot_sql(key: str) -> str:
@@ -595,8 +634,7 @@ SELECT p.Place, COALESCE(m.mode_city, 'Unknown') AS primary_city, p.review_count
        COALESCE(c.city_avg_rating, p.avg_rating) AS city_avg_rating,
        CAST(COALESCE(n.city_place_count, 1) AS BIGINT) AS city_place_count,
        COALESCE(c.city_avg_polarity, 0.0) AS city_avg_polarity,
-       COALESCE(CAST(ROUND(CAST(CAST(GREATEST(0.0, LEAST(1.0, (c.city_avg_rating - 1.0) / 4.0)) AS VARCHAR)
-                 AS DECIMAL(38, 18)), 4) AS DOUBLE), 0.5) AS city_five_star_rate
+       COALESCE(ROUND(GREATEST(0.0, LEAST(1.0, (c.city_avg_rating - 1.0) / 4.0)), 4), 0.5) AS city_five_star_rate
 FROM place p LEFT JOIN mode_city m ON p.Place = m.Place
      LEFT JOIN city c ON m.mode_city = c.primary_city
      LEFT JOIN cnt n ON m.mode_city = n.primary_city""")
