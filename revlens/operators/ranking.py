@@ -73,7 +73,9 @@ def global_ranks(df: DataFrame, value: list[tuple[str, bool]], tie: list[tuple[s
     """
     names = {"rank": "rank", "dense_rank": "dense_rank", "row_number": "row_number",
              "percent_rank": "percent_rank", **(names or {})}
+    from revlens.session import materialize
     vcols = [c for c, _ in value]
+    df = materialize(df)  # read by the row numbering and by the total below
     rn = global_row_number(df, value + tie, "_rn", num_partitions)
     groups = rn.groupBy(*vcols).agg(F.min("_rn").alias("_rank"))
     groups = global_row_number(groups, value, "_dense", num_partitions)

@@ -23,7 +23,7 @@ from revlens.functions.columns import as_col, choose_review_text, is_blank, norm
 
 __all__ = [
     "review_text", "aspect_flags", "aspect_mentions", "aspect_summary", "lexicon_sentiment",
-    "word_boundary_pattern", "top_aspect",
+    "word_boundary_pattern", "top_aspect", "search_summary",
 ]
 
 WORD_CHAR = r"\p{L}\p{N}_"
@@ -142,3 +142,23 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, text: Column,
                     F.coalesce(F.round("_p", decimals), F.lit(0.0)).alias("polarity"),
                     F.coalesce(F.round("_s", decimals), F.lit(0.0)).alias("subjectivity")
                     ).withColumn("sentiment", polarity_label("polarity"))
+
+
+def search_summary(df: DataFrame, aspects: dict[str, list[str]], text: str = "Review",
+                   rating: str = "Rating") -> DataFrame:
+    """O-50 + O-49 in one pass: count, mean rating (2 dp), mean polarity (4 dp)
+    and the most mentioned aspect (ties -> first in dictionary order).
+
+    The aspect flags are summed in the same aggregate as the summary, so the
+    filtered reviews are read once.
+    """
+    names = list(aspects)
+    flags = aspect_flags(F.col(text), aspects, "substring")
+    r = F.col(rating)
+    g = df.agg(F.count(F.lit(1)).alias("count"),
+               F.round(F.avg(F.when(~F.isnan(r), r)), 2).alias("avg_rating"),
+               F.round(F.avg("polarity"), 4).alias("avg_polarity"),
+               *[F.count_if(fl).alias(f"_m{i}") for i, fl in enumerate(flags)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"_m{i}").alias("n"), F.lit(-i).alias("o"), F.lit(a).alias("a"))
+                                 for i, a in enumerate(names)]))
+    return g.select("count", "avg_rating", "avg_polarity", best["a"].alias("top_aspect"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators import aggregates as agg
 from revlens.operators import ranking
+from revlens.session import materialize
 from revlens.sources import dimensions as dims
 from revlens.sources import files
 from revlens.sources import testdata as td
@@ -77,7 +78,7 @@ def place_metrics_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def city_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-65 + O-67: global ranks of cities by review count and share of reviews."""
-    cm = agg.city_metrics(td.reviews_num(spark, sf_dir), exact=True, with_reviewers=False)
+    cm = materialize(agg.city_metrics(td.reviews_num(spark, sf_dir), exact=True, with_reviewers=False))
     ranked = ranking.global_ranks(cm, [("review_count", False)], [("City", True)],
                                   names={"row_number": "row_num", "percent_rank": "pct_rank"})
     return ranked.withColumns({

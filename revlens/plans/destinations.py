@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, ranking, scores
 from revlens.sources import dimensions as dims
+from revlens.session import materialize
 from revlens.sources import testdata as td
 
 HOTSPOT_COLS = ["rank", "avg_rating", "review_count", "rating_std", "avg_polarity",
@@ -29,7 +30,8 @@ def rating_sentiment_inputs(reviews: DataFrame, key: str) -> DataFrame:
 
 def hotspots(reviews: DataFrame, key: str, distributed_rank: bool = True) -> DataFrame:
     """O-39/O-44 -> O-61 -> O-70/71/72 -> O-69a for one key (City or Place)."""
-    base = rating_sentiment_inputs(reviews, key)
+    # one aggregate feeds the bounds subquery and the scores: store it once
+    base = materialize(rating_sentiment_inputs(reviews, key))
     base = base.withColumn("avg_polarity", F.coalesce(F.col("avg_polarity"), F.lit(0.0)))
     scored = scores.hotspot_score(base)
     ranked = ranking.sequential_rank(scored, "hotspot_score", key, "rank", distributed=distributed_rank)
@@ -66,7 +68,7 @@ def place_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = td.reviews_num(spark, sf_dir)
     hs = hotspots(reviews, "Place")
     city = agg.place_primary_city(reviews).select("Place", F.col("primary_city").alias("city"))
-    frame = joins.place_insight_frame(hs, top_places=city)
+    frame = materialize(joins.place_insight_frame(hs, top_places=city))
     return scores.place_insights(frame).select(
         "Place", "City", "review_count", "avg_rating", "rating_std", "hotspot_score",
         "hidden_gem_score", "risk_score", "confidence_score")
@@ -84,7 +86,7 @@ def risk_places(spark: SparkSession, sf_dir: str, min_reviews: int = 800) -> Dat
 
 def similar_places(spark: SparkSession, sf_dir: str, seed: str = "part#1", top_n: int = 10) -> DataFrame:
     """O-25 + O-76: places most similar to a seed place."""
-    return scores.similar_places(hotspot_place(spark, sf_dir), seed, top_n)
+    return scores.similar_places(materialize(hotspot_place(spark, sf_dir)), seed, top_n)
 
 
 def state_top_cities(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import at_least, ci_equals, contains_literal, normalise_text, truncate_text
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, text
+from revlens.session import materialize
 from revlens.sources import dimensions as dims
 from revlens.sources import testdata as td
 
@@ -93,9 +94,7 @@ def review_search_aspects(spark: SparkSession, sf_dir: str, **params) -> DataFra
 def review_search_summary(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     """O-50 + O-49: count, mean rating, mean polarity and top aspect of a search."""
     f = _filtered(spark, sf_dir, **(params or SEARCH))
-    summary = agg.filtered_summary(f)
-    top = text.top_aspect(text.aspect_mentions(f, dims.SEARCH_ASPECTS, "Review", "Rating"))
-    return summary.withColumn("top_aspect", top.select("top_aspect").scalar())
+    return text.search_summary(f, dims.SEARCH_ASPECTS, "Review", "Rating")
 
 
 def review_search_rows(spark: SparkSession, sf_dir: str, limit: int = 50, **params) -> DataFrame:

@@ -49,3 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     target = configured or fallback or os.path.join(os.environ.get("TMPDIR", "/tmp"), "revlens-checkpoints")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
+
+
+def materialize(df):
+    """Compute ``df`` once and continue from the stored copy.
+
+    Used where one aggregate feeds both a scalar subquery (bounds, totals)
+    and the main query: without it each consumer re-scans the source. The
+    copy goes to the shared ``spark.checkpoint.dir`` (reliable checkpoint, so
+    a lost executor does not lose it) and the lineage is cut there.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
