@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,8 +57,12 @@ def materialize(df):
 
     Used where one aggregate feeds both a scalar subquery (bounds, totals)
     and the main query: without it each consumer re-scans the source. The
-    copy goes to the shared ``spark.checkpoint.dir`` (reliable checkpoint, so
-    a lost executor does not lose it) and the lineage is cut there.
+    copy is a Parquet table in the shared ``spark.checkpoint.dir`` (columnar,
+    written by the executors in parallel, readable after an executor is
+    lost) and the lineage is cut there.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/revlens-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
