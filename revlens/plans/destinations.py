@@ -155,3 +155,9 @@ def state_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     hs = joins.map_city_state(hotspot_city(spark, sf_dir), dims.city_state_from_regions(spark, sf_dir),
                               keep_unmapped=True)
     return agg.coverage_kpis(hs.withColumn("mapped", F.col("State").isNotNull()), "mapped", "hotspot_score")
+
+
+def compare_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-63b: hotspot cities enriched with the sentiment columns they lack."""
+    reviews = td.reviews_num(spark, sf_dir)
+    return joins.enrich_missing_columns(hotspot_city(spark, sf_dir), agg.sentiment_by(reviews, "City"), "City")

@@ -65,7 +65,12 @@ WITH {reviews_num_sql()},
 base AS (
   SELECT {key}, round(avg(Rating), 4) AS avg_rating, count(Rating) AS review_count,
          round(stddev_samp(Rating), 4) AS rating_std, coalesce(round(avg(polarity), 4), 0.0) AS avg_polarity
-  FROM reviews GROUP BY {key}),
+  FROM reviews GROUP BY {key}),""" + _hotspot_from_base()
+
+
+def _hotspot_from_base() -> str:
+    """Score CTEs (hb, s, h) over a CTE ``base`` with the four inputs."""
+    return """
 hb AS (
   SELECT min(avg_rating) AS r0, max(avg_rating) AS r1,
          min(ln(1 + review_count)) AS v0, max(ln(1 + review_count)) AS v1,
@@ -638,3 +643,22 @@ SELECT p.Place, COALESCE(m.mode_city, 'Unknown') AS primary_city, p.review_count
 FROM place p LEFT JOIN mode_city m ON p.Place = m.Place
      LEFT JOIN city c ON m.mode_city = c.primary_city
      LEFT JOIN cnt n ON m.mode_city = n.primary_city""")
+
+
+# ── O-61 with a separate sentiment table, O-63b enrichment ──────────────────
+_reg("hotspot_source", _SENT + """,
+rr AS (SELECT trim(Place) AS Place, GREATEST(1.0, LEAST(5.0, Rating)) AS Rating FROM reviews_text
+       WHERE Rating IS NOT NULL AND NOT isnan(Rating) AND City IS NOT NULL AND Place IS NOT NULL),
+ra AS (SELECT Place, ROUND(AVG(Rating), 4) AS avg_rating, COUNT(Rating) AS review_count,
+              ROUND(STDDEV_SAMP(Rating), 4) AS rating_std FROM rr GROUP BY Place),
+sp AS (SELECT Place, ROUND(AVG(polarity), 4) AS avg_polarity FROM sent GROUP BY Place),
+base AS (SELECT ra.*, COALESCE(sp.avg_polarity, 0.0) AS avg_polarity FROM ra LEFT JOIN sp ON ra.Place = sp.Place),"""
+     + _hotspot_from_base() + HOTSPOT_SELECT.format(key="Place"))
+
+_reg("compare_catalog", _hs("City") + """,
+sc AS (SELECT City, ROUND(AVG(subjectivity), 4) AS avg_subjectivity, ROUND(AVG(polarity), 4) AS ap
+       FROM reviews GROUP BY City)
+SELECT hs.*, sc.avg_subjectivity,
+       CASE WHEN sc.ap > 0.05 THEN 'Positive' WHEN sc.ap < -0.05 THEN 'Negative' ELSE 'Neutral' END
+         AS dominant_sentiment
+FROM hs LEFT JOIN sc ON hs.City = sc.City""")

@@ -27,6 +27,7 @@ QUERIES = {
     "map_points": dest.map_points,
     "map_coverage": dest.map_coverage,
     "state_coverage": dest.state_coverage,
+    "compare_catalog": dest.compare_catalog,
     # batch analysis
     "dataset_summary": an.dataset_summary,
     "dataset_profile": an.dataset_profile,
@@ -70,6 +71,7 @@ QUERIES = {
     "aspect_mentions_common": tx.aspect_mentions_common,
     "aspect_summary": tx.aspect_summary,
     "aspect_summary_common": tx.aspect_summary_common,
+    "hotspot_source": tx.hotspot_source,
     # trends
     "trend_scores": tr.trend_scores,
     "realtime_scores": tr.realtime_scores,

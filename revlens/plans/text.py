@@ -128,3 +128,24 @@ def aspect_summary_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = text.review_text(td.reviews_text_raw(spark, sf_dir), drop_blank=True)
     r = r.filter(F.col("Rating").isNotNull())
     return text.aspect_summary(r, dims.COMMON_WORD_ASPECTS, "review_text", "Rating")
+
+
+def hotspot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-39 -> O-61 -> O-70/71/72 -> O-69a with sentiment as its own table.
+
+    Ratings come from the rated reviews of each source; polarity from the
+    lexicon sentiment of all its reviews (a separate table), left-joined
+    with missing polarity -> 0.
+    """
+    from revlens.functions.columns import clamp, is_valid_number
+    from revlens.operators import ranking, scores
+    from revlens.plans.destinations import HOTSPOT_COLS
+    raw = td.reviews_text_raw(spark, sf_dir)
+    rated = (raw.filter(is_valid_number("Rating") & F.col("City").isNotNull() & F.col("Place").isNotNull())
+             .withColumns({"Rating": clamp("Rating"), "Place": F.trim("Place")}))
+    ratings = agg.average_ratings(rated, "Place")
+    sent = agg.sentiment_by(sentiment_results(spark, sf_dir), "Place")
+    merged = materialize(joins.ratings_with_sentiment(ratings, sent, "Place"))
+    scored = scores.hotspot_score(merged)
+    return ranking.sequential_rank(scored, "hotspot_score", "Place", "rank", distributed=False).select(
+        "Place", *HOTSPOT_COLS)
