@@ -21,9 +21,15 @@ def review_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "review_text", normalise_text("review_text").alias("clean_text"))
 
 
-def sentiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-78 + O-19: lexicon polarity, subjectivity and label per review."""
+def sentiment_results(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
+    """O-78 + O-19: lexicon polarity, subjectivity and label per review.
+
+    ``where`` restricts the reviews before tokenising (a predicate on the
+    grouping keys of the consumer, e.g. one city).
+    """
     r = td.reviews_text_raw(spark, sf_dir)
+    if where is not None:
+        r = r.filter(where)
     txt = text.review_text(r).select("doc_id", "City", "Place", "Rating", "review_text")
     return text.lexicon_sentiment(txt, dims.lexicon_frame(spark), "doc_id", F.col("review_text"),
                                   carry=["City", "Place", "Rating"])
@@ -44,9 +50,9 @@ def sentiment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.label_distribution(sentiment_results(spark, sf_dir), "sentiment")
 
 
-def place_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def place_sentiment(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
     """O-46: mean polarity and modal label per (City, Place)."""
-    return agg.place_sentiment(sentiment_results(spark, sf_dir))
+    return agg.place_sentiment(sentiment_results(spark, sf_dir, where))
 
 
 def polarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +60,24 @@ def polarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.histogram(sentiment_results(spark, sf_dir), "polarity", 50)
 
 
-def _search_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review-search input: raw text as Review, keys defaulted, place sentiment joined (O-63c)."""
-    r = td.reviews_text_raw(spark, sf_dir).select(
-        "doc_id", F.coalesce("City", F.lit("Unknown")).alias("City"),
-        F.coalesce("Place", F.lit("Unknown")).alias("Place"),
+def _search_frame(spark: SparkSession, sf_dir: str, city: str | None = None,
+                  place: str | None = None) -> DataFrame:
+    """Review-search input: raw text as Review, keys defaulted, place sentiment joined (O-63c).
+
+    A city / place filter is applied to both sides: the sentiment of a
+    (City, Place) group only depends on reviews of that group, so only the
+    selected reviews are tokenised.
+    """
+    keys = {"City": F.coalesce("City", F.lit("Unknown")), "Place": F.coalesce("Place", F.lit("Unknown"))}
+    cond = F.lit(True)
+    if city:
+        cond = cond & (F.lower(keys["City"]) == F.lit(city.lower()))
+    if place:
+        cond = cond & (F.lower(keys["Place"]) == F.lit(place.lower()))
+    r = td.reviews_text_raw(spark, sf_dir).filter(cond).select(
+        "doc_id", keys["City"].alias("City"), keys["Place"].alias("Place"),
         F.coalesce("Raw_Review", F.lit("")).alias("Review"), "Rating")
-    return joins.reviews_with_place_sentiment(r, place_sentiment(spark, sf_dir))
+    return joins.reviews_with_place_sentiment(r, place_sentiment(spark, sf_dir, cond))
 
 
 def reviews_with_place_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +88,7 @@ def reviews_with_place_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _filtered(spark: SparkSession, sf_dir: str, city=None, place=None, sentiment=None, min_rating=None,
               keyword=None) -> DataFrame:
     """O-20/O-21/O-22: case-insensitive equality, minimum rating, literal keyword."""
-    df = _search_frame(spark, sf_dir)
+    df = _search_frame(spark, sf_dir, city, place)
     if city:
         df = df.filter(ci_equals("City", city))
     if place:

@@ -52,3 +52,11 @@ def test_exact_sample_size_and_determinism(spark):
     a = sorted(r.id for r in files.exact_sample(df, 100, ["id"]).collect())
     b = sorted(r.id for r in files.exact_sample(df.repartition(7), 100, ["id"]).collect())
     assert len(a) == 100 and a == b
+
+
+def test_exact_sample_large_path_matches_topk(spark, monkeypatch):
+    df = spark.range(3000).withColumn("k2", F.col("id") % 3)
+    small = sorted(r.id for r in files.exact_sample(df, 700, ["id"]).collect())
+    monkeypatch.setattr(files, "TOPK_MAX", 10)
+    large = sorted(r.id for r in files.exact_sample(df, 700, ["id"]).collect())
+    assert small == large and len(large) == 700
