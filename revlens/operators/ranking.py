@@ -7,6 +7,8 @@ tables that grow with the data, :func:`global_row_number` and
 1. range-partition on the full sort key and sort inside each partition;
 2. position inside the partition from ``monotonically_increasing_id``
    (partition index in the high bits) — a narrow projection, no shuffle;
+   the positioned rows are stored once (range bounds come from a sample, so
+   a second evaluation could place rows differently);
 3. per-partition row counts (one row per partition, a bounded table) give
    each partition's offset; the offsets are broadcast back.
 
@@ -35,27 +37,39 @@ def _order_exprs(order: list[tuple[str, bool]]) -> list[Column]:
 
 
 def global_row_number(df: DataFrame, order: list[tuple[str, bool]], name: str = "row_number",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Exact ``row_number() OVER (ORDER BY order)`` without a single-task window.
-
-    ``order`` must be a total order (end with a unique key) for a
-    deterministic result.
+                      num_partitions: int | None = None, group: list[str] | None = None) -> DataFrame:
+    """Exact ``row_number() OVER ([PARTITION BY group] ORDER BY order)`` without
+    a single-task window.
+
+    Rows are range-partitioned on (group, order), so a group with a third of
+    the rows is spread over several partitions. ``order`` must be a total
+    order within a group (end with a unique key) for a deterministic result.
+    Without ``group`` the offset table has one row per partition and is
+    broadcast; with ``group`` it has about one row per (partition, group) and
+    AQE chooses the join.
     """
     spark = df.sparkSession
+    group = list(group or [])
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exprs = _order_exprs(order)
+    exprs = _order_exprs([(g, True) for g in group] + order)
     r = df.repartitionByRange(n, *exprs).sortWithinPartitions(*exprs)
-    mid = F.monotonically_increasing_id()
-    r = r.withColumn("_mid", mid).withColumns({
-        "_pid": F.shiftright(F.col("_mid"), _SHIFT),
-    }).withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _SHIFT))
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # bounded by the partition count: a window over it is cheap and exact
-    offs = counts.select("_pid", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    out = r.join(F.broadcast(offs), "_pid").withColumn(name, (F.col("_off") + F.col("_pos") + 1).cast("int"))
-    return out.drop("_mid", "_pid", "_pos", "_off")
+    r = r.withColumn("_mid", F.monotonically_increasing_id()).withColumn(
+        "_pid", F.shiftright(F.col("_mid"), _SHIFT))
+    r = r.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _SHIFT))
+    # Two evaluations of a range exchange need not place rows alike (bounds
+    # come from a sample), so the positions are stored once and both the
+    # offsets and the rows read that copy.
+    from revlens.session import materialize
+    r = materialize(r)
+    counts = r.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
+    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", *group, "_start", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    if group:
+        out = _null_safe_join(r, offs, ["_pid", *group])
+    else:
+        out = r.join(F.broadcast(offs), "_pid")
+    out = out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_start") + 1).cast("int"))
+    return out.drop("_mid", "_pid", "_pos", "_off", "_start")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
@@ -66,30 +80,39 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataF
 
 
 def global_ranks(df: DataFrame, value: list[tuple[str, bool]], tie: list[tuple[str, bool]],
-                 names: dict | None = None, num_partitions: int | None = None) -> DataFrame:
-    """rank, dense_rank, row_number and percent_rank over ``value`` (ties by ``tie``).
+                 names: dict | None = None, num_partitions: int | None = None,
+                 group: list[str] | None = None) -> DataFrame:
+    """rank, dense_rank, row_number and percent_rank over ``value`` (ties by
+    ``tie``), optionally within ``group``.
 
-    Distributed equivalent of an unpartitioned window (see module notes).
+    Distributed equivalent of a window (see module notes); a hot group is
+    spread over several tasks.
     """
+    from revlens.session import materialize
     names = {"rank": "rank", "dense_rank": "dense_rank", "row_number": "row_number",
              "percent_rank": "percent_rank", **(names or {})}
-    from revlens.session import materialize
+    group = list(group or [])
     vcols = [c for c, _ in value]
-    df = materialize(df)  # read by the row numbering and by the total below
-    rn = global_row_number(df, value + tie, "_rn", num_partitions)
-    groups = rn.groupBy(*vcols).agg(F.min("_rn").alias("_rank"))
-    groups = global_row_number(groups, value, "_dense", num_partitions)
-    total = df.select(F.count(F.lit(1))).scalar()
-    out = _null_safe_join(rn, groups, vcols)
-    pr = F.when(total <= 1, F.lit(0.0)).otherwise((F.col("_rank") - 1) / (total - 1).cast("double"))
+    df = materialize(df)  # read by the row numbering and by the totals below
+    rn = global_row_number(df, value + tie, "_rn", num_partitions, group)
+    groups = rn.groupBy(*group, *vcols).agg(F.min("_rn").alias("_rank"))
+    groups = global_row_number(groups, value, "_dense", num_partitions, group)
+    out = _null_safe_join(rn, groups, group + vcols)
     out = out.withColumns({
         names["rank"]: F.col("_rank").cast("int"),
         names["dense_rank"]: F.col("_dense").cast("int"),
         names["row_number"]: F.col("_rn").cast("int"),
     })
     if names["percent_rank"]:
+        if group:
+            sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
+            out = _null_safe_join(out, sizes, group)
+            total = F.col("_total")
+        else:
+            total = df.select(F.count(F.lit(1))).scalar()
+        pr = F.when(total <= 1, F.lit(0.0)).otherwise((F.col("_rank") - 1) / (total - 1).cast("double"))
         out = out.withColumn(names["percent_rank"], pr)
-    return out.drop("_rn", "_rank", "_dense")
+    return out.drop("_rn", "_rank", "_dense", "_total")
 
 
 def window_ranks(df: DataFrame, value: list[tuple[str, bool]], tie: list[tuple[str, bool]],
@@ -134,11 +157,17 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[tuple[str, bool
 
 
 def ranks_within(df: DataFrame, group: list[str], value: list[tuple[str, bool]], tie: list[tuple[str, bool]],
-                 prefix: str = "city_") -> DataFrame:
-    """O-68: rank, dense_rank, row_number inside each group."""
-    return window_ranks(df, value, tie, partition=group, names={
-        "rank": f"{prefix}rank", "dense_rank": f"{prefix}dense_rank",
-        "row_number": f"{prefix}row_number", "percent_rank": None})
+                 prefix: str = "city_", distributed: bool = True) -> DataFrame:
+    """O-68: rank, dense_rank, row_number inside each group.
+
+    ``distributed`` (default) spreads a group that holds a large share of the
+    rows over several tasks; the window form sorts each group in one task.
+    """
+    names = {"rank": f"{prefix}rank", "dense_rank": f"{prefix}dense_rank",
+             "row_number": f"{prefix}row_number", "percent_rank": None}
+    if distributed:
+        return global_ranks(df, value, tie, names=names, group=group)
+    return window_ranks(df, value, tie, partition=group, names=names)
 
 
 def sequential_rank(df: DataFrame, score: str, key: str, name: str = "rank",

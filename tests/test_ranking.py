@@ -57,3 +57,19 @@ def test_rank_change_and_sequential(spark):
     out = ranking.rank_change(ranking.sequential_rank(df, "s", "k", "new", distributed=True), "old", "new")
     got = {r.k: r.rank_change for r in out.collect()}
     assert got == {"a": 1, "b": -1}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_grouped_ranks_equal_partitioned_window(spark, parts):
+    import random as _r
+    rnd = _r.Random(3)
+    # one group holds a third of the rows
+    rows = [("hot" if i % 3 == 0 else f"g{i % 7}", f"k{i:04d}", rnd.randint(0, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "grp string, key string, n long")
+    a = ranking.global_ranks(df, [("n", False)], [("key", True)], group=["grp"], num_partitions=parts)
+    b = ranking.window_ranks(df, [("n", False)], [("key", True)], partition=["grp"])
+    cols = ["grp", "key", "n", "rank", "dense_rank", "row_number"]
+    assert sorted(tuple(r) for r in a.select(*cols).collect()) == sorted(tuple(r) for r in b.select(*cols).collect())
+    pa = {r.key: r.percent_rank for r in a.collect()}
+    pb = {r.key: r.percent_rank for r in b.collect()}
+    assert all(abs(pa[k] - pb[k]) < 1e-12 for k in pa)
