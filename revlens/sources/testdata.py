@@ -23,8 +23,20 @@ __all__ = [
 ]
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy scan of one table, defined once per session and path.
+
+    Re-defining a scan lists the files and reads the Parquet footers again on
+    the driver for every query; the definition (not the data) is reused.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = _SCANS.get(path)
+    if df is None or df.sparkSession is not spark or spark.sparkContext._jsc.sc().isStopped():
+        df = _SCANS[path] = spark.read.parquet(path)
+    return df
 
 
 def spread(df: DataFrame) -> DataFrame:
