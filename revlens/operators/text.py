@@ -157,7 +157,7 @@ def search_summary(df: DataFrame, aspects: dict[str, list[str]], text: str = "Re
     r = F.col(rating)
     g = df.agg(F.count(F.lit(1)).alias("count"),
                F.round(F.avg(F.when(~F.isnan(r), r)), 2).alias("avg_rating"),
-               F.round(F.avg("polarity"), 4).alias("avg_polarity"),
+               F.round(F.avg(F.col("polarity").cast("decimal(30,4)")), 4).cast("double").alias("avg_polarity"),
                *[F.count_if(fl).alias(f"_m{i}") for i, fl in enumerate(flags)])
     best = F.array_max(F.array(*[F.struct(F.col(f"_m{i}").alias("n"), F.lit(-i).alias("o"), F.lit(a).alias("a"))
                                  for i, a in enumerate(names)]))

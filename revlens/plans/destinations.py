@@ -115,9 +115,9 @@ def state_detail_summary(spark: SparkSession, sf_dir: str, n: int = 10) -> DataF
     nz = lambda c: F.when(F.col(c) != 0, F.col(c))
     return top.groupBy("State").agg(
         F.sum("review_count").alias("total_reviews"),
-        F.round(F.avg(nz("avg_rating")), 3).alias("avg_rating"),
-        F.round(F.avg(nz("avg_polarity")), 4).alias("avg_polarity"),
-        F.round(F.avg(nz("hotspot_score")), 4).alias("avg_hotspot_score"))
+        agg.exact_avg(nz("avg_rating"), 4, 3).alias("avg_rating"),
+        agg.exact_avg(nz("avg_polarity"), 4, 4).alias("avg_polarity"),
+        agg.exact_avg(nz("hotspot_score"), 6, 4).alias("avg_hotspot_score"))
 
 
 def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,9 +219,10 @@ cm AS (SELECT City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_
               ROUND(STDDEV_SAMP(Rating), 4) AS rating_std,
               ROUND(AVG(CASE WHEN Rating = 5 THEN 1 ELSE 0 END), 4) AS five_star_rate
        FROM reviews GROUP BY City),""" + _CITY_STATE + """
-SELECT cs.State, CAST(SUM(cm.review_count) AS BIGINT) AS total_reviews, ROUND(AVG(cm.avg_rating), 4) AS avg_rating,
-       ROUND(AVG(cm.rating_std), 4) AS avg_rating_std, COUNT(cm.City) AS num_cities,
-       ROUND(AVG(cm.five_star_rate), 4) AS avg_five_star_rate
+SELECT cs.State, CAST(SUM(cm.review_count) AS BIGINT) AS total_reviews,
+       ROUND(AVG(CAST(cm.avg_rating AS DECIMAL(30, 4))), 4) AS avg_rating,
+       ROUND(AVG(CAST(cm.rating_std AS DECIMAL(30, 4))), 4) AS avg_rating_std, COUNT(cm.City) AS num_cities,
+       ROUND(AVG(CAST(cm.five_star_rate AS DECIMAL(30, 4))), 4) AS avg_five_star_rate
 FROM cm JOIN city_state cs ON cm.City = cs.City GROUP BY cs.State""")
 
 _reg("place_primary_city", _num() + _MODE_PLACE_CITY + """
@@ -253,7 +254,7 @@ _reg("city_place_rollup", _num() + """,
 pm AS (SELECT Place, City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_rating
        FROM reviews GROUP BY Place, City)
 SELECT City, Place, CAST(SUM(review_count) AS BIGINT) AS total_reviews,
-       ROUND(SUM(avg_rating * review_count) / CAST(SUM(review_count) AS DOUBLE), 4) AS weighted_rating,
+       ROUND(SUM(CAST(avg_rating AS DECIMAL(30, 4)) * review_count) / SUM(review_count), 4) AS weighted_rating,
        CAST(GROUPING_ID(City, Place) AS INTEGER) AS level
 FROM pm GROUP BY ROLLUP (City, Place)""")
 
@@ -272,9 +273,10 @@ hs AS (SELECT {key}, CAST(ROW_NUMBER() OVER (ORDER BY hotspot_score DESC, {key})
 
 
 _reg("state_hotspots", _hs("City") + "," + _CITY_STATE + """
-SELECT cs.State, CAST(SUM(hs.review_count) AS BIGINT) AS ReviewCount, ROUND(AVG(hs.avg_rating), 4) AS AverageRating,
-       ROUND(AVG(hs.hotspot_score), 4) AS HotspotScore, COUNT(hs.City) AS NumCities,
-       ROUND(AVG(hs.avg_polarity), 4) AS SentimentScore
+SELECT cs.State, CAST(SUM(hs.review_count) AS BIGINT) AS ReviewCount,
+       ROUND(AVG(CAST(hs.avg_rating AS DECIMAL(30, 4))), 4) AS AverageRating,
+       ROUND(AVG(CAST(hs.hotspot_score AS DECIMAL(30, 6))), 4) AS HotspotScore, COUNT(hs.City) AS NumCities,
+       ROUND(AVG(CAST(hs.avg_polarity AS DECIMAL(30, 4))), 4) AS SentimentScore
 FROM hs JOIN city_state cs ON hs.City = cs.City GROUP BY cs.State""")
 
 _reg("reweighted_city_ranks", _hs("City") + """,
@@ -342,9 +344,9 @@ stc AS (SELECT cs.State, hs.City, hs.avg_rating, hs.review_count, hs.avg_polarit
 _reg("state_top_cities", _STATE_TOP_CITIES + "\nSELECT * FROM stc WHERE state_rank <= 10")
 _reg("state_detail_summary", _STATE_TOP_CITIES + """
 SELECT State, CAST(SUM(review_count) AS BIGINT) AS total_reviews,
-       ROUND(AVG(NULLIF(avg_rating, 0)), 3) AS avg_rating,
-       ROUND(AVG(NULLIF(avg_polarity, 0)), 4) AS avg_polarity,
-       ROUND(AVG(NULLIF(hotspot_score, 0)), 4) AS avg_hotspot_score
+       ROUND(AVG(CAST(NULLIF(avg_rating, 0) AS DECIMAL(30, 4))), 3) AS avg_rating,
+       ROUND(AVG(CAST(NULLIF(avg_polarity, 0) AS DECIMAL(30, 4))), 4) AS avg_polarity,
+       ROUND(AVG(CAST(NULLIF(hotspot_score, 0) AS DECIMAL(30, 6))), 4) AS avg_hotspot_score
 FROM stc WHERE state_rank <= 10 GROUP BY State""")
 
 _reg("state_top_places", _hs("Place") + "," + _CITY_STATE + """,
@@ -473,7 +475,7 @@ sent0 AS (SELECT doc_id, City, Place, Rating, COALESCE(ROUND(AVG(ps), 4), 0.0) A
                  COALESCE(ROUND(AVG(ss), 4), 0.0) AS subjectivity
           FROM sc GROUP BY doc_id, City, Place, Rating),
 sent AS (SELECT *, {_LABEL.format(x='polarity')} AS sentiment FROM sent0),
-ps_c AS (SELECT City, Place, sentiment, COUNT(*) AS n, SUM(polarity) AS s, COUNT(polarity) AS c
+ps_c AS (SELECT City, Place, sentiment, COUNT(*) AS n, SUM(CAST(polarity AS DECIMAL(30, 4))) AS s, COUNT(polarity) AS c
          FROM sent GROUP BY City, Place, sentiment),
 ps_r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY City, Place ORDER BY n DESC, sentiment) AS rn FROM ps_c),
 place_sent AS (SELECT a.City, a.Place, ROUND(t.s / t.c, 4) AS polarity, a.sentiment
@@ -495,7 +497,8 @@ _reg("sentiment_results", _SENT + "\nSELECT doc_id, City, Place, Rating, polarit
 
 for _k, _name in (("City", "sentiment_by_lang"), ("Place", "sentiment_by_source")):
     _reg(_name, _SENT + f""",
-g AS (SELECT {_k}, ROUND(AVG(polarity), 4) AS avg_polarity, ROUND(AVG(subjectivity), 4) AS avg_subjectivity,
+g AS (SELECT {_k}, ROUND(AVG(CAST(polarity AS DECIMAL(30, 4))), 4) AS avg_polarity,
+             ROUND(AVG(CAST(subjectivity AS DECIMAL(30, 4))), 4) AS avg_subjectivity,
              COUNT(*) AS review_count FROM sent GROUP BY {_k})
 SELECT *, {_LABEL.format(x='avg_polarity')} AS dominant_sentiment FROM g""")
 
@@ -549,7 +552,7 @@ flt AS (SELECT * FROM search_s WHERE {_FILTER}),
 {_substring_aspects(_dims.SEARCH_ASPECTS, 'flt')},
 top AS (SELECT aspect AS top_aspect FROM am ORDER BY mentions DESC, ordinal LIMIT 1)
 SELECT COUNT(*) AS count, ROUND(AVG(CASE WHEN isnan(Rating) THEN NULL ELSE Rating END), 2) AS avg_rating,
-       ROUND(AVG(polarity), 4) AS avg_polarity, (SELECT top_aspect FROM top) AS top_aspect
+       ROUND(AVG(CAST(polarity AS DECIMAL(30, 4))), 4) AS avg_polarity, (SELECT top_aspect FROM top) AS top_aspect
 FROM flt""")
 
 _reg("review_search_rows", _SENT + f""",
@@ -651,7 +654,7 @@ rr AS (SELECT trim(Place) AS Place, GREATEST(1.0, LEAST(5.0, Rating)) AS Rating
        WHERE Rating IS NOT NULL AND NOT isnan(Rating) AND City IS NOT NULL AND Place IS NOT NULL),
 ra AS (SELECT Place, ROUND(AVG(Rating), 4) AS avg_rating, COUNT(Rating) AS review_count,
               ROUND(STDDEV_SAMP(Rating), 4) AS rating_std FROM rr GROUP BY Place),
-sp AS (SELECT Place, ROUND(AVG(polarity), 4) AS avg_polarity FROM sent GROUP BY Place),
+sp AS (SELECT Place, ROUND(AVG(CAST(polarity AS DECIMAL(30, 4))), 4) AS avg_polarity FROM sent GROUP BY Place),
 base AS (SELECT ra.*, COALESCE(sp.avg_polarity, 0.0) AS avg_polarity FROM ra LEFT JOIN sp ON ra.Place = sp.Place),"""
      + _hotspot_from_base() + HOTSPOT_SELECT.format(key="Place"))
 

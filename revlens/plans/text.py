@@ -37,12 +37,12 @@ def sentiment_results(spark: SparkSession, sf_dir: str, where=None) -> DataFrame
 
 def sentiment_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-44 per City (language)."""
-    return agg.sentiment_by(sentiment_results(spark, sf_dir), "City")
+    return agg.sentiment_by(sentiment_results(spark, sf_dir), "City", input_scale=4)
 
 
 def sentiment_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-44 per Place (source)."""
-    return agg.sentiment_by(sentiment_results(spark, sf_dir), "Place")
+    return agg.sentiment_by(sentiment_results(spark, sf_dir), "Place", input_scale=4)
 
 
 def sentiment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,7 @@ def hotspot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = (raw.filter(is_valid_number("Rating") & F.col("City").isNotNull() & F.col("Place").isNotNull())
              .withColumns({"Rating": clamp("Rating"), "Place": F.trim("Place")}))
     ratings = agg.average_ratings(rated, "Place")
-    sent = agg.sentiment_by(sentiment_results(spark, sf_dir), "Place")
+    sent = agg.sentiment_by(sentiment_results(spark, sf_dir), "Place", input_scale=4)
     merged = materialize(joins.ratings_with_sentiment(ratings, sent, "Place"))
     scored = scores.hotspot_score(merged)
     return ranking.sequential_rank(scored, "hotspot_score", "Place", "rank", distributed=False).select(
