@@ -15,6 +15,10 @@ tables that grow with the data, :func:`global_row_number` and
 Ties: rank = first row number of the value group, dense_rank = row number
 of the value among distinct values; both come from one aggregate per value
 joined back (AQE splits a hot value on the join).
+
+The input is stored once and its size read from the file system; at or
+below ``revlens.singleTaskMaxBytes`` (default 32 MB) a plain window is
+used — a size-checked single task, like a size-checked broadcast.
 """
 
 from __future__ import annotations
@@ -88,12 +92,15 @@ def global_ranks(df: DataFrame, value: list[tuple[str, bool]], tie: list[tuple[s
     Distributed equivalent of a window (see module notes); a hot group is
     spread over several tasks.
     """
-    from revlens.session import materialize
+    from revlens.session import materialize_sized, single_task_max_bytes
     names = {"rank": "rank", "dense_rank": "dense_rank", "row_number": "row_number",
              "percent_rank": "percent_rank", **(names or {})}
     group = list(group or [])
     vcols = [c for c, _ in value]
-    df = materialize(df)  # read by the row numbering and by the totals below
+    df, size = materialize_sized(df)  # read by the row numbering and by the totals below
+    if num_partitions is None and size <= single_task_max_bytes(df.sparkSession):
+        # measured small: one sort in one task is cheaper than the distributed steps
+        return window_ranks(df, value, tie, partition=group or None, names=names)
     rn = global_row_number(df, value + tie, "_rn", num_partitions, group)
     groups = rn.groupBy(*group, *vcols).agg(F.min("_rn").alias("_rank"))
     groups = global_row_number(groups, value, "_dense", num_partitions, group)
@@ -157,7 +164,7 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[tuple[str, bool
 
 
 def ranks_within(df: DataFrame, group: list[str], value: list[tuple[str, bool]], tie: list[tuple[str, bool]],
-                 prefix: str = "city_", distributed: bool = True) -> DataFrame:
+                 prefix: str = "city_", distributed: bool = True, num_partitions: int | None = None) -> DataFrame:
     """O-68: rank, dense_rank, row_number inside each group.
 
     ``distributed`` (default) spreads a group that holds a large share of the
@@ -166,7 +173,7 @@ def ranks_within(df: DataFrame, group: list[str], value: list[tuple[str, bool]],
     names = {"rank": f"{prefix}rank", "dense_rank": f"{prefix}dense_rank",
              "row_number": f"{prefix}row_number", "percent_rank": None}
     if distributed:
-        return global_ranks(df, value, tie, names=names, group=group)
+        return global_ranks(df, value, tie, names=names, group=group, num_partitions=num_partitions)
     return window_ranks(df, value, tie, partition=group, names=names)
 
 
@@ -175,7 +182,10 @@ def sequential_rank(df: DataFrame, score: str, key: str, name: str = "rank",
     """O-69a: 1..n after sorting by score desc (ties by key)."""
     order = [(score, False), (key, True)]
     if distributed:
-        return global_row_number(df, order, name)
+        from revlens.session import materialize_sized, single_task_max_bytes
+        df, size = materialize_sized(df)
+        if size > single_task_max_bytes(df.sparkSession):
+            return global_row_number(df, order, name)
     return df.withColumn(name, F.row_number().over(Window.orderBy(*_order_exprs(order))))
 
 

@@ -97,9 +97,14 @@ def place_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_ranks_in_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-68: rank, dense_rank, row_number of places inside each city."""
+    """O-68: rank, dense_rank, row_number of places inside each city.
+
+    Always the distributed per-group form (a city holding a large share of
+    the places is spread over several tasks), whatever the table size.
+    """
     pm = agg.place_metrics_enriched(td.reviews_num(spark, sf_dir), exact=True)
-    return ranking.ranks_within(pm, ["City"], [("review_count", False)], [("Place", True)])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranking.ranks_within(pm, ["City"], [("review_count", False)], [("Place", True)], num_partitions=parts)
 
 
 def top_ranked_cities(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
