@@ -60,6 +60,16 @@ def polarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.histogram(sentiment_results(spark, sf_dir), "polarity", 50)
 
 
+def _search_base(spark: SparkSession, sf_dir: str, cond=None) -> DataFrame:
+    """Review-search rows without sentiment: raw text as Review, keys defaulted."""
+    keys = {"City": F.coalesce("City", F.lit("Unknown")), "Place": F.coalesce("Place", F.lit("Unknown"))}
+    r = td.reviews_text_raw(spark, sf_dir)
+    if cond is not None:
+        r = r.filter(cond)
+    return r.select("doc_id", keys["City"].alias("City"), keys["Place"].alias("Place"),
+                    F.coalesce("Raw_Review", F.lit("")).alias("Review"), "Rating")
+
+
 def _search_frame(spark: SparkSession, sf_dir: str, city: str | None = None,
                   place: str | None = None) -> DataFrame:
     """Review-search input: raw text as Review, keys defaulted, place sentiment joined (O-63c).
@@ -74,9 +84,7 @@ def _search_frame(spark: SparkSession, sf_dir: str, city: str | None = None,
         cond = cond & (F.lower(keys["City"]) == F.lit(city.lower()))
     if place:
         cond = cond & (F.lower(keys["Place"]) == F.lit(place.lower()))
-    r = td.reviews_text_raw(spark, sf_dir).filter(cond).select(
-        "doc_id", keys["City"].alias("City"), keys["Place"].alias("Place"),
-        F.coalesce("Raw_Review", F.lit("")).alias("Review"), "Rating")
+    r = _search_base(spark, sf_dir, cond)
     return joins.reviews_with_place_sentiment(r, place_sentiment(spark, sf_dir, cond))
 
 
@@ -86,9 +94,16 @@ def reviews_with_place_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filtered(spark: SparkSession, sf_dir: str, city=None, place=None, sentiment=None, min_rating=None,
-              keyword=None) -> DataFrame:
-    """O-20/O-21/O-22: case-insensitive equality, minimum rating, literal keyword."""
-    df = _search_frame(spark, sf_dir, city, place)
+              keyword=None, with_sentiment: bool = True) -> DataFrame:
+    """O-20/O-21/O-22: case-insensitive equality, minimum rating, literal keyword.
+
+    ``with_sentiment=False`` skips the sentiment join for consumers that read
+    neither polarity nor label (only allowed without a sentiment filter).
+    """
+    if with_sentiment or sentiment:
+        df = _search_frame(spark, sf_dir, city, place)
+    else:
+        df = _search_base(spark, sf_dir)
     if city:
         df = df.filter(ci_equals("City", city))
     if place:
@@ -104,7 +119,7 @@ def _filtered(spark: SparkSession, sf_dir: str, city=None, place=None, sentiment
 
 def review_search_aspects(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     """O-47 on the filtered reviews: mentions and mean rating per aspect."""
-    f = _filtered(spark, sf_dir, **(params or SEARCH))
+    f = _filtered(spark, sf_dir, **(params or SEARCH), with_sentiment=False)
     return text.aspect_mentions(f, dims.SEARCH_ASPECTS, "Review", "Rating")
 
 
@@ -125,7 +140,7 @@ def review_search_rows(spark: SparkSession, sf_dir: str, limit: int = 50, **para
 
 def aspect_mentions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-47 over every review (substring rule)."""
-    return text.aspect_mentions(_search_frame(spark, sf_dir), dims.SEARCH_ASPECTS, "Review", "Rating")
+    return text.aspect_mentions(_search_base(spark, sf_dir), dims.SEARCH_ASPECTS, "Review", "Rating")
 
 
 def aspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +152,7 @@ def aspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aspect_mentions_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-47 with a dictionary of frequent words of the data (substring rule)."""
-    return text.aspect_mentions(_search_frame(spark, sf_dir), dims.COMMON_WORD_ASPECTS, "Review", "Rating")
+    return text.aspect_mentions(_search_base(spark, sf_dir), dims.COMMON_WORD_ASPECTS, "Review", "Rating")
 
 
 def aspect_summary_common(spark: SparkSession, sf_dir: str) -> DataFrame:
