@@ -14,7 +14,8 @@ from revlens.functions.columns import as_col, log1p_nonneg, scaled_band, trend_b
 
 __all__ = [
     "HOTSPOT_WEIGHTS", "minmax_columns", "hotspot_score", "reweighted_score", "place_insights",
-    "hidden_gems", "risk_places", "similar_places", "trend_scores", "realtime_scores",
+    "hidden_gems", "risk_places", "similar_places", "similar_places_dashboard", "trend_scores",
+    "realtime_scores",
     "score_breakdown", "comparison_frame", "map_points",
 ]
 
@@ -153,6 +154,33 @@ def similar_places(hotspot_places: DataFrame, seed: str, top_n: int = 10, key: s
     return out.orderBy(F.desc("similarity"), order, key).limit(top_n).select(*cols)
 
 
+def similar_places_dashboard(places: DataFrame, seed: str, top_n: int = 10, key: str = "Place",
+                             decimals: int = 4) -> DataFrame:
+    """O-76 (dashboard variant): rating, log volume, shifted sentiment,
+    consistency (1 - std) and hotspot, each min-max with NULL -> 0 and zero
+    range -> 0; the seed is an exact name; every row with the seed's name is
+    excluded. No seed row -> empty result.
+    """
+    num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    df = minmax_columns(places, {
+        "_f0": num("avg_rating"),
+        "_f1": F.log1p(F.greatest(num("review_count"), F.lit(0.0))),
+        "_f2": (num("avg_polarity") + F.lit(1.0)) / F.lit(2.0),
+        "_f3": num("rating_std"),
+        "_f4": num("hotspot_score"),
+    }, zero_range=0.0, fill_null=0.0)
+    df = df.withColumn("_f3", F.lit(1.0) - F.col("_f3"))
+    feats = [f"_f{i}" for i in range(5)]
+    seed_row = df.filter(F.col(key) == F.lit(seed)).orderBy("rank", key).limit(1)
+    sv = seed_row.select(F.struct(*[F.col(f) for f in feats]).alias("s")).scalar()
+    df = df.withColumn("_seed", sv)
+    dist = F.sqrt(sum((F.col(f) - F.col(f"_seed.{f}")) * (F.col(f) - F.col(f"_seed.{f}")) for f in feats))
+    out = (df.withColumn("similarity", F.round(F.lit(1.0) / (F.lit(1.0) + dist), decimals))
+             .filter(F.col("similarity").isNotNull() & (F.col(key) != F.lit(seed))))
+    cols = [key, "similarity", "avg_rating", "review_count", "avg_polarity", "hotspot_score"]
+    return out.orderBy(F.desc("similarity"), "rank", key).limit(top_n).select(*cols)
+
+
 def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, months: int = 3,
                  decimals: int = 6) -> DataFrame:
     """O-77a: mean interest per keyword over the last ``months`` before the latest

@@ -161,3 +161,18 @@ def compare_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-63b: hotspot cities enriched with the sentiment columns they lack."""
     reviews = td.reviews_num(spark, sf_dir)
     return joins.enrich_missing_columns(hotspot_city(spark, sf_dir), agg.sentiment_by(reviews, "City"), "City")
+
+
+def similar_places_dashboard(spark: SparkSession, sf_dir: str, seed: str = "Part#1", top_n: int = 12) -> DataFrame:
+    """O-76 dashboard variant: NULL features -> 0, exact seed, seed name excluded."""
+    return scores.similar_places_dashboard(materialize(hotspot_place(spark, sf_dir)), seed, top_n)
+
+
+def place_search(spark: SparkSession, sf_dir: str, query: str = "part#1", n: int = 40) -> DataFrame:
+    """O-25 search box: place names containing the text, first 40."""
+    return agg.name_search(td.reviews_num(spark, sf_dir), "Place", query, n)
+
+
+def frequent_places(spark: SparkSession, sf_dir: str, n: int = 80) -> DataFrame:
+    """O-58: the 80 most reviewed places."""
+    return agg.frequent_values(td.reviews_num(spark, sf_dir), "Place", n)

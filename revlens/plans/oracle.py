@@ -665,3 +665,35 @@ SELECT hs.*, sc.avg_subjectivity,
        CASE WHEN sc.ap > 0.05 THEN 'Positive' WHEN sc.ap < -0.05 THEN 'Negative' ELSE 'Neutral' END
          AS dominant_sentiment
 FROM hs LEFT JOIN sc ON hs.City = sc.City""")
+
+
+# ── dashboard similarity, search box, frequent values ───────────────────────
+_reg("similar_places_dashboard", _hs("Place") + """,
+f AS (SELECT *, COALESCE(avg_rating, 0.0) AS f0,
+             ln(1 + GREATEST(COALESCE(CAST(review_count AS DOUBLE), 0.0), 0.0)) AS f1,
+             (COALESCE(avg_polarity, 0.0) + 1.0) / 2.0 AS f2, COALESCE(rating_std, 0.0) AS f3,
+             COALESCE(hotspot_score, 0.0) AS f4 FROM hs),
+b AS (SELECT MIN(f0) a0, MAX(f0) b0, MIN(f1) a1, MAX(f1) b1, MIN(f2) a2, MAX(f2) b2,
+             MIN(f3) a3, MAX(f3) b3, MIN(f4) a4, MAX(f4) b4 FROM f),
+n AS (SELECT f.*,
+        CASE WHEN b0 = a0 THEN 0.0 ELSE (f0 - a0) / (b0 - a0) END AS g0,
+        CASE WHEN b1 = a1 THEN 0.0 ELSE (f1 - a1) / (b1 - a1) END AS g1,
+        CASE WHEN b2 = a2 THEN 0.0 ELSE (f2 - a2) / (b2 - a2) END AS g2,
+        1.0 - CASE WHEN b3 = a3 THEN 0.0 ELSE (f3 - a3) / (b3 - a3) END AS g3,
+        CASE WHEN b4 = a4 THEN 0.0 ELSE (f4 - a4) / (b4 - a4) END AS g4
+      FROM f, b),
+seed AS (SELECT * FROM n WHERE Place = 'Part#1' ORDER BY rank, Place LIMIT 1),
+d AS (SELECT n.Place, n.rank, n.avg_rating, n.review_count, n.avg_polarity, n.hotspot_score,
+             ROUND(1.0 / (1.0 + SQRT((n.g0 - s.g0) * (n.g0 - s.g0) + (n.g1 - s.g1) * (n.g1 - s.g1)
+                                     + (n.g2 - s.g2) * (n.g2 - s.g2) + (n.g3 - s.g3) * (n.g3 - s.g3)
+                                     + (n.g4 - s.g4) * (n.g4 - s.g4))), 4) AS similarity
+      FROM n, seed s WHERE n.Place <> 'Part#1')
+SELECT Place, similarity, avg_rating, review_count, avg_polarity, hotspot_score
+FROM d ORDER BY similarity DESC, rank, Place LIMIT 12""")
+
+_reg("place_search", _num() + """
+SELECT Place FROM (SELECT DISTINCT Place FROM reviews) WHERE contains(lower(Place), 'part#1')
+ORDER BY Place LIMIT 40""")
+
+_reg("frequent_places", _num() + """
+SELECT Place, COUNT(*) AS count FROM reviews GROUP BY Place ORDER BY count DESC, Place LIMIT 80""")

@@ -28,6 +28,9 @@ QUERIES = {
     "map_coverage": dest.map_coverage,
     "state_coverage": dest.state_coverage,
     "compare_catalog": dest.compare_catalog,
+    "similar_places_dashboard": dest.similar_places_dashboard,
+    "place_search": dest.place_search,
+    "frequent_places": dest.frequent_places,
     # batch analysis
     "dataset_summary": an.dataset_summary,
     "dataset_profile": an.dataset_profile,
