@@ -48,3 +48,22 @@ def test_places_in_state_semi(spark):
     mapping = spark.createDataFrame([("P1", "C1"), ("P2", "C2")], "Place string, primary_city string")
     dim = spark.createDataFrame([("C1", "S1"), ("C2", "S2")], "City string, State string")
     assert [r.Place for r in joins.places_in_state(places, mapping, dim, "S1").collect()] == ["P1"]
+
+
+def test_place_insight_frame_optional_joins(spark):
+    hs = spark.createDataFrame([("P1", 0.9), ("P2", 0.1)], "Place string, hotspot_score double")
+    top = spark.createDataFrame([("P1", "C1")], "Place string, city string")
+    sent = spark.createDataFrame([("P1", 0.4, "Positive", 9.9)],
+                                 "Place string, avg_subjectivity double, dominant_sentiment string, other double")
+    pred = spark.createDataFrame([("P2", 12, 1)], "Place string, predicted_review_count long, popularity_rank int")
+    out = {r.Place: r for r in joins.place_insight_frame(hs, top, sent, pred).collect()}
+    assert out["P1"].City == "C1" and out["P2"].City == "Unknown"
+    assert out["P1"].dominant_sentiment == "Positive" and "other" not in out["P1"].asDict()
+    assert out["P2"].popularity_rank == 1 and out["P1"].predicted_review_count is None
+
+
+def test_enrich_missing_columns_only_adds_new(spark):
+    left = spark.createDataFrame([("A", 1.0)], "City string, avg_polarity double")
+    right = spark.createDataFrame([("A", 5.0, 0.3)], "City string, avg_polarity double, avg_subjectivity double")
+    out = joins.enrich_missing_columns(left, right, "City").first()
+    assert out.avg_polarity == 1.0 and out.avg_subjectivity == 0.3
