@@ -40,13 +40,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Use the cluster's ``spark.checkpoint.dir``; set one only where it is unset.
 
     The fallback (tests, laptops) is only taken when the session names no
-    shared folder.
+    shared folder and runs in local mode; on a cluster without the setting
+    this raises instead of writing to a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        # executors and driver must see the same folder; a local one would split the table
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     target = configured or fallback or os.path.join(os.environ.get("TMPDIR", "/tmp"), "revlens-checkpoints")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
