@@ -39,7 +39,7 @@ def _hotspot_table(ratings: DataFrame, sentiment: DataFrame, key: str) -> DataFr
 
 
 def output_tables(spark: SparkSession, reviews: DataFrame, city_state: DataFrame | None = None,
-                  lexicon: DataFrame | None = None) -> dict[str, DataFrame]:
+                  lexicon: DataFrame | None = None, with_model: bool = False) -> dict[str, DataFrame]:
     """All output tables as lazy frames (name -> DataFrame)."""
     lexicon = lexicon if lexicon is not None else dims.lexicon_frame(spark)
     out: dict[str, DataFrame] = {}
@@ -71,16 +71,43 @@ def output_tables(spark: SparkSession, reviews: DataFrame, city_state: DataFrame
     if city_state is not None:
         out["spark_state_metrics"] = agg.state_metrics(cm, city_state)
         out["state_metrics"] = agg.state_hotspot_metrics(out["hotspots_city"], city_state, sent_city)
+    if with_model:
+        out.update(model_tables(spark, place_r, city_r, out["place_city_mapping"], sent_place, sent_city))
     return out
 
 
+def model_tables(spark: SparkSession, place_r: DataFrame, city_r: DataFrame, mapping: DataFrame,
+                 sent_place: DataFrame, sent_city: DataFrame) -> dict[str, DataFrame]:
+    """O-62, O-79..O-86: feature frame, forest, metrics, importances, predictions."""
+    from revlens.functions.columns import five_star_proxy
+    from revlens.operators import ml
+    city = city_r.select(F.col("City").alias("primary_city"), F.col("avg_rating").alias("city_avg_rating"),
+                         five_star_proxy("avg_rating").alias("city_five_star_rate"))
+    counts = agg.places_per_city(mapping).withColumnRenamed("place_count", "city_place_count")
+    feats = joins.place_feature_frame(
+        place_r, mapping, city, counts, sent_place.select("Place", "avg_polarity", "avg_subjectivity"),
+        sent_city.select(F.col("City").alias("primary_city"), F.col("avg_polarity").alias("city_avg_polarity")))
+    feats = materialize(ml.engineer_features(feats.withColumn(
+        "primary_city", F.coalesce(F.col("primary_city"), F.lit("Unknown")))))
+    train, test = ml.hash_split(feats, "Place")
+    model = ml.train_forest(train)
+    tr = ml.regression_metrics(model.transform(train), prefix="train_")
+    te = ml.regression_metrics(model.transform(test), prefix="test_")
+    metrics = tr.withColumn("_te", te.select(F.struct("*")).scalar()).select(
+        "train_mae", F.col("_te.test_mae").alias("test_mae"), "train_rmse", F.col("_te.test_rmse").alias("test_rmse"),
+        "train_r2", F.col("_te.test_r2").alias("test_r2"))
+    return {"model_metrics": metrics, "feature_importances": ml.feature_importances(spark, model),
+            "prediction_results": ml.test_predictions(model, test, "Place"),
+            "all_place_predictions": ml.all_predictions(model, feats, "Place")}
+
+
 def build_outputs(spark: SparkSession, csv_path: str, out_dir: str, city_state_csv: str | None = None,
-                  fmt: str = "parquet") -> list[str]:
+                  fmt: str = "parquet", with_model: bool = False) -> list[str]:
     """Write every output table under ``out_dir``; returns the table names."""
     reviews = clean_input(spark, csv_path, out_dir)
     cs = (spark.read.schema(CITY_STATE_SCHEMA).option("header", True).csv(city_state_csv)
           if city_state_csv else None)
-    tables = output_tables(spark, reviews, cs)
+    tables = output_tables(spark, reviews, cs, with_model=with_model)
     for name, df in tables.items():
         files.write_table(df, f"{out_dir}/{name}", fmt=fmt)
     return list(tables)

@@ -176,3 +176,8 @@ def place_search(spark: SparkSession, sf_dir: str, query: str = "part#1", n: int
 def frequent_places(spark: SparkSession, sf_dir: str, n: int = 80) -> DataFrame:
     """O-58: the 80 most reviewed places."""
     return agg.frequent_values(td.reviews_num(spark, sf_dir), "Place", n)
+
+
+def top_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-49: state with the highest hotspot score (ties -> the later name, as a reduce keeps)."""
+    return agg.arg_max(state_hotspots(spark, sf_dir), "State", "HotspotScore", first_wins=False, out="top_state")

@@ -697,3 +697,8 @@ ORDER BY Place LIMIT 40""")
 
 _reg("frequent_places", _num() + """
 SELECT Place, COUNT(*) AS count FROM reviews GROUP BY Place ORDER BY count DESC, Place LIMIT 80""")
+
+_reg("top_state", _hs("City") + "," + _CITY_STATE + """,
+st AS (SELECT cs.State, ROUND(AVG(CAST(hs.hotspot_score AS DECIMAL(30, 6))), 4) AS HotspotScore
+       FROM hs JOIN city_state cs ON hs.City = cs.City GROUP BY cs.State)
+SELECT State AS top_state FROM st ORDER BY HotspotScore DESC, State DESC LIMIT 1""")

@@ -31,6 +31,7 @@ QUERIES = {
     "similar_places_dashboard": dest.similar_places_dashboard,
     "place_search": dest.place_search,
     "frequent_places": dest.frequent_places,
+    "top_state": dest.top_state,
     # batch analysis
     "dataset_summary": an.dataset_summary,
     "dataset_profile": an.dataset_profile,

@@ -19,8 +19,8 @@ def test_batch_outputs_from_csv(spark, tmp_dir):
     spark.createDataFrame([("en", "S1"), ("fr", "S1"), ("de", "S2")], "City string, State string") \
         .coalesce(1).write.option("header", True).csv(cs_dir)
     out = os.path.join(tmp_dir, "out")
-    names = batch.build_outputs(spark, csv_dir, out, cs_dir)
-    assert "hotspots_city" in names and "spark_state_metrics" in names
+    names = batch.build_outputs(spark, csv_dir, out, cs_dir, with_model=True)
+    assert "hotspots_city" in names and "spark_state_metrics" in names and "model_metrics" in names
     rated = src.filter(F.col("Rating").isNotNull()).count()
     assert spark.read.parquet(f"{out}/sentiment_results").count() == rated
     hs = spark.read.parquet(f"{out}/hotspots_city").collect()
