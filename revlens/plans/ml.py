@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import five_star_proxy
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, ml
+from revlens.session import materialize
 from revlens.sources import testdata as td
 
 _MODELS: dict = {}
@@ -31,12 +32,13 @@ def place_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str):
-    key = (id(spark), sf_dir)
-    if key not in _MODELS:
-        feats = ml.engineer_features(place_features(spark, sf_dir))
+    """Fit once per session and data set (the queries below share the forest)."""
+    hit = _MODELS.get(sf_dir)
+    if hit is None or hit[0] is not spark or spark.sparkContext._jsc.sc().isStopped():
+        feats = materialize(ml.engineer_features(place_features(spark, sf_dir)))
         train, test = ml.hash_split(feats, "Place")
-        _MODELS[key] = (ml.train_forest(train), train, test, feats)
-    return _MODELS[key]
+        hit = _MODELS[sf_dir] = (spark, ml.train_forest(train), train, test, feats)
+    return hit[1:]
 
 
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

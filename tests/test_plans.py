@@ -91,3 +91,13 @@ def test_query_matches_sql_oracle(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_results_independent_of_input_partitioning(spark):
+    from revlens.plans.destinations import hotspots
+    from revlens.sources import testdata as td
+    r = td.reviews_num(spark, SF_SMALL)
+    a = sorted(tuple(x) for x in hotspots(r, "City").collect())
+    b = sorted(tuple(x) for x in hotspots(r.repartition(7, "Place"), "City").collect())
+    c = sorted(tuple(x) for x in hotspots(r.coalesce(1), "City").collect())
+    assert a == b == c
