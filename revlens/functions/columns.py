@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from revlens import constants as K
+
 __all__ = [
     "as_col", "is_valid_number", "nan_to_null", "clamp", "coerce_number", "is_blank",
     "choose_review_text", "normalise_text", "polarity_label", "ci_equals", "at_least",
@@ -37,7 +39,7 @@ def nan_to_null(c) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
 
 
-def clamp(c, lo: float = 1.0, hi: float = 5.0) -> Column:
+def clamp(c, lo: float = K.RATING_MIN, hi: float = K.RATING_MAX) -> Column:
     """O-12: clip to [lo, hi]. Apply after the NULL filter: least(5, NULL) is 5."""
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), as_col(c).cast("double")))
 
@@ -82,7 +84,7 @@ def normalise_text(c) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.lower(as_col(c)), "[^a-z]+", " ")), F.lit(""))
 
 
-def polarity_label(c, pos: float = 0.05, neg: float = -0.05) -> Column:
+def polarity_label(c, pos: float = K.POLARITY_POSITIVE, neg: float = K.POLARITY_NEGATIVE) -> Column:
     """O-19: both bounds strict; NULL -> Neutral (NaN compares false in pandas)."""
     c = as_col(c)
     return (F.when(c > F.lit(pos), F.lit("Positive"))
@@ -132,21 +134,24 @@ def rating_bucket(c) -> Column:
 def scaled_band(c) -> Column:
     """O-30: scaled metric band <0.33 low, <0.66 mid, else high."""
     c = as_col(c)
-    return F.when(c < 0.33, F.lit("low")).when(c < 0.66, F.lit("mid")).otherwise(F.lit("high"))
+    lo, hi = K.SCALED_BANDS
+    return F.when(c < lo, F.lit("low")).when(c < hi, F.lit("mid")).otherwise(F.lit("high"))
 
 
 def rating_band(c) -> Column:
     """O-30: rating band >=4 high, >=3 mid, else low."""
     c = as_col(c)
-    return F.when(c >= 4, F.lit("high")).when(c >= 3, F.lit("mid")).otherwise(F.lit("low"))
+    mid, high = K.RATING_BANDS
+    return F.when(c >= high, F.lit("high")).when(c >= mid, F.lit("mid")).otherwise(F.lit("low"))
 
 
 def trend_band(c) -> Column:
     """O-30: trend band >0.66 High, >0.33 Medium, else Low."""
     c = as_col(c)
-    return F.when(c > 0.66, F.lit("High")).when(c > 0.33, F.lit("Medium")).otherwise(F.lit("Low"))
+    lo, hi = K.TREND_BANDS
+    return F.when(c > hi, F.lit("High")).when(c > lo, F.lit("Medium")).otherwise(F.lit("Low"))
 
 
-def truncate_text(c, n: int = 400) -> Column:
+def truncate_text(c, n: int = K.TEXT_PREVIEW_CHARS) -> Column:
     """O-26: first n characters."""
     return F.substring(as_col(c), 1, n)

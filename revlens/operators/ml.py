@@ -15,6 +15,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens import constants as K
 from revlens.functions.columns import expm1_long
 
 __all__ = [
@@ -22,12 +23,12 @@ __all__ = [
     "cross_validate", "feature_importances", "test_predictions", "all_predictions", "save_model",
 ]
 
-# The leakage-safe feature set and forest settings.
+# the leakage-safe feature set
 FEATURE_COLS = ["avg_rating", "rating_std", "avg_polarity", "avg_subjectivity", "city_avg_rating",
                 "city_place_count", "city_avg_polarity", "city_five_star_rate"]
 TARGET = "log_popularity"
-FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 8, "seed": 42}
-CV_TREES = 100
+FOREST = K.FOREST
+CV_TREES = K.CV_TREES
 
 
 def engineer_features(df: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def engineer_features(df: DataFrame) -> DataFrame:
         out.withColumns({c: F.col(c).cast("double") for c in FEATURE_COLS}))
 
 
-def hash_split(df: DataFrame, key: str, test_pct: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def hash_split(df: DataFrame, key: str, test_pct: int = K.TEST_PERCENT, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """O-80: deterministic split on a seeded key hash (independent of partitioning)."""
     bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
     return df.filter(bucket >= test_pct), df.filter(bucket < test_pct)
@@ -62,7 +63,7 @@ def regression_metrics(pred: DataFrame, label: str = TARGET, prediction: str = "
                     F.round(F.lit(1.0) - F.try_divide(F.col("ss_res"), F.col("ss_tot")), 4).alias(f"{prefix}r2"))
 
 
-def cross_validate(train: DataFrame, key: str, folds: int = 5, seed: int = 42,
+def cross_validate(train: DataFrame, key: str, folds: int = K.CV_FOLDS, seed: int = 42,
                    num_trees: int = CV_TREES) -> DataFrame:
     """O-83: k-fold R^2 on the training part: mean and population std (4 dp)."""
     fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(folds))

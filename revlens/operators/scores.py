@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens import constants as K
 from revlens.functions.columns import as_col, log1p_nonneg, scaled_band, trend_band
 
 __all__ = [
@@ -19,8 +20,7 @@ __all__ = [
     "score_breakdown", "comparison_frame", "map_points",
 ]
 
-# Weights of the hotspot score (rating, volume, sentiment).
-HOTSPOT_WEIGHTS = (0.5, 0.3, 0.2)
+HOTSPOT_WEIGHTS = K.HOTSPOT_WEIGHTS
 
 
 def minmax_columns(df: DataFrame, exprs: dict[str, Column], zero_range: float = 0.0,
@@ -100,10 +100,12 @@ def place_insights(df: DataFrame, decimals: int = 6) -> DataFrame:
         "_s": F.coalesce(F.col("sentiment_score"), F.lit(0.0)),
     })
     sig = minmax_columns(sig, {"_std": F.col("rating_std").cast("double")}, fill_null=0.0)
-    gem = (F.lit(0.36) * F.col("_r") + F.lit(0.28) * F.col("_s")
-           + F.lit(0.20) * (F.lit(1.0) - F.col("_std")) + F.lit(0.16) * (F.lit(1.0) - F.col("_v")))
-    risk = (F.lit(0.35) * F.col("_v") + F.lit(0.25) * (F.lit(1.0) - F.col("_r"))
-            + F.lit(0.25) * (F.lit(1.0) - F.col("_s")) + F.lit(0.15) * F.col("_std"))
+    g1, g2, g3, g4 = K.HIDDEN_GEM_WEIGHTS
+    r1, r2, r3, r4 = K.RISK_WEIGHTS
+    gem = (F.lit(g1) * F.col("_r") + F.lit(g2) * F.col("_s")
+           + F.lit(g3) * (F.lit(1.0) - F.col("_std")) + F.lit(g4) * (F.lit(1.0) - F.col("_v")))
+    risk = (F.lit(r1) * F.col("_v") + F.lit(r2) * (F.lit(1.0) - F.col("_r"))
+            + F.lit(r3) * (F.lit(1.0) - F.col("_s")) + F.lit(r4) * F.col("_std"))
     return sig.withColumns({
         "hidden_gem_score": F.round(gem, decimals),
         "risk_score": F.round(risk, decimals),
@@ -111,13 +113,15 @@ def place_insights(df: DataFrame, decimals: int = 6) -> DataFrame:
     }).drop("_r", "_v", "_s", "_std")
 
 
-def hidden_gems(insights: DataFrame, lo: int = 30, hi: int = 1200, n: int = 25, key: str = "Place") -> DataFrame:
+def hidden_gems(insights: DataFrame, lo: int = K.HIDDEN_GEM_REVIEWS[0], hi: int = K.HIDDEN_GEM_REVIEWS[1],
+                n: int = K.INSIGHT_LIST_SIZE, key: str = "Place") -> DataFrame:
     """O-74 list: review count in [lo, hi], top n by hidden-gem score."""
     return (insights.filter(F.col("review_count").between(lo, hi))
             .orderBy(F.desc("hidden_gem_score"), key).limit(n))
 
 
-def risk_places(insights: DataFrame, min_reviews: int = 800, n: int = 25, key: str = "Place") -> DataFrame:
+def risk_places(insights: DataFrame, min_reviews: int = K.RISK_MIN_REVIEWS, n: int = K.INSIGHT_LIST_SIZE,
+                key: str = "Place") -> DataFrame:
     """O-75 list: review count >= min_reviews, top n by risk score."""
     return (insights.filter(F.col("review_count") >= min_reviews)
             .orderBy(F.desc("risk_score"), key).limit(n))
@@ -126,8 +130,8 @@ def risk_places(insights: DataFrame, min_reviews: int = 800, n: int = 25, key: s
 SIMILARITY_FEATURES = ["avg_rating", "review_count", "avg_polarity", "hotspot_score", "rating_std"]
 
 
-def similar_places(hotspot_places: DataFrame, seed: str, top_n: int = 10, key: str = "Place",
-                   order: str = "rank", max_n: int = 50) -> DataFrame:
+def similar_places(hotspot_places: DataFrame, seed: str, top_n: int = K.SIMILAR_DEFAULT, key: str = "Place",
+                   order: str = "rank", max_n: int = K.SIMILAR_MAX) -> DataFrame:
     """O-76 (web variant): five min-max features, Euclidean distance to a seed.
 
     Rows with a NULL feature are dropped; the seed is an exact
@@ -181,7 +185,7 @@ def similar_places_dashboard(places: DataFrame, seed: str, top_n: int = 10, key:
     return out.orderBy(F.desc("similarity"), "rank", key).limit(top_n).select(*cols)
 
 
-def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, months: int = 3,
+def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, months: int = K.TREND_MONTHS,
                  decimals: int = 6) -> DataFrame:
     """O-77a: mean interest per keyword over the last ``months`` before the latest
     timestamp, min-max among live keywords only (zero range -> 0.5), others 0.
@@ -199,7 +203,7 @@ def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, mo
     j = j.withColumn("status", st).withColumn(
         "RawTrendScore", F.when(F.col("status") == "live", F.col("_raw")).otherwise(F.lit(0.0)))
     live = F.col("status") == "live"
-    j = minmax_columns(j, {"_ts": F.col("RawTrendScore")}, zero_range=0.5, where=live)
+    j = minmax_columns(j, {"_ts": F.col("RawTrendScore")}, zero_range=K.LIVE_ZERO_RANGE, where=live)
     return j.select(
         "Place",
         F.round("RawTrendScore", decimals).alias("RawTrendScore"),
@@ -209,7 +213,8 @@ def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, mo
         F.coalesce(F.col("notes"), F.lit("No data fetched")).alias("notes"))
 
 
-def realtime_scores(base: DataFrame, trends: DataFrame, w_existing: float = 0.0, w_trend: float = 1.0,
+def realtime_scores(base: DataFrame, trends: DataFrame, w_existing: float = K.TREND_WEIGHTS[0],
+                    w_trend: float = K.TREND_WEIGHTS[1],
                     existing: str = "BasePopularity", decimals: int = 6) -> DataFrame:
     """O-77b + O-63d: base places left-joined to trend scores with per-column defaults.
 
@@ -270,7 +275,8 @@ def map_points(cities: DataFrame, coords: DataFrame, metric: str = "hotspot_scor
         "metric_scaled": F.col(metric).cast("double")}, zero_range=0.0, fill_null=0.0)
     return geo.select(
         "City", "lat", "lon", "hotspot_score", "review_count",
-        F.round(F.greatest(F.coalesce(F.col("hotspot_score"), F.lit(0.0)), F.lit(0.05)), decimals).alias("weight"),
-        F.round(F.lit(6.0) + F.lit(22.0) * F.col("volume_scale"), decimals).alias("radius"),
+        F.round(F.greatest(F.coalesce(F.col("hotspot_score"), F.lit(0.0)), F.lit(K.MAP_MIN_WEIGHT)),
+                decimals).alias("weight"),
+        F.round(F.lit(K.MAP_RADIUS[0]) + F.lit(K.MAP_RADIUS[1]) * F.col("volume_scale"), decimals).alias("radius"),
         F.round("metric_scaled", decimals).alias("metric_scaled"),
         scaled_band("metric_scaled").alias("band"))

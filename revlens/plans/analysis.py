@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens import constants as K
 from revlens.operators import aggregates as agg
 from revlens.operators import ranking
 from revlens.session import materialize
@@ -43,12 +44,12 @@ def city_weighted_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-37."""
-    return agg.top_cities(td.reviews_num(spark, sf_dir), 20)
+    return agg.top_cities(td.reviews_num(spark, sf_dir), K.TOP_N)
 
 
 def top_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-38."""
-    return agg.top_places(td.reviews_num(spark, sf_dir), 20)
+    return agg.top_places(td.reviews_num(spark, sf_dir), K.TOP_N)
 
 
 def city_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,17 +108,17 @@ def place_ranks_in_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranks_within(pm, ["City"], [("review_count", False)], [("Place", True)], num_partitions=parts)
 
 
-def top_ranked_cities(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+def top_ranked_cities(spark: SparkSession, sf_dir: str, n: int = K.TOP_N) -> DataFrame:
     """O-64: cities with more than 100 reviews, top n by count."""
     return ranking.top_n(city_ranks(spark, sf_dir), [("review_count", False), ("City", True)], n,
-                         where=F.col("review_count") > 100)
+                         where=F.col("review_count") > K.CITY_MIN_REVIEWS)
 
 
-def top_ranked_places(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+def top_ranked_places(spark: SparkSession, sf_dir: str, n: int = K.TOP_N) -> DataFrame:
     """O-64: (place, city) rows with more than 10 reviews, top n by count."""
     return ranking.top_n(place_ranks_in_city(spark, sf_dir),
                          [("review_count", False), ("Place", True), ("City", True)], n,
-                         where=F.col("review_count") > 10)
+                         where=F.col("review_count") > K.PLACE_MIN_REVIEWS)
 
 
 def state_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +140,7 @@ def places_per_city(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_rating_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-53: 50-bin histogram of per-place mean ratings."""
     pr = agg.average_ratings(td.reviews_num(spark, sf_dir), "Place")
-    return agg.histogram(pr, "avg_rating", 50)
+    return agg.histogram(pr, "avg_rating", K.HISTOGRAM_BINS)
 
 
 def place_rating_box(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens import constants as K
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, ranking, scores
 from revlens.sources import dimensions as dims
@@ -89,18 +90,18 @@ def similar_places(spark: SparkSession, sf_dir: str, seed: str = "part#1", top_n
     return scores.similar_places(materialize(hotspot_place(spark, sf_dir)), seed, top_n)
 
 
-def state_top_cities(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
+def state_top_cities(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFAULT) -> DataFrame:
     """O-66: top-n cities by hotspot score inside every state (n capped at 30)."""
-    n = min(n, 30)
+    n = min(n, K.STATE_TOP_MAX)
     hs = joins.map_city_state(hotspot_city(spark, sf_dir), dims.city_state_from_regions(spark, sf_dir))
     top = ranking.top_n_per_group(hs, ["State"], [("hotspot_score", False), ("City", True)], n, "state_rank")
     return top.select("State", "City", "avg_rating", "review_count", "avg_polarity", "hotspot_score",
                       "state_rank")
 
 
-def state_top_places(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
+def state_top_places(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFAULT) -> DataFrame:
     """O-63e + O-66: top-n places per state via place -> primary city -> state."""
-    n = min(n, 30)
+    n = min(n, K.STATE_TOP_MAX)
     reviews = td.reviews_num(spark, sf_dir)
     hs = hotspots(reviews, "Place")
     mapping = agg.place_primary_city(reviews)
@@ -109,7 +110,7 @@ def state_top_places(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame
     return top.select("State", "Place", "avg_rating", "review_count", "avg_polarity", "hotspot_score", "state_rank")
 
 
-def state_detail_summary(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
+def state_detail_summary(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFAULT) -> DataFrame:
     """O-57: per state, totals over only its top-n cities; 0/NULL values skipped."""
     top = state_top_cities(spark, sf_dir, n)
     nz = lambda c: F.when(F.col(c) != 0, F.col(c))
@@ -122,7 +123,7 @@ def state_detail_summary(spark: SparkSession, sf_dir: str, n: int = 10) -> DataF
 
 def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-77c: weighted components of the 20 leading cities, long form."""
-    return scores.score_breakdown(hotspot_city(spark, sf_dir), "City", 20)
+    return scores.score_breakdown(hotspot_city(spark, sf_dir), "City", K.TOP_N)
 
 
 def comparison(spark: SparkSession, sf_dir: str, state: str = "EUROPE") -> DataFrame:
@@ -137,12 +138,12 @@ def city_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.fuzzy_city_coords(cities, dims.coords_from_nations(spark, sf_dir))
 
 
-def map_points(spark: SparkSession, sf_dir: str, top_n: int = 60) -> DataFrame:
+def map_points(spark: SparkSession, sf_dir: str, top_n: int = K.MAP_TOP_CITIES) -> DataFrame:
     """O-77e: map markers for the top cities that have coordinates."""
     return scores.map_points(hotspot_city(spark, sf_dir), city_coords(spark, sf_dir), top_n=top_n)
 
 
-def map_coverage(spark: SparkSession, sf_dir: str, top_n: int = 60) -> DataFrame:
+def map_coverage(spark: SparkSession, sf_dir: str, top_n: int = K.MAP_TOP_CITIES) -> DataFrame:
     """O-58: mapped / unmapped cities of the selection and the score range."""
     sel = hotspot_city(spark, sf_dir).orderBy(F.desc("hotspot_score"), "City").limit(top_n)
     coords = city_coords(spark, sf_dir).select("City", F.lit(True).alias("_m"))
@@ -168,12 +169,12 @@ def similar_places_dashboard(spark: SparkSession, sf_dir: str, seed: str = "Part
     return scores.similar_places_dashboard(materialize(hotspot_place(spark, sf_dir)), seed, top_n)
 
 
-def place_search(spark: SparkSession, sf_dir: str, query: str = "part#1", n: int = 40) -> DataFrame:
+def place_search(spark: SparkSession, sf_dir: str, query: str = "part#1", n: int = K.NAME_SEARCH_LIMIT) -> DataFrame:
     """O-25 search box: place names containing the text, first 40."""
     return agg.name_search(td.reviews_num(spark, sf_dir), "Place", query, n)
 
 
-def frequent_places(spark: SparkSession, sf_dir: str, n: int = 80) -> DataFrame:
+def frequent_places(spark: SparkSession, sf_dir: str, n: int = K.FREQUENT_VALUES) -> DataFrame:
     """O-58: the 80 most reviewed places."""
     return agg.frequent_values(td.reviews_num(spark, sf_dir), "Place", n)
 

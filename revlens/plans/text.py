@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens import constants as K
 from revlens.functions.columns import at_least, ci_equals, contains_literal, normalise_text, truncate_text
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, text
@@ -129,12 +130,12 @@ def review_search_summary(spark: SparkSession, sf_dir: str, **params) -> DataFra
     return text.search_summary(f, dims.SEARCH_ASPECTS, "Review", "Rating")
 
 
-def review_search_rows(spark: SparkSession, sf_dir: str, limit: int = 50, **params) -> DataFrame:
+def review_search_rows(spark: SparkSession, sf_dir: str, limit: int = K.SEARCH_LIMIT, **params) -> DataFrame:
     """O-26 + O-69e: first matches (n capped at 200), text cut to 400 characters."""
-    limit = min(int(limit), 200)
+    limit = min(int(limit), K.SEARCH_LIMIT_MAX)
     f = _filtered(spark, sf_dir, **(params or SEARCH))
     return (f.orderBy("doc_id").limit(limit)
-            .select("doc_id", "City", "Place", truncate_text("Review", 400).alias("Review"), "Rating",
+            .select("doc_id", "City", "Place", truncate_text("Review", K.TEXT_PREVIEW_CHARS).alias("Review"), "Rating",
                     "polarity", "sentiment"))
 
 
