@@ -8,6 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens import constants as K
 from revlens import schemas
 from revlens.sources import files
 from revlens.sources import testdata as td
@@ -33,17 +34,19 @@ def run_timed(df: DataFrame) -> float:
     return time.perf_counter() - t0
 
 
-def load_curve(spark: SparkSession, sf_dir: str, fractions=(0.1, 0.5, 1.0), repeats: int = 2) -> DataFrame:
-    """Median elapsed time and rows/s per sample size; failures recorded as NULL.
+def load_curve(spark: SparkSession, sf_dir: str, sizes=K.LOAD_SAMPLE_SIZES, repeats: int = 2) -> DataFrame:
+    """Median elapsed time and rows/s per sample size, then the full table;
+    each size is capped at the table size (repeats dropped); failures are
+    recorded with NULL timings.
 
     Samples are exact-n seeded hash samples (O-04), so every size is a
     subset of the next and the curve is reproducible.
     """
     reviews = td.reviews_num(spark, sf_dir, with_key=True)
     total = reviews.count()
+    wanted = sorted({min(int(n), total) for n in sizes} | {total})
     rows = []
-    for frac in fractions:
-        n = total if frac >= 1.0 else max(1, int(total * frac))
+    for n in wanted:
         sample = reviews if n == total else files.exact_sample(reviews, n, ["l_orderkey", "l_linenumber"])
         try:
             times = [run_timed(city_load_query(sample)) for _ in range(repeats)]
