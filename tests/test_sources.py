@@ -60,3 +60,26 @@ def test_exact_sample_large_path_matches_topk(spark, monkeypatch):
     monkeypatch.setattr(files, "TOPK_MAX", 10)
     large = sorted(r.id for r in files.exact_sample(df, 700, ["id"]).collect())
     assert small == large and len(large) == 700
+
+
+def test_spread_only_when_too_few_splits(spark):
+    from revlens.sources.testdata import spread
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 3)
+    assert spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 3
+
+
+def test_read_optional_present(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "present")
+    spark.createDataFrame([("A", "P", 4.0, 0.1, 0.2, "Positive")], schemas.SENTIMENT_SCORES).write.parquet(path)
+    df = files.read_optional(spark, path, schemas.SENTIMENT_SCORES, defaults={"extra": 1.0})
+    assert df.count() == 1 and df.first().extra == 1.0
+
+
+def test_materialize_goes_to_checkpoint_dir(spark):
+    from revlens.session import ensure_checkpoint_dir, materialize_sized
+    df, size = materialize_sized(spark.range(10))
+    assert size > 0 and df.count() == 10
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    assert any(base.rstrip("/") in f.replace("file:", "") for f in df.inputFiles())
