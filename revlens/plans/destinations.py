@@ -16,27 +16,33 @@ HOTSPOT_COLS = ["rank", "avg_rating", "review_count", "rating_std", "avg_polarit
                 "rating_score", "volume_score", "sentiment_score", "hotspot_score"]
 
 
-def rating_sentiment_inputs(reviews: DataFrame, key: str) -> DataFrame:
+def rating_sentiment_inputs(reviews: DataFrame, key: str, mode_of: str | None = None) -> DataFrame:
     """O-39 + O-44 in one pass when ratings and sentiment share the review frame.
 
     Two separate group-bys would scan the reviews twice; one aggregate gives
     the same columns (the O-61 join is used when sentiment is its own table).
+    ``mode_of`` adds the most frequent value of that column (O-51, ties ->
+    smallest) as ``primary_city``: for a column with few distinct values
+    per key (the cities of a place) the mode buffer stays small, and the
+    second scan a separate mapping would need is saved.
     """
-    return reviews.groupBy(key).agg(
-        F.round(F.avg("Rating"), 4).alias("avg_rating"),
-        F.count("Rating").alias("review_count"),
-        F.round(F.stddev_samp("Rating"), 4).alias("rating_std"),
-        F.round(F.avg("polarity"), 4).alias("avg_polarity"))
+    aggs = [F.round(F.avg("Rating"), 4).alias("avg_rating"),
+            F.count("Rating").alias("review_count"),
+            F.round(F.stddev_samp("Rating"), 4).alias("rating_std"),
+            F.round(F.avg("polarity"), 4).alias("avg_polarity")]
+    if mode_of:
+        aggs.append(F.mode(mode_of, True).alias("primary_city"))
+    return reviews.groupBy(key).agg(*aggs)
 
 
-def hotspots(reviews: DataFrame, key: str, distributed_rank: bool = True) -> DataFrame:
+def hotspots(reviews: DataFrame, key: str, distributed_rank: bool = True, mode_of: str | None = None) -> DataFrame:
     """O-39/O-44 -> O-61 -> O-70/71/72 -> O-69a for one key (City or Place)."""
     # one aggregate feeds the bounds subquery and the scores: store it once
-    base = materialize(rating_sentiment_inputs(reviews, key))
+    base = materialize(rating_sentiment_inputs(reviews, key, mode_of))
     base = base.withColumn("avg_polarity", F.coalesce(F.col("avg_polarity"), F.lit(0.0)))
     scored = scores.hotspot_score(base)
     ranked = ranking.sequential_rank(scored, "hotspot_score", key, "rank", distributed=distributed_rank)
-    return ranked.select(key, *HOTSPOT_COLS)
+    return ranked.select(key, *HOTSPOT_COLS, *(["primary_city"] if mode_of else []))
 
 
 def hotspot_city(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +72,8 @@ def reweighted_city_ranks(spark: SparkSession, sf_dir: str, weights=(0.2, 0.5, 0
 
 def place_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-63a + O-74/O-75: hotspot places with city, hidden-gem, risk, confidence."""
-    reviews = td.reviews_num(spark, sf_dir)
-    hs = hotspots(reviews, "Place")
-    city = agg.place_primary_city(reviews).select("Place", F.col("primary_city").alias("city"))
-    frame = materialize(joins.place_insight_frame(hs, top_places=city))
+    hs = hotspots(td.reviews_num(spark, sf_dir), "Place", mode_of="City")
+    frame = materialize(hs.withColumn("City", F.coalesce(F.col("primary_city"), F.lit("Unknown"))))
     return scores.place_insights(frame).select(
         "Place", "City", "review_count", "avg_rating", "rating_std", "hotspot_score",
         "hidden_gem_score", "risk_score", "confidence_score")
@@ -102,10 +106,9 @@ def state_top_cities(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFA
 def state_top_places(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFAULT) -> DataFrame:
     """O-63e + O-66: top-n places per state via place -> primary city -> state."""
     n = min(n, K.STATE_TOP_MAX)
-    reviews = td.reviews_num(spark, sf_dir)
-    hs = hotspots(reviews, "Place")
-    mapping = agg.place_primary_city(reviews)
-    inside = joins.places_in_state(hs, mapping, dims.city_state_from_regions(spark, sf_dir))
+    hs = hotspots(td.reviews_num(spark, sf_dir), "Place", mode_of="City")
+    mapping = hs.select("Place", "primary_city")
+    inside = joins.places_in_state(hs.drop("primary_city"), mapping, dims.city_state_from_regions(spark, sf_dir))
     top = ranking.top_n_per_group(inside, ["State"], [("hotspot_score", False), ("Place", True)], n, "state_rank")
     return top.select("State", "Place", "avg_rating", "review_count", "avg_polarity", "hotspot_score", "state_rank")
 
