@@ -52,11 +52,12 @@ def global_row_number(df: DataFrame, order: list[tuple[str, bool]], name: str =
     broadcast; with ``group`` it has about one row per (partition, group) and
     AQE chooses the join.
     """
-    spark = df.sparkSession
     group = list(group or [])
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     exprs = _order_exprs([(g, True) for g in group] + order)
-    r = df.repartitionByRange(n, *exprs).sortWithinPartitions(*exprs)
+    # without a count the session default is used and AQE may merge adjacent
+    # ranges; merged partitions are still contiguous and in order
+    r = (df.repartitionByRange(num_partitions, *exprs) if num_partitions
+         else df.repartitionByRange(*exprs)).sortWithinPartitions(*exprs)
     r = r.withColumn("_mid", F.monotonically_increasing_id()).withColumn(
         "_pid", F.shiftright(F.col("_mid"), _SHIFT))
     r = r.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _SHIFT))
@@ -85,7 +86,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataF
 
 def global_ranks(df: DataFrame, value: list[tuple[str, bool]], tie: list[tuple[str, bool]],
                  names: dict | None = None, num_partitions: int | None = None,
-                 group: list[str] | None = None) -> DataFrame:
+                 group: list[str] | None = None, force: bool = False) -> DataFrame:
     """rank, dense_rank, row_number and percent_rank over ``value`` (ties by
     ``tie``), optionally within ``group``.
 
@@ -98,7 +99,7 @@ def global_ranks(df: DataFrame, value: list[tuple[str, bool]], tie: list[tuple[s
     group = list(group or [])
     vcols = [c for c, _ in value]
     df, size = materialize_sized(df)  # read by the row numbering and by the totals below
-    if num_partitions is None and size <= single_task_max_bytes(df.sparkSession):
+    if not force and num_partitions is None and size <= single_task_max_bytes(df.sparkSession):
         # measured small: one sort in one task is cheaper than the distributed steps
         return window_ranks(df, value, tie, partition=group or None, names=names)
     rn = global_row_number(df, value + tie, "_rn", num_partitions, group)
@@ -164,7 +165,7 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[tuple[str, bool
 
 
 def ranks_within(df: DataFrame, group: list[str], value: list[tuple[str, bool]], tie: list[tuple[str, bool]],
-                 prefix: str = "city_", distributed: bool = True, num_partitions: int | None = None) -> DataFrame:
+                 prefix: str = "city_", distributed: bool = True, force: bool = False) -> DataFrame:
     """O-68: rank, dense_rank, row_number inside each group.
 
     ``distributed`` (default) spreads a group that holds a large share of the
@@ -173,7 +174,7 @@ def ranks_within(df: DataFrame, group: list[str], value: list[tuple[str, bool]],
     names = {"rank": f"{prefix}rank", "dense_rank": f"{prefix}dense_rank",
              "row_number": f"{prefix}row_number", "percent_rank": None}
     if distributed:
-        return global_ranks(df, value, tie, names=names, group=group, num_partitions=num_partitions)
+        return global_ranks(df, value, tie, names=names, group=group, force=force)
     return window_ranks(df, value, tie, partition=group, names=names)
 
 

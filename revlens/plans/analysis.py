@@ -104,8 +104,7 @@ def place_ranks_in_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     the places is spread over several tasks), whatever the table size.
     """
     pm = agg.place_metrics_enriched(td.reviews_num(spark, sf_dir), exact=True)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return ranking.ranks_within(pm, ["City"], [("review_count", False)], [("Place", True)], num_partitions=parts)
+    return ranking.ranks_within(pm, ["City"], [("review_count", False)], [("Place", True)], force=True)
 
 
 def top_ranked_cities(spark: SparkSession, sf_dir: str, n: int = K.TOP_N) -> DataFrame:
