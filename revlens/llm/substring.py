@@ -8,8 +8,9 @@ unique dies there. With the target fixed, the second level is the last.
 Of the half windows only *seeds* travel: each target window names the smallest
 hash among the half windows inside it. Equal target windows name equal seeds,
 so no repeat is lost, and about a quarter of the positions are sent. A seed
-row carries 48 bits of hash for each target window that named it, so both
-levels are decided in one shuffle by seed.
+row carries 40 more bits of hash for each target window that named it, so both
+levels are decided in one shuffle by seed. Texts travel compressed to the
+spans that were found in them.
 
 Repeats inside one block of a task are decided there and not sent, so a
 passage held by a third of all documents meets at its seed once per block,
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +77,8 @@ def _seed_rows(ids: list[int], block: list[bytes], target: int) -> pa.RecordBatc
     cut = np.ones(len(rest), bool)
     cut[1:] = (rest[1:] != rest[:-1] + 1) | (at[rest[1:]] != at[rest[:-1]])
     lead = rest[cut]
-    tail = np.ascontiguousarray(full[rest].view(np.uint8).reshape(-1, 8)[:, :6])
-    offsets = np.append(np.flatnonzero(cut) * 6, len(rest) * 6).astype(np.int32)
+    tail = np.ascontiguousarray(full[rest].view(np.uint8).reshape(-1, 8)[:, 3:])
+    offsets = np.append(np.flatnonzero(cut) * 5, len(rest) * 5).astype(np.int32)
     seed = W.signed(low[lead])
     d = doc[lead]
     pos = (keys[d] << 32) | (lead - first[d])
@@ -144,9 +146,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s != last:
                 last, seen = s, {}
             hit = []
-            for j in range(0, len(tail), 6):
-                if seen.setdefault(tail[j:j + 6], doc) < doc:
-                    hit.append(at + j // 6)
+            for j in range(0, len(tail), 5):
+                if seen.setdefault(tail[j:j + 5], doc) < doc:
+                    hit.append(at + j // 5)
             if hit:
                 out.append((doc, pos >> 32, _spans_of(hit)))
         if out:
@@ -165,13 +167,23 @@ def repeated_windows(docs: DataFrame, target: int = 13, id_col: str = "doc_id",
     return seeds.repartition("seed").sortWithinPartitions("seed", "doc_id").mapInArrow(_resolve, SPAN_SCHEMA)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for ids, texts in W.blocks(batch, need_id=False):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_text_key(t) for t in texts], pa.int32()),
+                                              pa.array([packer.compress(t) for t in texts], pa.binary())], names=["doc_id", "text_key", "text"])
+
+
 def _apply(target: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()),
                             ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows, size = [], 0
-            for doc, text, packed in zip(batch.column("doc_id").to_pylist(), W.texts(batch), batch.column("packed").to_pylist(), strict=True):
+            for doc, text, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "packed")), strict=True):
+                text = unpack(text)
                 words = text.split()
                 gone: list[tuple[int, int]] = []
                 if packed:
@@ -216,7 +228,6 @@ def drop_repeats(docs: DataFrame, target: int = 13, id_col: str = "doc_id", text
     other than the two named are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    src = src.withColumn("text_key", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).bitwiseAND(0xFFFFFF).cast("int"))
-    found = (repeated_windows(src, target).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("packed")))
-    both = src.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "packed")
+    found = repeated_windows(src, target).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("packed"))
+    both = src.mapInArrow(_pack, "doc_id long, text_key int, text binary").join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "packed")
     return both.mapInArrow(_apply(target), OUT_SCHEMA)
