@@ -101,9 +101,9 @@ def all_predictions(model: RandomForestRegressionModel, features: DataFrame, key
 
     The rank is computed distributed (range partition + offsets)."""
     from revlens.operators.ranking import global_ranks
-    p = model.transform(features).select(key, "review_count", F.round("prediction", 4).alias("predicted_log"),
-                                         expm1_long("prediction").alias("predicted_review_count"))
-    r = global_ranks(p, [("predicted_log", False)], [(key, True)],
+    p = model.transform(features).select(key, "review_count", "avg_rating", F.round("prediction", 4).alias("predicted_log_popularity"))
+    p = p.withColumn("predicted_review_count", expm1_long("predicted_log_popularity"))
+    r = global_ranks(p, [("predicted_log_popularity", False)], [(key, True)],
                      names={"rank": "popularity_rank", "dense_rank": "_d", "row_number": "_r", "percent_rank": None})
     return r.drop("_d", "_r")
 

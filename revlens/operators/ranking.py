@@ -16,9 +16,8 @@ Ties: rank = first row number of the value group, dense_rank = row number
 of the value among distinct values; both come from one aggregate per value
 joined back (AQE splits a hot value on the join).
 
-The input is stored once and its size read from the file system; at or
-below ``revlens.singleTaskMaxBytes`` (default 32 MB) a plain window is
-used — a size-checked single task, like a size-checked broadcast.
+The input is stored once. There is one path for every size, and all
+numbers are bigint.
 """
 
 from __future__ import annotations
@@ -73,7 +72,7 @@ def global_row_number(df: DataFrame, order: list[tuple[str, bool]], name: str =
         out = _null_safe_join(r, offs, ["_pid", *group])
     else:
         out = r.join(F.broadcast(offs), "_pid")
-    out = out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_start") + 1).cast("int"))
+    out = out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_start") + 1).cast("long"))
     return out.drop("_mid", "_pid", "_pos", "_off", "_start")
 
 
@@ -86,30 +85,27 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataF
 
 def global_ranks(df: DataFrame, value: list[tuple[str, bool]], tie: list[tuple[str, bool]],
                  names: dict | None = None, num_partitions: int | None = None,
-                 group: list[str] | None = None, force: bool = False) -> DataFrame:
+                 group: list[str] | None = None) -> DataFrame:
     """rank, dense_rank, row_number and percent_rank over ``value`` (ties by
     ``tie``), optionally within ``group``.
 
     Distributed equivalent of a window (see module notes); a hot group is
     spread over several tasks.
     """
-    from revlens.session import materialize_sized, single_task_max_bytes
+    from revlens.session import materialize
     names = {"rank": "rank", "dense_rank": "dense_rank", "row_number": "row_number",
              "percent_rank": "percent_rank", **(names or {})}
     group = list(group or [])
     vcols = [c for c, _ in value]
-    df, size = materialize_sized(df)  # read by the row numbering and by the totals below
-    if not force and num_partitions is None and size <= single_task_max_bytes(df.sparkSession):
-        # measured small: one sort in one task is cheaper than the distributed steps
-        return window_ranks(df, value, tie, partition=group or None, names=names)
+    df = materialize(df)  # read by the row numbering and by the totals below
     rn = global_row_number(df, value + tie, "_rn", num_partitions, group)
     groups = rn.groupBy(*group, *vcols).agg(F.min("_rn").alias("_rank"))
     groups = global_row_number(groups, value, "_dense", num_partitions, group)
     out = _null_safe_join(rn, groups, group + vcols)
     out = out.withColumns({
-        names["rank"]: F.col("_rank").cast("int"),
-        names["dense_rank"]: F.col("_dense").cast("int"),
-        names["row_number"]: F.col("_rn").cast("int"),
+        names["rank"]: F.col("_rank"),
+        names["dense_rank"]: F.col("_dense"),
+        names["row_number"]: F.col("_rn"),
     })
     if names["percent_rank"]:
         if group:
@@ -135,8 +131,8 @@ def window_ranks(df: DataFrame, value: list[tuple[str, bool]], tie: list[tuple[s
              "percent_rank": "percent_rank", **(names or {})}
     w = Window.partitionBy(*(partition or [])).orderBy(*_order_exprs(value))
     wt = Window.partitionBy(*(partition or [])).orderBy(*_order_exprs(value + tie))
-    cols = {names["rank"]: F.rank().over(w), names["dense_rank"]: F.dense_rank().over(w),
-            names["row_number"]: F.row_number().over(wt)}
+    cols = {names["rank"]: F.rank().over(w).cast("long"), names["dense_rank"]: F.dense_rank().over(w).cast("long"),
+            names["row_number"]: F.row_number().over(wt).cast("long")}
     if names["percent_rank"]:
         cols[names["percent_rank"]] = F.percent_rank().over(w)
     return df.withColumns(cols)
@@ -165,7 +161,7 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[tuple[str, bool
 
 
 def ranks_within(df: DataFrame, group: list[str], value: list[tuple[str, bool]], tie: list[tuple[str, bool]],
-                 prefix: str = "city_", distributed: bool = True, force: bool = False) -> DataFrame:
+                 prefix: str = "city_", distributed: bool = True) -> DataFrame:
     """O-68: rank, dense_rank, row_number inside each group.
 
     ``distributed`` (default) spreads a group that holds a large share of the
@@ -174,7 +170,7 @@ def ranks_within(df: DataFrame, group: list[str], value: list[tuple[str, bool]],
     names = {"rank": f"{prefix}rank", "dense_rank": f"{prefix}dense_rank",
              "row_number": f"{prefix}row_number", "percent_rank": None}
     if distributed:
-        return global_ranks(df, value, tie, names=names, group=group, force=force)
+        return global_ranks(df, value, tie, names=names, group=group)
     return window_ranks(df, value, tie, partition=group, names=names)
 
 
@@ -183,13 +179,10 @@ def sequential_rank(df: DataFrame, score: str, key: str, name: str = "rank",
     """O-69a: 1..n after sorting by score desc (ties by key)."""
     order = [(score, False), (key, True)]
     if distributed:
-        from revlens.session import materialize_sized, single_task_max_bytes
-        df, size = materialize_sized(df)
-        if size > single_task_max_bytes(df.sparkSession):
-            return global_row_number(df, order, name)
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*_order_exprs(order))))
+        return global_row_number(df, order, name)
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*_order_exprs(order))).cast("long"))
 
 
 def rank_change(df: DataFrame, old: str, new: str, name: str = "rank_change") -> DataFrame:
     """O-69c: old rank - new rank (positive = moved up)."""
-    return df.withColumn(name, (F.col(old) - F.col(new)).cast("int"))
+    return df.withColumn(name, (F.col(old) - F.col(new)))

@@ -131,15 +131,15 @@ SIMILARITY_FEATURES = ["avg_rating", "review_count", "avg_polarity", "hotspot_sc
 
 
 def similar_places(hotspot_places: DataFrame, seed: str, top_n: int = K.SIMILAR_DEFAULT, key: str = "Place",
-                   order: str = "rank", max_n: int = K.SIMILAR_MAX) -> DataFrame:
+                   order: str = "rank") -> DataFrame:
     """O-76 (web variant): five min-max features, Euclidean distance to a seed.
 
     Rows with a NULL feature are dropped; the seed is an exact
     case-insensitive name match, else the first containing match (first in
     ``order``). The seed vector is a one-row scalar subquery, so the scan
     over all places is a plain projection followed by a distributed top-k.
+    The order is that of the exact similarity; it is rounded at the end.
     """
-    top_n = min(int(top_n), max_n)
     df = hotspot_places.dropna(subset=SIMILARITY_FEATURES)
     feats = {f"_f{i}": (log1p_nonneg(c) if c == "review_count" else F.col(c).cast("double"))
              for i, c in enumerate(SIMILARITY_FEATURES)}
@@ -152,10 +152,10 @@ def similar_places(hotspot_places: DataFrame, seed: str, top_n: int = K.SIMILAR_
     sv = seed_row.select(F.struct(F.col(key).alias("k"), *[F.col(f) for f in feats]).alias("s")).scalar()
     df = df.withColumn("_seed", sv)
     dist = F.sqrt(sum((F.col(f) - F.col(f"_seed.{f}")) * (F.col(f) - F.col(f"_seed.{f}")) for f in feats))
-    out = (df.withColumn("similarity", F.round(F.lit(1.0) / (F.lit(1.0) + dist), 4))
+    out = (df.withColumn("similarity", F.lit(1.0) / (F.lit(1.0) + dist))
              .filter(F.col("similarity").isNotNull() & (F.col(key) != F.col("_seed.k"))))
-    cols = [key, "similarity", "avg_rating", "review_count", "avg_polarity", "hotspot_score"]
-    return out.orderBy(F.desc("similarity"), order, key).limit(top_n).select(*cols)
+    cols = [key, F.round("similarity", 4).alias("similarity"), "avg_rating", "review_count", "avg_polarity", "hotspot_score"]
+    return out.orderBy(F.desc("similarity"), order, key).limit(int(top_n)).select(*cols)
 
 
 def similar_places_dashboard(places: DataFrame, seed: str, top_n: int = 10, key: str = "Place",
@@ -186,20 +186,20 @@ def similar_places_dashboard(places: DataFrame, seed: str, top_n: int = 10, key:
 
 
 def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, months: int = K.TREND_MONTHS,
-                 decimals: int = 6) -> DataFrame:
+                 decimals: int = 6, live_source: str = "Google Trends") -> DataFrame:
     """O-77a: mean interest per keyword over the last ``months`` before the latest
     timestamp, min-max among live keywords only (zero range -> 0.5), others 0.
 
-    ``keywords`` (column Place) is the requested list; keywords without a
-    status or without data are 'unavailable'.
+    ``keywords`` (column Place) is the requested list; a keyword without a
+    status is 'fallback', a live one without data 'unavailable'.
     """
     latest = interest.select(F.max("ts")).scalar()
     window = interest.filter(F.col("ts") >= F.add_months(latest, -months).cast("timestamp"))
     mean = window.groupBy("keyword").agg(F.avg("interest").alias("_raw"))
     j = (keywords.join(status, keywords.Place == status.keyword, "left").drop("keyword")
          .join(mean, keywords.Place == mean.keyword, "left").drop("keyword"))
-    st = (F.when(F.col("status").isNull() | ((F.col("status") == "live") & F.col("_raw").isNull()),
-                 F.lit("unavailable")).otherwise(F.col("status")))
+    st = (F.when(F.col("status").isNull(), F.lit("fallback"))
+          .when((F.col("status") == "live") & F.col("_raw").isNull(), F.lit("unavailable")).otherwise(F.col("status")))
     j = j.withColumn("status", st).withColumn(
         "RawTrendScore", F.when(F.col("status") == "live", F.col("_raw")).otherwise(F.lit(0.0)))
     live = F.col("status") == "live"
@@ -209,7 +209,7 @@ def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, mo
         F.round("RawTrendScore", decimals).alias("RawTrendScore"),
         F.when(live, F.round("_ts", decimals)).otherwise(F.lit(0.0)).alias("TrendScore"),
         "status",
-        F.when(live, F.lit("Google Trends")).otherwise(F.lit("fallback")).alias("source"),
+        F.when(live, F.lit(live_source)).otherwise(F.lit("fallback")).alias("source"),
         F.coalesce(F.col("notes"), F.lit("No data fetched")).alias("notes"))
 
 

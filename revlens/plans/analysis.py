@@ -104,7 +104,7 @@ def place_ranks_in_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     the places is spread over several tasks), whatever the table size.
     """
     pm = agg.place_metrics_enriched(td.reviews_num(spark, sf_dir), exact=True)
-    return ranking.ranks_within(pm, ["City"], [("review_count", False)], [("Place", True)], force=True)
+    return ranking.ranks_within(pm, ["City"], [("review_count", False)], [("Place", True)])
 
 
 def top_ranked_cities(spark: SparkSession, sf_dir: str, n: int = K.TOP_N) -> DataFrame:
@@ -165,8 +165,8 @@ def review_sample(spark: SparkSession, sf_dir: str, n: int = 5000) -> DataFrame:
                               ["l_orderkey", "l_linenumber"], seed=42)
 
 
-def record_export(spark: SparkSession, sf_dir: str, n: int = 15) -> DataFrame:
-    """O-10: JSON records of the leading hotspot cities (non-finite -> null)."""
+def record_export(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """O-10: JSON records of all hotspot cities (or the leading n) (non-finite -> null)."""
     from revlens.plans.destinations import hotspot_city
     hs = hotspot_city(spark, sf_dir).select("rank", "City", "hotspot_score")
     return files.export_records(hs, n, ["rank"])

@@ -95,8 +95,7 @@ def similar_places(spark: SparkSession, sf_dir: str, seed: str = "part#1", top_n
 
 
 def state_top_cities(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFAULT) -> DataFrame:
-    """O-66: top-n cities by hotspot score inside every state (n capped at 30)."""
-    n = min(n, K.STATE_TOP_MAX)
+    """O-66: top-n cities by hotspot score inside every state (n is the caller's)."""
     hs = joins.map_city_state(hotspot_city(spark, sf_dir), dims.city_state_from_regions(spark, sf_dir))
     top = ranking.top_n_per_group(hs, ["State"], [("hotspot_score", False), ("City", True)], n, "state_rank")
     return top.select("State", "City", "avg_rating", "review_count", "avg_polarity", "hotspot_score",
@@ -105,7 +104,6 @@ def state_top_cities(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFA
 
 def state_top_places(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFAULT) -> DataFrame:
     """O-63e + O-66: top-n places per state via place -> primary city -> state."""
-    n = min(n, K.STATE_TOP_MAX)
     hs = hotspots(td.reviews_num(spark, sf_dir), "Place", mode_of="City")
     mapping = hs.select("Place", "primary_city")
     inside = joins.places_in_state(hs.drop("primary_city"), mapping, dims.city_state_from_regions(spark, sf_dir))
@@ -141,14 +139,16 @@ def city_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.fuzzy_city_coords(cities, dims.coords_from_nations(spark, sf_dir))
 
 
-def map_points(spark: SparkSession, sf_dir: str, top_n: int = K.MAP_TOP_CITIES) -> DataFrame:
-    """O-77e: map markers for the top cities that have coordinates."""
+def map_points(spark: SparkSession, sf_dir: str, top_n: int | None = None) -> DataFrame:
+    """O-77e: map markers for all cities (or the top n) that have coordinates."""
     return scores.map_points(hotspot_city(spark, sf_dir), city_coords(spark, sf_dir), top_n=top_n)
 
 
-def map_coverage(spark: SparkSession, sf_dir: str, top_n: int = K.MAP_TOP_CITIES) -> DataFrame:
+def map_coverage(spark: SparkSession, sf_dir: str, top_n: int | None = None) -> DataFrame:
     """O-58: mapped / unmapped cities of the selection and the score range."""
-    sel = hotspot_city(spark, sf_dir).orderBy(F.desc("hotspot_score"), "City").limit(top_n)
+    sel = hotspot_city(spark, sf_dir)
+    if top_n is not None:
+        sel = sel.orderBy(F.desc("hotspot_score"), "City").limit(top_n)
     coords = city_coords(spark, sf_dir).select("City", F.lit(True).alias("_m"))
     j = sel.join(coords, "City", "left").withColumn("mapped", F.coalesce(F.col("_m"), F.lit(False)))
     return agg.coverage_kpis(j, "mapped", "hotspot_score")

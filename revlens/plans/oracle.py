@@ -88,7 +88,7 @@ h AS (
 
 
 HOTSPOT_SELECT = """
-SELECT {key}, CAST(row_number() OVER (ORDER BY hotspot_score DESC, {key}) AS INTEGER) AS rank,
+SELECT {key}, CAST(row_number() OVER (ORDER BY hotspot_score DESC, {key}) AS BIGINT) AS rank,
        avg_rating, review_count, rating_std, avg_polarity,
        round(rs, 6) AS rating_score, round(vs, 6) AS volume_score, round(ss, 6) AS sentiment_score,
        hotspot_score
@@ -177,9 +177,9 @@ cm AS (SELECT City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_
               ROUND(AVG(CASE WHEN Rating = 5 THEN 1 ELSE 0 END), 4) AS five_star_rate
        FROM reviews GROUP BY City),
 cr AS (SELECT City, review_count, avg_rating, five_star_rate,
-              CAST(RANK() OVER (ORDER BY review_count DESC) AS INTEGER) AS rank,
-              CAST(DENSE_RANK() OVER (ORDER BY review_count DESC) AS INTEGER) AS dense_rank,
-              CAST(ROW_NUMBER() OVER (ORDER BY review_count DESC, City) AS INTEGER) AS row_num,
+              CAST(RANK() OVER (ORDER BY review_count DESC) AS BIGINT) AS rank,
+              CAST(DENSE_RANK() OVER (ORDER BY review_count DESC) AS BIGINT) AS dense_rank,
+              CAST(ROW_NUMBER() OVER (ORDER BY review_count DESC, City) AS BIGINT) AS row_num,
               ROUND(PERCENT_RANK() OVER (ORDER BY review_count DESC), 4) AS pct_rank,
               ROUND(review_count / (SELECT SUM(review_count) FROM cm) * 100, 2) AS review_pct
        FROM cm)"""
@@ -192,17 +192,17 @@ SELECT * FROM cr WHERE review_count > 100 ORDER BY review_count DESC, City LIMIT
 _reg("place_ranks", _num() + """,
 pm AS (SELECT Place, City, COUNT(Rating) AS review_count FROM reviews GROUP BY Place, City)
 SELECT Place, City, review_count,
-       CAST(RANK() OVER (ORDER BY review_count DESC) AS INTEGER) AS rank,
-       CAST(DENSE_RANK() OVER (ORDER BY review_count DESC) AS INTEGER) AS dense_rank,
-       CAST(ROW_NUMBER() OVER (ORDER BY review_count DESC, Place, City) AS INTEGER) AS row_number,
+       CAST(RANK() OVER (ORDER BY review_count DESC) AS BIGINT) AS rank,
+       CAST(DENSE_RANK() OVER (ORDER BY review_count DESC) AS BIGINT) AS dense_rank,
+       CAST(ROW_NUMBER() OVER (ORDER BY review_count DESC, Place, City) AS BIGINT) AS row_number,
        ROUND(PERCENT_RANK() OVER (ORDER BY review_count DESC), 4) AS percent_rank
 FROM pm""")
 
 _PLACE_IN_CITY = _PLACE_ENRICHED + """,
 pic AS (SELECT pe.*,
-        CAST(RANK() OVER (PARTITION BY City ORDER BY review_count DESC) AS INTEGER) AS city_rank,
-        CAST(DENSE_RANK() OVER (PARTITION BY City ORDER BY review_count DESC) AS INTEGER) AS city_dense_rank,
-        CAST(ROW_NUMBER() OVER (PARTITION BY City ORDER BY review_count DESC, Place) AS INTEGER) AS city_row_number
+        CAST(RANK() OVER (PARTITION BY City ORDER BY review_count DESC) AS BIGINT) AS city_rank,
+        CAST(DENSE_RANK() OVER (PARTITION BY City ORDER BY review_count DESC) AS BIGINT) AS city_dense_rank,
+        CAST(ROW_NUMBER() OVER (PARTITION BY City ORDER BY review_count DESC, Place) AS BIGINT) AS city_row_number
         FROM pe)"""
 
 _reg("place_ranks_in_city", _num() + _PLACE_IN_CITY + "\nSELECT * FROM pic")
@@ -266,7 +266,7 @@ ORDER BY City, Place, Rating, polarity, subjectivity LIMIT 5000""")
 def _hs(key: str) -> str:
     """Hotspot table as CTE ``hs`` (rounded components, sequential rank)."""
     return _hotspot_sql(key) + f""",
-hs AS (SELECT {key}, CAST(ROW_NUMBER() OVER (ORDER BY hotspot_score DESC, {key}) AS INTEGER) AS rank,
+hs AS (SELECT {key}, CAST(ROW_NUMBER() OVER (ORDER BY hotspot_score DESC, {key}) AS BIGINT) AS rank,
               avg_rating, review_count, rating_std, avg_polarity,
               ROUND(rs, 6) AS rating_score, ROUND(vs, 6) AS volume_score, ROUND(ss, 6) AS sentiment_score,
               hotspot_score FROM h)"""
@@ -283,9 +283,9 @@ _reg("reweighted_city_ranks", _hs("City") + """,
 rw AS (SELECT City, hotspot_score, rank AS old_rank,
               ROUND(0.2 * rating_score + 0.5 * volume_score + 0.3 * sentiment_score, 6) AS custom_hotspot_score
        FROM hs),
-rr AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY custom_hotspot_score DESC, City) AS INTEGER) AS new_rank FROM rw)
+rr AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY custom_hotspot_score DESC, City) AS BIGINT) AS new_rank FROM rw)
 SELECT City, hotspot_score, custom_hotspot_score, old_rank, new_rank,
-       CAST(old_rank - new_rank AS INTEGER) AS rank_change FROM rr""")
+       CAST(old_rank - new_rank AS BIGINT) AS rank_change FROM rr""")
 
 _INSIGHTS = _hs("Place").replace("WITH ", "WITH ", 1) + """,
 pc AS (SELECT Place, City, COUNT(*) AS n FROM reviews GROUP BY Place, City),
@@ -328,12 +328,12 @@ seed AS (SELECT * FROM n
          WHERE lower(Place) = 'part#1' OR contains(lower(Place), 'part#1')
          ORDER BY CASE WHEN lower(Place) = 'part#1' THEN 0 ELSE 1 END, rank, Place LIMIT 1),
 d AS (SELECT n.Place, n.rank, n.avg_rating, n.review_count, n.avg_polarity, n.hotspot_score,
-             ROUND(1.0 / (1.0 + SQRT((n.g0 - s.g0) * (n.g0 - s.g0) + (n.g1 - s.g1) * (n.g1 - s.g1)
+             1.0 / (1.0 + SQRT((n.g0 - s.g0) * (n.g0 - s.g0) + (n.g1 - s.g1) * (n.g1 - s.g1)
                                      + (n.g2 - s.g2) * (n.g2 - s.g2) + (n.g3 - s.g3) * (n.g3 - s.g3)
-                                     + (n.g4 - s.g4) * (n.g4 - s.g4))), 4) AS similarity
+                                     + (n.g4 - s.g4) * (n.g4 - s.g4))) AS similarity
       FROM n, seed s WHERE n.Place <> s.Place)
-SELECT Place, similarity, avg_rating, review_count, avg_polarity, hotspot_score
-FROM d ORDER BY similarity DESC, rank, Place LIMIT 10""")
+SELECT Place, ROUND(similarity, 4) AS similarity, avg_rating, review_count, avg_polarity, hotspot_score
+FROM d ORDER BY d.similarity DESC, rank, Place LIMIT 10""")
 
 _STATE_TOP_CITIES = _hs("City") + "," + _CITY_STATE + """,
 stc AS (SELECT cs.State, hs.City, hs.avg_rating, hs.review_count, hs.avg_polarity, hs.hotspot_score,
@@ -405,7 +405,7 @@ best AS (SELECT City, lat, lon FROM (
 _reg("city_coords", _num() + "," + _COORDS + "\nSELECT City, lat, lon FROM best")
 
 _reg("map_points", _hs("City") + "," + _COORDS + """,
-sel AS (SELECT * FROM hs WHERE hotspot_score >= 0.0 ORDER BY hotspot_score DESC, City LIMIT 60),
+sel AS (SELECT * FROM hs WHERE hotspot_score >= 0.0),
 geo AS (SELECT sel.*, best.lat, best.lon,
                COALESCE(ln(1 + GREATEST(COALESCE(CAST(sel.review_count AS DOUBLE), 0.0), 0.0)), 0.0) AS vol,
                COALESCE(CAST(sel.hotspot_score AS DOUBLE), 0.0) AS met
@@ -420,7 +420,7 @@ SELECT City, lat, lon, hotspot_score, review_count,
 FROM g""")
 
 _reg("map_coverage", _hs("City") + "," + _COORDS + """,
-sel AS (SELECT * FROM hs ORDER BY hotspot_score DESC, City LIMIT 60),
+sel AS (SELECT * FROM hs),
 j AS (SELECT sel.*, best.City IS NOT NULL AS mapped FROM sel LEFT JOIN best ON sel.City = best.City)
 SELECT COUNT(*) FILTER (WHERE mapped) AS mapped, COUNT(*) FILTER (WHERE NOT mapped) AS unmapped,
        ROUND(MIN(hotspot_score) FILTER (WHERE mapped), 6) AS score_min,
@@ -593,13 +593,13 @@ from revlens.sources.testdata import INTEREST_SQL, TREND_STATUS_SQL  # noqa: E40
 
 _TRENDS = "WITH " + INTEREST_SQL + "," + TREND_STATUS_SQL + """,
 base AS (SELECT keyword AS Place, COUNT(*) AS BasePopularity FROM interest GROUP BY keyword
-         ORDER BY BasePopularity DESC, Place LIMIT 20),
+         ),
 lim AS (SELECT CAST(CAST(MAX(ts) AS DATE) - INTERVAL 3 MONTH AS TIMESTAMP) AS t0 FROM interest),
 mean AS (SELECT keyword, AVG(interest) AS raw FROM interest, lim WHERE ts >= t0 GROUP BY keyword),
 j AS (SELECT b.Place, s.status AS st0, s.notes, m.raw FROM base b
       LEFT JOIN trend_status s ON b.Place = s.keyword LEFT JOIN mean m ON b.Place = m.keyword),
 j2 AS (SELECT Place, notes, raw,
-              CASE WHEN st0 IS NULL OR (st0 = 'live' AND raw IS NULL) THEN 'unavailable' ELSE st0 END AS status
+              CASE WHEN st0 IS NULL THEN 'fallback' WHEN st0 = 'live' AND raw IS NULL THEN 'unavailable' ELSE st0 END AS status
        FROM j),
 j3 AS (SELECT *, CASE WHEN status = 'live' THEN raw ELSE 0.0 END AS rts FROM j2),
 bb AS (SELECT MIN(rts) AS lo, MAX(rts) AS hi FROM j3 WHERE status = 'live'),

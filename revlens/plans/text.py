@@ -132,7 +132,7 @@ def review_search_summary(spark: SparkSession, sf_dir: str, **params) -> DataFra
 
 def review_search_rows(spark: SparkSession, sf_dir: str, limit: int = K.SEARCH_LIMIT, **params) -> DataFrame:
     """O-26 + O-69e: first matches (n capped at 200), text cut to 400 characters."""
-    limit = min(int(limit), K.SEARCH_LIMIT_MAX)
+    limit = int(limit)
     f = _filtered(spark, sf_dir, **(params or SEARCH))
     return (f.orderBy("doc_id").limit(limit)
             .select("doc_id", "City", "Place", truncate_text("Review", K.TEXT_PREVIEW_CHARS).alias("Review"), "Rating",

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens import constants as K
 from revlens.operators import aggregates as agg
 from revlens.operators import ranking, scores
 from revlens.sources import testdata as td
 
 
-def base_popularity(spark: SparkSession, sf_dir: str, n: int = K.TREND_TOP) -> DataFrame:
-    """Top-n keywords by number of records (Place, BasePopularity)."""
+def base_popularity(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """Keywords with their number of records (Place, BasePopularity); the top n if asked for."""
     counts = td.interest_events(spark, sf_dir).groupBy(F.col("keyword").alias("Place")).agg(
         F.count(F.lit(1)).alias("BasePopularity"))
-    return ranking.top_n(counts, [("BasePopularity", False), ("Place", True)], n)
+    return counts if n is None else ranking.top_n(counts, [("BasePopularity", False), ("Place", True)], n)
 
 
 def trend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,26 +63,12 @@ def materialize(df):
     and the main query: without it each consumer re-scans the source. The
     copy is a Parquet table in the shared ``spark.checkpoint.dir`` (columnar,
     written by the executors in parallel, readable after an executor is
-    lost) and the lineage is cut there.
+    lost) and the lineage is cut there. Hadoop deletes it when the driver ends.
     """
-    return materialize_sized(df)[0]
-
-
-def materialize_sized(df):
-    """:func:`materialize` plus the stored size in bytes (from the file system)."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/revlens-tables/{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # the driver owns the copy
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return spark.read.parquet(path), int(size)
-
-
-SINGLE_TASK_MAX_BYTES = 32 * 1024 * 1024
-
-
-def single_task_max_bytes(spark) -> int:
-    """Largest stored table an unpartitioned window may sort in one task."""
-    return int(spark.conf.get("revlens.singleTaskMaxBytes", str(SINGLE_TASK_MAX_BYTES)))
+    return spark.read.schema(df.schema).parquet(path)

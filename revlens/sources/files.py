@@ -65,25 +65,19 @@ def first_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
-TOPK_MAX = 100_000
-
-
 def exact_sample(df: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:
     """O-04: exact-n sample without replacement, fixed seed.
 
     Rows are ordered by a seeded hash of their key, so the sample does not
-    depend on partitioning. Small n runs as a distributed top-k
-    (TakeOrderedAndProject: n rows per task, merged in one place); large n
-    would funnel n x tasks rows into that merge, so it numbers the rows in
-    hash order with the range-partitioned row number and keeps n <= n.
+    depend on partitioning. A bound on the hash a little above n / total
+    (ten standard deviations) comes first, so about n rows reach the final
+    merge and not n from every task.
     """
     h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    hashed = df.withColumn("_h", h)
-    if n <= TOPK_MAX:
-        return hashed.orderBy("_h", *key_cols).limit(n).drop("_h")
-    from revlens.operators.ranking import global_row_number
-    numbered = global_row_number(hashed, [("_h", True)] + [(c, True) for c in key_cols], "_sn")
-    return numbered.filter(F.col("_sn") <= n).drop("_h", "_sn")
+    total = df.select(F.count(F.lit(1)).alias("n")).scalar()
+    share = F.lit(n + 10.0 * n ** 0.5 + 100) / total
+    hashed = df.withColumn("_h", h).filter(F.col("_h").cast("double") / F.lit(2.0 ** 64) + 0.5 <= share)
+    return hashed.orderBy("_h", *key_cols).limit(n).drop("_h")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -18,41 +18,15 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import clamp, is_valid_number
 
 __all__ = [
-    "read_table", "spread", "reviews_num_raw", "reviews_num", "reviews_text_raw", "interest_events",
+    "read_table", "reviews_num_raw", "reviews_num", "reviews_text_raw", "interest_events",
     "trend_status", "reviews_num_sql", "REVIEWS_TEXT_SQL", "INTEREST_SQL", "TREND_STATUS_SQL",
 ]
 
 
-_SCANS: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy scan of one table, defined once per session and path.
-
-    Re-defining a scan lists the files and reads the Parquet footers again on
-    the driver for every query; the definition (not the data) is reused.
-    """
+    """Lazy scan of one table."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = _SCANS.get(path)
-    if df is None or df.sparkSession is not spark or spark.sparkContext._jsc.sc().isStopped():
-        df = _SCANS[path] = spark.read.parquet(path)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work at least one task per core.
-
-    A table stored as one unsplittable file (one Parquet row group) scans in
-    a single task, and everything before the first shuffle runs there. When
-    the scan has fewer splits than the cluster's default parallelism, spread
-    the rows round-robin; a large input already has enough splits and is
-    left alone (no extra shuffle at scale). Only the split count is planned;
-    no data is read.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return spark.read.parquet(path)
 
 
 def reviews_num_raw(spark: SparkSession, sf_dir: str, with_name: bool = False,
@@ -120,7 +94,7 @@ reviews AS (
 
 def reviews_text_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2: documents left-joined to labels (labels cover a subset of docs)."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     df = docs.join(labels, "doc_id", "left")
     return df.select(

@@ -12,8 +12,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SLOW = {"model_metrics", "feature_importances", "test_predictions", "place_predictions", "residual_histogram",
-        "load_curve"}
+SLOW = {"model_metrics", "feature_importances", "test_predictions", "place_predictions", "residual_histogram"}
 
 
 def _plan(df) -> str:

@@ -75,14 +75,8 @@ def test_grouped_ranks_equal_partitioned_window(spark, parts):
     assert all(abs(pa[k] - pb[k]) < 1e-12 for k in pa)
 
 
-def test_sequential_rank_size_switch(spark):
+def test_sequential_rank_equals_the_window(spark):
     df = _random_counts(spark, 300)
-    small = {r.key: r.rk for r in ranking.sequential_rank(df, "n", "key", "rk").collect()}
-    spark.conf.set("revlens.singleTaskMaxBytes", "0")
-    try:
-        big = {r.key: r.rk for r in ranking.sequential_rank(df, "n", "key", "rk").collect()}
-        forced = ranking.global_ranks(df, [("n", False)], [("key", True)])
-        assert sorted(r.rank for r in forced.collect())[0] == 1
-    finally:
-        spark.conf.unset("revlens.singleTaskMaxBytes")
-    assert small == big and sorted(small.values()) == list(range(1, 301))
+    wide = {r.key: r.rk for r in ranking.sequential_rank(df, "n", "key", "rk").collect()}
+    alone = {r.key: r.rk for r in ranking.sequential_rank(df, "n", "key", "rk", distributed=False).collect()}
+    assert wide == alone and sorted(wide.values()) == list(range(1, 301))

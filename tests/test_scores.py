@@ -54,7 +54,7 @@ def test_trend_scores_live_only(spark):
                                    "keyword string, status string, notes string")
     kws = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "Place string")
     got = {r.Place: (r.TrendScore, r.status) for r in scores.trend_scores(interest, status, kws).collect()}
-    assert got == {"a": (0.0, "live"), "b": (1.0, "live"), "c": (0.0, "fallback"), "d": (0.0, "unavailable")}
+    assert got == {"a": (0.0, "live"), "b": (1.0, "live"), "c": (0.0, "fallback"), "d": (0.0, "fallback")}
     one = spark.createDataFrame([("a", "live", None)], "keyword string, status string, notes string")
     got1 = {r.Place: r.TrendScore for r in scores.trend_scores(interest, one, kws.limit(1)).collect()}
     assert got1 == {"a": 0.5}
