@@ -1,8 +1,6 @@
 """Dimension and enrichment joins (O-59..O-63f).
 
-Dimensions with a bound fixed by construction are broadcast explicitly;
-joins between tables that grow with the data are left to Catalyst/AQE, which
-broadcasts only below ``spark.sql.autoBroadcastJoinThreshold`` at runtime
+No join is hinted: every one is left to Catalyst/AQE, which broadcasts only below ``spark.sql.autoBroadcastJoinThreshold`` at runtime
 and otherwise shuffles both sides on the key (AQE splits skewed keys).
 """
 
@@ -19,7 +17,7 @@ __all__ = [
 
 def map_city_state(df: DataFrame, city_state: DataFrame, keep_unmapped: bool = False) -> DataFrame:
     """O-59: City -> State look-up; unmapped rows dropped (or kept with NULL)."""
-    return df.join(F.broadcast(city_state), "City", "left" if keep_unmapped else "inner")
+    return df.join(city_state, "City", "left" if keep_unmapped else "inner")
 
 
 def ratings_with_sentiment(ratings: DataFrame, sentiment: DataFrame | None, key: str) -> DataFrame:
@@ -31,10 +29,14 @@ def ratings_with_sentiment(ratings: DataFrame, sentiment: DataFrame | None, key:
             .withColumn("avg_polarity", F.coalesce(F.col("avg_polarity"), F.lit(0.0))))
 
 
-def place_feature_frame(place: DataFrame, mapping: DataFrame, city_quality: DataFrame,
-                        place_count: DataFrame, place_sent: DataFrame, city_sent: DataFrame) -> DataFrame:
+def place_feature_frame(place: DataFrame, mapping: DataFrame | None, city_quality: DataFrame,
+                        place_count: DataFrame, place_sent: DataFrame | None,
+                        city_sent: DataFrame | None) -> DataFrame:
     """O-62: five-way left-join feature assembly with the documented defaults.
 
+    A table that is None is not joined: its columns are already in ``place``
+    (mapping, place sentiment) or in ``city_quality`` (city sentiment).
+
     place (Place, avg_rating, review_count, rating_std) ⟕ mapping (Place,
     primary_city) ⟕ city quality (primary_city, city_avg_rating,
     city_five_star_rate) ⟕ place count (primary_city, city_place_count) ⟕
@@ -42,11 +44,11 @@ def place_feature_frame(place: DataFrame, mapping: DataFrame, city_quality: Data
     (primary_city, city_avg_polarity). The city-side tables have one row per
     city; AQE broadcasts them when they are small.
     """
-    j = (place.join(mapping, "Place", "left")
-              .join(city_quality, "primary_city", "left")
-              .join(place_count, "primary_city", "left")
-              .join(place_sent, "Place", "left")
-              .join(city_sent, "primary_city", "left"))
+    j = place
+    for table, key in ((mapping, "Place"), (city_quality, "primary_city"), (place_count, "primary_city"),
+                       (place_sent, "Place"), (city_sent, "primary_city")):
+        if table is not None:
+            j = j.join(table, key, "left")
     return j.withColumns({
         "city_avg_rating": F.coalesce(F.col("city_avg_rating"), F.col("avg_rating")),
         "city_place_count": F.coalesce(F.col("city_place_count"), F.lit(1)).cast("bigint"),
@@ -94,7 +96,7 @@ def reviews_with_place_sentiment(reviews: DataFrame, place_sent: DataFrame) -> D
 def places_in_state(places: DataFrame, mapping: DataFrame, city_state: DataFrame, state: str | None = None) -> DataFrame:
     """O-63e: places whose primary city lies in the state (left-semi join)."""
     cities = city_state if state is None else city_state.filter(F.col("State") == state)
-    m = mapping.join(F.broadcast(cities.select(F.col("City").alias("primary_city"), "State")),
+    m = mapping.join(cities.select(F.col("City").alias("primary_city"), "State"),
                      "primary_city", "inner")
     if state is None:
         return places.join(m.select("Place", "primary_city", "State"), "Place", "inner")
@@ -120,23 +122,28 @@ def fuzzy_city_coords(cities: DataFrame, coords: DataFrame) -> DataFrame:
     Priority 1: white-space-collapsed exact name; 2: equal after removing
     '(...)' and lower-casing; 3: one bracket-free lower-case name is a prefix
     of the other. Within a pass the first dictionary entry (``ordinal``) wins.
-    All three passes are equi-joins (the prefix pass joins on exploded
-    prefixes), so nothing pairs every city with every entry; the dictionary
-    side is broadcast (a fixed, bounded list).
+    City and entry each yield a few typed look-up keys (exact name, cleaned
+    name, prefixes), so all passes are one equi-join: each side is read once
+    and nothing pairs every city with every entry. Empty cleaned names match
+    nothing; a city without a match is absent.
     """
-    city = cities.select("City").distinct().withColumns({
-        "_exact": _collapse(F.col("City")),
-    }).withColumn("_clean", _bracket_free(F.col("_exact")))
-    d = coords.withColumns({"_dexact": _collapse(F.col("city"))}).withColumn("_dclean", _bracket_free(F.col("_dexact")))
-    d = F.broadcast(d.select("_dexact", "_dclean", "lat", "lon", "ordinal"))
-    p1 = city.join(d, city._exact == d._dexact).select("City", F.lit(1).alias("_pass"), "ordinal", "lat", "lon")
-    p2 = city.join(d, city._clean == d._dclean).select("City", F.lit(2).alias("_pass"), "ordinal", "lat", "lon")
-    # entry is a prefix of the city: explode the city's prefixes
-    cp = city.select("City", F.explode(_prefixes(F.col("_clean"))).alias("_pre"))
-    p3a = cp.join(d, cp._pre == d._dclean).select("City", F.lit(3).alias("_pass"), "ordinal", "lat", "lon")
-    # city is a prefix of the entry: explode the entries' prefixes (bounded side)
-    dp = F.broadcast(d.select(F.explode(_prefixes(F.col("_dclean"))).alias("_pre"), "lat", "lon", "ordinal"))
-    p3b = city.join(dp, city._clean == dp._pre).select("City", F.lit(3).alias("_pass"), "ordinal", "lat", "lon")
-    cand = p1.unionByName(p2).unionByName(p3a).unionByName(p3b)
-    best = cand.groupBy("City").agg(F.min_by(F.struct("lat", "lon"), F.struct("_pass", "ordinal")).alias("_c"))
+    keyed = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
+    whole = lambda kind, c: F.array(keyed(kind, c))
+    heads = lambda kind, c: F.transform(_prefixes(c), lambda p: keyed(kind, p))
+    names = cities.select("City").distinct().withColumn("_exact", _collapse(F.col("City")))
+    names = names.withColumn("_clean", _bracket_free(F.col("_exact")))
+    entries = coords.withColumn("_exact", _collapse(F.col("city")))
+    entries = entries.withColumn("_clean", _bracket_free(F.col("_exact")))
+    # a key of kind n belongs to pass n; kind 4 is pass 3 with the roles swapped
+    left = names.select("City", F.explode(F.concat(
+        whole(1, F.col("_exact")), whole(2, F.col("_clean")), heads(3, F.col("_clean")),
+        whole(4, F.col("_clean")))).alias("_k"))
+    right = entries.select("lat", "lon", "ordinal", F.explode(F.concat(
+        whole(1, F.col("_exact")), whole(2, F.col("_clean")), whole(3, F.col("_clean")),
+        heads(4, F.col("_clean")))).alias("_d"))
+    right = right.select("lat", "lon", "ordinal", F.col("_d.kind").alias("kind"), F.col("_d.key").alias("key"))
+    left = left.select("City", F.col("_k.kind").alias("kind"), F.col("_k.key").alias("key"))
+    hits = left.join(right.filter((F.col("kind") <= 2) | (F.col("key") != "")), ["kind", "key"])
+    best = hits.groupBy("City").agg(F.min_by(
+        F.struct("lat", "lon"), F.struct(F.least(F.col("kind"), F.lit(3)), F.col("ordinal"))).alias("_c"))
     return best.select("City", F.col("_c.lat").alias("lat"), F.col("_c.lon").alias("lon"))

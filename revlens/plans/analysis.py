@@ -16,7 +16,7 @@ from revlens.sources import testdata as td
 
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-32 (+ O-08 view): SQL summary of the cleaned reviews."""
-    return agg.dataset_summary(spark, td.reviews_num(spark, sf_dir, with_name=True))
+    return agg.dataset_summary(spark, td.reviews_num(spark, sf_dir), td.reviews_num(spark, sf_dir, with_name=True))
 
 
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,17 +64,19 @@ def place_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def city_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-40 with HLL++ distinct counts (as the reviewed batch job)."""
-    return agg.city_metrics(td.reviews_num(spark, sf_dir, with_name=True), exact=False)
+    return agg.city_metrics(td.reviews_num(spark, sf_dir), exact=False,
+                            reviewers=td.reviews_num(spark, sf_dir, with_name=True))
 
 
 def city_metrics_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-40 with exact distinct counts."""
-    return agg.city_metrics(td.reviews_num(spark, sf_dir, with_name=True), exact=True)
+    return agg.city_metrics(td.reviews_num(spark, sf_dir), exact=True,
+                            reviewers=td.reviews_num(spark, sf_dir, with_name=True))
 
 
 def place_metrics_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-41 + O-60 (exact distinct for the city place count)."""
-    return agg.place_metrics_enriched(td.reviews_num(spark, sf_dir), exact=True)
+    return agg.place_metrics_enriched(td.reviews_num(spark, sf_dir))
 
 
 def city_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +105,7 @@ def place_ranks_in_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     Always the distributed per-group form (a city holding a large share of
     the places is spread over several tasks), whatever the table size.
     """
-    pm = agg.place_metrics_enriched(td.reviews_num(spark, sf_dir), exact=True)
+    pm = agg.place_metrics_enriched(td.reviews_num(spark, sf_dir))
     return ranking.ranks_within(pm, ["City"], [("review_count", False)], [("Place", True)])
 
 

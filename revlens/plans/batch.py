@@ -66,7 +66,7 @@ def output_tables(spark: SparkSession, reviews: DataFrame, city_state: DataFrame
     out["spark_dataset_summary"] = agg.dataset_summary(spark, reviews)
     cm = agg.city_metrics(reviews, exact=False)
     out["spark_city_metrics"] = cm
-    out["spark_place_metrics"] = agg.place_metrics_enriched(reviews, exact=False)
+    out["spark_place_metrics"] = agg.place_metrics_enriched(reviews)
     out["spark_rating_dist"] = agg.rating_distribution_int(spark, reviews)
     if city_state is not None:
         out["spark_state_metrics"] = agg.state_metrics(cm, city_state)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens import constants as K
+from revlens.functions.columns import polarity_label
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, ranking, scores
 from revlens.sources import dimensions as dims
@@ -16,33 +17,39 @@ HOTSPOT_COLS = ["rank", "avg_rating", "review_count", "rating_std", "avg_polarit
                 "rating_score", "volume_score", "sentiment_score", "hotspot_score"]
 
 
-def rating_sentiment_inputs(reviews: DataFrame, key: str, mode_of: str | None = None) -> DataFrame:
+def rating_sentiment_inputs(reviews: DataFrame, key: str, with_city: bool = False) -> DataFrame:
     """O-39 + O-44 in one pass when ratings and sentiment share the review frame.
 
     Two separate group-bys would scan the reviews twice; one aggregate gives
     the same columns (the O-61 join is used when sentiment is its own table).
-    ``mode_of`` adds the most frequent value of that column (O-51, ties ->
-    smallest) as ``primary_city``: for a column with few distinct values
-    per key (the cities of a place) the mode buffer stays small, and the
-    second scan a separate mapping would need is saved.
+    ``with_city`` (places) goes through the (Place, City) base and adds the
+    most frequent city (O-51, ties -> smallest) as ``primary_city``, so the
+    mapping needs no scan of its own.
+    """
+    if with_city:
+        rolled = agg.roll_up(agg.place_city_base(reviews, scores=True), [key], agg.base_mode())
+        return rolled.select(key, agg.mean_of("s", "n").alias("avg_rating"), F.col("n").alias("review_count"),
+                             agg.std_of().alias("rating_std"), agg.mean_of("ps", "pn").alias("avg_polarity"),
+                             agg.mean_of("us", "un").alias("avg_subjectivity"), "primary_city")
+    return reviews.groupBy(key).agg(
+        F.round(F.avg("Rating"), 4).alias("avg_rating"), F.count("Rating").alias("review_count"),
+        F.round(F.stddev_samp("Rating"), 4).alias("rating_std"),
+        F.round(F.avg("polarity"), 4).alias("avg_polarity"),
+        F.round(F.avg("subjectivity"), 4).alias("avg_subjectivity"))
+
+
+def hotspots(reviews: DataFrame, key: str, distributed_rank: bool = True, with_city: bool = False,
+             extra: tuple[str, ...] = ()) -> DataFrame:
+    """O-39/O-44 -> O-61 -> O-70/71/72 -> O-69a for one key (City or Place).
+
+    ``extra`` keeps further columns of :func:`rating_sentiment_inputs`.
     """
-    aggs = [F.round(F.avg("Rating"), 4).alias("avg_rating"),
-            F.count("Rating").alias("review_count"),
-            F.round(F.stddev_samp("Rating"), 4).alias("rating_std"),
-            F.round(F.avg("polarity"), 4).alias("avg_polarity")]
-    if mode_of:
-        aggs.append(F.mode(mode_of, True).alias("primary_city"))
-    return reviews.groupBy(key).agg(*aggs)
-
-
-def hotspots(reviews: DataFrame, key: str, distributed_rank: bool = True, mode_of: str | None = None) -> DataFrame:
-    """O-39/O-44 -> O-61 -> O-70/71/72 -> O-69a for one key (City or Place)."""
     # one aggregate feeds the bounds subquery and the scores: store it once
-    base = materialize(rating_sentiment_inputs(reviews, key, mode_of))
+    base = materialize(rating_sentiment_inputs(reviews, key, with_city))
     base = base.withColumn("avg_polarity", F.coalesce(F.col("avg_polarity"), F.lit(0.0)))
     scored = scores.hotspot_score(base)
     ranked = ranking.sequential_rank(scored, "hotspot_score", key, "rank", distributed=distributed_rank)
-    return ranked.select(key, *HOTSPOT_COLS, *(["primary_city"] if mode_of else []))
+    return ranked.select(key, *HOTSPOT_COLS, *(["primary_city"] if with_city else []), *extra)
 
 
 def hotspot_city(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +79,7 @@ def reweighted_city_ranks(spark: SparkSession, sf_dir: str, weights=(0.2, 0.5, 0
 
 def place_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-63a + O-74/O-75: hotspot places with city, hidden-gem, risk, confidence."""
-    hs = hotspots(td.reviews_num(spark, sf_dir), "Place", mode_of="City")
+    hs = hotspots(td.reviews_num(spark, sf_dir), "Place", with_city=True)
     frame = materialize(hs.withColumn("City", F.coalesce(F.col("primary_city"), F.lit("Unknown"))))
     return scores.place_insights(frame).select(
         "Place", "City", "review_count", "avg_rating", "rating_std", "hotspot_score",
@@ -104,7 +111,7 @@ def state_top_cities(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFA
 
 def state_top_places(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFAULT) -> DataFrame:
     """O-63e + O-66: top-n places per state via place -> primary city -> state."""
-    hs = hotspots(td.reviews_num(spark, sf_dir), "Place", mode_of="City")
+    hs = hotspots(td.reviews_num(spark, sf_dir), "Place", with_city=True)
     mapping = hs.select("Place", "primary_city")
     inside = joins.places_in_state(hs.drop("primary_city"), mapping, dims.city_state_from_regions(spark, sf_dir))
     top = ranking.top_n_per_group(inside, ["State"], [("hotspot_score", False), ("Place", True)], n, "state_rank")
@@ -133,15 +140,17 @@ def comparison(spark: SparkSession, sf_dir: str, state: str = "EUROPE") -> DataF
     return scores.comparison_frame(hs, "City", F.col("State") == state)
 
 
-def city_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-63f: fuzzy city -> coordinates look-up of every reviewed city."""
-    cities = td.reviews_num(spark, sf_dir).select("City")
+def city_coords(spark: SparkSession, sf_dir: str, cities: DataFrame | None = None) -> DataFrame:
+    """O-63f: fuzzy city -> coordinates look-up of every reviewed city (or of the given ones)."""
+    if cities is None:
+        cities = td.reviews_num(spark, sf_dir).select("City")
     return joins.fuzzy_city_coords(cities, dims.coords_from_nations(spark, sf_dir))
 
 
 def map_points(spark: SparkSession, sf_dir: str, top_n: int | None = None) -> DataFrame:
     """O-77e: map markers for all cities (or the top n) that have coordinates."""
-    return scores.map_points(hotspot_city(spark, sf_dir), city_coords(spark, sf_dir), top_n=top_n)
+    hs = hotspot_city(spark, sf_dir)
+    return scores.map_points(hs, city_coords(spark, sf_dir, hs), top_n=top_n)
 
 
 def map_coverage(spark: SparkSession, sf_dir: str, top_n: int | None = None) -> DataFrame:
@@ -149,7 +158,7 @@ def map_coverage(spark: SparkSession, sf_dir: str, top_n: int | None = None) ->
     sel = hotspot_city(spark, sf_dir)
     if top_n is not None:
         sel = sel.orderBy(F.desc("hotspot_score"), "City").limit(top_n)
-    coords = city_coords(spark, sf_dir).select("City", F.lit(True).alias("_m"))
+    coords = city_coords(spark, sf_dir, sel).select("City", F.lit(True).alias("_m"))
     j = sel.join(coords, "City", "left").withColumn("mapped", F.coalesce(F.col("_m"), F.lit(False)))
     return agg.coverage_kpis(j, "mapped", "hotspot_score")
 
@@ -162,9 +171,10 @@ def state_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-63b: hotspot cities enriched with the sentiment columns they lack."""
-    reviews = td.reviews_num(spark, sf_dir)
-    return joins.enrich_missing_columns(hotspot_city(spark, sf_dir), agg.sentiment_by(reviews, "City"), "City")
+    """O-63b: hotspot cities with the sentiment columns they lack, from the same stored aggregate."""
+    hs = hotspots(td.reviews_num(spark, sf_dir), "City", distributed_rank=False, extra=("avg_subjectivity",))
+    sentiment = hs.select("City", "avg_subjectivity", polarity_label("avg_polarity").alias("dominant_sentiment"))
+    return joins.enrich_missing_columns(hs.drop("avg_subjectivity"), sentiment, "City")
 
 
 def similar_places_dashboard(spark: SparkSession, sf_dir: str, seed: str = "Part#1", top_n: int = 12) -> DataFrame:

@@ -16,17 +16,17 @@ _MODELS: dict = {}
 
 def place_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-62 + O-28 + O-51/52: leakage-safe feature frame per place."""
-    r = td.reviews_num(spark, sf_dir)
-    place = agg.average_ratings(r, "Place")
-    mapping = agg.place_primary_city(r)
-    city = agg.average_ratings(r, "City").select(
-        F.col("City").alias("primary_city"), F.col("avg_rating").alias("city_avg_rating"),
-        five_star_proxy("avg_rating").alias("city_five_star_rate"))
-    counts = agg.places_per_city(mapping).withColumnRenamed("place_count", "city_place_count")
-    sent = agg.sentiment_by(r, "Place").select("Place", "avg_polarity", "avg_subjectivity")
-    city_sent = agg.sentiment_by(r, "City").select(F.col("City").alias("primary_city"),
-                                                   F.col("avg_polarity").alias("city_avg_polarity"))
-    f = joins.place_feature_frame(place, mapping, city, counts, sent, city_sent)
+    base = agg.place_city_base(td.reviews_num(spark, sf_dir), scores=True, store=True)
+    place = agg.roll_up(base, ["Place"], agg.base_mode()).select(
+        "Place", "primary_city", F.col("n").alias("review_count"), agg.mean_of("s", "n").alias("avg_rating"),
+        agg.std_of().alias("rating_std"), agg.mean_of("ps", "pn").alias("avg_polarity"),
+        agg.mean_of("us", "un").alias("avg_subjectivity"))
+    city = agg.roll_up(base, ["City"]).select(
+        F.col("City").alias("primary_city"), agg.mean_of("s", "n").alias("city_avg_rating"),
+        agg.mean_of("ps", "pn").alias("city_avg_polarity"))
+    city = city.withColumn("city_five_star_rate", five_star_proxy("city_avg_rating"))
+    counts = agg.places_per_city(place).withColumnRenamed("place_count", "city_place_count")
+    f = joins.place_feature_frame(place, None, city, counts, None, None)
     f = f.withColumn("primary_city", F.coalesce(F.col("primary_city"), F.lit("Unknown")))
     return f.select("Place", "primary_city", "review_count", *ml.FEATURE_COLS)
 
