@@ -5,10 +5,10 @@ boolean column expression (substring test or one regex) — a narrow
 projection per review, then a partial+final aggregate over the matches.
 
 Sentiment is a Spark job, not a per-row library call: tokens are exploded
-inside each task, looked up in a broadcast lexicon (a bounded table), and
-averaged per review with map-side combine. Modifiers (intensifiers,
-negators) act on the next token through the token's predecessor, paired by
-array functions, so no window or shuffle is needed to find it.
+inside each task, joined to a lexicon table, and averaged per review with
+map-side combine. Modifiers (intensifiers, negators) act on a token through
+its two predecessors, paired by array functions, so no window or shuffle is
+needed to find them.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import as_col, choose_review_text, is_blank, normalise_text, polarity_label
 
 __all__ = [
-    "review_text", "aspect_flags", "aspect_mentions", "aspect_summary", "lexicon_sentiment",
+    "review_text", "aspect_flags", "aspect_hits", "aspect_mentions", "aspect_summary", "lexicon_sentiment",
     "word_boundary_pattern", "top_aspect", "search_summary",
 ]
 
@@ -61,24 +61,29 @@ def aspect_flags(text: Column, aspects: dict[str, list[str]], mode: str = "subst
     return flags
 
 
-def _matched_long(df: DataFrame, text: str, aspects: dict[str, list[str]], mode: str,
-                  carry: list[str]) -> DataFrame:
-    """Reviews x matched aspects (only matches are emitted)."""
-    names = list(aspects)
-    flagged = df.select(*carry, *aspect_flags(F.col(text), aspects, mode))
-    arr = F.filter(F.array(*[F.when(F.col(a), F.lit(a)) for a in names]), lambda x: x.isNotNull())
-    return flagged.select(*carry, F.explode(arr).alias("aspect"))
+def aspect_hits(df: DataFrame, aspects: dict[str, list[str]], text: str, mode: str,
+                carry: list[str]) -> DataFrame:
+    """``carry`` plus ``hits``: the names of the aspects a text mentions, in dictionary order.
+
+    Narrow enough to be joined or shuffled in place of the text.
+    """
+    flags = [f.alias(f"_a{i}") for i, f in enumerate(aspect_flags(F.col(text), aspects, mode))]
+    flagged = df.select(*carry, *flags)
+    named = F.array(*[F.when(F.col(f"_a{i}"), F.lit(a)) for i, a in enumerate(aspects)])
+    return flagged.select(*carry, F.filter(named, lambda x: x.isNotNull()).alias("hits"))
 
 
 def aspect_mentions(df: DataFrame, aspects: dict[str, list[str]], text: str = "Review",
                     rating: str = "Rating") -> DataFrame:
     """O-47: mentions per aspect (substring, once per review) and mean rating of
-    the matches ignoring NULL/NaN (2 dp); every aspect listed, in dictionary order."""
-    m = _matched_long(df, text, aspects, "substring", [rating])
+    the matches ignoring NULL/NaN (2 dp); every aspect listed, ``ordinal`` is the
+    dictionary order. A frame that has ``hits`` (see :func:`aspect_hits`) needs no text."""
+    found = df if "hits" in df.columns else aspect_hits(df, aspects, text, "substring", [rating])
     r = F.when(~F.isnan(F.col(rating)), F.col(rating))
-    g = m.groupBy("aspect").agg(F.count(F.lit(1)).alias("mentions"), F.round(F.avg(r), 2).alias("avg_rating"))
+    g = (found.select(rating, F.explode("hits").alias("aspect")).groupBy("aspect")
+         .agg(F.count(F.lit(1)).alias("mentions"), F.round(F.avg(r), 2).alias("avg_rating")))
     spine = df.sparkSession.createDataFrame([(a, i) for i, a in enumerate(aspects)], "aspect string, ordinal int")
-    return (F.broadcast(spine).join(g, "aspect", "left")
+    return (spine.join(g, "aspect", "left")
             .select("aspect", "ordinal", F.coalesce(F.col("mentions"), F.lit(0)).cast("bigint").alias("mentions"),
                     "avg_rating"))
 
@@ -91,18 +96,24 @@ def top_aspect(mentions: DataFrame) -> DataFrame:
 def aspect_summary(df: DataFrame, aspects: dict[str, list[str]], text: str = "review_text",
                    rating: str = "Rating", decimals: int = 6) -> DataFrame:
     """O-48: word-boundary matches: mentions, mean rating, share >= 4, share <= 2,
-    signal = (mean - 3) / 2; aspects without hits are absent."""
-    m = _matched_long(df, text, aspects, "regex", [rating])
+    signal = (mean - 3) / 2; aspects without hits are absent. ``position`` is the
+    order: signal, then mentions, descending (ties by name); it numbers one row
+    per aspect, a table bounded by the dictionary. A frame that has ``hits``
+    needs no text."""
+    found = df if "hits" in df.columns else aspect_hits(df, aspects, text, "regex", [rating])
+    m = found.select(rating, F.explode("hits").alias("aspect"))
     r = F.col(rating)
     g = m.groupBy("aspect").agg(
         F.count(F.lit(1)).alias("mentions"),
         F.avg(r).alias("_avg"),
         F.avg(F.when(r >= 4, 1.0).otherwise(0.0)).alias("_pos"),
         F.avg(F.when(r <= 2, 1.0).otherwise(0.0)).alias("_neg"))
+    order = Window.orderBy(F.desc("signal"), F.desc("mentions"), "aspect")
     return g.select(
         "aspect", "mentions", F.round("_avg", decimals).alias("avg_rating"),
         F.round("_pos", decimals).alias("positive_share"), F.round("_neg", decimals).alias("negative_share"),
-        F.round((F.col("_avg") - F.lit(3.0)) / F.lit(2.0), decimals).alias("signal"))
+        F.round((F.col("_avg") - F.lit(3.0)) / F.lit(2.0), decimals).alias("signal")
+        ).withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, text: Column,
@@ -110,34 +121,39 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, text: Column,
     """O-78: polarity in [-1, 1] and subjectivity in [0, 1] per review.
 
     text -> O-18 normalisation -> tokens; each token with a polarity is
-    scored; a preceding modifier multiplies it (intensifier > 0, negator
-    -0.5); scores are clipped and averaged per review; reviews without a
-    scored token get 0 / 0. ``lexicon``: word, polarity, subjectivity,
-    intensity — a bounded dictionary, broadcast.
+    scored. A modifier right before it multiplies its polarity (intensifier
+    > 0, negator < 0), and so does a second modifier before the first ("not
+    very good"); positive modifiers also multiply the subjectivity. Scores
+    are clipped, then averaged per review; a review without a scored token
+    (null or empty text included) gets 0 / 0.
+
+    ``lexicon``: word, polarity, subjectivity, intensity. A word listed more
+    than once counts with its mean scores and largest intensity. Catalyst
+    broadcasts it below ``autoBroadcastJoinThreshold``. The reviews are read
+    once and only their key and ``carry`` columns leave the task.
     """
     carry = carry or []
-    toks = F.split(normalise_text(text), " ")
-    prev = F.concat(F.array(F.lit("")), F.slice(toks, 1, F.size(toks) - 1))
-    pairs = df.select(key, F.explode(F.arrays_zip(toks.alias("w"), prev.alias("p"))).alias("t"))
-    pairs = pairs.select(key, F.col("t.w").alias("_w"), F.col("t.p").alias("_p"))
-    words = F.broadcast(lexicon.filter(F.col("polarity").isNotNull())
-                        .select(F.col("word").alias("_w"), F.col("polarity").alias("_pol"),
-                                F.col("subjectivity").alias("_sub")))
-    mods = F.broadcast(lexicon.filter(F.col("intensity").isNotNull())
-                       .select(F.col("word").alias("_p"), F.col("intensity").alias("_int")))
-    # only scored tokens continue past the inner join; modifiers are looked up for those
-    scored = pairs.join(words, "_w", "inner").join(mods, "_p", "left")
-    m = F.coalesce(F.col("_int"), F.lit(1.0))
-    pol = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_pol") * m))
-    sub = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_sub") * F.when(m > 0, m).otherwise(F.lit(1.0))))
-    null = F.lit(None).cast("double")
-    tokens = scored.select(key, *[F.lit(None).alias(c) for c in carry], pol.alias("_ps"), sub.alias("_ss"))
-    # every review enters once with NULL scores, so unscored reviews survive the grouping
-    reviews = df.select(key, *carry, null.alias("_ps"), null.alias("_ss"))
-    both = reviews.unionByName(tokens.select(key, *[F.col(c).cast(reviews.schema[c].dataType) for c in carry],
-                                             "_ps", "_ss"))
-    g = both.groupBy(key).agg(F.avg("_ps").alias("_p"), F.avg("_ss").alias("_s"),
-                              *[F.max(c).alias(c) for c in carry])
+    words = lexicon.groupBy("word").agg(F.avg("polarity").alias("_pol"), F.avg("subjectivity").alias("_sub"),
+                                        F.max("intensity").alias("_int"))
+    toks = F.col("_toks")
+    shifted = lambda by: F.slice(F.concat(F.array(*[F.lit("")] * by), toks), F.lit(1), F.size(toks))
+    zipped = F.arrays_zip(toks.alias("w"), shifted(1).alias("p"), shifted(2).alias("q"))
+    t = df.select(key, *carry, F.split(normalise_text(text), " ").alias("_toks"))
+    t = t.select(key, *carry, F.posexplode(zipped).alias("_i", "_t"))  # an empty text still has one empty token
+    t = t.select(key, *carry, "_i", *[F.col(f"_t.{c}").alias(f"_{c}") for c in "wpq"])
+    t = t.join(words.select(F.col("word").alias("_w"), "_pol", "_sub").filter(F.col("_pol").isNotNull()), "_w", "left")
+    # past this point go the scored tokens and, for reviews without any, the first token
+    t = t.filter(F.col("_pol").isNotNull() | (F.col("_i") == 0))
+    for c in "pq":
+        factors = words.select(F.col("word").alias(f"_{c}"), F.col("_int").alias(f"_int_{c}"))
+        t = t.join(factors.filter(F.col(f"_int_{c}").isNotNull()), f"_{c}", "left")
+    chain = F.when(F.col("_int_p").isNull(), F.lit(1.0)).otherwise(
+        F.col("_int_p") * F.coalesce(F.col("_int_q"), F.lit(1.0)))
+    bounded = lambda c, lo: F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(1.0), c)))
+    pol = bounded(F.col("_pol") * chain, -1.0)
+    sub = bounded(F.col("_sub") * F.when(chain > 0, chain).otherwise(F.lit(1.0)), 0.0)
+    # carry depends on the key; as grouping columns they keep the aggregate hashed
+    g = t.groupBy(key, *carry).agg(F.avg(pol).alias("_p"), F.avg(sub).alias("_s"))
     return g.select(key, *carry,
                     F.coalesce(F.round("_p", decimals), F.lit(0.0)).alias("polarity"),
                     F.coalesce(F.round("_s", decimals), F.lit(0.0)).alias("subjectivity")
@@ -149,16 +165,15 @@ def search_summary(df: DataFrame, aspects: dict[str, list[str]], text: str = "Re
     """O-50 + O-49 in one pass: count, mean rating (2 dp), mean polarity (4 dp)
     and the most mentioned aspect (ties -> first in dictionary order).
 
-    The aspect flags are summed in the same aggregate as the summary, so the
-    filtered reviews are read once.
+    The hits are counted in the same aggregate as the summary, so the
+    filtered reviews are read once; a frame that has ``hits`` needs no text.
     """
-    names = list(aspects)
-    flags = aspect_flags(F.col(text), aspects, "substring")
+    found = df if "hits" in df.columns else aspect_hits(df, aspects, text, "substring", [rating, "polarity"])
     r = F.col(rating)
-    g = df.agg(F.count(F.lit(1)).alias("count"),
-               F.round(F.avg(F.when(~F.isnan(r), r)), 2).alias("avg_rating"),
-               F.round(F.avg(F.col("polarity").cast("decimal(30,4)")), 4).cast("double").alias("avg_polarity"),
-               *[F.count_if(fl).alias(f"_m{i}") for i, fl in enumerate(flags)])
+    g = found.agg(F.count(F.lit(1)).alias("count"),
+                  F.round(F.avg(F.when(~F.isnan(r), r)), 2).alias("avg_rating"),
+                  F.round(F.avg(F.col("polarity").cast("decimal(30,4)")), 4).cast("double").alias("avg_polarity"),
+                  *[F.count_if(F.array_contains("hits", a)).alias(f"_m{i}") for i, a in enumerate(aspects)])
     best = F.array_max(F.array(*[F.struct(F.col(f"_m{i}").alias("n"), F.lit(-i).alias("o"), F.lit(a).alias("a"))
-                                 for i, a in enumerate(names)]))
+                                 for i, a in enumerate(aspects)]))
     return g.select("count", "avg_rating", "avg_polarity", best["a"].alias("top_aspect"))

@@ -18,149 +18,155 @@ SEARCH = {"city": "EN", "min_rating": "3", "keyword": "the"}
 
 def review_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-17 + O-18: chosen review text and its normalised form, whole texts."""
-    r = text.review_text(td.reviews_text_raw(spark, sf_dir))
+    r = text.review_text(td.reviews_text_docs(spark, sf_dir))
     return r.select("doc_id", "review_text", normalise_text("review_text").alias("clean_text"))
 
 
-def sentiment_results(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
-    """O-78 + O-19: lexicon polarity, subjectivity and label per review.
+def review_scores(spark: SparkSession, sf_dir: str, where=None, lexicon: DataFrame | None = None) -> DataFrame:
+    """O-78 + O-19: doc_id, City, Place, polarity, subjectivity and label per review.
 
     ``where`` restricts the reviews before tokenising (a predicate on the
     grouping keys of the consumer, e.g. one city).
     """
-    r = td.reviews_text_raw(spark, sf_dir)
+    r = td.reviews_text_docs(spark, sf_dir)
     if where is not None:
         r = r.filter(where)
-    txt = text.review_text(r).select("doc_id", "City", "Place", "Rating", "review_text")
-    return text.lexicon_sentiment(txt, dims.lexicon_frame(spark), "doc_id", F.col("review_text"),
-                                  carry=["City", "Place", "Rating"])
+    txt = text.review_text(r).select("doc_id", "City", "Place", "review_text")
+    return text.lexicon_sentiment(txt, dims.lexicon_frame(spark) if lexicon is None else lexicon, "doc_id",
+                                  F.col("review_text"), carry=["City", "Place"])
+
+
+def sentiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-78 + O-19 with the rating; it joins the scores, not the texts."""
+    return td.with_rating(review_scores(spark, sf_dir), spark, sf_dir)
+
+
+def sentiment_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-78 + O-19 with a lexicon of frequent words of the data (all labels, modifier chains, clipping)."""
+    return review_scores(spark, sf_dir, lexicon=dims.lexicon_frame(spark, dims.COMMON_WORD_LEXICON, dims.COMMON_NEGATORS))
+
+
+def sentiment_common_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-45 over :func:`sentiment_common`."""
+    return agg.label_distribution(sentiment_common(spark, sf_dir), "sentiment")
 
 
 def sentiment_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-44 per City (language)."""
-    return agg.sentiment_by(sentiment_results(spark, sf_dir), "City", input_scale=4)
+    return agg.sentiment_by(review_scores(spark, sf_dir), "City", input_scale=4)
 
 
 def sentiment_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-44 per Place (source)."""
-    return agg.sentiment_by(sentiment_results(spark, sf_dir), "Place", input_scale=4)
+    return agg.sentiment_by(review_scores(spark, sf_dir), "Place", input_scale=4)
 
 
 def sentiment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-45: label distribution with percent."""
-    return agg.label_distribution(sentiment_results(spark, sf_dir), "sentiment")
+    return agg.label_distribution(review_scores(spark, sf_dir), "sentiment")
 
 
 def place_sentiment(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
     """O-46: mean polarity and modal label per (City, Place)."""
-    return agg.place_sentiment(sentiment_results(spark, sf_dir, where))
+    return agg.place_sentiment(review_scores(spark, sf_dir, where))
 
 
 def polarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-53: 50-bin histogram of review polarity."""
-    return agg.histogram(sentiment_results(spark, sf_dir), "polarity", 50)
-
-
-def _search_base(spark: SparkSession, sf_dir: str, cond=None) -> DataFrame:
-    """Review-search rows without sentiment: raw text as Review, keys defaulted."""
-    keys = {"City": F.coalesce("City", F.lit("Unknown")), "Place": F.coalesce("Place", F.lit("Unknown"))}
-    r = td.reviews_text_raw(spark, sf_dir)
-    if cond is not None:
-        r = r.filter(cond)
-    return r.select("doc_id", keys["City"].alias("City"), keys["Place"].alias("Place"),
-                    F.coalesce("Raw_Review", F.lit("")).alias("Review"), "Rating")
+    return agg.histogram(review_scores(spark, sf_dir), "polarity", 50)
 
 
-def _search_frame(spark: SparkSession, sf_dir: str, city: str | None = None,
-                  place: str | None = None) -> DataFrame:
-    """Review-search input: raw text as Review, keys defaulted, place sentiment joined (O-63c).
+def _search_rows(spark: SparkSession, sf_dir: str, city=None, place=None, sentiment=None, min_rating=None,
+                 keyword=None, derive: dict | None = None, with_sentiment: bool = True) -> DataFrame:
+    """O-20/O-21/O-22/O-63c: doc_id, City, Place, Rating, polarity, sentiment of the matching reviews.
 
-    A city / place filter is applied to both sides: the sentiment of a
-    (City, Place) group only depends on reviews of that group, so only the
-    selected reviews are tokenised.
+    Case-insensitive equality, minimum rating, literal keyword. The text is
+    tested, and the ``derive`` columns are made from ``Review``, before any
+    join, so no text is shuffled. City and place also restrict the sentiment
+    side: a (City, Place) group only depends on its own reviews.
+    ``with_sentiment=False`` leaves polarity and label out.
     """
     keys = {"City": F.coalesce("City", F.lit("Unknown")), "Place": F.coalesce("Place", F.lit("Unknown"))}
     cond = F.lit(True)
     if city:
-        cond = cond & (F.lower(keys["City"]) == F.lit(city.lower()))
+        cond = cond & ci_equals(keys["City"], city)
     if place:
-        cond = cond & (F.lower(keys["Place"]) == F.lit(place.lower()))
-    r = _search_base(spark, sf_dir, cond)
-    return joins.reviews_with_place_sentiment(r, place_sentiment(spark, sf_dir, cond))
-
+        cond = cond & ci_equals(keys["Place"], place)
+    r = td.reviews_text_docs(spark, sf_dir).filter(cond).select(
+        "doc_id", *[c.alias(k) for k, c in keys.items()], F.coalesce("Raw_Review", F.lit("")).alias("Review"))
+    if keyword:
+        r = r.filter(contains_literal("Review", keyword))
+    derive = derive or {}
+    r = r.withColumns(derive).drop(*({"Review"} - set(derive)))
+    r = td.with_rating(r, spark, sf_dir)
+    if min_rating:
+        r = r.filter(at_least("Rating", min_rating))
+    if with_sentiment or sentiment:
+        r = joins.reviews_with_place_sentiment(r, place_sentiment(spark, sf_dir, cond))
+    if sentiment:
+        r = r.filter(ci_equals("sentiment", sentiment))
+    return r
 
-def reviews_with_place_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-63c: every review with its (City, Place) polarity and label."""
-    return _search_frame(spark, sf_dir).select("doc_id", "City", "Place", "Rating", "polarity", "sentiment")
 
+def _hits(aspects: dict) -> dict:
+    """``hits`` as a derived column of the search rows (substring rule)."""
+    flags = text.aspect_flags(F.col("Review"), aspects, "substring")
+    named = F.array(*[F.when(f, F.lit(a)) for a, f in zip(aspects, flags)])
+    return {"hits": F.filter(named, lambda x: x.isNotNull())}
 
-def _filtered(spark: SparkSession, sf_dir: str, city=None, place=None, sentiment=None, min_rating=None,
-              keyword=None, with_sentiment: bool = True) -> DataFrame:
-    """O-20/O-21/O-22: case-insensitive equality, minimum rating, literal keyword.
 
-    ``with_sentiment=False`` skips the sentiment join for consumers that read
-    neither polarity nor label (only allowed without a sentiment filter).
-    """
-    if with_sentiment or sentiment:
-        df = _search_frame(spark, sf_dir, city, place)
-    else:
-        df = _search_base(spark, sf_dir)
-    if city:
-        df = df.filter(ci_equals("City", city))
-    if place:
-        df = df.filter(ci_equals("Place", place))
-    if sentiment:
-        df = df.filter(ci_equals("sentiment", sentiment))
-    if min_rating:
-        df = df.filter(at_least("Rating", min_rating))
-    if keyword:
-        df = df.filter(contains_literal("Review", keyword))
-    return df
+def reviews_with_place_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-63c: every review with its (City, Place) polarity and label."""
+    return _search_rows(spark, sf_dir).select("doc_id", "City", "Place", "Rating", "polarity", "sentiment")
 
 
 def review_search_aspects(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     """O-47 on the filtered reviews: mentions and mean rating per aspect."""
-    f = _filtered(spark, sf_dir, **(params or SEARCH), with_sentiment=False)
-    return text.aspect_mentions(f, dims.SEARCH_ASPECTS, "Review", "Rating")
+    f = _search_rows(spark, sf_dir, **(params or SEARCH), derive=_hits(dims.SEARCH_ASPECTS), with_sentiment=False)
+    return text.aspect_mentions(f, dims.SEARCH_ASPECTS)
 
 
 def review_search_summary(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     """O-50 + O-49: count, mean rating, mean polarity and top aspect of a search."""
-    f = _filtered(spark, sf_dir, **(params or SEARCH))
-    return text.search_summary(f, dims.SEARCH_ASPECTS, "Review", "Rating")
+    f = _search_rows(spark, sf_dir, **(params or SEARCH), derive=_hits(dims.SEARCH_ASPECTS))
+    return text.search_summary(f, dims.SEARCH_ASPECTS)
 
 
 def review_search_rows(spark: SparkSession, sf_dir: str, limit: int = K.SEARCH_LIMIT, **params) -> DataFrame:
-    """O-26 + O-69e: first matches (n capped at 200), text cut to 400 characters."""
-    limit = int(limit)
-    f = _filtered(spark, sf_dir, **(params or SEARCH))
-    return (f.orderBy("doc_id").limit(limit)
-            .select("doc_id", "City", "Place", truncate_text("Review", K.TEXT_PREVIEW_CHARS).alias("Review"), "Rating",
-                    "polarity", "sentiment"))
+    """O-26 + O-69e: the first ``limit`` matches, text cut to 400 characters."""
+    f = _search_rows(spark, sf_dir, **(params or SEARCH),
+                     derive={"Review": truncate_text("Review", K.TEXT_PREVIEW_CHARS)})
+    return (f.orderBy("doc_id").limit(int(limit))
+            .select("doc_id", "City", "Place", "Review", "Rating", "polarity", "sentiment"))
 
 
 def aspect_mentions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-47 over every review (substring rule)."""
-    return text.aspect_mentions(_search_base(spark, sf_dir), dims.SEARCH_ASPECTS, "Review", "Rating")
-
-
-def aspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-48 over every rated review with text (word-boundary rule)."""
-    r = text.review_text(td.reviews_text_raw(spark, sf_dir), drop_blank=True)
-    r = r.filter(F.col("Rating").isNotNull())
-    return text.aspect_summary(r, dims.SUMMARY_ASPECTS, "review_text", "Rating")
+    f = _search_rows(spark, sf_dir, derive=_hits(dims.SEARCH_ASPECTS), with_sentiment=False)
+    return text.aspect_mentions(f, dims.SEARCH_ASPECTS)
 
 
 def aspect_mentions_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-47 with a dictionary of frequent words of the data (substring rule)."""
-    return text.aspect_mentions(_search_base(spark, sf_dir), dims.COMMON_WORD_ASPECTS, "Review", "Rating")
+    f = _search_rows(spark, sf_dir, derive=_hits(dims.COMMON_WORD_ASPECTS), with_sentiment=False)
+    return text.aspect_mentions(f, dims.COMMON_WORD_ASPECTS)
+
+
+def _boundary_summary(spark: SparkSession, sf_dir: str, aspects: dict) -> DataFrame:
+    """O-48 over every rated review with text; the hits are found before the rating is joined."""
+    r = text.review_text(td.reviews_text_docs(spark, sf_dir), drop_blank=True)
+    rated = td.with_rating(text.aspect_hits(r, aspects, "review_text", "regex", ["doc_id"]), spark, sf_dir)
+    return text.aspect_summary(rated.filter(F.col("Rating").isNotNull()), aspects)
+
+
+def aspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-48 with the dashboard's dictionary (word-boundary rule)."""
+    return _boundary_summary(spark, sf_dir, dims.SUMMARY_ASPECTS)
 
 
 def aspect_summary_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-48 with a dictionary of frequent words of the data (word-boundary rule)."""
-    r = text.review_text(td.reviews_text_raw(spark, sf_dir), drop_blank=True)
-    r = r.filter(F.col("Rating").isNotNull())
-    return text.aspect_summary(r, dims.COMMON_WORD_ASPECTS, "review_text", "Rating")
+    return _boundary_summary(spark, sf_dir, dims.COMMON_WORD_ASPECTS)
 
 
 def hotspot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +183,8 @@ def hotspot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = (raw.filter(is_valid_number("Rating") & F.col("City").isNotNull() & F.col("Place").isNotNull())
              .withColumns({"Rating": clamp("Rating"), "Place": F.trim("Place")}))
     ratings = agg.average_ratings(rated, "Place")
-    sent = agg.sentiment_by(sentiment_results(spark, sf_dir), "Place", input_scale=4)
+    sent = agg.sentiment_by(review_scores(spark, sf_dir), "Place", input_scale=4)
     merged = materialize(joins.ratings_with_sentiment(ratings, sent, "Place"))
     scored = scores.hotspot_score(merged)
-    return ranking.sequential_rank(scored, "hotspot_score", "Place", "rank", distributed=False).select(
+    return ranking.sequential_rank(scored, "hotspot_score", "Place", "rank").select(
         "Place", *HOTSPOT_COLS)

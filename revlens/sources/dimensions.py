@@ -13,9 +13,9 @@ from revlens import schemas
 from revlens.sources.testdata import read_table
 
 __all__ = [
-    "SEARCH_ASPECTS", "SUMMARY_ASPECTS", "DEFAULT_LEXICON", "NEGATORS", "aspects_frame",
+    "SEARCH_ASPECTS", "SUMMARY_ASPECTS", "DEFAULT_LEXICON", "NEGATORS", "graded_lexicon",
     "lexicon_frame", "city_state_from_regions", "coords_from_nations", "values_sql",
-    "aspects_values_sql", "lexicon_values_sql", "CITY_STATE_SQL", "COORDS_SQL", "COMMON_WORD_ASPECTS",
+    "COMMON_WORD_LEXICON", "COMMON_NEGATORS", "lexicon_values_sql", "CITY_STATE_SQL", "COORDS_SQL", "COMMON_WORD_ASPECTS",
 ]
 
 # ── Fixed values (must equal the reviewed application's dictionaries) ─────
@@ -56,27 +56,42 @@ SUMMARY_ASPECTS = {
 }
 # ── end of fixed values ────────────────────────────────────────────────────
 
-# A small English opinion lexicon of our own (the scorer the reviewed
-# application used is a third-party library and is not part of it).
-# word: (polarity, subjectivity, intensity); intensity only for modifiers.
-DEFAULT_LEXICON = {
-    "good": (0.7, 0.6, None), "great": (0.8, 0.75, None), "best": (1.0, 0.3, None),
-    "nice": (0.6, 1.0, None), "excellent": (1.0, 1.0, None), "amazing": (0.6, 0.9, None),
-    "awesome": (1.0, 1.0, None), "wonderful": (1.0, 1.0, None), "beautiful": (0.85, 1.0, None),
-    "lovely": (0.5, 0.75, None), "clean": (0.35, 0.65, None), "peaceful": (0.25, 0.5, None),
-    "pleasant": (0.7, 1.0, None), "friendly": (0.4, 0.5, None), "happy": (0.8, 1.0, None),
-    "worth": (0.3, 0.1, None), "must": (0.1, 0.4, None), "fine": (0.4, 0.5, None),
-    "bad": (-0.7, 0.65, None), "worst": (-1.0, 1.0, None), "poor": (-0.4, 0.6, None),
-    "dirty": (-0.6, 0.8, None), "terrible": (-1.0, 1.0, None), "awful": (-1.0, 1.0, None),
-    "horrible": (-1.0, 1.0, None), "crowded": (-0.3, 0.6, None), "expensive": (-0.5, 0.7, None),
-    "boring": (-1.0, 1.0, None), "unsafe": (-0.5, 0.5, None), "waste": (-0.2, 0.3, None),
-    "overrated": (-0.5, 0.6, None), "rude": (-0.6, 0.9, None),
-    "very": (None, None, 1.3), "really": (None, None, 1.2), "extremely": (None, None, 1.5),
-    "so": (None, None, 1.1), "too": (None, None, 1.2), "quite": (None, None, 1.1),
+# The default opinion lexicon. Its method: common English opinion words are
+# sorted by hand into grades, and all scores follow from the grade: polarity
+# is the grade, subjectivity 0.5 + |grade| / 2. It is taken from no published
+# lexicon; pass a full lexicon table for production scoring.
+GRADES = {
+    1.0: ["best", "excellent", "perfect", "outstanding"],
+    0.75: ["great", "amazing", "awesome", "wonderful", "fantastic", "superb"],
+    0.5: ["good", "nice", "beautiful", "lovely", "pleasant", "happy", "enjoyable"],
+    0.25: ["clean", "peaceful", "friendly", "worth", "fine", "calm", "helpful"],
+    -0.25: ["crowded", "expensive", "noisy", "slow", "overrated"],
+    -0.5: ["bad", "poor", "dirty", "boring", "rude", "unsafe", "waste"],
+    -0.75: ["awful", "filthy", "disgusting"],
+    -1.0: ["worst", "terrible", "horrible"],
 }
+INTENSIFIERS = {1.5: ["very", "really", "extremely", "so", "too"], 1.25: ["quite", "rather"],
+                0.5: ["slightly", "somewhat"]}
 NEGATORS = ["not", "no", "never", "nothing", "nor", "without"]
 
 
+def graded_lexicon(grades: dict, intensifiers: dict) -> dict:
+    """word -> (polarity, subjectivity, intensity); intensity only for modifiers."""
+    scored = {w: (g, 0.5 + abs(g) / 2, None) for g, words in grades.items() for w in words}
+    return {**scored, **{w: (None, None, f) for f, words in intensifiers.items() for w in words}}
+
+
+DEFAULT_LEXICON = graded_lexicon(GRADES, INTENSIFIERS)
+
+# Frequent words of the synthetic test prose graded the same way, so that the
+# test data reach every label, chains of modifiers and the clipping.
+COMMON_WORD_LEXICON = graded_lexicon(
+    {1.0: ["was", "den", "les"], 0.5: ["it", "that", "von", "el"], -0.5: ["is", "la", "die", "by"],
+     -1.0: ["on", "as", "des", "un"]},
+    {1.5: ["the", "der", "de", "and"], 0.5: ["a", "und", "y"]})
+COMMON_NEGATORS = ["of", "to", "que", "nicht"]
+
+
 def _sql_literal(v) -> str:
     if v is None:
         return "NULL"
@@ -92,19 +107,6 @@ def values_sql(rows: list[tuple], columns: list[str], types: list[str]) -> str:
     return f"(VALUES {body}) AS t({', '.join(columns)})"
 
 
-def _aspect_rows(mapping: dict[str, list[str]]) -> list[tuple]:
-    return [(a, k, i) for i, (a, kws) in enumerate(mapping.items()) for k in kws]
-
-
-def aspects_frame(spark: SparkSession, mapping: dict[str, list[str]]) -> DataFrame:
-    """Aspect dimension (aspect, keyword, ordinal); ordinal keeps dictionary order."""
-    return spark.createDataFrame(_aspect_rows(mapping), schemas.ASPECTS)
-
-
-def aspects_values_sql(mapping: dict[str, list[str]]) -> str:
-    return values_sql(_aspect_rows(mapping), ["aspect", "keyword", "ordinal"], ["VARCHAR", "VARCHAR", "INTEGER"])
-
-
 def _lexicon_rows(lexicon: dict, negators: list[str]) -> list[tuple]:
     rows = [(w, p, s, i) for w, (p, s, i) in lexicon.items()]
     rows += [(w, None, None, -0.5) for w in negators if w not in lexicon]
@@ -113,10 +115,14 @@ def _lexicon_rows(lexicon: dict, negators: list[str]) -> list[tuple]:
 
 def lexicon_frame(spark: SparkSession, lexicon: dict | None = None,
                   negators: list[str] | None = None) -> DataFrame:
-    """Lexicon table: scored words, modifiers (intensity) and negators (-0.5)."""
-    return spark.createDataFrame(
-        _lexicon_rows(lexicon or DEFAULT_LEXICON, NEGATORS if negators is None else negators),
-        schemas.LEXICON)
+    """Lexicon table: scored words, modifiers (intensity) and negators (-0.5).
+
+    An inline relation, so Catalyst knows its size and picks the join by it.
+    """
+    rows = _lexicon_rows(lexicon or DEFAULT_LEXICON, NEGATORS if negators is None else negators)
+    fields = schemas.LEXICON.fields
+    return spark.sql("SELECT * FROM " + values_sql(rows, [f.name for f in fields],
+                                                   [f.dataType.simpleString() for f in fields]))
 
 
 def lexicon_values_sql(lexicon: dict | None = None, negators: list[str] | None = None) -> str:

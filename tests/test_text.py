@@ -31,13 +31,16 @@ def test_all_aspects_listed_and_top(spark):
 
 def test_lexicon_sentiment_modifiers(spark):
     lex = dims.lexicon_frame(spark)
-    rows = [(1, "good"), (2, "not good"), (3, "very good"), (4, "nothing to score"), (5, None), (6, "good bad")]
+    rows = [(1, "good"), (2, "not good"), (3, "very good"), (4, "nothing to score"), (5, None), (6, "good bad"),
+            (7, "not very good"), (8, "never really worst")]
     df = spark.createDataFrame(rows, "id int, t string")
     out = {r.id: (r.polarity, r.subjectivity, r.sentiment)
            for r in text.lexicon_sentiment(df, lex, "id", F.col("t")).collect()}
-    assert out[1] == (0.7, 0.6, "Positive")
-    assert out[2][0] == -0.35 and out[2][2] == "Negative"
-    assert out[3][0] == 0.91
+    assert out[1] == (0.5, 0.75, "Positive")
+    assert out[2][0] == -0.25 and out[2][2] == "Negative"
+    assert out[3][0] == 0.75
+    assert out[7][0] == -0.375  # both modifiers act
+    assert out[8][0] == 0.75
     assert out[4] == (0.0, 0.0, "Neutral") and out[5] == (0.0, 0.0, "Neutral")
     assert out[6][0] == 0.0
 
@@ -47,3 +50,10 @@ def test_lexicon_sentiment_scores_in_range(spark):
     df = spark.createDataFrame([(1, "extremely best best"), (2, "extremely worst")], "id int, t string")
     for r in text.lexicon_sentiment(df, lex, "id", F.col("t")).collect():
         assert -1.0 <= r.polarity <= 1.0 and 0.0 <= r.subjectivity <= 1.0
+
+
+def test_lexicon_sentiment_counts_a_repeated_word_once(spark):
+    lex = spark.createDataFrame([("good", 0.5, 0.5, None), ("good", 1.0, 0.5, None)], dims.schemas.LEXICON)
+    df = spark.createDataFrame([(1, "good thing"), (2, "")], "id int, t string")
+    out = {r.id: r.polarity for r in text.lexicon_sentiment(df, lex, "id", F.col("t")).collect()}
+    assert out == {1: 0.75, 2: 0.0}
