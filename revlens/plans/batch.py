@@ -29,7 +29,7 @@ def clean_input(spark: SparkSession, csv_path: str, out_dir: str) -> DataFrame:
     def build():
         raw = files.read_reviews_csv(spark, csv_path)
         return files.clean_reviews(raw).withColumn("review_id", F.monotonically_increasing_id())
-    return files.build_once(spark, f"{out_dir}/_reviews_clean", build)
+    return files.build_once(spark, f"{out_dir}/_reviews_clean", build, files.input_identity(spark, csv_path))
 
 
 def _hotspot_table(ratings: DataFrame, sentiment: DataFrame, key: str) -> DataFrame:

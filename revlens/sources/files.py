@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ from revlens.functions.columns import clamp, is_valid_number, nan_to_null
 
 __all__ = [
     "read_reviews_csv", "read_reviews_columns", "clean_reviews", "first_rows", "exact_sample",
-    "read_optional", "build_once", "write_table", "register_view", "cache_shared",
+    "read_optional", "build_once", "write_table", "input_identity", "conform",
     "export_records", "path_exists",
 ]
 
@@ -104,11 +105,37 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType,
     return df
 
 
-def build_once(spark: SparkSession, path: str, build) -> DataFrame:
-    """O-06: read the artefact if present, otherwise compute, store, re-read."""
-    if not path_exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def input_identity(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of the files under a path (metadata only)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    digest = hashlib.md5(usedforsecurity=False)
+    seen = []
+    while found.hasNext():
+        f = found.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    digest.update("\n".join(sorted(seen)).encode())
+    return digest.hexdigest()
+
+
+def build_once(spark: SparkSession, path: str, build, identity: str | None = None) -> DataFrame:
+    """O-06: read the artefact if it is complete, otherwise compute, store, re-read.
+
+    Complete means that the writer left its ``_SUCCESS`` mark; a half-written
+    folder is overwritten. ``identity`` (see :func:`input_identity`) names
+    what it was built from: another input gets a folder of its own.
+    """
+    target = f"{path.rstrip('/')}/{identity}" if identity else path
+    if not path_exists(spark, f"{target.rstrip('/')}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def conform(df: DataFrame, names: dict[str, str], missing: dict[str, float] | None = None) -> DataFrame:
+    """O-31: rename columns to an output schema; listed columns that are absent become a literal (0.0)."""
+    out = df.withColumnsRenamed({old: new for old, new in names.items() if old in df.columns})
+    absent = {c: F.lit(v) for c, v in (missing or {}).items() if c not in out.columns}
+    return out.withColumns(absent) if absent else out
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
@@ -123,17 +150,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.format(fmt).save(path)
 
 
-def register_view(df: DataFrame, name: str) -> DataFrame:
-    """O-08: expose a frame to ``spark.sql`` under ``name``."""
-    df.createOrReplaceTempView(name)
-    return df
-
-
-def cache_shared(df: DataFrame) -> DataFrame:
-    """O-09: persist an input read by several operators (spills, never drops)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def export_records(df: DataFrame, n: int | None = None, order_by: list[str] | None = None) -> DataFrame:
     """O-10: one JSON record per row, non-finite doubles as null, optional head n."""
     fixed = df.select(*[

@@ -36,6 +36,10 @@ def test_build_once_and_sink(spark, tmp_dir):
     assert files.build_once(spark, path, build).count() == 5
     assert files.build_once(spark, path, build).count() == 5
     assert len(calls) == 1
+    os.remove(os.path.join(path, "_SUCCESS"))  # a half-written table is built again
+    assert files.build_once(spark, path, build).count() == 5 and len(calls) == 2
+    a, b = (files.build_once(spark, os.path.join(tmp_dir, "by_input"), lambda n=n: spark.range(n), str(n)) for n in (2, 3))
+    assert (a.count(), b.count()) == (2, 3)
     out = os.path.join(tmp_dir, "csv_out")
     files.write_table(spark.range(3), out, fmt="csv")
     assert spark.read.option("header", True).csv(out).count() == 3
@@ -75,3 +79,18 @@ def test_materialize_goes_to_checkpoint_dir(spark):
     assert df.count() == 10
     base = ensure_checkpoint_dir(spark).replace("file:", "")
     assert any(base.rstrip("/") in f.replace("file:", "") for f in df.inputFiles())
+
+
+def test_input_identity_follows_the_files(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "in")
+    spark.range(3).write.parquet(path)
+    one = files.input_identity(spark, path)
+    assert one == files.input_identity(spark, path)
+    spark.range(3).write.mode("append").parquet(path)
+    assert one != files.input_identity(spark, path)
+
+
+def test_conform_renames_and_fills(spark):
+    df = spark.createDataFrame([(1, 2.0)], "ReviewCount int, AverageRating double")
+    out = files.conform(df, {"ReviewCount": "total_reviews", "SentimentScore": "avg_polarity"}, {"avg_polarity": 0.0})
+    assert out.columns == ["total_reviews", "AverageRating", "avg_polarity"] and out.first().avg_polarity == 0.0
