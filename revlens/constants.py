@@ -32,3 +32,5 @@ FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 8, "seed": 42}
 CV_TREES, CV_FOLDS, TEST_PERCENT = 100, 5, 20
 LOAD_SAMPLE_SIZES = (100_000, 500_000, 1_000_000)  # plus the full table
 # ── end of fixed values ─────────────────────────────────────────────────────
+STATE_MAP_COLUMNS = {"ReviewCount": "total_reviews", "AverageRating": "avg_rating", "HotspotScore": "avg_hotspot_score",
+                     "SentimentScore": "avg_polarity", "NumCities": "num_cities"}

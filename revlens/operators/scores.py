@@ -15,8 +15,8 @@ from revlens.functions.columns import as_col, log1p_nonneg, scaled_band, trend_b
 
 __all__ = [
     "HOTSPOT_WEIGHTS", "minmax_columns", "hotspot_score", "reweighted_score", "place_insights",
-    "hidden_gems", "risk_places", "similar_places", "similar_places_dashboard", "trend_scores",
-    "realtime_scores",
+    "hidden_gems", "risk_places", "similar_places", "similar_places_dashboard", "daily_interest",
+    "trend_scores", "realtime_scores",
     "score_breakdown", "comparison_frame", "map_points",
 ]
 
@@ -185,17 +185,27 @@ def similar_places_dashboard(places: DataFrame, seed: str, top_n: int = 10, key:
     return out.orderBy(F.desc("similarity"), "rank", key).limit(top_n).select(*cols)
 
 
+def daily_interest(interest: DataFrame) -> DataFrame:
+    """(keyword, day): rows, sum and count of interest; all trend figures follow from it."""
+    return interest.groupBy("keyword", F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("interest").alias("total"), F.count("interest").alias("n"))
+
+
 def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, months: int = K.TREND_MONTHS,
                  decimals: int = 6, live_source: str = "Google Trends") -> DataFrame:
     """O-77a: mean interest per keyword over the last ``months`` before the latest
-    timestamp, min-max among live keywords only (zero range -> 0.5), others 0.
+    day, min-max among live keywords only (zero range -> 0.5), others 0.
 
-    ``keywords`` (column Place) is the requested list; a keyword without a
-    status is 'fallback', a live one without data 'unavailable'.
+    ``interest`` is keyword, ts, interest, or the stored :func:`daily_interest`
+    (read twice, for the latest day and the means). ``keywords`` (column
+    Place) is the requested list; a keyword without a status is 'fallback', a
+    live one without data 'unavailable'. ``live_source`` names the source of
+    live rows.
     """
-    latest = interest.select(F.max("ts")).scalar()
-    window = interest.filter(F.col("ts") >= F.add_months(latest, -months).cast("timestamp"))
-    mean = window.groupBy("keyword").agg(F.avg("interest").alias("_raw"))
+    daily = interest if "day" in interest.columns else daily_interest(interest)
+    latest = daily.select(F.max("day")).scalar()
+    mean = (daily.filter(F.col("day") >= F.add_months(latest, -months)).groupBy("keyword")
+            .agg(F.try_divide(F.sum("total"), F.sum("n")).alias("_raw")))
     j = (keywords.join(status, keywords.Place == status.keyword, "left").drop("keyword")
          .join(mean, keywords.Place == mean.keyword, "left").drop("keyword"))
     st = (F.when(F.col("status").isNull(), F.lit("fallback"))
@@ -247,13 +257,17 @@ def score_breakdown(hotspots: DataFrame, key: str, n: int = 20,
 
 def comparison_frame(catalog: DataFrame, key: str, chosen: Column,
                      metrics: tuple[str, ...] = ("avg_rating", "review_count", "avg_polarity", "hotspot_score"),
-                     log_volume: bool = True, decimals: int = 6) -> DataFrame:
-    """O-77d: chosen destinations, metrics min-max within the chosen set, long form."""
+                     log_volume: bool = True, decimals: int = 6, zero_range: float = 0.0) -> DataFrame:
+    """O-77d: chosen destinations, metrics min-max within the chosen set, long form.
+
+    ``log_volume=False, zero_range=0.5`` is the browser's variant: raw counts,
+    and 0.5 where all values are equal.
+    """
     sel = catalog.filter(chosen)
     exprs = {m: (log1p_nonneg(m) if (m == "review_count" and log_volume) else F.col(m).cast("double"))
              for m in metrics}
     sel = minmax_columns(sel.select(key, *metrics), {f"n_{m}": e for m, e in exprs.items()},
-                         zero_range=0.0, fill_null=0.0)
+                         zero_range=zero_range, fill_null=0.0)
     wide = sel.select(F.col(key).alias("Destination"),
                       *[F.round(F.col(f"n_{m}"), decimals).alias(m) for m in metrics])
     return wide.unpivot(["Destination"], list(metrics), "Metric", "Value")

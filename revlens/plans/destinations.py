@@ -10,6 +10,7 @@ from revlens.functions.columns import polarity_label
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, ranking, scores
 from revlens.sources import dimensions as dims
+from revlens.sources import files
 from revlens.session import materialize
 from revlens.sources import testdata as td
 
@@ -86,6 +87,17 @@ def place_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hidden_gem_score", "risk_score", "confidence_score")
 
 
+def place_insights_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-63a: the insight frame with subjectivity and dominant sentiment of the place."""
+    hs = hotspots(td.reviews_num(spark, sf_dir), "Place", with_city=True, extra=("avg_subjectivity",))
+    sentiment = hs.select("Place", "avg_subjectivity", polarity_label("avg_polarity").alias("dominant_sentiment"))
+    mapping = hs.select("Place", F.col("primary_city").alias("city"))
+    frame = joins.place_insight_frame(hs.drop("avg_subjectivity", "primary_city"), mapping, sentiment)
+    return scores.place_insights(materialize(frame)).select(
+        "Place", "City", "review_count", "avg_rating", "avg_polarity", "avg_subjectivity", "dominant_sentiment",
+        "hotspot_score", "hidden_gem_score", "risk_score", "confidence_score")
+
+
 def hidden_gems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-74 list: 30..1200 reviews, top 25 hidden gems."""
     return scores.hidden_gems(place_insights(spark, sf_dir))
@@ -96,6 +108,46 @@ def risk_places(spark: SparkSession, sf_dir: str, min_reviews: int = 800) -> Dat
     return scores.risk_places(place_insights(spark, sf_dir), min_reviews=min_reviews)
 
 
+def risk_places_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-75 list with a threshold that places of the test tables reach (20 reviews)."""
+    return risk_places(spark, sf_dir, min_reviews=20)
+
+
+def lowest_polarity_places(spark: SparkSession, sf_dir: str, n: int = K.TOP_N) -> DataFrame:
+    """O-69d: the n places with the lowest mean polarity."""
+    sentiment = agg.sentiment_by(td.reviews_num(spark, sf_dir), "Place")
+    return ranking.top_n(sentiment, [("avg_polarity", True), ("Place", True)], n)
+
+
+def filter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-58: the distinct cities and places offered as filters, each with its position in order."""
+    base = agg.place_city_base(td.reviews_num(spark, sf_dir)).select("City", "Place")
+    values = base.select(F.explode(F.array(
+        F.struct(F.lit("City").alias("field"), F.col("City").alias("value")),
+        F.struct(F.lit("Place").alias("field"), F.col("Place").alias("value")))).alias("v"))
+    values = values.select("v.field", "v.value").distinct()
+    return ranking.global_row_number(values, [("value", True)], "position", group=["field"])
+
+
+def state_places(spark: SparkSession, sf_dir: str, state: str = "EUROPE") -> DataFrame:
+    """O-63e: the hotspot places of one state (semi join through the primary city)."""
+    hs = hotspots(td.reviews_num(spark, sf_dir), "Place", with_city=True)
+    inside = joins.places_in_state(hs.drop("primary_city"), hs.select("Place", "primary_city"),
+                                   dims.city_state_from_regions(spark, sf_dir), state)
+    return inside.select("Place", "rank", "avg_rating", "review_count", "avg_polarity", "hotspot_score")
+
+
+def state_map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-31: state rollup under the map's column names."""
+    return files.conform(state_hotspots(spark, sf_dir), K.STATE_MAP_COLUMNS, {"avg_polarity": 0.0})
+
+
+def comparison_raw(spark: SparkSession, sf_dir: str, state: str = "EUROPE") -> DataFrame:
+    """O-77d, browser variant: raw volume, 0.5 for a metric without a range."""
+    hs = joins.map_city_state(hotspot_city(spark, sf_dir), dims.city_state_from_regions(spark, sf_dir))
+    return scores.comparison_frame(hs, "City", F.col("State") == state, log_volume=False, zero_range=K.LIVE_ZERO_RANGE)
+
+
 def similar_places(spark: SparkSession, sf_dir: str, seed: str = "part#1", top_n: int = 10) -> DataFrame:
     """O-25 + O-76: places most similar to a seed place."""
     return scores.similar_places(materialize(hotspot_place(spark, sf_dir)), seed, top_n)

@@ -272,6 +272,9 @@ hs AS (SELECT {key}, CAST(ROW_NUMBER() OVER (ORDER BY hotspot_score DESC, {key})
               hotspot_score FROM h)"""
 
 
+_reg("record_export", _hs("City") + """
+SELECT '{"rank":' || rank || ',"City":"' || City || '","hotspot_score":' || hotspot_score || '}' AS record FROM hs""")
+
 _reg("state_hotspots", _hs("City") + "," + _CITY_STATE + """
 SELECT cs.State, CAST(SUM(hs.review_count) AS BIGINT) AS ReviewCount,
        ROUND(AVG(CAST(hs.avg_rating AS DECIMAL(30, 4))), 4) AS AverageRating,
@@ -310,6 +313,25 @@ SELECT * FROM ins WHERE review_count BETWEEN 30 AND 1200 ORDER BY hidden_gem_sco
 _reg("risk_places", _INSIGHTS + """
 SELECT * FROM ins WHERE review_count >= 800 ORDER BY risk_score DESC, Place LIMIT 25""")
 
+_reg("risk_places_small", _INSIGHTS + """
+SELECT * FROM ins WHERE review_count >= 20 ORDER BY risk_score DESC, Place LIMIT 25""")
+_reg("place_insights_sentiment", _INSIGHTS + """,
+sub AS (SELECT Place, ROUND(AVG(subjectivity), 4) AS avg_subjectivity FROM reviews GROUP BY Place)
+SELECT ins.Place, ins.City, ins.review_count, ins.avg_rating, hs.avg_polarity, sub.avg_subjectivity,
+       CASE WHEN hs.avg_polarity > 0.05 THEN 'Positive' WHEN hs.avg_polarity < -0.05 THEN 'Negative'
+            ELSE 'Neutral' END AS dominant_sentiment,
+       ins.hotspot_score, ins.hidden_gem_score, ins.risk_score, ins.confidence_score
+FROM ins JOIN hs ON ins.Place = hs.Place JOIN sub ON ins.Place = sub.Place""")
+_reg("lowest_polarity_places", _num() + """,
+p AS (SELECT Place, ROUND(AVG(polarity), 4) AS avg_polarity, ROUND(AVG(subjectivity), 4) AS avg_subjectivity,
+             COUNT(*) AS review_count FROM reviews GROUP BY Place)
+SELECT *, CASE WHEN avg_polarity > 0.05 THEN 'Positive' WHEN avg_polarity < -0.05 THEN 'Negative'
+               ELSE 'Neutral' END AS dominant_sentiment
+FROM p ORDER BY avg_polarity, Place LIMIT 20""")
+_reg("filter_values", _num() + """,
+v AS (SELECT 'City' AS field, City AS value FROM reviews UNION SELECT 'Place', Place FROM reviews)
+SELECT field, value, ROW_NUMBER() OVER (PARTITION BY field ORDER BY value) AS position FROM v""")
+
 _reg("similar_places", _hs("Place") + """,
 f AS (SELECT *, avg_rating AS f0, ln(1 + GREATEST(CAST(review_count AS DOUBLE), 0.0)) AS f1,
              avg_polarity AS f2, hotspot_score AS f3, rating_std AS f4
@@ -359,6 +381,30 @@ sp AS (SELECT cs.State, hs.Place, hs.avg_rating, hs.review_count, hs.avg_polarit
        FROM hs JOIN mode_city m ON hs.Place = m.Place JOIN city_state cs ON m.primary_city = cs.City)
 SELECT * FROM sp WHERE state_rank <= 10""")
 
+_reg("state_places", _hs("Place") + "," + _CITY_STATE + """,
+pc AS (SELECT Place, City, COUNT(*) AS n FROM reviews GROUP BY Place, City),
+pr AS (SELECT Place, City, ROW_NUMBER() OVER (PARTITION BY Place ORDER BY n DESC, City) AS rn FROM pc)
+SELECT Place, rank, avg_rating, review_count, avg_polarity, hotspot_score FROM hs
+WHERE Place IN (SELECT pr.Place FROM pr JOIN city_state cs ON pr.City = cs.City
+                WHERE pr.rn = 1 AND cs.State = 'EUROPE')""")
+_reg("state_map_rows", _hs("City") + "," + _CITY_STATE + """
+SELECT cs.State, CAST(SUM(hs.review_count) AS BIGINT) AS total_reviews,
+       ROUND(AVG(CAST(hs.avg_rating AS DECIMAL(30, 4))), 4) AS avg_rating,
+       ROUND(AVG(CAST(hs.hotspot_score AS DECIMAL(30, 6))), 4) AS avg_hotspot_score, COUNT(hs.City) AS num_cities,
+       ROUND(AVG(CAST(hs.avg_polarity AS DECIMAL(30, 4))), 4) AS avg_polarity
+FROM hs JOIN city_state cs ON hs.City = cs.City GROUP BY cs.State""")
+_reg("comparison_raw", _hs("City") + "," + _CITY_STATE + """,
+m AS (SELECT hs.City, u.Metric, u.v FROM hs JOIN city_state cs ON hs.City = cs.City,
+             LATERAL (SELECT 'avg_rating' AS Metric, CAST(hs.avg_rating AS DOUBLE) AS v
+                      UNION ALL SELECT 'review_count', CAST(hs.review_count AS DOUBLE)
+                      UNION ALL SELECT 'avg_polarity', hs.avg_polarity
+                      UNION ALL SELECT 'hotspot_score', hs.hotspot_score) u
+      WHERE cs.State = 'EUROPE'),
+b AS (SELECT Metric, MIN(v) AS lo, MAX(v) AS hi FROM m GROUP BY Metric)
+SELECT m.City AS Destination, m.Metric,
+       ROUND(CASE WHEN hi = lo THEN 0.5 ELSE (v - lo) / (hi - lo) END, 6) AS Value
+FROM m JOIN b ON m.Metric = b.Metric""")
+
 _reg("score_breakdown", _hs("City") + """,
 top AS (SELECT * FROM hs ORDER BY hotspot_score DESC, City LIMIT 20)
 SELECT City, 'rating' AS component, ROUND(0.5 * rating_score, 6) AS contribution FROM top
@@ -457,24 +503,40 @@ def _clean(x: str) -> str:
 
 _LABEL = "CASE WHEN {x} > 0.05 THEN 'Positive' WHEN {x} < -0.05 THEN 'Negative' ELSE 'Neutral' END"
 
-_SENT = "WITH " + REVIEWS_TEXT_SQL + f""",
+
+
+def _scores_sql(lexicon: str) -> str:
+    """Review scores as CTE ``sent``: two predecessors decide the modifier of a token."""
+    return "WITH " + REVIEWS_TEXT_SQL + f""",
 txt AS (SELECT doc_id, City, Place, Rating, {_clean(_choose('Review', 'Raw_Review'))} AS ct FROM reviews_text),
 tk AS (SELECT doc_id, City, Place, Rating, string_split(ct, ' ') AS toks FROM txt),
 pr AS (SELECT doc_id, City, Place, Rating, unnest(toks) AS w,
-              unnest(list_concat([''], toks[1:len(toks) - 1])) AS p FROM tk),
-lex AS (SELECT * FROM {_dims.lexicon_values_sql()}),
-sc AS (SELECT pr.doc_id, pr.City, pr.Place, pr.Rating,
-              CASE WHEN lw.polarity IS NULL THEN NULL
-                   ELSE GREATEST(-1.0, LEAST(1.0, lw.polarity * COALESCE(lm.intensity, 1.0))) END AS ps,
-              CASE WHEN lw.subjectivity IS NULL THEN NULL
-                   ELSE GREATEST(0.0, LEAST(1.0, lw.subjectivity *
-                        CASE WHEN COALESCE(lm.intensity, 1.0) > 0 THEN COALESCE(lm.intensity, 1.0) ELSE 1.0 END)) END AS ss
+              unnest(list_concat([''], toks)[1:len(toks)]) AS p,
+              unnest(list_concat(['', ''], toks)[1:len(toks)]) AS q FROM tk),
+lex AS (SELECT * FROM {lexicon}),
+mods AS (SELECT word, intensity FROM lex WHERE intensity IS NOT NULL),
+ch AS (SELECT pr.*, lw.polarity AS pol, lw.subjectivity AS sub,
+              CASE WHEN m1.intensity IS NULL THEN 1.0 ELSE m1.intensity * COALESCE(m2.intensity, 1.0) END AS f
        FROM pr LEFT JOIN (SELECT * FROM lex WHERE polarity IS NOT NULL) lw ON pr.w = lw.word
-               LEFT JOIN (SELECT * FROM lex WHERE intensity IS NOT NULL) lm ON pr.p = lm.word),
+               LEFT JOIN mods m1 ON pr.p = m1.word LEFT JOIN mods m2 ON pr.q = m2.word),
+sc AS (SELECT doc_id, City, Place, Rating,
+              CASE WHEN pol IS NULL THEN NULL ELSE GREATEST(-1.0, LEAST(1.0, pol * f)) END AS ps,
+              CASE WHEN sub IS NULL THEN NULL
+                   ELSE GREATEST(0.0, LEAST(1.0, sub * CASE WHEN f > 0 THEN f ELSE 1.0 END)) END AS ss
+       FROM ch),
 sent0 AS (SELECT doc_id, City, Place, Rating, COALESCE(ROUND(AVG(ps), 4), 0.0) AS polarity,
                  COALESCE(ROUND(AVG(ss), 4), 0.0) AS subjectivity
           FROM sc GROUP BY doc_id, City, Place, Rating),
-sent AS (SELECT *, {_LABEL.format(x='polarity')} AS sentiment FROM sent0),
+sent AS (SELECT *, {_LABEL.format(x='polarity')} AS sentiment FROM sent0)"""
+
+
+_COMMON = _scores_sql(_dims.lexicon_values_sql(_dims.COMMON_WORD_LEXICON, _dims.COMMON_NEGATORS))
+_reg("sentiment_common", _COMMON + "\nSELECT doc_id, City, Place, polarity, subjectivity, sentiment FROM sent")
+_reg("sentiment_common_distribution", _COMMON + """,
+d AS (SELECT sentiment AS label, COUNT(*) AS count FROM sent GROUP BY sentiment)
+SELECT label, count, ROUND(count / (SELECT SUM(count) FROM d) * 100, 2) AS pct FROM d""")
+
+_SENT = _scores_sql(_dims.lexicon_values_sql()) + """,
 ps_c AS (SELECT City, Place, sentiment, COUNT(*) AS n, SUM(CAST(polarity AS DECIMAL(30, 4))) AS s, COUNT(polarity) AS c
          FROM sent GROUP BY City, Place, sentiment),
 ps_r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY City, Place ORDER BY n DESC, sentiment) AS rn FROM ps_c),
@@ -580,7 +642,8 @@ m AS ({' UNION ALL '.join(parts)})
 SELECT aspect, COUNT(*) AS mentions, ROUND(AVG(Rating), 6) AS avg_rating,
        ROUND(AVG(CASE WHEN Rating >= 4 THEN 1.0 ELSE 0.0 END), 6) AS positive_share,
        ROUND(AVG(CASE WHEN Rating <= 2 THEN 1.0 ELSE 0.0 END), 6) AS negative_share,
-       ROUND((AVG(Rating) - 3.0) / 2.0, 6) AS signal
+       ROUND((AVG(Rating) - 3.0) / 2.0, 6) AS signal,
+       ROW_NUMBER() OVER (ORDER BY AVG(Rating) DESC, COUNT(*) DESC, aspect) AS position
 FROM m GROUP BY aspect"""
 
 

@@ -17,6 +17,13 @@ QUERIES = {
     "place_insights": dest.place_insights,
     "hidden_gems": dest.hidden_gems,
     "risk_places": dest.risk_places,
+    "risk_places_small": dest.risk_places_small,
+    "place_insights_sentiment": dest.place_insights_sentiment,
+    "lowest_polarity_places": dest.lowest_polarity_places,
+    "filter_values": dest.filter_values,
+    "state_places": dest.state_places,
+    "state_map_rows": dest.state_map_rows,
+    "comparison_raw": dest.comparison_raw,
     "similar_places": dest.similar_places,
     "state_top_cities": dest.state_top_cities,
     "state_top_places": dest.state_top_places,
@@ -62,6 +69,8 @@ QUERIES = {
     # text
     "review_text_clean": tx.review_text_clean,
     "sentiment_results": tx.sentiment_results,
+    "sentiment_common": tx.sentiment_common,
+    "sentiment_common_distribution": tx.sentiment_common_distribution,
     "sentiment_by_lang": tx.sentiment_by_lang,
     "sentiment_by_source": tx.sentiment_by_source,
     "sentiment_distribution": tx.sentiment_distribution,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import clamp, is_valid_number
 
 __all__ = [
-    "read_table", "reviews_num_raw", "reviews_num", "reviews_text_raw", "interest_events",
+    "read_table", "reviews_num_raw", "reviews_num", "reviews_text_docs", "with_rating", "reviews_text_raw", "interest_events",
     "trend_status", "reviews_num_sql", "REVIEWS_TEXT_SQL", "INTEREST_SQL", "TREND_STATUS_SQL",
 ]
 
@@ -92,21 +92,28 @@ reviews AS (
   WHERE Rating IS NOT NULL AND NOT isnan(Rating) AND City IS NOT NULL AND Place IS NOT NULL)"""
 
 
+def reviews_text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 without ratings: doc_id, City, Place, Review, Raw_Review from documents alone."""
+    d = F.col("doc_id")
+    review = F.when((d % 5 != 0) & (d % 7 == 0), F.lit("   ")).when(d % 5 != 0, F.col("text"))
+    return read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("City"), F.col("source").alias("Place"),
+        review.alias("Review"), F.col("text").alias("Raw_Review"))
+
+
+def with_rating(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the Rating of each doc_id (labels cover a subset, the rest is NULL).
+
+    Call it on narrow rows: whatever is joined here is shuffled on doc_id.
+    """
+    labels = read_table(spark, sf_dir, "labels").select(
+        "doc_id", (F.lit(2.0) + F.lit(3.0) * F.col("quality") - F.col("toxic")).cast("double").alias("Rating"))
+    return df.join(labels, "doc_id", "left")
+
+
 def reviews_text_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2: documents left-joined to labels (labels cover a subset of docs)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    df = docs.join(labels, "doc_id", "left")
-    return df.select(
-        "doc_id",
-        F.col("lang").alias("City"),
-        F.col("source").alias("Place"),
-        F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string"))
-         .when(F.col("doc_id") % 7 == 0, F.lit("   "))
-         .otherwise(F.col("text")).alias("Review"),
-        F.col("text").alias("Raw_Review"),
-        (F.lit(1.0) + F.lit(3.0) * F.col("quality") + (F.lit(1.0) - F.col("toxic"))).cast("double").alias("Rating"),
-    )
+    """C2: documents left-joined to labels."""
+    return with_rating(reviews_text_docs(spark, sf_dir), spark, sf_dir)
 
 
 REVIEWS_TEXT_SQL = """reviews_text AS (
@@ -127,11 +134,10 @@ INTEREST_SQL = """interest AS (
   SELECT event_type AS keyword, ts, value AS interest FROM events)"""
 
 
-def trend_status(spark: SparkSession, sf_dir: str, fallback_keyword: str = "error") -> DataFrame:
+def trend_status(keywords: DataFrame, fallback_keyword: str = "error") -> DataFrame:
     """Fetch status per keyword, derived from the data: one keyword is a fallback."""
-    kw = interest_events(spark, sf_dir).select("keyword").distinct()
     fb = F.col("keyword") == F.lit(fallback_keyword)
-    return kw.select(
+    return keywords.select(
         "keyword",
         F.when(fb, F.lit("fallback")).otherwise(F.lit("live")).alias("status"),
         F.when(fb, F.lit("No data fetched")).otherwise(F.lit("Fetched")).alias("notes"),
