@@ -83,8 +83,10 @@ def feature_importances(spark: SparkSession, model: RandomForestRegressionModel)
     imp = model.featureImportances.toArray().tolist()
     df = spark.createDataFrame(list(zip(FEATURE_COLS, [float(x) for x in imp])), "feature string, importance double")
     total = df.select(F.sum("importance")).scalar()
+    # one row per feature, a table bounded by the feature list
     return df.select("feature", F.round("importance", 6).alias("importance"),
-                     F.round(F.try_divide(F.col("importance"), total), 6).alias("share"))
+                     F.round(F.try_divide(F.col("importance"), total), 6).alias("share")
+                     ).orderBy(F.desc("importance"), "feature")
 
 
 def test_predictions(model: RandomForestRegressionModel, test: DataFrame, key: str) -> DataFrame:

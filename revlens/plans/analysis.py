@@ -160,11 +160,38 @@ def first_reviews(spark: SparkSession, sf_dir: str, n: int = 5000) -> DataFrame:
     return files.first_rows(td.reviews_num(spark, sf_dir), n, ["City", "Place", "Rating", "polarity", "subjectivity"])
 
 
+SAMPLE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+
+
 def review_sample(spark: SparkSession, sf_dir: str, n: int = 5000) -> DataFrame:
-    """O-04: exact-n seeded sample of review rows."""
-    li = td.read_table(spark, sf_dir, "lineitem")
-    return files.exact_sample(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), n,
-                              ["l_orderkey", "l_linenumber"], seed=42)
+    """O-04: exact-n seeded sample of review rows.
+
+    The order number and line do not tell rows apart in the test tables, so
+    the hash takes all columns of the sample.
+    """
+    li = td.read_table(spark, sf_dir, "lineitem").select(*SAMPLE_COLUMNS)
+    return files.exact_sample(li, n, SAMPLE_COLUMNS, seed=42)
+
+
+def review_sample_properties(spark: SparkSession, sf_dir: str, n: int = 5000) -> DataFrame:
+    """O-04, what holds for any exact sample without replacement.
+
+    Its size, and the rows it has more often than the table does.
+    """
+    drawn = materialize(review_sample(spark, sf_dir, n)).groupBy(*SAMPLE_COLUMNS).agg(F.count(F.lit(1)).alias("_drawn"))
+    there = td.read_table(spark, sf_dir, "lineitem").groupBy(*SAMPLE_COLUMNS).agg(F.count(F.lit(1)).alias("_there"))
+    both = drawn.join(there, SAMPLE_COLUMNS, "left")
+    excess = F.greatest(F.col("_drawn") - F.coalesce(F.col("_there"), F.lit(0)), F.lit(0))
+    return both.agg(F.sum("_drawn").alias("rows"), F.sum(excess).alias("excess_rows"))
+
+
+def reviewer_sketch_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-40: per city, whether the HLL++ reviewers are within 15 % (three standard errors) of the exact ones."""
+    people = materialize(td.reviews_num(spark, sf_dir, with_name=True).select("City", "Name").distinct())
+    both = people.groupBy("City").agg(F.count("Name").alias("unique_reviewers"),
+                                      F.approx_count_distinct("Name").alias("_sketch"))
+    off = F.abs(F.col("_sketch") - F.col("unique_reviewers"))
+    return both.select("City", "unique_reviewers", (off <= 0.15 * F.col("unique_reviewers")).alias("within_bound"))
 
 
 def record_export(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:

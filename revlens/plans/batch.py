@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, ranking, scores, text
+from revlens import constants as K
 from revlens.session import get_session, materialize
 from revlens.sources import dimensions as dims
 from revlens.sources import files
@@ -64,9 +65,18 @@ def output_tables(spark: SparkSession, reviews: DataFrame, city_state: DataFrame
     out["place_city_mapping"] = agg.place_primary_city(reviews)
     # batch-engine tables
     out["spark_dataset_summary"] = agg.dataset_summary(spark, reviews)
-    cm = agg.city_metrics(reviews, exact=False)
-    out["spark_city_metrics"] = cm
-    out["spark_place_metrics"] = agg.place_metrics_enriched(reviews)
+    cm = materialize(agg.city_metrics(reviews, exact=False))
+    ranked = ranking.global_ranks(cm, [("review_count", False)], [("City", True)],
+                                  names={"row_number": "row_num", "percent_rank": "pct_rank"})
+    out["spark_city_metrics"] = ranked.withColumns({
+        "pct_rank": F.round("pct_rank", 4), "review_pct": agg.share_of_total("review_count", 2, cm)})
+    out["spark_place_metrics"] = ranking.ranks_within(agg.place_metrics_enriched(reviews), ["City"],
+                                                      [("review_count", False)], [("Place", True)])
+    out["spark_top_cities"] = ranking.top_n(out["spark_city_metrics"], [("review_count", False), ("City", True)],
+                                            K.TOP_N, where=F.col("review_count") > K.CITY_MIN_REVIEWS)
+    out["spark_top_places"] = ranking.top_n(out["spark_place_metrics"],
+                                            [("review_count", False), ("Place", True), ("City", True)],
+                                            K.TOP_N, where=F.col("review_count") > K.PLACE_MIN_REVIEWS)
     out["spark_rating_dist"] = agg.rating_distribution_int(spark, reviews)
     if city_state is not None:
         out["spark_state_metrics"] = agg.state_metrics(cm, city_state)
@@ -93,9 +103,11 @@ def model_tables(spark: SparkSession, place_r: DataFrame, city_r: DataFrame, map
     model = ml.train_forest(train)
     tr = ml.regression_metrics(model.transform(train), prefix="train_")
     te = ml.regression_metrics(model.transform(test), prefix="test_")
-    metrics = tr.withColumn("_te", te.select(F.struct("*")).scalar()).select(
+    cv = ml.cross_validate(train, "Place").select(F.struct("*")).scalar()
+    metrics = tr.withColumns({"_te": te.select(F.struct("*")).scalar(), "_cv": cv}).select(
         "train_mae", F.col("_te.test_mae").alias("test_mae"), "train_rmse", F.col("_te.test_rmse").alias("test_rmse"),
-        "train_r2", F.col("_te.test_r2").alias("test_r2"))
+        "train_r2", F.col("_te.test_r2").alias("test_r2"), F.col("_cv.cv_r2_mean").alias("cv_r2_mean"),
+        F.col("_cv.cv_r2_std").alias("cv_r2_std"))
     return {"model_metrics": metrics, "feature_importances": ml.feature_importances(spark, model),
             "prediction_results": ml.test_predictions(model, test, "Place"),
             "all_place_predictions": ml.all_predictions(model, feats, "Place")}

@@ -272,6 +272,11 @@ hs AS (SELECT {key}, CAST(ROW_NUMBER() OVER (ORDER BY hotspot_score DESC, {key})
               hotspot_score FROM h)"""
 
 
+_reg("review_sample_properties", """
+SELECT LEAST(5000, COUNT(*)) AS rows, CAST(0 AS BIGINT) AS excess_rows FROM lineitem""")
+_reg("reviewer_sketch_error", _num(True) + """
+SELECT City, COUNT(DISTINCT Name) AS unique_reviewers, TRUE AS within_bound FROM reviews GROUP BY City""")
+
 _reg("record_export", _hs("City") + """
 SELECT '{"rank":' || rank || ',"City":"' || City || '","hotspot_score":' || hotspot_score || '}' AS record FROM hs""")
 

@@ -65,6 +65,8 @@ QUERIES = {
     "city_place_rollup": an.city_place_rollup,
     "first_reviews": an.first_reviews,
     "review_sample": an.review_sample,
+    "review_sample_properties": an.review_sample_properties,
+    "reviewer_sketch_error": an.reviewer_sketch_error,
     "record_export": an.record_export,
     # text
     "review_text_clean": tx.review_text_clean,

@@ -28,3 +28,20 @@ def test_batch_outputs_from_csv(spark, tmp_dir):
     assert all(0.0 <= r.hotspot_score <= 1.0 for r in hs)
     states = {r.State for r in spark.read.parquet(f"{out}/state_metrics").collect()}
     assert states == {"S1", "S2"}
+    ranked = "review_count avg_rating rating_std min_rating max_rating unique_places unique_reviewers five_star_rate " \
+             "rank dense_rank row_num pct_rank review_pct"
+    headers = {
+        "spark_top_cities": f"City {ranked}", "spark_city_metrics": f"City {ranked}",
+        "spark_top_places": "City Place review_count avg_rating rating_std city_review_count city_avg_rating "
+                            "city_place_count city_rank city_dense_rank city_row_number",
+        "model_metrics": "train_mae test_mae train_rmse test_rmse train_r2 test_r2 cv_r2_mean cv_r2_std",
+        "top_cities": "City review_count avg_rating unique_places", "top_places": "Place review_count avg_rating city",
+        "state_metrics": "State ReviewCount AverageRating HotspotScore NumCities SentimentScore",
+    }
+    for table, header in headers.items():
+        assert set(spark.read.parquet(f"{out}/{table}").columns) == set(header.split()), table
+    # another input into the same folder gives its own result
+    half = os.path.join(tmp_dir, "half_csv")
+    src.filter("Rating >= 4").coalesce(1).write.option("header", True).option("escape", '"').csv(half)
+    batch.build_outputs(spark, half, out)
+    assert spark.read.parquet(f"{out}/sentiment_results").count() == src.filter("Rating >= 4").count() < rated
