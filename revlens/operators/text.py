@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import as_col, choose_review_text, is_blank, normalise_text, polarity_label
 
 __all__ = [
-    "review_text", "aspect_flags", "aspect_hits", "aspect_mentions", "aspect_summary", "lexicon_sentiment",
+    "review_text", "aspect_flags", "flag_columns", "aspect_hits", "aspect_mentions", "aspect_summary", "lexicon_sentiment",
     "word_boundary_pattern", "top_aspect", "search_summary",
 ]
 
@@ -61,26 +61,34 @@ def aspect_flags(text: Column, aspects: dict[str, list[str]], mode: str = "subst
     return flags
 
 
+def flag_columns(aspects: dict[str, list[str]], text: str, mode: str) -> dict[str, Column]:
+    """``_a0``, ``_a1``, ...: whether a text mentions each aspect, in dictionary order."""
+    return {f"_a{i}": f for i, f in enumerate(aspect_flags(F.col(text), aspects, mode))}
+
+
 def aspect_hits(df: DataFrame, aspects: dict[str, list[str]], text: str, mode: str,
                 carry: list[str]) -> DataFrame:
-    """``carry`` plus ``hits``: the names of the aspects a text mentions, in dictionary order.
+    """``carry`` plus a flag per aspect: narrow enough to be joined or shuffled in place of the text.
 
-    Narrow enough to be joined or shuffled in place of the text.
+    As columns of their own the flags share one lower-cased text in generated code.
     """
-    flags = [f.alias(f"_a{i}") for i, f in enumerate(aspect_flags(F.col(text), aspects, mode))]
-    flagged = df.select(*carry, *flags)
+    return df.select(*carry, *[f.alias(c) for c, f in flag_columns(aspects, text, mode).items()])
+
+
+def _mentioned(found: DataFrame, aspects: dict[str, list[str]], rating: str) -> DataFrame:
+    """(rating, aspect) for each flag that is set."""
     named = F.array(*[F.when(F.col(f"_a{i}"), F.lit(a)) for i, a in enumerate(aspects)])
-    return flagged.select(*carry, F.filter(named, lambda x: x.isNotNull()).alias("hits"))
+    return found.select(rating, F.explode(F.filter(named, lambda x: x.isNotNull())).alias("aspect"))
 
 
 def aspect_mentions(df: DataFrame, aspects: dict[str, list[str]], text: str = "Review",
                     rating: str = "Rating") -> DataFrame:
     """O-47: mentions per aspect (substring, once per review) and mean rating of
     the matches ignoring NULL/NaN (2 dp); every aspect listed, ``ordinal`` is the
-    dictionary order. A frame that has ``hits`` (see :func:`aspect_hits`) needs no text."""
-    found = df if "hits" in df.columns else aspect_hits(df, aspects, text, "substring", [rating])
+    dictionary order. A frame that has the flags (see :func:`aspect_hits`) needs no text."""
+    found = df if "_a0" in df.columns else aspect_hits(df, aspects, text, "substring", [rating])
     r = F.when(~F.isnan(F.col(rating)), F.col(rating))
-    g = (found.select(rating, F.explode("hits").alias("aspect")).groupBy("aspect")
+    g = (_mentioned(found, aspects, rating).groupBy("aspect")
          .agg(F.count(F.lit(1)).alias("mentions"), F.round(F.avg(r), 2).alias("avg_rating")))
     spine = df.sparkSession.createDataFrame([(a, i) for i, a in enumerate(aspects)], "aspect string, ordinal int")
     return (spine.join(g, "aspect", "left")
@@ -98,10 +106,10 @@ def aspect_summary(df: DataFrame, aspects: dict[str, list[str]], text: str = "re
     """O-48: word-boundary matches: mentions, mean rating, share >= 4, share <= 2,
     signal = (mean - 3) / 2; aspects without hits are absent. ``position`` is the
     order: signal, then mentions, descending (ties by name); it numbers one row
-    per aspect, a table bounded by the dictionary. A frame that has ``hits``
+    per aspect, a table bounded by the dictionary. A frame that has the flags
     needs no text."""
-    found = df if "hits" in df.columns else aspect_hits(df, aspects, text, "regex", [rating])
-    m = found.select(rating, F.explode("hits").alias("aspect"))
+    found = df if "_a0" in df.columns else aspect_hits(df, aspects, text, "regex", [rating])
+    m = _mentioned(found, aspects, rating)
     r = F.col(rating)
     g = m.groupBy("aspect").agg(
         F.count(F.lit(1)).alias("mentions"),
@@ -139,11 +147,9 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, text: Column,
     shifted = lambda by: F.slice(F.concat(F.array(*[F.lit("")] * by), toks), F.lit(1), F.size(toks))
     zipped = F.arrays_zip(toks.alias("w"), shifted(1).alias("p"), shifted(2).alias("q"))
     t = df.select(key, *carry, F.split(normalise_text(text), " ").alias("_toks"))
-    t = t.select(key, *carry, F.posexplode(zipped).alias("_i", "_t"))  # an empty text still has one empty token
-    t = t.select(key, *carry, "_i", *[F.col(f"_t.{c}").alias(f"_{c}") for c in "wpq"])
+    t = t.select(key, *carry, F.explode(zipped).alias("_t"))  # an empty text still has one empty token
+    t = t.select(key, *carry, *[F.col(f"_t.{c}").alias(f"_{c}") for c in "wpq"])
     t = t.join(words.select(F.col("word").alias("_w"), "_pol", "_sub").filter(F.col("_pol").isNotNull()), "_w", "left")
-    # past this point go the scored tokens and, for reviews without any, the first token
-    t = t.filter(F.col("_pol").isNotNull() | (F.col("_i") == 0))
     for c in "pq":
         factors = words.select(F.col("word").alias(f"_{c}"), F.col("_int").alias(f"_int_{c}"))
         t = t.join(factors.filter(F.col(f"_int_{c}").isNotNull()), f"_{c}", "left")
@@ -166,14 +172,14 @@ def search_summary(df: DataFrame, aspects: dict[str, list[str]], text: str = "Re
     and the most mentioned aspect (ties -> first in dictionary order).
 
     The hits are counted in the same aggregate as the summary, so the
-    filtered reviews are read once; a frame that has ``hits`` needs no text.
+    filtered reviews are read once; a frame that has the flags needs no text.
     """
-    found = df if "hits" in df.columns else aspect_hits(df, aspects, text, "substring", [rating, "polarity"])
+    found = df if "_a0" in df.columns else aspect_hits(df, aspects, text, "substring", [rating, "polarity"])
     r = F.col(rating)
     g = found.agg(F.count(F.lit(1)).alias("count"),
                   F.round(F.avg(F.when(~F.isnan(r), r)), 2).alias("avg_rating"),
                   F.round(F.avg(F.col("polarity").cast("decimal(30,4)")), 4).cast("double").alias("avg_polarity"),
-                  *[F.count_if(F.array_contains("hits", a)).alias(f"_m{i}") for i, a in enumerate(aspects)])
+                  *[F.count_if(F.col(f"_a{i}")).alias(f"_m{i}") for i in range(len(aspects))])
     best = F.array_max(F.array(*[F.struct(F.col(f"_m{i}").alias("n"), F.lit(-i).alias("o"), F.lit(a).alias("a"))
                                  for i, a in enumerate(aspects)]))
     return g.select("count", "avg_rating", "avg_polarity", best["a"].alias("top_aspect"))

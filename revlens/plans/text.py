@@ -109,10 +109,8 @@ def _search_rows(spark: SparkSession, sf_dir: str, city=None, place=None, sentim
 
 
 def _hits(aspects: dict) -> dict:
-    """``hits`` as a derived column of the search rows (substring rule)."""
-    flags = text.aspect_flags(F.col("Review"), aspects, "substring")
-    named = F.array(*[F.when(f, F.lit(a)) for a, f in zip(aspects, flags)])
-    return {"hits": F.filter(named, lambda x: x.isNotNull())}
+    """The aspect flags as derived columns of the search rows (substring rule)."""
+    return text.flag_columns(aspects, "Review", "substring")
 
 
 def reviews_with_place_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
