@@ -1,12 +1,14 @@
 """Operator 7: main text of a page by line-block distribution.
 
 Markup is stripped to lines, one for each block element. A line weighs the
-characters of its text outside links; lines of menus, headers, footers,
-sidebars, notices, adverts, forms and comments weigh nothing, and where the
-page marks an article, its lines weigh enough to surge on their own and all
-others nothing. The weights are summed over a sliding window of lines. Where
-the sum rises over a threshold is a surge point, where it falls to nothing a
-dive point; the text between them is kept.
+characters of its text outside links, on every page; lines of menus, headers,
+footers, sidebars, notices, adverts, forms and comments weigh nothing. The
+weights are summed over a sliding window of lines. Where the sum rises over a
+threshold is a surge point, where it falls to nothing, or where an <article>
+or <main> begins or ends, a dive point; an <article> with a surge point is one
+stretch. The heaviest stretch is main text, and others that weigh a share of
+it. Lines in an <article> or <main> count BONUS times here, so the mark tips
+the balance, but a page that marks only teasers keeps its unmarked body.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 WINDOW = 3        # lines in a window
 SURGE = 86        # characters in a window at which text may begin
 SHARE = 0.25      # a stretch is kept if it weighs so much of the heaviest one
+BONUS = 2         # times that a marked stretch weighs against an unmarked one
 LINK_SHARE = 0.5  # a line with more of its text in links weighs nothing
 
 # Element names by their role.
@@ -63,14 +66,19 @@ def _is_outer(name: str, attrs: str, in_article: bool) -> bool:
 
 
 class Lines:
-    """The lines of a page: text, characters in links, whether they hold main text, whether in an article."""
+    """The lines of a page: text, characters in links, whether they hold main text, and the marked element they lie in.
+
+    Marked elements count from 1 (0: none), even numbers for <article>, odd
+    ones for <main>. The outermost <article> counts, or else the outermost <main>.
+    """
 
     def __init__(self, page: str):
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
         self._parts: list[str] = []
         self._linked = 0
-        self._stack: list[tuple[str, bool, bool, bool]] = []  # name, no main text, in an article, hides by its own attributes
+        self._stack: list[tuple[str, bool, int, bool]] = []  # name, no main text, marked element, hides by its own attributes
         self._links = 0
+        self._marks = 0
         self._scan(page)
 
     def _text(self, raw: str) -> None:
@@ -83,8 +91,8 @@ class Lines:
         if self._parts:
             text = " ".join(entities.unescape("".join(self._parts)).split())
             if text:
-                _, outer, article, _ = self._stack[-1] if self._stack else ("", False, False, False)
-                self.lines.append((text, min(self._linked, len(text)), not outer, article))
+                _, outer, mark, _ = self._stack[-1] if self._stack else ("", False, 0, False)
+                self.lines.append((text, min(self._linked, len(text)), not outer, mark))
             self._parts, self._linked = [], 0
 
     def _scan(self, page: str) -> None:
@@ -123,14 +131,16 @@ class Lines:
             return at
         if name == "p" and self._stack and self._stack[-1][0] == "p":
             self._pop("p")
-        _, outer, article, _ = self._stack[-1] if self._stack else ("", False, False, False)
-        if name in ("article", "main") and not article:
+        _, outer, mark, _ = self._stack[-1] if self._stack else ("", False, 0, False)
+        if name in ("article", "main") and not mark:
             outer = any(x[3] for x in self._stack)  # an unclosed menu doesn't swallow the article, a list of comments does
-            article = True
+        if name == "main" and not mark or name == "article" and (not mark or _is_main(mark)):
+            self._marks += 2
+            mark = self._marks - (name == "main")
         if name == "a":
             self._links += 1
-        hides = _is_outer(name, attrs, article)
-        self._stack.append((name, outer or hides, article, hides and name not in OUTER))
+        hides = _is_outer(name, attrs, mark > 0)
+        self._stack.append((name, outer or hides, mark, hides and name not in OUTER))
         return at
 
     def _pop(self, name: str) -> None:
@@ -149,21 +159,18 @@ def _escaped(text: str) -> str:
     return text.replace("&", "&amp;")
 
 
-def weights(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
+def _is_main(mark: int) -> bool:
+    return mark % 2 == 1
+
+
+def weights(lines: list[tuple[str, int, bool, int]]) -> list[int]:
     """Characters that count for each line."""
-    own = [len(t) - linked if inner and linked <= LINK_SHARE * len(t) else 0 for t, linked, inner, _ in lines]
-    inside = [bool(w) and article for w, (_, _, _, article) in zip(own, lines, strict=True)]
-    if any(inside):
-        return [max(w, SURGE + 1) if x else 0 for w, x in zip(own, inside, strict=True)]
-    return own
+    return [len(t) - linked if inner and linked <= LINK_SHARE * len(t) else 0 for t, linked, inner, _ in lines]
 
 
-def stretches(w: list[int]) -> list[tuple[int, int]]:
-    """(surge, dive) line ranges of the text that is kept."""
+def _surges(w: list[int], threshold: float) -> list[tuple[int, int]]:
+    """(surge, dive) line ranges."""
     sums = [sum(w[i:i + WINDOW]) for i in range(len(w))]
-    if not any(sums):
-        return []
-    threshold = min(SURGE, max(sums) / 2)
     found, i = [], 0
     while i < len(w):
         if sums[i] <= threshold or not w[i]:
@@ -174,15 +181,38 @@ def stretches(w: list[int]) -> list[tuple[int, int]]:
             j += 1
         found.append((i, j))
         i = j
-    heaviest = max(sum(w[a:b]) for a, b in found) if found else 0
-    return [(a, b) for a, b in found if sum(w[a:b]) >= SHARE * heaviest]
+    return found
+
+
+def _least(mark: int, best: int) -> float:
+    """Share of the heaviest stretch's weight, which lies in element ``best``, that one in element ``mark`` needs."""
+    if bool(mark) != bool(best) or _is_main(best) and mark and not _is_main(mark):
+        return SHARE * BONUS  # unmarked text beside a marked body, or cards beside a body that isn't an article
+    return SHARE
+
+
+def stretches(w: list[int], marks: list[int]) -> list[tuple[int, int]]:
+    """Line ranges of the text that is kept; none runs over the border of a marked element."""
+    edges = [0, *(i for i in range(1, len(w)) if marks[i] != marks[i - 1]), len(w)]
+    parts = list(zip(edges, edges[1:], strict=False))
+    raised = [x * BONUS if mark else x for x, mark in zip(w, marks, strict=True)]
+    threshold = min(SURGE, max((sum(raised[i:min(i + WINDOW, b)]) for a, b in parts for i in range(a, b)), default=0) / 2)
+    found = []
+    for a, b in parts:
+        surges = [(a + i, a + j) for i, j in _surges(raised[a:b], threshold)]
+        found += [(a, b)] if surges and marks[a] and not _is_main(marks[a]) else surges
+    if not found:
+        return []
+    best = max(found, key=lambda x: sum(raised[x[0]:x[1]]))
+    heaviest = sum(w[best[0]:best[1]])
+    return [(a, b) for a, b in found if sum(w[a:b]) >= _least(marks[a], marks[best[0]]) * heaviest]
 
 
 def main_text(page: str) -> str:
-    """The lines between surge and dive points that weigh something, joined by newlines."""
+    """The lines of the stretches that weigh something, joined by newlines."""
     lines = Lines(page).lines
     w = weights(lines)
-    return "\n".join(lines[i][0] for a, b in stretches(w) for i in range(a, b) if w[i])
+    return "\n".join(lines[i][0] for a, b in stretches(w, [x[3] for x in lines]) for i in range(a, b) if w[i])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -229,6 +229,22 @@ def test_html(page, text, spark):
     assert html.main_text(page or "") == text
 
 
+BODY = [f"Paragraph {i} of the body " + "tells more of it " * 12 for i in range(4)]
+
+
+def test_html_distribution_decides_over_tags():
+    body = "".join(f"<div>{x}</div>" for x in BODY)
+    want = "\n".join(x.strip() for x in BODY)
+    cards = "".join(f"<article><h3>Teaser {i}</h3><p>{'more to read ' * 9}</p></article>" for i in range(3))
+    assert html.main_text(f"<body>{body}</body>") == want
+    assert html.main_text(f"<body><div>{body}</div><section>{cards}</section></body>") == want  # only teasers are marked
+    assert html.main_text(f"<body>{cards}<div>{body}</div></body>") == want
+    assert html.main_text(f"<main>{body}{cards}</main>") == want
+    assert html.main_text(f"<body><div>{'unmarked noise ' * 20}</div><article>{body}</article></body>") == want
+    noise = "<hr><div><a href=a>Share</a></div><div><a href=b>Mail</a></div><div><a href=c>Print</a></div><div>12 views</div>"
+    assert html.main_text(f"<main>{body}{noise}</main>") == want  # no listed class, in a marked element
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>")], "page_id long, url string, html string")
     assert sorted([tuple(r) for r in html.extract_text(pages).collect()], key=str) == [(1, "u", ""), (None, None, "x")]
