@@ -9,6 +9,10 @@ or <main> begins or ends, a dive point; an <article> with a surge point is one
 stretch. The heaviest stretch is main text, and others that weigh a share of
 it. Lines in an <article> or <main> count BONUS times here, so the mark tips
 the balance, but a page that marks only teasers keeps its unmarked body.
+
+A kept <article> loses only its boilerplate lines, and a <main> that holds the
+heaviest stretch keeps all its stretches, whatever they weigh. Elsewhere a
+stretch starts at a heading up to WINDOW lines before its surge point.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ LINK_SHARE = 0.5  # a line with more of its text in links weighs nothing
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table
 tbody td tfoot th thead tr ul""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes noembed xmp svg math object canvas".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 OUTER = frozenset("nav footer aside form menu dialog button select datalist head".split())
@@ -66,14 +71,14 @@ def _is_outer(name: str, attrs: str, in_article: bool) -> bool:
 
 
 class Lines:
-    """The lines of a page: text, characters in links, whether they hold main text, and the marked element they lie in.
+    """The lines of a page: text, characters in links, whether they hold main text, the marked element they lie in, whether a heading.
 
     Marked elements count from 1 (0: none), even numbers for <article>, odd
     ones for <main>. The outermost <article> counts, or else the outermost <main>.
     """
 
     def __init__(self, page: str):
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, bool, int, bool]] = []
         self._parts: list[str] = []
         self._linked = 0
         self._stack: list[tuple[str, bool, int, bool]] = []  # name, no main text, marked element, hides by its own attributes
@@ -92,7 +97,8 @@ class Lines:
             text = " ".join(entities.unescape("".join(self._parts)).split())
             if text:
                 _, outer, mark, _ = self._stack[-1] if self._stack else ("", False, 0, False)
-                self.lines.append((text, min(self._linked, len(text)), not outer, mark))
+                heading = any(x[0] in HEADINGS for x in self._stack)
+                self.lines.append((text, min(self._linked, len(text)), not outer, mark, heading))
             self._parts, self._linked = [], 0
 
     def _scan(self, page: str) -> None:
@@ -163,9 +169,9 @@ def _is_main(mark: int) -> bool:
     return mark % 2 == 1
 
 
-def weights(lines: list[tuple[str, int, bool, int]]) -> list[int]:
+def weights(lines: list[tuple[str, int, bool, int, bool]]) -> list[int]:
     """Characters that count for each line."""
-    return [len(t) - linked if inner and linked <= LINK_SHARE * len(t) else 0 for t, linked, inner, _ in lines]
+    return [len(t) - linked if inner and linked <= LINK_SHARE * len(t) else 0 for t, linked, inner, _, _ in lines]
 
 
 def _surges(w: list[int], threshold: float) -> list[tuple[int, int]]:
@@ -204,15 +210,35 @@ def stretches(w: list[int], marks: list[int]) -> list[tuple[int, int]]:
     if not found:
         return []
     best = max(found, key=lambda x: sum(raised[x[0]:x[1]]))
-    heaviest = sum(w[best[0]:best[1]])
-    return [(a, b) for a, b in found if sum(w[a:b]) >= _least(marks[a], marks[best[0]]) * heaviest]
+    heaviest, mark = sum(w[best[0]:best[1]]), marks[best[0]]
+    return [(a, b) for a, b in found if _is_main(mark) and marks[a] == mark or sum(w[a:b]) >= _least(marks[a], mark) * heaviest]
+
+
+def _from_heading(start: int, least: int, lines: list[tuple[str, int, bool, int, bool]], w: list[int]) -> int:
+    """Where a stretch begins whose surge point is ``start``: at the headings before it, but not before ``least``."""
+    first, i = start, start - 1
+    while i >= max(least, first - WINDOW) and lines[i][2] and lines[i][3] == lines[start][3] and (w[i] or lines[i][4]):
+        if lines[i][4]:
+            first = i
+        elif first < start:
+            break  # only headings that follow each other
+        i -= 1
+    return first
 
 
 def main_text(page: str) -> str:
-    """The lines of the stretches that weigh something, joined by newlines."""
+    """The kept lines, joined by newlines."""
     lines = Lines(page).lines
     w = weights(lines)
-    return "\n".join(lines[i][0] for a, b in stretches(w, [x[3] for x in lines]) for i in range(a, b) if w[i])
+    kept, end = [], 0
+    for a, b in stretches(w, [x[3] for x in lines]):
+        if lines[a][3] and not _is_main(lines[a][3]):
+            kept += [lines[i][0] for i in range(a, b) if lines[i][2]]
+        else:
+            first = _from_heading(a, end, lines, w)
+            kept += [lines[i][0] for i in range(first, b) if w[i] or i < a]
+        end = b
+    return "\n".join(kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

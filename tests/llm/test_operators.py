@@ -245,6 +245,28 @@ def test_html_distribution_decides_over_tags():
     assert html.main_text(f"<main>{body}{noise}</main>") == want  # no listed class, in a marked element
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_marked_body_keeps_light_stretches(tag):
+    body = "".join(f"<p>{x}</p>" for x in BODY)
+    closing = "In the end the last paragraph weighs little, but it still belongs to the text and it has to be kept whole."
+    advert = "<div class='ad'>Buy</div><div class='newsletter'>Join</div><ul class='related'><li>One</li><li>Two</li></ul>"
+    assert html.main_text(f"<{tag}>{body}{advert}<p>{closing}</p></{tag}>").split("\n")[-1] == closing
+
+
+def test_html_article_keeps_short_and_linked_lines():
+    body = "".join(f"<p>{x}</p>" for x in BODY)
+    advert = "<div class='ad'>Buy</div><div class='ad'>Buy</div><div class='ad'>Buy</div><div class='ad'>Buy</div>"
+    got = html.main_text(f"<article>{body}<p>See <a href=x>the whole report of the year</a></p>{advert}<p>The end.</p></article>").split("\n")
+    assert got[-2:] == ["See the whole report of the year", "The end."] and len(got) == len(BODY) + 2
+
+
+@pytest.mark.parametrize("head", ["<h1>Short headline</h1><div>By A. Writer</div><div>1 May</div>", "<h1>Short</h1><h2>Sub</h2><div>By A. Writer</div><div>1 May</div>", "<h1><a href=x>Short headline</a></h1><p>By A. Writer</p><p>1 May</p>"])
+def test_html_unmarked_headline(head):
+    page = f"<body><div class='menu'><a href=a>Home</a></div><div>{head}" + "".join(f"<p>{x}</p>" for x in BODY) + "</div></body>"
+    got = html.main_text(page)
+    assert got.startswith("Short") and "By A. Writer\n1 May\n" + BODY[0].strip() in got
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>")], "page_id long, url string, html string")
     assert sorted([tuple(r) for r in html.extract_text(pages).collect()], key=str) == [(1, "u", ""), (None, None, "x")]
