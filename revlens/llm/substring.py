@@ -7,14 +7,14 @@ unique dies there. With the target fixed, the second level is the last.
 
 Of the half windows only *seeds* travel: each target window names the smallest
 hash among the half windows inside it. Equal target windows name equal seeds,
-so no repeat is lost, and about a quarter of the positions are sent. A seed
-row carries 40 more bits of hash for each target window that named it, so both
-levels are decided in one shuffle by seed. Texts travel compressed to the
-spans that were found in them.
+so no repeat is lost. Windows meet by seed and their own whole hash, 64 bits
+each, so windows that share a seed are as many groups as they differ in words.
+A group is read in the order of doc_id and only its first id is held. Texts
+travel compressed to the spans that were found in them.
 
 Repeats inside one block of a task are decided there and not sent, so a
-passage held by a third of all documents meets at its seed once per block,
-not once per document.
+passage held by a third of all documents meets once per block, not once per
+document.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from revlens.llm import words as W
 
 LOCAL = 0xFFFFFFFF  # position of a row that holds spans decided inside one block
 
-SEED_SCHEMA = "seed long, doc_id long, pos long, tail binary"
+WINDOW_SCHEMA = "seed long, window long, doc_id long, pos long, local binary"
 SPAN_SCHEMA = "doc_id long, text_key int, spans binary"
 OUT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>"
 
@@ -42,23 +42,20 @@ def _text_key(text: bytes) -> int:
     return zlib.crc32(text) & 0xFFFFFF
 
 
-def _seed_rows(ids: list[int], block: list[bytes], target: int) -> pa.RecordBatch:
+def _window_rows(ids: list[int], block: list[bytes], target: int) -> pa.RecordBatch:
     order = sorted(range(len(ids)), key=ids.__getitem__)
     words = W.Block([block[i] for i in order])
     codes, first, lens = words.codes, words.first, words.count
-    empty = pa.RecordBatch.from_pylist([], schema=_arrow_seed())
+    empty = pa.RecordBatch.from_pylist([], schema=_arrow_window())
     if len(codes) < target:
         return empty
     doc = np.repeat(np.arange(len(lens)), lens)
     half = (target + 1) // 2
     seeds, full = W.window_hashes(codes, half), W.window_hashes(codes, target, 1)
     n = len(full)
-    low, at = seeds[:n].copy(), np.zeros(n, np.int64)  # the leftmost smallest seed inside each window
+    low = seeds[:n].copy()  # the smallest seed inside each window
     for j in range(1, target - half + 1):
-        less = seeds[j:j + n] < low
-        low[less] = seeds[j:j + n][less]
-        at[less] = j
-    at += np.arange(n)
+        np.minimum(low, seeds[j:j + n], out=low)
     ok = np.flatnonzero(doc[:n] == doc[target - 1:])
     if not len(ok):
         return empty
@@ -74,86 +71,60 @@ def _seed_rows(ids: list[int], block: list[bytes], target: int) -> pa.RecordBatc
     here[by[ident[doc[by]] > ident[doc[head]]]] = True
 
     rest = ok[~here[ok]]
-    cut = np.ones(len(rest), bool)
-    cut[1:] = (rest[1:] != rest[:-1] + 1) | (at[rest[1:]] != at[rest[:-1]])
-    lead = rest[cut]
-    tail = np.ascontiguousarray(full[rest].view(np.uint8).reshape(-1, 8)[:, 3:])
-    offsets = np.append(np.flatnonzero(cut) * 5, len(rest) * 5).astype(np.int32)
-    seed = W.signed(low[lead])
-    d = doc[lead]
-    pos = (keys[d] << 32) | (lead - first[d])
-    rows = [pa.array(seed), pa.array(ident[d]), pa.array(pos),
-            pa.Array.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(offsets), pa.py_buffer(tail)])]
-    out = pa.RecordBatch.from_arrays(rows, schema=_arrow_seed())
+    d = doc[rest]
+    pos = (keys[d] << 32) | (rest - first[d])
+    out = pa.RecordBatch.from_arrays([pa.array(W.signed(low[rest])), pa.array(W.signed(full[rest])), pa.array(ident[d]), pa.array(pos), pa.nulls(len(rest), pa.binary())],
+                                     schema=_arrow_window())
     if not here.any():
         return out
     local = []
     for k in np.unique(doc[:n][here]).tolist():
         a, b = first[k], min(first[k] + lens[k], n)
         spans = [x for run in W.runs(here[a:b]) for x in run]
-        local.append((int(W.signed(W.mix(np.array([ident[k]]).view(np.uint64)))[0]), int(ident[k]),
+        local.append((int(W.signed(W.mix(np.array([ident[k]]).view(np.uint64)))[0]), 0, int(ident[k]),
                       (int(keys[k]) << 32) | LOCAL, struct.pack(f"<{len(spans)}i", *spans)))
-    more = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*local, strict=True), _arrow_seed(), strict=True)],
-                                      schema=_arrow_seed())
+    more = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*local, strict=True), _arrow_window(), strict=True)],
+                                      schema=_arrow_window())
     return pa.Table.from_batches([out, more]).combine_chunks().to_batches()[0]
 
 
-def _arrow_seed() -> pa.Schema:
-    return pa.schema([("seed", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("tail", pa.binary())])
+def _arrow_window() -> pa.Schema:
+    return pa.schema([("seed", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("local", pa.binary())])
 
 
-def _seeds(target: int):
+def _windows(target: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, block in W.blocks(batch):
-                yield _seed_rows(ids, block, target)
+                yield _window_rows(ids, block, target)
     return run
 
 
-def _spans_of(starts: list[int]) -> bytes:
-    """Window starts in rising order as packed (start, end) runs."""
-    out: list[int] = []
-    for s in starts:
-        if out and out[-1] == s:
-            out[-1] = s + 1
-        else:
-            out += (s, s + 1)
-    return struct.pack(f"<{len(out)}i", *out)
-
-
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (seed, doc_id): the first holder of a window has the smallest id."""
+    """Rows come sorted by (seed, window, doc_id): the first of a window has the smallest id, later ones of other ids repeat it."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("spans", pa.binary())])
-    last, seen = None, {}
+    last: tuple[int, int, int] | None = None  # seed, window and its smallest id
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        pos = batch.column("pos").to_numpy()
+        local = (pos & LOCAL) == LOCAL
+        if local.any():
+            part = batch.filter(pa.array(local))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array((pos[local] >> 32).astype(np.int32)), part.column("local")], schema=schema)
+        pos = pos[~local]
+        if not len(pos):
             continue
-        seed = batch.column("seed").to_numpy()
-        take = np.zeros(n, bool)
-        same = seed[1:] == seed[:-1]
-        take[1:] |= same
-        take[:-1] |= same
-        take[0] = take[-1] = True  # its seed may go on in the next batch
-        take |= (batch.column("pos").to_numpy() & LOCAL) == LOCAL
-        part = batch.filter(pa.array(take))
-        out: list[tuple[int, int, bytes]] = []
-        for s, doc, pos, tail in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            at = pos & LOCAL
-            if at == LOCAL:
-                out.append((doc, pos >> 32, tail))
-                continue
-            if s != last:
-                last, seen = s, {}
-            hit = []
-            for j in range(0, len(tail), 5):
-                if seen.setdefault(tail[j:j + 5], doc) < doc:
-                    hit.append(at + j // 5)
-            if hit:
-                out.append((doc, pos >> 32, _spans_of(hit)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)],
-                                             schema=schema)
+        seed, window, doc = (batch.column(c).to_numpy()[~local] for c in ("seed", "window", "doc_id"))
+        new = np.ones(len(pos), bool)
+        new[1:] = (seed[1:] != seed[:-1]) | (window[1:] != window[:-1])
+        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))]
+        if last is not None and (seed[0], window[0]) == last[:2]:
+            least[:np.flatnonzero(np.append(new[1:], True))[0] + 1] = last[2]  # the group goes on from the batch before
+        last = int(seed[-1]), int(window[-1]), int(least[-1])
+        hit = np.flatnonzero(doc > least)
+        if len(hit):
+            at = (pos[hit] & LOCAL).astype("<i4")
+            spans = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(np.arange(0, 8 * len(hit) + 1, 8, dtype=np.int32)), pa.py_buffer(np.stack((at, at + 1), 1).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos[hit] >> 32).astype(np.int32)), spans], schema=schema)
 
 
 def repeated_windows(docs: DataFrame, target: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,8 +134,8 @@ def repeated_windows(docs: DataFrame, target: int = 13, id_col: str = "doc_id",
     window starts as little-endian int32, and a document may have many rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seeds = src.mapInArrow(_seeds(target), SEED_SCHEMA)
-    return seeds.repartition("seed").sortWithinPartitions("seed", "doc_id").mapInArrow(_resolve, SPAN_SCHEMA)
+    windows = src.mapInArrow(_windows(target), WINDOW_SCHEMA)
+    return windows.repartition("seed", "window").sortWithinPartitions("seed", "window", "doc_id").mapInArrow(_resolve, SPAN_SCHEMA)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +159,9 @@ def _apply(target: int):
                 gone: list[tuple[int, int]] = []
                 if packed:
                     drop = np.zeros(len(words) + 1, np.int32)
-                    for p in packed:
-                        for a, b in struct.iter_unpack("<2i", p):
-                            drop[a] += 1
-                            drop[b + target - 1] -= 1
+                    ends = np.frombuffer(b"".join(packed), "<i4").reshape(-1, 2)
+                    np.add.at(drop, ends[:, 0], 1)
+                    np.add.at(drop, ends[:, 1] + target - 1, -1)
                     mask = np.cumsum(drop)[:-1] > 0
                     gone = W.runs(mask)
                     words = [w for w, g in zip(words, mask.tolist(), strict=True) if not g]

@@ -72,6 +72,14 @@ def test_substring_equals_brute_force(docs, none):
     assert substring.drop_repeats(none).count() == 0
 
 
+def test_substring_tells_windows_of_one_seed_apart(spark):
+    """The hashes of these two windows agree in their first 40 bits, and in the seed."""
+    lead = "w9527 w5437 w2692 w4199 w382 w9799 w5763 a b c d e "
+    rows = [(1, lead + "x3503751"), (2, lead + "x4238871"), (3, lead + "x3503751")]
+    got = substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 0), (3, 13)]
+
+
 @pytest.mark.parametrize("k, num", [(3, 90), (5, 80)])
 def test_jaccard_equals_brute_force(docs, none, k, num):
     rows = corpus()
