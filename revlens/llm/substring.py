@@ -7,7 +7,11 @@ unique dies there. With the target fixed, the second level is the last.
 
 Of the half windows only *seeds* travel: each target window names the smallest
 hash among the half windows inside it. Equal target windows name equal seeds,
-so no repeat is lost. Windows meet by seed and their own whole hash, 64 bits
+so no repeat is lost. A first pass counts seeds and marks those that two
+documents name in a bitmap of fixed size, which every task gets; a target
+window whose seed isn't marked is neither sent nor looked at again. If a corpus
+fills the bitmap, more windows are sent and the second pass, which doesn't need
+it, decides as before. Windows meet by seed and their own whole hash, 64 bits
 each, so windows that share a seed are as many groups as they differ in words.
 A group is read in the order of doc_id and only its first id is held. Texts
 travel compressed to the spans that were found in them.
@@ -33,6 +37,11 @@ from revlens.llm import words as W
 
 LOCAL = 0xFFFFFFFF  # position of a row that holds spans decided inside one block
 
+BITMAP_BITS = 29    # 2^29 bits: 64 MB, whatever the corpus
+PARTS = 64          # the bitmap is put together in so many parts
+
+COUNT_SCHEMA = "seed long, n int"
+CELL_SCHEMA = "part int, cells binary"
 WINDOW_SCHEMA = "seed long, window long, doc_id long, pos long, local binary"
 SPAN_SCHEMA = "doc_id long, text_key int, spans binary"
 OUT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>"
@@ -42,25 +51,104 @@ def _text_key(text: bytes) -> int:
     return zlib.crc32(text) & 0xFFFFFF
 
 
-def _window_rows(ids: list[int], block: list[bytes], target: int) -> pa.RecordBatch:
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    words = W.Block([block[i] for i in order])
-    codes, first, lens = words.codes, words.first, words.count
-    empty = pa.RecordBatch.from_pylist([], schema=_arrow_window())
-    if len(codes) < target:
-        return empty
-    doc = np.repeat(np.arange(len(lens)), lens)
-    half = (target + 1) // 2
-    seeds, full = W.window_hashes(codes, half), W.window_hashes(codes, target, 1)
-    n = len(full)
-    low = seeds[:n].copy()  # the smallest seed inside each window
-    for j in range(1, target - half + 1):
-        np.minimum(low, seeds[j:j + n], out=low)
-    ok = np.flatnonzero(doc[:n] == doc[target - 1:])
+class _Named:
+    """The target windows of a block of texts, texts in the order of their ids: place, whole hash and seed of each."""
+
+    def __init__(self, ids: list[int], block: list[bytes], target: int):
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        words = W.Block([block[i] for i in order])
+        codes, self.first, self.count = words.codes, words.first, words.count
+        self.ident = np.array([ids[i] for i in order], np.int64)
+        self.keys = np.array([_text_key(block[i]) for i in order], np.int64)
+        self.doc = np.repeat(np.arange(len(self.count)), self.count)
+        half = (target + 1) // 2
+        seeds, self.full = W.window_hashes(codes, half), W.window_hashes(codes, target, 1)
+        self.n = len(self.full)
+        self.low = seeds[:self.n].copy()  # the smallest seed inside each window
+        for j in range(1, target - half + 1 if self.n else 1):
+            np.minimum(self.low, seeds[j:j + self.n], out=self.low)
+        self.ok = np.flatnonzero(self.doc[:self.n] == self.doc[target - 1:]) if self.n else np.empty(0, np.int64)
+
+
+def _count_rows(ids: list[int], block: list[bytes], target: int) -> pa.RecordBatch:
+    """Each seed of a block, with 2 if documents of different ids name it, else 1."""
+    x = _Named(ids, block, target)
+    low, doc = x.low[x.ok], x.ident[x.doc[x.ok]]
+    by = np.argsort(low, kind="stable")  # stable: a seed's ids rise
+    low, doc = low[by], doc[by]
+    new = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.empty(0, np.int64)
+    end = np.append(new[1:], len(low)) - 1 if len(low) else new
+    return pa.RecordBatch.from_arrays([pa.array(W.signed(low[new])), pa.array((1 + (doc[new] != doc[end])).astype(np.int32))], names=["seed", "n"])
+
+
+def _counts(target: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, block in W.blocks(batch):
+                yield _count_rows(ids, block, target)
+    return run
+
+
+def _cells(seeds: np.ndarray) -> np.ndarray:
+    """A seed's place in the bitmap. Seeds are the smallest of several hashes, so their high bits are mixed again."""
+    return (W.mix(seeds) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of each batch's seeds by part of the bitmap, as packed differences."""
+    width = (1 << BITMAP_BITS) // PARTS
+    for batch in batches:
+        cells = np.unique(_cells(batch.column("seed").to_numpy().view(np.uint64)))
+        cut = np.searchsorted(cells, np.arange(PARTS + 1) * width)
+        rows = [(p, zlib.compress(np.diff(cells[a:b] - p * width, prepend=0).astype("<u4").tobytes(), 1)) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        if rows:
+            parts, packed = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["part", "cells"])
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part: the bits of each, compressed."""
+    bits, last = None, None
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["part", "cells"])
+
+    for batch in batches:
+        for p, packed in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            if p != last:
+                if last is not None:
+                    yield made()
+                bits, last = np.zeros((1 << BITMAP_BITS) // PARTS, bool), p
+            bits[np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.int64)] = True
+    if last is not None:
+        yield made()
+
+
+def repeated_seeds(src: DataFrame, target: int) -> np.ndarray:
+    """The bitmap of seeds that documents of different ids name, eight cells a byte.
+
+    A seed is counted by Spark with partial sums, so a hot one is no group.
+    """
+    seeds = src.mapInArrow(_counts(target), COUNT_SCHEMA).groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
+    parts = seeds.mapInArrow(_cells_of, CELL_SCHEMA).repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(_unite, CELL_SCHEMA)
+    bits = np.zeros((PARTS, (1 << BITMAP_BITS) // PARTS // 8), np.uint8)
+    for r in parts.toLocalIterator():
+        bits[r["part"]] = np.frombuffer(zlib.decompress(r["cells"]), np.uint8)
+    return bits.reshape(-1)
+
+
+def _marked(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    cells = _cells(seeds)
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _window_rows(ids: list[int], block: list[bytes], target: int, bits: np.ndarray) -> pa.RecordBatch:
+    """The windows of a block whose seeds are marked, but those that an earlier document of the block has too: these as spans."""
+    x = _Named(ids, block, target)
+    n, full, low, doc, ident, keys, first, lens = x.n, x.full, x.low, x.doc, x.ident, x.keys, x.first, x.count
+    ok = x.ok[_marked(bits, low[x.ok])]
     if not len(ok):
-        return empty
-    ident = np.array([ids[i] for i in order], np.int64)
-    keys = np.array([_text_key(block[i]) for i in order], np.int64)
+        return pa.RecordBatch.from_pylist([], schema=_arrow_window())
 
     # windows that an earlier document of this block has too
     by = ok[np.argsort(full[ok], kind="stable")]  # stable: a window's occurrences by doc_id
@@ -92,11 +180,11 @@ def _arrow_window() -> pa.Schema:
     return pa.schema([("seed", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("local", pa.binary())])
 
 
-def _windows(target: int):
+def _windows(target: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, block in W.blocks(batch):
-                yield _window_rows(ids, block, target)
+                yield _window_rows(ids, block, target, bitmap.value)
     return run
 
 
@@ -134,7 +222,8 @@ def repeated_windows(docs: DataFrame, target: int = 13, id_col: str = "doc_id",
     window starts as little-endian int32, and a document may have many rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    windows = src.mapInArrow(_windows(target), WINDOW_SCHEMA)
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_seeds(src, target))
+    windows = src.mapInArrow(_windows(target, bitmap), WINDOW_SCHEMA)
     return windows.repartition("seed", "window").sortWithinPartitions("seed", "window", "doc_id").mapInArrow(_resolve, SPAN_SCHEMA)
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -80,6 +81,28 @@ def test_substring_tells_windows_of_one_seed_apart(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 0), (3, 13)]
 
 
+def test_substring_seed_is_no_group(spark, capsys):
+    """A phrase with many continuations is spread over tasks by its windows; windows of seeds that don't repeat aren't sent."""
+    lead = "w9527 w5437 w2692 w4199 w382 w9799 w5763 "  # a seed smaller than nearly all others
+    rng = random.Random(3)
+    rows = [(i, lead + words(rng, 6, 10**6)) for i in range(300)] + [(1000 + i, words(rng, 40, 10**6)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = df.mapInArrow(substring._windows(13, spark.sparkContext.broadcast(substring.repeated_seeds(df, 13))), substring.WINDOW_SCHEMA)
+    assert {r["doc_id"] for r in sent.collect()} == set(range(300))
+    per = sent.repartition(8, "seed", "window").groupBy("seed", F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per) == 300 and max(r["count"] for r in per) < 100
+    substring.repeated_windows(df).explain()
+    assert re.search(r"hashpartitioning\(seed#\d+L, window#\d+L", capsys.readouterr().out)
+
+
+def test_substring_seeds_are_counted_across_blocks():
+    block = [b" ".join(b"u%d" % i for i in range(20)), b" ".join(b"v%d" % i for i in range(20))]
+    one = substring._count_rows([1, 2], block, 13).to_pydict()
+    two = substring._count_rows([1, 2], [block[0], block[0]], 13).to_pydict()
+    same = substring._count_rows([1, 1], [block[0], block[0]], 13).to_pydict()
+    assert set(one["n"]) == {1} and set(two["n"]) == {2} and set(same["n"]) == {1} and set(two["seed"]) < set(one["seed"])
+
+
 @pytest.mark.parametrize("k, num", [(3, 90), (5, 80)])
 def test_jaccard_equals_brute_force(docs, none, k, num):
     rows = corpus()
