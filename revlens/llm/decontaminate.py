@@ -4,10 +4,15 @@ A text becomes a sequence of tokens in which numbers, units and names are
 typed placeholders and all other words are lower-cased literals. Windows of
 WINDOW tokens (for a shorter benchmark item: one window of its length) are
 hashed over placeholders and literals and hash-joined with the benchmark's
-windows. A window that is mostly placeholders proves nothing by its template.
-Each window is therefore also hashed over its literal tokens, which finds
+windows. Each window is also hashed over its literal tokens, which finds
 verbatim copies in any case.
 
+A template that is mostly placeholders proves little alone. Such windows need
+PROOF different words that item and document have in the same places (literals,
+and names and units that were kept), in all such windows of the item together;
+for an item of one window a literal that isn't a plain word is enough. Items of
+fewer than LEAST tokens are found as whole lines, by their literals.
+
 Two windows with one template may still be unrelated, so the slot values must
 be consistent: equal values in the item are equal in the document and
 different ones differ, as when a question is asked anew with other numbers
@@ -34,7 +39,8 @@ from revlens.llm import words as W
 from revlens.llm.store import stored
 
 WINDOW = 13
-LEAST = 5            # items with fewer tokens have no window
+LEAST = 5            # items with fewer tokens are found as whole lines only
+PROOF = 3            # words in common that windows of mostly placeholders need
 BITMAP_BITS = 24     # 2^24 bits: 2 MB, whatever the benchmark
 PARTS = 16
 
@@ -128,20 +134,25 @@ class Tokens:
             amount = _AMOUNT.fullmatch(word)
             kind[i] = NUMBER if _NUMBER.fullmatch(word) or amount and amount[1].decode() in UNITS else 0
         self.literal, self.kind = literal, kind
+        self.line = np.searchsorted(np.flatnonzero(bytes_low == 10), ls)
         self.template = np.where(kind > 0, _PLACEHOLDER[kind], literal)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(template hash, literal hash, starts) of the windows of k tokens that lie in one text.
 
-        The template hash of a window that is mostly slots is its literal hash.
+        The template hash of a window of numbers alone is its literal hash.
         """
         n = len(self.of) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        slots = np.concatenate(([0], np.cumsum(self.kind > 0)))
+        numbers = np.concatenate(([0], np.cumsum(self.kind == NUMBER)))
         literal = W.window_hashes(self.literal, k, 5)
-        template = np.where((slots[k:] - slots[:n]) * 2 > k, literal, W.window_hashes(self.template, k, 4))
+        template = np.where(numbers[k:] - numbers[:n] == k, literal, W.window_hashes(self.template, k, 4))
         starts = np.flatnonzero(self.of[:n] == self.of[k - 1:])
+        if k < LEAST:
+            edge = np.concatenate(([True], self.line[1:] != self.line[:-1], [True]))
+            starts = starts[edge[starts] & edge[starts + k]]
+            return literal[starts], literal[starts], starts
         return template[starts], literal[starts], starts
 
     def values(self, start: int, k: int) -> list[int]:
@@ -149,34 +160,44 @@ class Tokens:
         part = slice(start, start + k)
         return W.signed(self.literal[part][self.kind[part] > 0]).tolist()
 
-    def rows(self, k: int, through=None) -> list[tuple[int, int, int, list[int]]]:
-        """(hash, text, window's place in it, slot values): each window by its template, and by its literals, which fill no slot."""
+    def proof(self, start: int, k: int, whole: bool) -> tuple[bool, list[int], list[int | None]]:
+        """Whether a window's template proves a copy alone, and if not, its literals and the values of its slots, null for numbers."""
+        part = slice(start, start + k)
+        kind, literal = self.kind[part], W.signed(self.literal[part])
+        words = literal[kind == 0]
+        content = np.flatnonzero(kind == 0)
+        sure = 2 * len(words) >= k or whole and len(content) > len(_IS_PLAIN(self.literal[part][content]))
+        return bool(sure), sorted(set(words.tolist())), [None if x == NUMBER else v for x, v in zip(kind[kind > 0].tolist(), literal[kind > 0].tolist(), strict=True)]
+
+    def rows(self, k: int, through=None) -> list[tuple[int, int, int, list[int], bool]]:
+        """(hash, text, first token, slot values, by template): each window by its template, and by its literals, which fill no slot."""
         template, literal, starts = self.windows(k)
-        first = np.searchsorted(self.of, self.of[starts])
         out = []
         for hashes, slotted in ((template, True), (literal, False)):
             for i in np.flatnonzero(through(hashes)).tolist() if through else range(len(starts)):
                 s = int(starts[i])
-                same = not slotted or template[i] == literal[i]
-                if slotted and same:
+                if slotted and template[i] == literal[i]:
                     continue  # its literal row says it
-                out.append((int(hashes[i:i + 1].view(np.int64)[0]), int(self.of[s]), s - int(first[i]), [] if same else self.values(s, k)))
+                out.append((int(hashes[i:i + 1].view(np.int64)[0]), int(self.of[s]), s, self.values(s, k) if slotted else [], slotted))
         return out
 
 
-_ITEM_SCHEMA = "hash long, k int, item_id long, n_windows int, place int, item_values array<long>"
+_ITEM_SCHEMA = "hash long, k int, item_id long, n_windows int, place int, item_values array<long>, sure boolean, words array<long>, named array<long>"
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("hash", pa.int64()), ("k", pa.int32()), ("item_id", pa.int64()), ("n_windows", pa.int32()), ("place", pa.int32()), ("item_values", pa.list_(pa.int64()))])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("hash", pa.int64()), ("k", pa.int32()), ("item_id", pa.int64()), ("n_windows", pa.int32()), ("place", pa.int32()), ("item_values", longs),
+                        ("sure", pa.bool_()), ("words", longs), ("named", longs)])
     for batch in batches:
         rows = []
         for item, text in zip(batch.column("item_id").to_pylist(), W.texts(batch), strict=True):
             t = Tokens([text])
             k = min(WINDOW, len(t.of))
-            if item is None or k < LEAST:
+            if item is None or not k:
                 continue
-            rows += [(h, k, item, len(t.of) - k + 1, place, values) for h, _, place, values in t.rows(k)]
+            n = len(t.of) - k + 1
+            rows += [(h, k, item, n, place, values, *(t.proof(place, k, n == 1) if slotted else (True, [], []))) for h, _, place, values, slotted in t.rows(k)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -214,7 +235,7 @@ def _doc_windows(lengths: list[int], bitmap):
             for ids, block in W.blocks(batch):
                 t, rows = Tokens(block), []
                 for k in lengths:
-                    rows += [(h, k, ids[text], values) for h, text, _, values in t.rows(k, lambda x: let[_cells(x)])]
+                    rows += [(h, k, ids[text], values) for h, text, _, values, _ in t.rows(k, lambda x: let[_cells(x)])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
     return run
@@ -230,7 +251,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Nulls and edges: null and empty texts have no windows; rows without an id
     (documents or items) are left out; an item with fewer than LEAST tokens
-    has no window; repeated rows count once; either table may be empty; other
+    is one window that must fill whole lines of a document, an item without
+    tokens has none; repeated rows count once; either table may be empty; other
     columns are ignored.
     """
     spark = docs.sparkSession
@@ -246,8 +268,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = found.join(items, ["hash", "k"])
     pairs = F.size(F.array_distinct(F.arrays_zip("item_values", "doc_values")))
     met = met.filter((pairs == F.size(F.array_distinct("item_values"))) & (pairs == F.size(F.array_distinct("doc_values"))))
-    per_window = met.groupBy("doc_id", "item_id", "n_windows", "place").agg(F.min((F.col("item_values") != F.col("doc_values")).cast("int")).alias("changed"))
-    return (per_window.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_found"), F.max("n_windows").cast("long").alias("n_item_windows"), F.sum("changed").alias("n_reworded"))
+    kept = F.filter(F.zip_with("named", "doc_values", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
+    met = met.withColumn("proof", F.when(~F.col("sure"), F.array_union("words", kept)))
+    per_window = met.groupBy("doc_id", "item_id", "n_windows", "place").agg(F.min((F.col("item_values") != F.col("doc_values")).cast("int")).alias("changed"),
+                                                                           F.max("sure").alias("sure"), F.flatten(F.collect_set("proof")).alias("proof"))
+    return (per_window.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_found"), F.max("n_windows").cast("long").alias("n_item_windows"), F.sum("changed").alias("n_reworded"),
+                                                       F.max("sure").alias("sure"), F.array_distinct(F.flatten(F.collect_list("proof"))).alias("proof"))
+            .filter(F.col("sure") | (F.size("proof") >= PROOF)).drop("sure", "proof")
             .withColumnRenamed("n_found", "n_windows"))
 
 

@@ -166,6 +166,24 @@ def test_decontaminate_finds_reworded_items(spark, none):
     assert sorted(map(str, (r["doc_id"] for r in left.collect()))) == ["3", "5", "6", "7", "None"]
 
 
+def test_decontaminate_finds_items_of_mostly_slots(spark):
+    texts = {1: "What is 12 percent of 450 dollars plus 30 dollars?", 2: "Convert 12 km to miles", 3: "Tom paid Ann 5 dollars",
+             4: "Pay 5 kg 6 kg 7 kg or 8 kg 9 kg and 10 kg 11 kg by 12 kg now", 5: "12 13 14 15 16 17", 6: "Is 5 of 6 in 7 at 8"}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    rows = [(1, "So: what is 15 percent of 820 dollars plus 44 dollars? Tell me."), (2, "convert it. Convert 30 km to miles"), (3, "Bob paid Sue 7 euros"),
+            (4, "Pay 1 kg 2 kg 3 kg or 4 kg 5 kg and 60 kg 70 kg by 80 kg now"), (5, "22 23 24 25 26 27"), (50, "see 12 13 14 15 16 17"), (6, "was 15 percent or 820 dollars less 44 dollars"),
+            (7, "1 kg 2 kg 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg"), (8, "Walk 30 minutes to work"), (9, "Is 15 of 15 in 17 at 18")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 2), (3, 3), (4, 4), (50, 5)}
+
+
+def test_decontaminate_finds_short_items_as_whole_lines(spark):
+    items = spark.createDataFrame([(1, "Too short"), (2, "Define entropy."), (3, "...")], "item_id long, text string")
+    rows = [(1, "too short!"), (2, "it is too short to tell"), (3, "Question\n  define entropy\nAnswer"), (4, "..."), (5, "entropy")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (3, 2)}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "<p>é</p>"), (2, "http://b/", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "line\nbreak", "x" * 3_000_000), (6, "http://c/", "\r\n\r\nWARC/1.1"), (None, "n", "<p>é</p>"), (2, "http://b/", "<p>é</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("clash"))
