@@ -26,7 +26,7 @@ SEGMENT = 64
 HIDDEN = 8
 SAMPLE_DOCS = 200       # labelled documents per language, at most
 SAMPLE_SEGMENTS = 6     # segments of each of them
-LANGUAGES = 64          # languages, at most: the most frequent ones
+SAMPLE_TOTAL = 12_800   # documents of all languages together, shared among them; each language has one at least
 BLOCK = 2048            # segments that advance together
 EPOCHS = 8
 
@@ -250,17 +250,24 @@ def _label(model):
     return run
 
 
+def shared(counts: list[int], most: int, total: int = SAMPLE_TOTAL) -> int:
+    """Documents per language, at most ``most``, so that all together are ``total``; what a small language leaves goes to the others."""
+    return next((q for q in range(most, 1, -1) if sum(min(c, q) for c in counts) <= total), 1)
+
+
 def training_segments(docs: DataFrame, per_language: int = SAMPLE_DOCS, segments: int = SAMPLE_SEGMENTS) -> list[tuple[str, str]]:
     """(lang, segment) of a bounded sample: documents by hash order in each language, segments by hashed offsets.
 
-    At most LANGUAGES x per_language x segments rows of SEGMENT characters
-    reach the driver, whatever the input.
+    Every language with labelled rows is learned. At most SAMPLE_TOTAL x
+    segments rows of SEGMENT characters reach the driver (or ``segments`` a
+    language, if there are more than SAMPLE_TOTAL), whatever the input.
     """
     rank = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(F.col("text").cast("binary")))
     src = docs.filter("lang IS NOT NULL AND text RLIKE '[A-Za-z\\\\x{80}-\\\\x{10FFFF}]'").withColumn("rank", rank)
-    counts = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return []
+    per_language = shared([r["count"] for r in counts], per_language)
     # a hash bound a little above per_language / count, so that the ranking below sees few rows of a large language
     bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(2**63 - 1, -2**63 + 2**64 * (4.0 * per_language + 100) / r["count"]))))])
     few = src.filter(F.col("rank") <= bound[F.col("lang")])

@@ -355,6 +355,20 @@ def test_language_held_out(spark, none):
     assert langid.identify(none).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, f"text {k} {i} of a language", f"l{k:02d}") for k in range(70) for i in range(3 if k < 69 else 1)]
+    sample = langid.training_segments(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for lang, _ in sample} == {f"l{k:02d}" for k in range(70)}
+    assert len(sample) == len(rows) * langid.SAMPLE_SEGMENTS
+
+
+def test_sample_is_shared_among_languages():
+    assert langid.shared([10**9] * 4, 200) == 200
+    assert langid.shared([10**9] * 100, 200) == 128
+    assert langid.shared([10**9] * 64 + [1] * 64, 200) == 199
+    assert langid.shared([5] * 20_000, 200) == 1
+
+
 def test_mixing_fills_quotas(docs, none, spark):
     target = mixing.Target(max_repeat=1.2, budget=1.5)
     got = mixing.mix(docs, target)
