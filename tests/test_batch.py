@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from revlens.plans import batch
 from revlens.sources import testdata as td
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_batch_outputs_from_csv(spark, tmp_dir):

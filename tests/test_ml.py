@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from revlens.operators import ml
 from revlens.plans import ml as mlplan
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_feature_frame_has_no_nulls_and_target(spark):

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from revlens.plans import analysis, destinations, ml, text, trends
 from revlens.plans.registry import QUERIES
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()

@@ -4,7 +4,7 @@ from revlens.operators import aggregates as agg
 from revlens.sources import testdata as td
 from revlens.streaming import current_city_ratings, start_city_ratings
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _table(df):
