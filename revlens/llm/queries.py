@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import decontaminate, html, jaccard, langid, mixing, quality, sharding, substring, tokens, warc
-from revlens.llm.store import ship
+from revlens.llm import decontaminate, html, jaccard, langid, mixing, quality, sharding, simhash, spelling, substring, tokens, warc, whitening
+from revlens.llm.store import ship, stored
 
 SHARDS = {f"shard-{i:03d}": 1 for i in range(64)}
 TARGET = mixing.Target(max_repeat=1.25)
 MAX_TOKENS = 512
+TYPO_EVERY = 31
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,5 +78,24 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, bits=3)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on up to 16 components; a deviation that no bigint holds is null here, a decimal in the operator."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of 7 letters or more with its form and root; one run in 31 is misspelt on purpose."""
+    words = spelling.vocabulary(_table(spark, sf_dir, "documents"), min_len=7, min_count=2, drop_every=TYPO_EVERY)
+    return spelling.variants(stored(words, "vocabulary"), factor=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_warc, op3_jaccard, op4_quality, op5_sharding, op6_tokens, op7_html, op8_langid, op9_mixing, op10_substring)}
+    f.__name__: f for f in (op1_decontaminate, op2_warc, op3_jaccard, op4_quality, op5_sharding, op6_tokens, op7_html, op8_langid, op9_mixing, op10_substring,
+                            op11_simhash, op12_whitening, op13_spelling)}
