@@ -8,16 +8,18 @@
    a word's half. A node is known by a hash of what leads to it; the table of
    nodes has one row per node that at least two words pass, with its edges (at
    most one per letter). An edge that one word alone passes is a leaf and
-   holds that word.
+   names that word.
 3. The frontier holds states (word, position, node, edits). All words start at
    their half without an edit. Level by level it is joined with that level's
    nodes: without an edit, a state follows its own letter, or takes another
    edge as its one edit (replaced, inserted or deleted letter), always at the
    first difference, so a neighbour is reached by one path; with an edit, it
    must follow its own letters. A state that comes to the end of both words,
-   or to a leaf with the same rest, is a pair of neighbours.
-4. Pairs are verified by their edit distance, so two nodes under one hash cost
-   time and never a result. Words of more than ``LONG`` letters would make as
+   or to a leaf with the same rest, is a pair of neighbours. Edges know the
+   lengths of their words and the letters behind them, so moves that lead
+   nowhere are left out at once.
+4. Pairs are verified by their edit distance, so two nodes or rests under one
+   hash cost time and never a result. Words of more than ``LONG`` letters would make as
    many levels; they meet by hashes of themselves less one letter instead, and
    are verified the same.
 
@@ -103,50 +105,81 @@ def _half(length: Column, side: Column) -> Column:
 
 
 def _spelled(words: DataFrame) -> DataFrame:
-    """(side, word): each word forwards (0) and backwards (1)."""
-    return words.select(F.posexplode(F.array("word", F.reverse("word"))).alias("side", "word"))
+    """(side, word, id): each word forwards (0) and backwards (1), with the hash of the word itself."""
+    return words.select(F.posexplode(F.array("word", F.reverse("word"))).alias("side", "word"), F.xxhash64("word").alias("id"))
+
+
+def _bit(value: Column) -> Column:
+    """One of 64 bits."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(63))
+
+
+def _next_bits(word: Column, at: Column) -> tuple[Column, Column]:
+    """A bit for the letter at a position, and one for it and the letter behind it."""
+    one, two = F.ascii(_letter(word, at)), F.ascii(_letter(word, at + 1))
+    return _bit(one), _bit(one * 37 + two)
 
 
 def nodes(words: DataFrame, hot: int = HOT) -> DataFrame:
-    """(side, level, node, copies, edges) of the nodes that two words or more pass; edges: letter, child, copies, word.
+    """(side, level, node, copies, edges) of the nodes that two words or more pass; edges: letter, child, copies, id, rest, sizes, one, two.
 
-    ``word`` is set at leaves and ends; ``copies`` says over how many rows
-    the node (or child) is dealt.
+    ``id`` and ``rest`` are set at leaves and ends: hashes of the word and of
+    what it has behind the edge. ``copies`` says over how many rows the node
+    (or child) is dealt. ``sizes``, ``one`` and ``two`` have bits for the
+    lengths of the words that pass the edge, for their next letter behind it
+    and for their next two.
     """
-    size = F.length("word")
-    steps = _spelled(words).select("side", "word", F.explode(F.sequence(_half(size - 1, F.col("side")), size)).alias("level"))
-    steps = steps.select("side", "level", F.xxhash64(F.left("word", F.col("level"))).alias("node"), _letter(F.col("word"), F.col("level")).alias("letter"),
-                         F.xxhash64(F.left("word", F.col("level") + 1)).alias("child"), "word")
-    last = F.when(F.col("letter") == END, F.col("word"))  # words that end at one node are told apart, whatever their hashes
+    size, word, level = F.length("word"), F.col("word"), F.col("level")
+    steps = _spelled(words).select("side", "word", "id", F.explode(F.sequence(_half(size - 1, F.col("side")), size)).alias("level"))
+    one, two = _next_bits(word, level + 1)
+    steps = steps.select("side", "level", F.xxhash64(F.left("word", level)).alias("node"), _letter(word, level).alias("letter"),
+                         F.xxhash64(F.left("word", level + 1)).alias("child"), "id", F.xxhash64(_from(word, level + 1)).alias("rest"),
+                         _bit(size).alias("size"), one.alias("one"), two.alias("two"))
+    last = F.when(F.col("letter") == END, F.col("id"))  # words that end at one node are told apart
     edges = (steps.groupBy("side", "level", "node", "letter", last.alias("end"))
-             .agg(F.min("child").alias("child"), F.count(F.lit(1)).alias("passes"), F.min("word").alias("word")))
+             .agg(F.min("child").alias("child"), F.count(F.lit(1)).alias("passes"), F.min("id").alias("id"), F.min("rest").alias("rest"),
+                  F.bit_or("size").alias("sizes"), F.bit_or("one").alias("one"), F.bit_or("two").alias("two")))
     copies = F.ceil(F.col("passes") / hot).cast("int")
-    edge = F.struct("letter", "child", copies.alias("copies"), F.when((F.col("passes") == 1) | (F.col("letter") == END), F.col("word")).alias("word"))
+    alone = (F.col("passes") == 1) | (F.col("letter") == END)
+    edge = F.struct("letter", "child", copies.alias("copies"), F.when(alone, F.col("id")).alias("id"), "rest", "sizes", "one", "two")
     return (edges.groupBy("side", "level", "node").agg(F.sum("passes").alias("passes"), F.collect_list(edge).alias("edges"))
             .filter("passes > 1").select("side", "level", "node", copies.alias("copies"), "edges"))
 
 
 def _step(met: DataFrame) -> DataFrame:
-    """All moves of the states joined with their nodes: (side, word, to_word) for pairs, (side, word, position, node, edits, copies) for states."""
-    word, p, e = F.col("word"), F.col("position"), F.col("edge")
-    own, nxt = _letter(word, p), _letter(word, p + 1)
-    level, size = F.col("level"), F.length("word")
-    rows = met.select("side", "level", "word", "position", "edits", F.explode("edges").alias("edge"))
-    same, fresh = e["letter"] == own, F.col("edits") == 0
-    go = lambda to, edits: F.struct(to.cast("int").alias("position"), F.lit(edits).alias("edits"))
-    none = F.lit(None).cast("struct<position:int,edits:int>")
-    ends = e["letter"] == END
-    moves = F.when(same & fresh, F.array(go(p + 1, 0))).when(same, F.array(go(p + 1, 1))).when(
-        fresh & ends, F.array(F.when(size == p + 1, go(p + 1, 1)).otherwise(none))).when(
-        fresh, F.array(F.when(own != END, go(p + 1, 1)).otherwise(none), go(p, 1),
-                       F.when((own != END) & (nxt == e["letter"]), go(p + 2, 1)).otherwise(none)))
-    rows = rows.select("side", "level", "word", "edge", F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("move"))
-    # what is left of both words at a leaf; nothing at an end
-    rest = F.when(ends, F.lit(END)).otherwise(_from(e["word"], level + 1))
-    pair = (F.col("move.edits") == 1) & e["word"].isNotNull() & (rest == _from(word, F.col("move.position")))
-    return rows.filter(pair | (e["word"].isNull() & (F.col("move.position") <= size))).select(
-        "side", "word", F.col("move.position").alias("position"), e["child"].alias("node"), F.col("move.edits").alias("edits"),
-        e["copies"].alias("copies"), e["word"].alias("to_word"))
+    """All moves of the states joined with their nodes: pairs have to_id, states don't.
+
+    A move is kept only if words of the length that it leads to pass the edge
+    and have the letters that must come next behind it.
+    """
+    word, p, size, level = F.col("word"), F.col("position"), F.col("size"), F.col("level")
+    cols = {"size": F.length("word"), "l0": _letter(word, p), "l1": _letter(word, p + 1)}
+    for i in range(3):
+        cols[f"one{i}"], cols[f"two{i}"] = _next_bits(word, p + i)
+    met = met.select("side", "level", "word", "position", "edits", "edges", *[c.alias(n) for n, c in cols.items()])
+    rows = met.select("*", F.explode("edges").alias("edge")).drop("edges")
+    edge, letter = F.col("edge"), F.col("edge.letter")
+    same, fresh, ends = letter == F.col("l0"), F.col("edits") == 0, letter == END
+    more = F.col("l0") != END
+
+    def fits(to_size: Column, i: int) -> Column:
+        return ((edge["one"].bitwiseAND(F.col(f"one{i}")) != 0) & (edge["two"].bitwiseAND(F.col(f"two{i}")) != 0)
+                & (edge["sizes"].bitwiseAND(_bit(to_size)) != 0))
+
+    other = fresh & ~same
+    keep = [(same & (fresh | fits(size + level - p, 1)), p + 1, F.when(fresh, 0).otherwise(1)),
+            (other & more & ~ends & fits(size, 1), p + 1, F.lit(1)),
+            (other & ~ends & fits(size + 1, 0), p, F.lit(1)),
+            (other & more & F.when(ends, size == p + 1).otherwise((F.col("l1") == letter) & fits(size - 1, 2)),
+             p + F.when(ends, 1).otherwise(2), F.lit(1))]
+    rows = rows.withColumns({f"k{i}": k for i, (k, _, _) in enumerate(keep)}).filter(" OR ".join(f"k{i}" for i in range(4)))
+    moves = F.array(*[F.when(F.col(f"k{i}"), F.struct(to.cast("int").alias("position"), edits.cast("int").alias("edits"))) for i, (_, to, edits) in enumerate(keep)])
+    rows = rows.select("side", "word", "size", "edge", F.explode(moves).alias("move")).filter("move IS NOT NULL")
+    to, found = F.col("move.position"), edge["id"].isNotNull()
+    pair = (F.col("move.edits") == 1) & (edge["rest"] == F.xxhash64(_from(word, to)))
+    return rows.filter((found & pair) | (~found & (to <= size))).select(
+        "side", "word", to.alias("position"), edge["child"].alias("node"), F.col("move.edits").alias("edits"),
+        edge["copies"].alias("copies"), edge["id"].alias("to_id"))
 
 
 def _dealt(states: DataFrame) -> DataFrame:
@@ -154,7 +187,7 @@ def _dealt(states: DataFrame) -> DataFrame:
 
 
 def _frontier_pairs(words: DataFrame, hot: int) -> DataFrame | None:
-    """Pairs of neighbours among the words of at most LONG + 1 letters."""
+    """(word, to_id) for neighbours among the words of at most LONG + 1 letters; some twice."""
     trie = stored(nodes(words, hot).sortWithinPartitions("level"), "trie")
     size = F.length("word")
     start = _spelled(words).select("side", "word", _half(size, F.col("side")).alias("position"))
@@ -172,15 +205,14 @@ def _frontier_pairs(words: DataFrame, hot: int) -> DataFrame | None:
         if carried is not None:
             states = states.unionByName(carried)
         here = trie.filter(F.col("level") == level).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        met = _dealt(states).drop("copies").join(here.select("side", "level", "node", "copy", "edges"), ["side", "node", "copy"])
+        met = _dealt(states).drop("copies").join(here.select("side", "level", "node", "copy", "edges").hint("shuffle_hash"), ["side", "node", "copy"])
         moved = stored(_step(met), "frontier")
-        pairs = moved.filter("to_word IS NOT NULL").select("side", "word", "to_word")
+        pairs = moved.filter("to_id IS NOT NULL").select("side", "word", "to_id")
         found = pairs if found is None else found.unionByName(pairs)
-        carried = moved.filter("to_word IS NULL").drop("to_word")
+        carried = moved.filter("to_id IS NULL").drop("to_id")
     if found is None:
         return None
-    turn = lambda c: F.when(F.col("side") == 1, F.reverse(c)).otherwise(F.col(c))
-    return found.select(turn("word").alias("word"), turn("to_word").alias("near"))
+    return found.select(F.when(F.col("side") == 1, F.reverse("word")).otherwise(F.col("word")).alias("word"), "to_id")
 
 
 def _less_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +232,21 @@ def _less_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _long_pairs(words: DataFrame) -> DataFrame:
     named = words.select("word", F.xxhash64("word").alias("id"))
     keys = stored(named.mapInArrow(_less_one, "key long, id long"), "long-words")
-    met = keys.join(keys.withColumnRenamed("id", "near_id"), "key").filter("id <> near_id").select("id", "near_id").distinct()
-    return (met.join(named, "id").join(named.select(F.col("word").alias("near"), F.col("id").alias("near_id")), "near_id")
-            .select("word", "near"))
+    met = keys.join(keys.withColumnRenamed("id", "to_id"), "key").filter("id <> to_id").select("id", "to_id").distinct()
+    return met.join(named, "id").select("word", "to_id")
 
 
 def neighbours(words: DataFrame, hot: int = HOT) -> DataFrame:
-    """(word, near) for all words (distinct, column word) that differ by exactly one inserted, deleted or replaced code point, both ways."""
-    words = words.select("word")
+    """(word, near, near_n) for all words (distinct, columns word and n) that differ by exactly one inserted, deleted or replaced code point, both ways."""
     pairs = _frontier_pairs(words.filter(F.length("word") <= LONG + 1), hot)
     long = words.filter(F.length("word") > LONG)
     if not long.isEmpty():
         pairs = _long_pairs(long) if pairs is None else pairs.unionByName(_long_pairs(long))
+    named = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.xxhash64("word").alias("to_id"))
     if pairs is None:
-        return words.select("word", F.col("word").alias("near")).limit(0)
-    return pairs.distinct().filter(F.levenshtein("word", "near", 1) == 1)
+        return named.select(F.col("near").alias("word"), "near", "near_n").limit(0)
+    return (pairs.distinct().join(named, "to_id").select("word", "near", "near_n")
+            .filter(F.levenshtein("word", "near", 1) == 1))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -243,8 +275,7 @@ def variants(words: DataFrame, factor: int = 10, hot: int = HOT) -> DataFrame:
     if factor < 2:
         raise ValueError("forms need a factor of 2 or more, or they could run in circles")
     words = words.filter("word <> '' AND n IS NOT NULL").select("word", F.col("n").cast("long").alias("n"))
-    pairs = neighbours(words, hot).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
-    best = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
+    best = neighbours(words, hot).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     top = -F.col("best.less")
     rows = words.join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
