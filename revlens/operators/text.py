@@ -1,20 +1,19 @@
 """Text operators: review text choice, aspects, lexicon sentiment (O-17..O-19, O-47, O-48, O-78).
 
-Aspect dictionaries are small fixed mappings, so each aspect becomes one
-boolean column expression (substring test or one regex) — a narrow
-projection per review, then a partial+final aggregate over the matches.
+Aspect dictionaries are small fixed mappings: one pattern, branched by letters,
+names all their keywords that a text holds in one pass over it, and each
+aspect is a flag over those names — a narrow projection per review, then a
+partial+final aggregate over the matches.
 
 Sentiment is a Spark job, not a per-row library call: tokens are exploded
-inside each task, joined to a lexicon table, and averaged per review with
-map-side combine. Modifiers (intensifiers, negators) act on a token through
-its two predecessors, paired by array functions, so no window or shuffle is
-needed to find them.
+inside each task and joined to a lexicon table once, with their positions. Only
+tokens that the lexicon knows go on; modifiers (intensifiers, negators) act on
+a token through its two predecessors, found by position in the review's list.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import as_col, choose_review_text, is_blank, normalise_text, polarity_label
 
 __all__ = [
-    "review_text", "aspect_flags", "flag_columns", "aspect_hits", "aspect_mentions", "aspect_summary", "lexicon_sentiment",
+    "review_text", "aspect_flags", "flag_columns", "found_keywords", "keyword_pattern", "implied_keywords", "aspect_hits", "aspect_mentions", "aspect_summary", "lexicon_sentiment",
     "word_boundary_pattern", "top_aspect", "search_summary",
 ]
 
@@ -38,41 +37,84 @@ def review_text(df: DataFrame, review: str = "Review", raw: str = "Raw_Review",
     return out
 
 
+def _quoted(text: str) -> str:
+    return re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", text)
+
+
 def word_boundary_pattern(keywords: list[str]) -> str:
     """Keywords as one alternation between word boundaries (Unicode word chars).
 
     Written without ``\\b`` so Java regex and RE2 agree on what a word is.
     """
-    alt = "|".join(re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", k) for k in keywords)
-    return f"(^|[^{WORD_CHAR}])({alt})([^{WORD_CHAR}]|$)"
+    return f"(^|[^{WORD_CHAR}])({'|'.join(map(_quoted, keywords))})([^{WORD_CHAR}]|$)"
 
 
-def aspect_flags(text: Column, aspects: dict[str, list[str]], mode: str = "substring") -> list[Column]:
-    """One boolean per aspect: any keyword as a substring, or on word boundaries."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def _branches(words: list[str]) -> str:
+    """The words as nested alternatives by their first letters, longest first; letters in halves, so few are tried."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+
+    def one(c: str) -> str:
+        rest = [w for w in by_first[c] if w]
+        return _quoted(c) + (_branches(rest) + ("?" if "" in by_first[c] else "") if rest else "")
+
+    def pick(letters: list[str]) -> str:
+        if len(letters) <= 3:
+            return "|".join(one(c) for c in letters)
+        half = len(letters) // 2
+        return "|".join(f"(?=[{''.join(_quoted(c) if c not in '-&' else chr(92) + c for c in part)}])(?:{pick(part)})"
+                        for part in (letters[:half], letters[half:]))
+    return f"(?:{pick(sorted(by_first))})"
+
+
+def keyword_pattern(keywords: list[str], mode: str) -> str:
+    """One pattern whose group 1 is the longest keyword that starts at a position.
+
+    It matches ahead without moving, so keywords that overlap are all seen;
+    of those that start together the longest is named, and
+    :func:`implied_keywords` tells the others.
+    """
+    tree = _branches(sorted(set(keywords)))
+    if mode == "substring":
+        return f"(?=({tree}))"
+    return f"(?<![{WORD_CHAR}])(?=({tree})(?![{WORD_CHAR}]))"
+
+
+def implied_keywords(keywords: list[str], found: str, mode: str) -> list[str]:
+    """The keywords that a text has at the place where ``found`` is the longest."""
+    ends = lambda k: mode == "substring" or len(k) == len(found) or re.match(r"\W", found[len(k)])
+    return [k for k in keywords if found.startswith(k) and ends(k)]
+
+
+def aspect_flags(found: Column, aspects: dict[str, list[str]], mode: str = "substring") -> list[Column]:
+    """One boolean per aspect from the keywords found in a text (:func:`found_keywords`)."""
+    every = sorted({k.lower() for kws in aspects.values() for k in kws})
+    implied = {f: set(implied_keywords(every, f, mode)) for f in every}
     flags = []
     for aspect, kws in aspects.items():
-        if mode == "substring":
-            # an OR of literal contains() stays in generated code and stops at the first hit
-            hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k.lower())) for k in kws])
-        else:
-            hit = low.rlike(word_boundary_pattern([k.lower() for k in kws]))
-        flags.append(hit.alias(aspect))
+        telling = [f for f in every if implied[f] & {k.lower() for k in kws}]
+        flags.append(F.arrays_overlap(found, F.array(*map(F.lit, telling))).alias(aspect))
     return flags
 
 
-def flag_columns(aspects: dict[str, list[str]], text: str, mode: str) -> dict[str, Column]:
-    """``_a0``, ``_a1``, ...: whether a text mentions each aspect, in dictionary order."""
-    return {f"_a{i}": f for i, f in enumerate(aspect_flags(F.col(text), aspects, mode))}
+def found_keywords(text: Column, aspects: dict[str, list[str]], mode: str) -> Column:
+    """The keywords of all aspects that a text holds, each once; the text is read in one pass."""
+    every = [k.lower() for kws in aspects.values() for k in kws]
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(keyword_pattern(every, mode)), F.lit(1)))
+
+
+def flag_columns(aspects: dict[str, list[str]], found: str, mode: str) -> dict[str, Column]:
+    """``_a0``, ``_a1``, ...: whether the found keywords mention each aspect, in dictionary order."""
+    return {f"_a{i}": f for i, f in enumerate(aspect_flags(F.col(found), aspects, mode))}
 
 
 def aspect_hits(df: DataFrame, aspects: dict[str, list[str]], text: str, mode: str,
                 carry: list[str]) -> DataFrame:
-    """``carry`` plus a flag per aspect: narrow enough to be joined or shuffled in place of the text.
-
-    As columns of their own the flags share one lower-cased text in generated code.
-    """
-    return df.select(*carry, *[f.alias(c) for c, f in flag_columns(aspects, text, mode).items()])
+    """``carry`` plus a flag per aspect: narrow enough to be joined or shuffled in place of the text."""
+    found = df.select(*carry, F.col("_found") if "_found" in df.columns else found_keywords(F.col(text), aspects, mode).alias("_found"))
+    return found.select(*carry, *[f.alias(c) for c, f in flag_columns(aspects, "_found", mode).items()])
 
 
 def _mentioned(found: DataFrame, aspects: dict[str, list[str]], rating: str) -> DataFrame:
@@ -85,7 +127,8 @@ def aspect_mentions(df: DataFrame, aspects: dict[str, list[str]], text: str = "R
                     rating: str = "Rating") -> DataFrame:
     """O-47: mentions per aspect (substring, once per review) and mean rating of
     the matches ignoring NULL/NaN (2 dp); every aspect listed, ``ordinal`` is the
-    dictionary order. A frame that has the flags (see :func:`aspect_hits`) needs no text."""
+    dictionary order. A frame that has the flags (see :func:`aspect_hits`) or the
+    keywords (``_found``, see :func:`found_keywords`) needs no text."""
     found = df if "_a0" in df.columns else aspect_hits(df, aspects, text, "substring", [rating])
     r = F.when(~F.isnan(F.col(rating)), F.col(rating))
     g = (_mentioned(found, aspects, rating).groupBy("aspect")
@@ -143,23 +186,32 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str, text: Column,
     carry = carry or []
     words = lexicon.groupBy("word").agg(F.avg("polarity").alias("_pol"), F.avg("subjectivity").alias("_sub"),
                                         F.max("intensity").alias("_int"))
-    toks = F.col("_toks")
-    shifted = lambda by: F.slice(F.concat(F.array(*[F.lit("")] * by), toks), F.lit(1), F.size(toks))
-    zipped = F.arrays_zip(toks.alias("w"), shifted(1).alias("p"), shifted(2).alias("q"))
-    t = df.select(key, *carry, F.split(normalise_text(text), " ").alias("_toks"))
-    t = t.select(key, *carry, F.explode(zipped).alias("_t"))  # an empty text still has one empty token
-    t = t.select(key, *carry, *[F.col(f"_t.{c}").alias(f"_{c}") for c in "wpq"])
-    t = t.join(words.select(F.col("word").alias("_w"), "_pol", "_sub").filter(F.col("_pol").isNotNull()), "_w", "left")
-    for c in "pq":
-        factors = words.select(F.col("word").alias(f"_{c}"), F.col("_int").alias(f"_int_{c}"))
-        t = t.join(factors.filter(F.col(f"_int_{c}").isNotNull()), f"_{c}", "left")
-    chain = F.when(F.col("_int_p").isNull(), F.lit(1.0)).otherwise(
-        F.col("_int_p") * F.coalesce(F.col("_int_q"), F.lit(1.0)))
-    bounded = lambda c, lo: F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(1.0), c)))
-    pol = bounded(F.col("_pol") * chain, -1.0)
-    sub = bounded(F.col("_sub") * F.when(chain > 0, chain).otherwise(F.lit(1.0)), 0.0)
-    # carry depends on the key; as grouping columns they keep the aggregate hashed
-    g = t.groupBy(key, *carry).agg(F.avg(pol).alias("_p"), F.avg(sub).alias("_s"))
+    t = df.select(key, *carry, F.posexplode(F.split(normalise_text(text), " ")).alias("_at", "_w"))
+    t = t.join(words.select(F.col("word").alias("_w"), F.struct("_pol", "_sub", "_int").alias("_hit")), "_w", "left")
+    # a review's first token stays without a hit, so that each review has a row
+    t = t.filter(F.col("_hit").isNotNull() | (F.col("_at") == 0))
+    hit = F.when(F.col("_hit").isNotNull(), F.struct(F.col("_at").alias("at"), *[F.col(f"_hit._{c}").alias(c) for c in ("pol", "sub", "int")]))
+    # carry depends on the key; grouping by it keeps it beside
+    g = t.groupBy(key, *carry).agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+    bounded = lambda c, lo: F.greatest(F.lit(lo), F.least(F.lit(1.0), c))
+
+    def factor(x: Column, i: Column, back: int) -> Column:
+        """The intensity of the token ``back`` places before x, null if it has none: at most that many hits before it."""
+        hits = [F.get(F.col("_hits"), i - j) for j in range(1, back + 1)]
+        return F.coalesce(*[F.when((i >= j) & (h["at"] == x["at"] - back), h["int"]) for j, h in enumerate(hits, 1)])
+
+    def scored(x: Column, i: Column) -> Column:
+        one, two = factor(x, i, 1), factor(x, i, 2)
+        chain = F.when(one.isNull(), F.lit(1.0)).otherwise(one * F.coalesce(two, F.lit(1.0)))
+        return F.when(x["pol"].isNotNull(), F.struct(
+            bounded(x["pol"] * chain, -1.0).alias("p"),
+            F.when(x["sub"].isNotNull(), bounded(x["sub"] * F.when(chain > 0, chain).otherwise(F.lit(1.0)), 0.0)).alias("s")))
+    g = g.select(key, *carry, F.transform("_hits", scored).alias("_scored"))
+
+    def mean(name: str) -> Column:
+        values = F.filter(F.transform("_scored", lambda x: x[name]), lambda v: v.isNotNull())
+        return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
+    g = g.select(key, *carry, mean("p").alias("_p"), mean("s").alias("_s"))
     return g.select(key, *carry,
                     F.coalesce(F.round("_p", decimals), F.lit(0.0)).alias("polarity"),
                     F.coalesce(F.round("_s", decimals), F.lit(0.0)).alias("subjectivity")

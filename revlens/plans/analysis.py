@@ -22,7 +22,9 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-33: profile of the raw (uncleaned) review rows."""
     raw = td.reviews_num_raw(spark, sf_dir, with_name=True)
-    return agg.dataset_profile(raw, "Rating", text_cols=["City", "Place", "Name"])
+    narrow = td.reviews_num_raw(spark, sf_dir)  # every review has a name, so the other columns need no join to it
+    return agg.dataset_profile(raw, "Rating", text_cols=["City", "Place", "Name"],
+                               sources=dict.fromkeys(["City", "Place", "Rating"], narrow))
 
 
 def rating_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def place_metrics_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def city_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-65 + O-67: global ranks of cities by review count and share of reviews."""
-    cm = materialize(agg.city_metrics(td.reviews_num(spark, sf_dir), exact=True, with_reviewers=False))
+    cm = materialize(agg.city_metrics(td.reviews_num(spark, sf_dir), exact=True, with_reviewers=False, with_places=False))
     ranked = ranking.global_ranks(cm, [("review_count", False)], [("City", True)],
                                   names={"row_number": "row_num", "percent_rank": "pct_rank"})
     return ranked.withColumns({
@@ -124,7 +126,7 @@ def top_ranked_places(spark: SparkSession, sf_dir: str, n: int = K.TOP_N) -> Dat
 
 def state_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-42 + O-59: state rollup of exact city metrics."""
-    cm = agg.city_metrics(td.reviews_num(spark, sf_dir), exact=True, with_reviewers=False)
+    cm = agg.city_metrics(td.reviews_num(spark, sf_dir), exact=True, with_reviewers=False, with_places=False)
     return agg.state_metrics(cm, dims.city_state_from_regions(spark, sf_dir))
 
 

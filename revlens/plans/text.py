@@ -109,8 +109,8 @@ def _search_rows(spark: SparkSession, sf_dir: str, city=None, place=None, sentim
 
 
 def _hits(aspects: dict) -> dict:
-    """The aspect flags as derived columns of the search rows (substring rule)."""
-    return text.flag_columns(aspects, "Review", "substring")
+    """The keywords found in a text as a derived column of the search rows (substring rule)."""
+    return {"_found": text.found_keywords(F.col("Review"), aspects, "substring")}
 
 
 def reviews_with_place_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from revlens import schemas
 from revlens.functions.columns import clamp, is_valid_number, nan_to_null
+from revlens.operators.selection import head_rows, sample_rows
 
 __all__ = [
     "read_reviews_csv", "read_reviews_columns", "clean_reviews", "first_rows", "exact_sample",
@@ -63,22 +64,12 @@ def clean_reviews(df: DataFrame, rating: str = "Rating", keys: tuple[str, ...] =
 
 def first_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """O-03: first n rows in a stated order (a bare limit is not deterministic)."""
-    return df.orderBy(*order_by).limit(n)
+    return head_rows(df, n, order_by)
 
 
 def exact_sample(df: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:
-    """O-04: exact-n sample without replacement, fixed seed.
-
-    Rows are ordered by a seeded hash of their key, so the sample does not
-    depend on partitioning. A bound on the hash a little above n / total
-    (ten standard deviations) comes first, so about n rows reach the final
-    merge and not n from every task.
-    """
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    total = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    share = F.lit(n + 10.0 * n ** 0.5 + 100) / total
-    hashed = df.withColumn("_h", h).filter(F.col("_h").cast("double") / F.lit(2.0 ** 64) + 0.5 <= share)
-    return hashed.orderBy("_h", *key_cols).limit(n).drop("_h")
+    """O-04: exactly min(n, rows) rows without replacement, fixed seed, repeated rows included."""
+    return sample_rows(df, n, key_cols, seed)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

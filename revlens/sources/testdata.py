@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens import schemas
 from revlens.functions.columns import clamp, is_valid_number
 
 __all__ = [
@@ -24,9 +25,10 @@ __all__ = [
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy scan of one table."""
+    """Lazy scan of one table, with its declared schema if it has one; the files are listed at each call."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return spark.read.parquet(path)
+    declared = schemas.GIVEN_TABLES.get(name)
+    return (spark.read.schema(declared) if declared else spark.read).parquet(path)
 
 
 def reviews_num_raw(spark: SparkSession, sf_dir: str, with_name: bool = False,

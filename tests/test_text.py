@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from revlens.operators import text
@@ -57,3 +59,16 @@ def test_lexicon_sentiment_counts_a_repeated_word_once(spark):
     df = spark.createDataFrame([(1, "good thing"), (2, "")], "id int, t string")
     out = {r.id: r.polarity for r in text.lexicon_sentiment(df, lex, "id", F.col("t")).collect()}
     assert out == {1: 0.75, 2: 0.0}
+
+
+def test_one_pass_equals_one_test_per_keyword(spark):
+    """Keywords that overlap, begin alike or hold others are all found, in both modes."""
+    aspects = {"a": ["view", "review", "park"], "b": ["parking", "entry", "entry fee"], "c": ["fee", "rev", "iew", "in.g"]}
+    texts = ["a review of parking", "entry feed", "entry fee", "Viewpark", "the ENTRY", "rev-iew", "in.g ing", "", None, "park entry fees view", "reviewer parkinging fee"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for mode in ("substring", "regex"):
+        got = {r["id"]: [r["_a0"], r["_a1"], r["_a2"]] for r in text.aspect_hits(df, aspects, "t", mode, ["id"]).collect()}
+        for i, t in enumerate(texts):
+            low = (t or "").lower()
+            has = (lambda k: k in low) if mode == "substring" else (lambda k: re.search(rf"(?<!\w){re.escape(k)}(?!\w)", low) is not None)  # noqa: B023
+            assert got[i] == [any(map(has, kws)) for kws in aspects.values()], (mode, t)
