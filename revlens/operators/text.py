@@ -26,6 +26,7 @@ __all__ = [
 ]
 
 WORD_CHAR = r"\p{L}\p{N}_"
+SPECIAL = r"^-&[]\ "
 
 
 def review_text(df: DataFrame, review: str = "Review", raw: str = "Raw_Review", drop_blank: bool = False,
@@ -49,23 +50,33 @@ def word_boundary_pattern(keywords: list[str]) -> str:
     return f"(^|[^{WORD_CHAR}])({'|'.join(map(_quoted, keywords))})([^{WORD_CHAR}]|$)"
 
 
+def _ahead(words: list[str]) -> str:
+    """A look at the next letters, at most three, that some of the words may go on with."""
+    sets = [sorted({w[i] for w in words}) for i in range(min(3, *map(len, words)))]
+    return "(?=" + "".join(f"[{''.join(chr(92) + c if c in SPECIAL else c for c in part)}]" for part in sets) + ")"
+
+
 def _branches(words: list[str]) -> str:
-    """The words as nested alternatives by their first letters, longest first; letters in halves, so few are tried."""
+    """The words as nested alternatives by their first letters, longest first.
+
+    Letters are halved, and each half begins with a look at the next three
+    letters, so most places in a text are passed over after one look.
+    """
     by_first: dict[str, list[str]] = {}
     for w in words:
-        by_first.setdefault(w[0], []).append(w[1:])
+        by_first.setdefault(w[0], []).append(w)
 
     def one(c: str) -> str:
-        rest = [w for w in by_first[c] if w]
-        return _quoted(c) + (_branches(rest) + ("?" if "" in by_first[c] else "") if rest else "")
+        rest = [w[1:] for w in by_first[c] if w != c]
+        return _quoted(c) + (_branches(rest) + ("?" if c in by_first[c] else "") if rest else "")
 
     def pick(letters: list[str]) -> str:
         if len(letters) <= 3:
             return "|".join(one(c) for c in letters)
         half = len(letters) // 2
-        return "|".join(f"(?=[{''.join(_quoted(c) if c not in '-&' else chr(92) + c for c in part)}])(?:{pick(part)})"
-                        for part in (letters[:half], letters[half:]))
-    return f"(?:{pick(sorted(by_first))})"
+        return "|".join(f"{_ahead([w for c in part for w in by_first[c]])}(?:{pick(part)})" for part in (letters[:half], letters[half:]))
+    letters = sorted(by_first)
+    return f"(?:{_ahead(words) if len(letters) > 3 else ''}(?:{pick(letters)}))"
 
 
 def keyword_pattern(keywords: list[str], mode: str) -> str:
