@@ -279,6 +279,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that :func:`contaminated` names; rows without an id stay."""
-    hit = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].cast("long") == hit["_hit"], "left_anti")
+    """``docs`` without the rows whose own text holds an item.
+
+    Other texts under the same id stay, and so do rows without an id; columns
+    of any name are kept. Rows are known by a 64-bit hash of id and text.
+    """
+    mark = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"))
+    hit = contaminated(docs.select(mark.alias("doc_id"), F.col(text_col).alias("text")), benchmark).select(F.col("doc_id").alias("mark")).distinct()
+    return marked.join(hit, "mark", "left_anti").select("row.*")

@@ -15,8 +15,10 @@
 5. The sets of each candidate group are compared exactly, once per pair, and a
    pair whose ends are already connected is skipped.
 
-Groups in 4 and 5 that are larger than a block are split into pairs of blocks
-that go to different tasks, so no group is gathered in one place.
+Groups in 4 and 5 that are larger than a block are compared with a few of their
+own rows first; rows that this connects need no comparison with each other, and
+the rest is split into pairs of blocks that go to different tasks. So no group
+is gathered in one place, and near copies aren't sent once for every block.
 
 A set's key is a 64-bit hash of its shingles: among N different sets, the
 chance that two share a key is about N^2 / 2^65.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm import words as W
@@ -42,6 +44,8 @@ CELLS = 1 << CELL_BITS
 PARTS = 64
 BUCKET_ROWS = 4000      # prefix rows of one shingle compared in one task
 GROUP_SHINGLES = 100_000  # shingles of one block of a candidate group
+HEADS = 6               # rows of a larger group that all its rows are compared with first
+SETS = 4000             # sets, about, that a task compares at the least
 
 ROW_SCHEMA = "token long, key long, n int, pos int, doc_id long, sketch binary"
 ROW = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()),
@@ -261,6 +265,114 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=EDGE)
 
 
+def _sketch_test(rule: Rule):
+    """Whether the filters let two prefix rows of one shingle link."""
+    def fits(x: dict, y: dict) -> bool:
+        small, large, total = min(x["n"], y["n"]), max(x["n"], y["n"]), x["n"] + y["n"]
+        least = rule.overlap(total)
+        most = min(x["pos"], y["pos"]) + min(x["n"] - x["pos"], y["n"] - y["pos"])
+        return (rule.lengths(small, large) and most >= least
+                and differ(int.from_bytes(x["sketch"], "little"), int.from_bytes(y["sketch"], "little")) <= total - 2 * least)
+    return fits
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _exact_test(rule: Rule):
+    """Whether two sets link."""
+    def fits(x: dict, y: dict) -> bool:
+        total = x["n"] + y["n"]
+        return (rule.lengths(min(x["n"], y["n"]), max(x["n"], y["n"]))
+                and _common(np.frombuffer(x["items"], np.uint64), np.frombuffer(y["items"], np.uint64)) >= rule.overlap(total))
+    return fits
+
+
+def _to_heads(group: str, test):
+    """For each row of a block, which of its group's heads it links with: a bit for each, and their keys."""
+    schema = pa.schema([(group, pa.int64()), ("key", pa.int64()), ("blocks", pa.int32()), ("mask", pa.int32()), ("linked", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in W.grouped(batches, [group, "salt"]):
+            rows = [dict(zip(g, r, strict=True)) for r in zip(*g.values(), strict=True)]
+            heads = sorted((r for r in rows if r["head"]), key=lambda r: r["key"])
+            out = []
+            for r in rows:
+                if not r["head"]:
+                    hit = [i for i, h in enumerate(heads) if h["key"] == r["key"] or test(h, r)]
+                    out.append((r[group], r["key"], r["blocks"], sum(1 << i for i in hit), [heads[i]["key"] for i in hit]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    return run
+
+
+def _cores(group: str):
+    """For each group, the heads of its largest connected part, as bits, and the share of rows outside it."""
+    schema = pa.schema([(group, pa.int64()), ("blocks", pa.int32()), ("core", pa.int32()), ("outside", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                parts: list[int] = []
+                for m in r["masks"]:
+                    joined = m["mask"]
+                    for p in [p for p in parts if p & joined]:
+                        parts.remove(p)
+                        joined |= p
+                    if joined:
+                        parts.append(joined)
+                total = sum(m["rows"] for m in r["masks"])
+                size = {p: sum(m["rows"] for m in r["masks"] if m["mask"] & p) for p in parts}
+                core = max(parts, key=lambda p: (size[p], p), default=0)  # noqa: B023
+                out.append((r[group], r["blocks"], core, 1 - size.get(core, 0) / total))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    return run
+
+
+def _pairs(df: DataFrame, group: str, test, stage, parts: int) -> DataFrame:
+    """Edges among the rows of each group, found by ``stage`` in blocks (``blocks``: how many the group's rows fill).
+
+    A group of one block is compared there. In a larger one, every row is
+    first compared with HEADS of its rows, which travel to all blocks. Rows
+    that link with heads which are linked among themselves form the core; no
+    pair inside it can connect anything new. Only pairs of blocks with a row
+    outside the core are left, so a group of near copies costs what it holds.
+    """
+    small = df.filter("blocks = 1").drop("blocks").withColumns({c: F.lit(0) for c in ("block", "bi", "bj")})
+    big = stored(df.filter("blocks > 1"), "big-groups")
+    if big.isEmpty():
+        return _compared(small, group, stage, parts)
+    salt = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    order = Window.partitionBy(group).orderBy(F.xxhash64("key", group), "key")
+    heads = big.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= HEADS).drop("at")
+    met = heads.withColumn("salt", every).withColumn("head", F.lit(True)).unionByName(big.withColumn("salt", salt).withColumn("head", F.lit(False)))
+    marked = stored(met.repartition(parts, group, "salt").sortWithinPartitions(group, "salt")
+                    .mapInArrow(_to_heads(group, test), f"{group} long, key long, blocks int, mask int, linked array<long>"), "heads")
+    masks = marked.groupBy(group, "blocks", "mask").agg(F.count(F.lit(1)).alias("rows"))
+    cores = (masks.groupBy(group, "blocks").agg(F.collect_list(F.struct("mask", "rows")).alias("masks"))  # at most 2^HEADS
+             .mapInArrow(_cores(group), f"{group} long, blocks int, core int, outside double")
+             .withColumn("salt", every).drop("blocks"))
+    rows = (big.join(marked.select(group, "key", "mask"), [group, "key"]).withColumn("salt", salt).join(cores, [group, "salt"])
+            .withColumn("out", F.ceil(F.col("blocks") * F.col("outside")).cast("int")))
+    inside = F.col("mask").bitwiseAND(F.col("core")) != 0
+    rows = rows.withColumn("block", F.when(inside, F.col("out") + F.col("salt")).otherwise(F.pmod(F.xxhash64("key"), F.col("out")).cast("int")))
+    last = F.when(inside, F.col("out")).otherwise(F.col("out") + F.col("blocks")) - 1
+    rows = rows.filter("out > 0").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).select(*small.columns)
+    direct = marked.select(F.col("key").alias("a"), F.explode("linked").alias("b"))
+    return _compared(small.unionByName(rows), group, stage, parts).unionByName(direct)
+
+
+def _compared(rows: DataFrame, group: str, stage, parts: int) -> DataFrame:
+    return rows.repartition(parts, group, "bi", "bj").sortWithinPartitions(group, "bi", "bj").mapInArrow(stage, EDGE_SCHEMA)
+
+
 def _candidates(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in W.grouped(batches, ["token", "bi", "bj"]):
@@ -277,10 +389,7 @@ def _verified(rule: Rule):
             sets = [np.frombuffer(x, np.uint64) for x in g["items"]]
 
             def fits(i, j, sets=sets):
-                x, y = sets[i], sets[j]
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                return int((y[at] == x).sum()) >= rule.overlap(len(x) + len(y))
+                return _common(sets[i], sets[j]) >= rule.overlap(len(sets[i]) + len(sets[j]))
 
             if edges := _link(g, rule, [sketch(s, 1) for s in sets], fits):
                 yield _edge_batch(edges)
@@ -305,13 +414,6 @@ def _sets(k: int):
     return run
 
 
-def _block_pairs(df: DataFrame, blocks: str) -> DataFrame:
-    """Each row once for each pair of blocks that its own block is in."""
-    own = F.pmod(F.xxhash64("key"), F.col(blocks)).cast("int")
-    return (df.withColumn("block", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
-            .withColumns({"bi": F.least("block", "o"), "bj": F.greatest("block", "o")}).drop("o", blocks))
-
-
 def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents grouped by chains of links between their shingle sets.
 
@@ -339,9 +441,8 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     hot = active.groupBy("token").count().filter(F.col("count") > BUCKET_ROWS).select(
         "token", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("blocks"))
     bucket = active.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(sketches, "key")
-    maybe = (_block_pairs(bucket, "blocks").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-             .mapInArrow(_candidates(rule), EDGE_SCHEMA))
-    star = components(maybe)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # numbered: rows of few bytes may cost much
+    star = components(_pairs(bucket, "token", _sketch_test(rule), _candidates(rule), parts))
 
     member = star.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(
         star.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()).join(classes, "key")
@@ -349,9 +450,8 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     member = member.join(size, "root").select(F.col("rep").alias("doc_id"), "root", "blocks", "key")
     sets = src.join(member, "doc_id").select("doc_id", "text", "root", "blocks", "key").mapInArrow(
         _sets(k), "root long, blocks int, key long, n int, items binary").dropDuplicates(["root", "key"])
-    links = (_block_pairs(sets, "blocks").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-             .mapInArrow(_verified(rule), EDGE_SCHEMA))
-    linked = components(links).select(F.col("u").alias("key"), F.col("v").alias("top"))
+    parts = max(parts, star.count() // SETS)
+    linked = components(_pairs(stored(sets, "sets"), "root", _exact_test(rule), _verified(rule), parts)).select(F.col("u").alias("key"), F.col("v").alias("top"))
 
     top = classes.join(linked, "key", "left").withColumn("top", F.coalesce("top", "key"))
     first = top.groupBy("top").agg(F.min("rep").alias("component_id"))

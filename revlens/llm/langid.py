@@ -13,12 +13,12 @@ so that thousands of segments advance together.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ SAMPLE_TOTAL = 12_800   # documents of all languages together, shared among them
 BLOCK = 2048            # segments that advance together
 EPOCHS = 8
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass

@@ -113,13 +113,16 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
     Nulls and edges: a null source is a source of its own; a row without an id
     is ordered by its text's hash; a text without words goes with its place in
     the order and weighs nothing; repeated rows share a place and go or stay
-    together; a source without any token, and an empty table, give no row.
+    together; a source without any token, and an empty table, give no row;
+    columns of any name are kept, but ``block`` and ``position_key``, which are
+    replaced.
     """
-    own = docs.drop("block", "position_key").withColumns({
-        "source_key": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")),
-        "mix_id": F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))})
-    narrow = stored(own.select("source_key", "mix_id", n_tokens(F.col(text_col)).alias("tokens")), "tokens")
+    row = F.struct(*[c for c in docs.columns if c not in ("block", "position_key")]).alias("row")  # own columns stay inside, whatever their names
+    own = docs.select(
+        row, n_tokens(F.col(text_col)).alias("tokens"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")).alias("source_key"),
+        F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).alias("mix_id"))
+    narrow = stored(own.select("source_key", "mix_id", "tokens"), "tokens")
     chosen = plan(narrow, target).select("source_key", "full", "last_key")
-    taken = own.join(chosen, "source_key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).withColumn("position_key", order_key(F.col("block")))
+    taken = own.drop("tokens").join(chosen, "source_key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).withColumn("position_key", order_key(F.col("block")))
     return (taken.filter((F.col("block") < F.col("full")) | (F.col("position_key") <= F.col("last_key")))
-            .select(*[c for c in docs.columns if c not in ("block", "position_key")], "block", "position_key"))
+            .select("row.*", "block", "position_key"))

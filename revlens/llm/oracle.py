@@ -20,10 +20,10 @@ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS
 lab AS (SELECT doc_id, min(quality) = 1 AND max(coalesce(toxic, 0)) = 0 AS clean, min(quality) = 0 AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 rules(rule, cutoff) AS (VALUES {", ".join(f"('{r}', {c})" for r, (_, _, cuts) in RULES.items() for c in cuts)}),
 hits AS (SELECT stratum, rule, cutoff, clean, bad, CASE rule {" ".join(f"WHEN '{r}' THEN 1000 * {a} > cutoff * {b}" for r, (a, b, _) in RULES.items())} END AS hit
-         FROM f JOIN lab USING (doc_id), rules WHERE NOT base_failed AND (clean OR bad)),
+         FROM (SELECT DISTINCT * FROM f) JOIN lab USING (doc_id), rules WHERE NOT base_failed AND (clean OR bad)),
 t AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE clean) AS n, count(*) FILTER (WHERE clean AND hit) AS k, count(*) FILTER (WHERE bad AND hit) AS caught FROM hits GROUP BY ALL),
 tail AS (SELECT stratum, rule, cutoff, any_value(caught - k) AS gain, count(*) OVER () AS unused,
-                sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))) AS p
+                sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RULES)}) + (n - i) * ln(1 - {ALPHA / len(RULES)}))) AS p
          FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM t WHERE n > 0 AND caught > k) GROUP BY stratum, rule, cutoff),
 best AS (SELECT stratum, rule, arg_max(cutoff, gain * 100000 + cutoff) AS cut FROM tail WHERE p <= {DELTA} / (SELECT count(*) FROM t) GROUP BY stratum, rule),
 cut AS (SELECT stratum, {", ".join(f"max(cut) FILTER (WHERE rule = '{r}') AS cut_{r}" for r in RULES)} FROM best GROUP BY stratum)

@@ -125,7 +125,9 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff): the chosen cutoffs, from rows with counts, stratum, clean and bad.
 
-    Rows that the base rules reject are no part of the choice.
+    Rows that the base rules reject are no part of the choice. The verdict is
+    that any rule rejects, so each rule is certified at its share of alpha:
+    together they reject no more than alpha of a stratum's clean documents.
     """
     grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), over(r, F.lit(c)).alias("hit")) for r, (_, _, cuts) in RULES.items() for c in cuts])
     tested = (labelled.filter("NOT base_failed AND (clean OR bad)").select("stratum", "clean", "bad", F.explode(grid).alias("g"))
@@ -133,7 +135,7 @@ def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA)
               .agg(F.count_if("clean").alias("n"), F.count_if(F.col("clean") & F.col("g.hit")).alias("k"), F.count_if(F.col("bad") & F.col("g.hit")).alias("caught")))
     tests = F.count(F.lit(1)).alias("tests")
     tested = tested.crossJoin(F.broadcast(tested.agg(tests)))  # one row: the number of tests
-    sure = tested.filter((F.col("n") > 0) & (F.col("caught") > F.col("k")) & (binomial_tail(F.col("n"), F.col("k"), alpha) <= F.log(F.lit(delta) / F.col("tests"))))
+    sure = tested.filter((F.col("n") > 0) & (F.col("caught") > F.col("k")) & (binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= F.log(F.lit(delta) / F.col("tests"))))
     return sure.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(F.col("caught") - F.col("k"), "cutoff")).alias("cutoff"))
 
 
@@ -160,7 +162,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).filter("doc_id IS NOT NULL")
              .groupBy("doc_id").agg((F.min("q") == 1).alias("good"), (F.max(F.coalesce("t", F.lit(0))) == 0).alias("mild"), (F.min("q") == 0).alias("poor")))
     seen = rows.join(known.select("doc_id", F.coalesce(F.col("good") & F.col("mild"), F.lit(False)).alias("clean"), F.coalesce("poor", F.lit(False)).alias("bad")), "doc_id")
-    chosen = thresholds(seen, alpha, delta)
+    chosen = thresholds(seen.dropDuplicates(), alpha, delta)  # a repeated row is one observation
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
@@ -184,6 +186,6 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     src = docs.select(*key, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = stored(counted(src.select("doc_id", "_text", "stratum", *measures(F.col("text")))), "quality")
     failed = rows.join(cutoffs(rows, labels, alpha, delta), "stratum", "left").filter(F.col("base_failed") | verdict())
-    failed = failed.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_fail")).distinct()
-    marked = docs.withColumns({"_id_": key[0], "_text_": key[1]})
-    return marked.join(failed, marked["_id_"].eqNullSafe(failed["_id"]) & (marked["_text_"] == failed["_fail"]), "left_anti").select(*docs.columns)
+    failed = failed.select(F.col("doc_id").alias("fail_id"), F.col("_text").alias("fail_text")).distinct()
+    marked = docs.select(F.struct(*docs.columns).alias("row"), *key)  # the row's own columns, whatever their names, stay inside
+    return marked.join(failed, F.col("doc_id").eqNullSafe(F.col("fail_id")) & (F.col("_text") == F.col("fail_text")), "left_anti").select("row.*")

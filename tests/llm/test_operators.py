@@ -141,6 +141,47 @@ def test_jaccard_large_groups_are_split_into_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {1}
 
 
+@pytest.mark.parametrize("heads", [1, 6])
+def test_jaccard_large_groups_equal_brute_force(spark, monkeypatch, heads):
+    """Clouds of near copies of several centres, a common passage and strangers, with blocks of a few rows."""
+    for name, value in (("BUCKET_ROWS", 4), ("GROUP_SHINGLES", 300), ("HEADS", heads)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(8)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(60)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(60)] = f"own{rng.randrange(10**6)}"
+            rows.append(w)
+    rows += [[f"s{rng.randrange(10**6)}" for _ in range(30)] + [f"c0w{i}" for i in range(30)] for _ in range(20)]
+    rng.shuffle(rows)
+    sets = [{tuple(w[i:i + 3]) for i in range(len(w) - 2)} for w in rows]
+    top = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and top[a] != top[b]:
+                low, high = sorted((top[a], top[b]))
+                top = [low if t == high else t for t in top]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_sets(df, 3, 80, 100).collect()}
+    assert [got[i] for i in range(len(rows))] == top
+
+
+def test_jaccard_near_copies_travel_once(spark, monkeypatch):
+    """Rows sent for a group of near copies grow with the group, not with its square."""
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 500)
+    sent = []
+    plain = jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda rows, group, *a: sent.append(rows.count()) or plain(rows, group, *a) if group == "root" else plain(rows, group, *a))
+    for size in (40, 160):
+        rows = [(i, " ".join([f"w{j}" for j in range(100)] + [f"own{i}"])) for i in range(size)]
+        got = jaccard.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect()
+        assert {r["component_id"] for r in got} == {0}
+    assert sent[1] <= 5 * max(sent[0], 10)
+
+
 def test_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 70, 500, 3000):
@@ -407,3 +448,43 @@ def test_exponent_meets_an_entropy(spark):
     p /= p.sum()
     assert -(p * np.log(p)).sum() == pytest.approx(1.0, abs=1e-6)
     assert mixing.exponent(sources, mixing.Target(entropy=2.0)) == 0.0
+
+
+def test_quality_rejects_alpha_of_a_stratum_at_most(spark):
+    """Rules that each hit other clean rows: what is chosen rejects no more than alpha of them together."""
+    rows = []
+    for i in range(12_000):
+        part = i % 1000
+        hit = part // 14 if part < 56 else -1  # four sets of 1.4 percent each
+        bad = i >= 10_000
+        n = 100
+        rows.append((i, "en", n, 2000 if hit == 0 or bad else 500, 90 if hit == 1 or bad else 0, 9 if hit == 2 or bad else 0, 10, 45 if hit == 3 or bad else 0, not bad, bad))
+    df = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, clean boolean, bad boolean")
+    df = df.withColumn("base_failed", F.lit(False))
+    cut = quality.thresholds(df).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in quality.RULES])
+    judged = df.join(cut, "stratum", "left").withColumn("gone", quality.verdict())
+    clean = judged.filter("clean")
+    assert clean.filter("gone").count() <= quality.ALPHA * clean.count()
+    # with few hits on clean rows the same rules are certified and catch the bad ones
+    calm = df.withColumns({c: F.when(F.col("clean"), F.lit(0 if c != "word_chars" else 500)).otherwise(F.col(c)) for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
+    cut = quality.thresholds(calm).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in quality.RULES])
+    judged = calm.join(cut, "stratum", "left").withColumn("gone", quality.verdict())
+    assert judged.filter("gone AND bad").count() == 2000 and judged.filter("gone AND clean").count() == 0
+
+
+def test_langid_numbers_are_no_letters():
+    from revlens.llm.langid import _LETTER
+    assert not any(_LETTER.search(t) for t in ("\u00bd", "\u00b2", "\u2167", "12 3", "_", "")) and all(_LETTER.search(t) for t in ("a", "\u00e9", "\u6f22", "\u02b0"))
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ("full", "last_key", "source_key", "mix_id", "tokens", "row", "key", "bucket", "block", "_id_", "_text_", "fail_id", "stratum", "mark", "document", "hit")
+    docs = spark.createDataFrame([(i, "some words here " * 30, "en", "s", 0) for i in range(6)], DOCS)
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "not in any of these documents at all, nor anywhere else in fact")], "item_id long, text string")
+    mixed = mixing.mix(wide, mixing.Target(max_repeat=1.25))
+    for got in (mixed.drop("block", "position_key"), quality.keep(wide, labels), decontaminate.decontaminate(wide, items)):
+        for r in got.collect():
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names if n in got.columns)
+    assert {"full", "mix_id", "position_key"} <= set(mixed.columns) and quality.keep(wide, labels).columns == wide.columns

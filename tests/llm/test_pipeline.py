@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on a small table."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from revlens.llm import decontaminate, jaccard, quality
@@ -64,3 +65,24 @@ def test_rows_that_repeat_an_id(spark):
     left = corpus_pipeline.near_duplicates(spark, rows, SF)
     assert sorted(map(str, ids(left))) == ["1", "1", "None"]
     assert jaccard.similar_sets(rows).filter("doc_id IS NULL AND component_id IS NULL").count() == 1
+
+
+def test_other_texts_under_an_id_are_documents_of_their_own(spark, tmp_path):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    item = "an item of the benchmark with enough words to be found in any text that holds it"
+    rows = [(1, a), (2, a), (2, b), (3, item + " " + a), (3, b + " other words"), (None, a), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"mark": F.lit("m"), "row": F.lit("r"), "top": F.lit("t"), "block": F.lit("own")})
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert (2, a) not in got and {(1, a), (2, b), (None, a)} <= set(got) and got.count((4, None)) == 2
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()]
+    assert (3, item + " " + a) not in left and len(left) == len(rows) - 1
+    mixed = corpus_pipeline.mixture(spark, docs, SF)
+    assert mixed.columns == docs.columns and {r["block"] for r in mixed.collect()} == {"own"}
+    none = docs.limit(0)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
