@@ -20,7 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the risk-controlled cutoffs keep."""
+    """Documents that the base rules and the risk-controlled cutoffs keep.
+
+    A null text has no words and goes; an empty table gives an empty
+    result; columns of any name are kept.
+    """
     ship(spark)
     return quality.keep(docs, _table(spark, sf_dir, "labels"))
 
@@ -28,28 +32,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id.
 
-    Rows that repeat an id stay together: all go, or all that are the group's first.
+    Rows are known by a 64-bit hash of id and text, so another text under the
+    same id is a document of its own; rows that repeat both stay together.
+    Rows without an id stay; an empty table gives an empty result; columns of
+    any name are kept.
     """
     ship(spark)
-    groups = jaccard.similar_sets(docs.select("doc_id", "text"), k=5, num=80, den=100)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    mark = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("mark")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), mark)
+    groups = jaccard.similar_sets(docs.select(mark.alias("doc_id"), "text"), k=5, num=80, den=100)
+    groups = groups.select(F.col("doc_id").alias("mark"), F.col("component_id").alias("top")).distinct()
+    named = stored(groups.join(docs.select("doc_id", mark).distinct(), "mark"), "groups")
+    first = named.groupBy("top").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    gone = named.join(first, "top").filter("mark <> first.mark").select("mark")
+    return marked.join(gone, "mark", "left_anti").select("row.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Rows without an id or text stay; an empty table gives an empty
+    result; columns of any name are kept.
+    """
     ship(spark)
     return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken to meet the target weights, once for each time they are taken."""
+    """Documents taken to meet the target weights, once for each time they are taken.
+
+    Rows without an id are placed by their text; an empty table gives an
+    empty result; columns of any name are kept.
+    """
     ship(spark)
-    return mixing.mix(docs, TARGET).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("document"), "doc_id", "text", "source")
+    return mixing.mix(held, TARGET).select("document.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their slot and shard."""
+    """Documents with their slot and shard.
+
+    Rows without an id are placed by their text.
+    """
     ship(spark)
     return sharding.place(docs, SHARDS)
 
