@@ -223,6 +223,13 @@ def trend_scores(interest: DataFrame, status: DataFrame, keywords: DataFrame, mo
         F.coalesce(F.col("notes"), F.lit("No data fetched")).alias("notes"))
 
 
+def cached_trends(stored: DataFrame | None, source: str = "cached") -> DataFrame | None:
+    """O-06: stored trends for reuse: all rows become 'cached' if any of them is live; None if none is, or nothing is stored."""
+    if stored is None or stored.filter(F.col("status") == "live").limit(1).isEmpty():
+        return None
+    return stored.withColumns({"status": F.lit("cached"), "source": F.lit(source)})
+
+
 def realtime_scores(base: DataFrame, trends: DataFrame, w_existing: float = K.TREND_WEIGHTS[0],
                     w_trend: float = K.TREND_WEIGHTS[1],
                     existing: str = "BasePopularity", decimals: int = 6) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from revlens import constants as K
 from revlens.operators import aggregates as agg
 from revlens.operators import ranking
-from revlens.session import materialize
+from revlens.session import materialize, stored_path
 from revlens.sources import dimensions as dims
-from revlens.sources import files
+from revlens.sources import files, incremental
 from revlens.sources import testdata as td
 
 
@@ -196,6 +196,61 @@ def reviewer_sketch_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("City", "unique_reviewers", (off <= 0.15 * F.col("unique_reviewers")).alias("within_bound"))
 
 
+def reviewer_sketch_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-40: reviewers of places, cities and states from one table of stored sketches, against the exact counts.
+
+    The sketches are made once per (City, Place) and merged upwards; a level's
+    error must stay within five standard errors (8.2 %), or one reviewer.
+    """
+    people = td.reviews_num(spark, sf_dir, with_name=True).select("City", "Place", "Name")
+    fine = materialize(agg.distinct_sketches(people, ["City", "Place"], "Name"))
+    mapped = dims.city_state_from_regions(spark, sf_dir)
+    out = None
+    for level, keys, join in (("place", ["City", "Place"], False), ("city", ["City"], False), ("state", ["State"], True)):
+        part = fine.join(mapped, "City") if join else fine
+        raw = people.join(mapped, "City") if join else people
+        found = agg.merge_sketches(part, keys).select(*keys, F.hll_sketch_estimate("sketch").alias("_found"))
+        exact = raw.select(*keys, "Name").distinct().groupBy(*keys).agg(F.count("Name").alias("unique_reviewers"))
+        off = F.abs(F.col("_found") - F.col("unique_reviewers"))
+        rows = exact.join(found, keys).select(F.lit(level).alias("level"), F.concat_ws("/", *keys).alias("key"), "unique_reviewers",
+                                              (off <= F.greatest(F.lit(1.0), 0.0815 * F.col("unique_reviewers"))).alias("within_bound"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _csv_folder(spark: SparkSession, rows: DataFrame, tag: str) -> str:
+    """Rows as CSV files in a folder of their own in the shared checkpoint folder."""
+    path = stored_path(spark, tag)
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-01 + O-02: reviews written as CSV, some with a rating that is no number, and read back: good rows per city and rejects."""
+    raw = td.reviews_num_raw(spark, sf_dir)
+    rows = raw.select("City", "Place", F.lit("fine, \"really\"").alias("Review"), F.coalesce(F.col("Rating").cast("string"), F.lit("n/a")).alias("Rating"),
+                      F.lit("x").alias("Name"), F.lit("2024-01-01").alias("Date"), F.lit("raw").alias("Raw_Review"))
+    good, bad = files.read_reviews_checked(spark, _csv_folder(spark, rows, "csv"))
+    kept = good.groupBy("City").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.col("Rating").cast("double")), 4).alias("avg_rating"))
+    lost = bad.agg(F.count(F.lit(1)).alias("rows"))
+    return (kept.select(F.lit("good").alias("kind"), "City", "rows", "avg_rating")
+            .unionByName(lost.select(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("City"), "rows", F.lit(None).cast("double").alias("avg_rating"))))
+
+
+def incremental_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-06: city figures kept up to date: the reviews arrive in two lots of files, and each lot is read once."""
+    inputs, store = stored_path(spark, "lots"), stored_path(spark, "rollup")
+    reviews = td.reviews_num(spark, sf_dir, with_key=True).select("City", "Place", "Rating", "l_linenumber")
+    schema = reviews.drop("l_linenumber").schema
+    out = None
+    for lot in (F.col("l_linenumber") <= 3, F.col("l_linenumber") > 3):
+        reviews.filter(lot).drop("l_linenumber").write.mode("append").parquet(inputs)
+        out = incremental.update_rollup(
+            spark, inputs, store, lambda paths: spark.read.schema(schema).parquet(*paths), agg.place_city_base,
+            lambda parts: agg.roll_up(parts, ["City"], F.count_distinct("Place").alias("unique_places")), suffix=".parquet")
+    return out.select("City", F.col("n").alias("review_count"), agg.mean_of("s", "n").alias("avg_rating"), agg.std_of().alias("rating_std"), "unique_places")
+
+
 def record_export(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
     """O-10: JSON records of all hotspot cities (or the leading n) (non-finite -> null)."""
     from revlens.plans.destinations import hotspot_city

@@ -277,6 +277,19 @@ SELECT LEAST(5000, COUNT(*)) AS rows, CAST(0 AS BIGINT) AS excess_rows FROM line
 _reg("reviewer_sketch_error", _num(True) + """
 SELECT City, COUNT(DISTINCT Name) AS unique_reviewers, TRUE AS within_bound FROM reviews GROUP BY City""")
 
+_reg("reviewer_sketch_levels", _num(True) + "," + _CITY_STATE + """
+SELECT 'place' AS level, City || '/' || Place AS key, COUNT(DISTINCT Name) AS unique_reviewers, TRUE AS within_bound FROM reviews GROUP BY City, Place
+UNION ALL SELECT 'city', City, COUNT(DISTINCT Name), TRUE FROM reviews GROUP BY City
+UNION ALL SELECT 'state', cs.State, COUNT(DISTINCT Name), TRUE FROM reviews JOIN city_state cs ON reviews.City = cs.City GROUP BY cs.State""")
+
+_reg("csv_rejects", _num() + """
+SELECT 'good' AS kind, City, COUNT(*) AS rows, ROUND(AVG(Rating), 4) AS avg_rating FROM reviews_raw WHERE Rating IS NOT NULL GROUP BY City
+UNION ALL SELECT 'rejected', NULL, COUNT(*), NULL FROM reviews_raw WHERE Rating IS NULL""")
+
+_reg("incremental_cities", _num() + """
+SELECT City, COUNT(Rating) AS review_count, ROUND(AVG(Rating), 4) AS avg_rating, ROUND(STDDEV_SAMP(Rating), 4) AS rating_std,
+       COUNT(DISTINCT Place) AS unique_places FROM reviews GROUP BY City""")
+
 _reg("record_export", _hs("City") + """
 SELECT '{"rank":' || rank || ',"City":"' || City || '","hotspot_score":' || hotspot_score || '}' AS record FROM hs""")
 
@@ -692,6 +705,8 @@ FROM rt2""")
 _reg("trend_status_counts", _TRENDS + """
 SELECT COUNT(*) FILTER (WHERE status = 'live') AS live_count,
        COUNT(*) FILTER (WHERE status <> 'live') AS not_live_count, COUNT(*) AS total FROM trends""")
+_reg("trend_cached", _TRENDS + """
+SELECT * REPLACE ('cached' AS status, 'cached' AS source) FROM trends""")
 _reg("trend_status_breakdown", _TRENDS + "\nSELECT status, COUNT(*) AS count FROM trends GROUP BY status")
 
 

@@ -67,6 +67,9 @@ QUERIES = {
     "review_sample": an.review_sample,
     "review_sample_properties": an.review_sample_properties,
     "reviewer_sketch_error": an.reviewer_sketch_error,
+    "reviewer_sketch_levels": an.reviewer_sketch_levels,
+    "csv_rejects": an.csv_rejects,
+    "incremental_cities": an.incremental_cities,
     "record_export": an.record_export,
     # text
     "review_text_clean": tx.review_text_clean,
@@ -92,6 +95,7 @@ QUERIES = {
     "realtime_scores": tr.realtime_scores,
     "trend_status_counts": tr.trend_status_counts,
     "trend_status_breakdown": tr.trend_status_breakdown,
+    "trend_cached": tr.trend_cached,
     # popularity model
     "place_features": ml.place_features,
     "model_metrics": ml.model_metrics,

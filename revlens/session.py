@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -65,10 +66,30 @@ def materialize(df):
     written by the executors in parallel, readable after an executor is
     lost) and the lineage is cut there. Hadoop deletes it when the driver ends.
     """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/revlens-tables/{uuid.uuid4().hex}"
+    path = stored_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shared(df):
+    """A stored copy of ``df`` for the length of a ``with`` block; its folder is deleted when the block ends.
+
+    For inputs that several results are written from (O-09): the copy lives as
+    long as its users and not as long as the driver.
+    """
+    path = stored_path(df.sparkSession, "shared")
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored_path(spark: SparkSession, tag: str = "tables") -> str:
+    """A new path in the shared ``spark.checkpoint.dir``; Hadoop deletes it when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/revlens-{tag}/{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # the driver owns the copy
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path

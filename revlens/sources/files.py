@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from revlens import schemas
 from revlens.functions.columns import clamp, is_valid_number, nan_to_null
 from revlens.operators.selection import head_rows, sample_rows
+from revlens.session import materialize
 
 __all__ = [
-    "read_reviews_csv", "read_reviews_columns", "clean_reviews", "first_rows", "exact_sample",
+    "read_reviews_csv", "read_reviews_columns", "read_reviews_checked", "files_with_line_breaks", "clean_reviews", "first_rows", "exact_sample",
     "read_optional", "build_once", "write_table", "input_identity", "conform",
     "export_records", "path_exists",
 ]
@@ -46,6 +47,39 @@ def read_reviews_columns(spark: SparkSession, path: str, columns: list[str],
             .select(*columns))
 
 
+def files_with_line_breaks(spark: SparkSession, path: str) -> list[str]:
+    """CSV files in which a quoted field runs over a line's end: a line has an odd number of quotes."""
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), odd.alias("odd"))
+    return [r["file"] for r in lines.filter("odd").select("file").distinct().collect()]
+
+
+def read_reviews_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """O-01/O-02 with nothing lost: (good rows, rejected rows as (file, record)).
+
+    A record that doesn't parse by the schema goes to the rejects with its
+    text, so good and bad add up to the records of the input. Only files with
+    quoted line breaks are read as a whole (``multiLine``); the others are
+    split. The input is parsed once and stored.
+    """
+    whole = files_with_line_breaks(spark, path)
+    schema = T.StructType([*schemas.REVIEWS.fields, T.StructField("_bad", T.StringType(), True)])
+
+    def scan(files: list[str], multiline: bool) -> DataFrame:
+        return (spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("escape", '"')
+                .option("multiLine", multiline).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+                .csv(files).withColumn("_file", F.col("_metadata.file_path")))
+    split = [r["file"] for r in spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()
+             if r["file"] not in set(whole)]
+    parts = [scan(files, multi) for files, multi in ((split, False), (whole, True)) if files]
+    if not parts:
+        empty = spark.createDataFrame([], schemas.REVIEWS)
+        return empty, spark.createDataFrame([], "file string, record string")
+    rows = materialize(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    good = rows.filter("_bad IS NULL").select(*schemas.REVIEWS.fieldNames())
+    return good, rows.filter("_bad IS NOT NULL").select(F.col("_file").alias("file"), F.col("_bad").alias("record"))
+
+
 def clean_reviews(df: DataFrame, rating: str = "Rating", keys: tuple[str, ...] = ("City", "Place"),
                   trim_keys: bool = True) -> DataFrame:
     """O-11..O-14: drop NULL/NaN ratings, clamp to [1, 5], drop NULL keys, trim keys.

@@ -94,3 +94,61 @@ def test_conform_renames_and_fills(spark):
     df = spark.createDataFrame([(1, 2.0)], "ReviewCount int, AverageRating double")
     out = files.conform(df, {"ReviewCount": "total_reviews", "SentimentScore": "avg_polarity"}, {"avg_polarity": 0.0})
     assert out.columns == ["total_reviews", "AverageRating", "avg_polarity"] and out.first().avg_polarity == 0.0
+
+
+def test_rejects_and_good_rows_add_up(spark, tmp_dir):
+    import os
+    head = "City,Place,Review,Rating,Name,Date,Raw_Review\n"
+    os.makedirs(f"{tmp_dir}/in")
+    with open(f"{tmp_dir}/in/plain.csv", "w", encoding="utf-8") as f:
+        f.write(head + 'A,P,ok,4.5,n,d,r\nA,P,bad,four,n,d,r\nB,Q,"say ""hi""",3,n,d,r\n')
+    with open(f"{tmp_dir}/in/broken.csv", "w", encoding="utf-8") as f:
+        f.write(head + 'C,P,"two\nlines",2,n,d,r\nC,P,x,y,n,d,r\nC,P,z,5,n,d,"last\n\none"\n')
+    assert [p.rsplit("/", 1)[1] for p in files.files_with_line_breaks(spark, f"{tmp_dir}/in")] == ["broken.csv"]
+    good, bad = files.read_reviews_checked(spark, f"{tmp_dir}/in")
+    assert sorted((r["City"], r["Review"], r["Rating"]) for r in good.collect()) == [("A", "ok", 4.5), ("B", 'say "hi"', 3.0), ("C", "two\nlines", 2.0), ("C", "z", 5.0)]
+    assert sorted((r["file"].rsplit("/", 1)[1], r["record"].split(",")[3]) for r in bad.collect()) == [("broken.csv", "y"), ("plain.csv", "four")]
+
+
+def test_incremental_rollup_equals_a_full_one(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from revlens.sources import incremental
+    seen = []
+
+    def read(paths):
+        seen.append(len(paths))
+        return spark.read.parquet(*paths)
+
+    def update():
+        df = incremental.update_rollup(spark, f"{tmp_dir}/in", f"{tmp_dir}/store", read, lambda d: d.groupBy("k").agg(F.count(F.lit(1)).alias("n")),
+                                       lambda d: d.groupBy("k").agg(F.sum("n").alias("n")))
+        return sorted(map(tuple, df.collect()))
+
+    def full():
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_dir}/in").groupBy("k").count().collect()))
+    rows = spark.range(100).select((F.col("id") % 7).alias("k")).coalesce(1)
+    for _ in range(3):
+        rows.write.mode("append").parquet(f"{tmp_dir}/in")
+        assert update() == full()
+    assert update() == full() and seen == [1, 1, 1], "a file is read once; without new files nothing is read"
+    rows.limit(10).write.mode("overwrite").parquet(f"{tmp_dir}/in")
+    assert update() == full() and seen == [1, 1, 1, 1], "files that vanished start the store anew"
+
+
+def test_shared_copy_ends_with_its_users(spark):
+    import os
+
+    from revlens.session import shared
+    with shared(spark.range(5)) as t:
+        folder = t.inputFiles()[0].split("file:", 1)[1].replace("///", "/").rsplit("/", 1)[0]
+        assert t.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_cached_trends(spark):
+    from revlens.operators.scores import cached_trends
+    cols = "Place string, status string, source string"
+    live = spark.createDataFrame([("a", "live", "s"), ("b", "fallback", "t")], cols)
+    assert {(r["status"], r["source"]) for r in cached_trends(live).collect()} == {("cached", "cached")}
+    assert cached_trends(live.filter("Place = 'b'")) is None and cached_trends(None) is None
