@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens import constants as K
+from revlens.functions.columns import coerce_number
 from revlens.operators import aggregates as agg
 from revlens.operators import ranking
 from revlens.session import materialize, stored_path
@@ -218,6 +219,13 @@ def reviewer_sketch_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def coerced_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-15: ratings that arrive as text, some of them no number, with a default and a floor; mean per city."""
+    text = F.coalesce(F.concat(F.lit(" "), F.col("Rating").cast("string")), F.lit("n/a"))
+    rows = td.reviews_num_raw(spark, sf_dir).select("City", coerce_number(text, default=3.0, lower=1.0).alias("rating"))
+    return rows.groupBy("City").agg(F.count("rating").alias("rows"), F.round(F.avg("rating"), 4).alias("avg_rating"), F.min("rating").alias("min_rating"))
+
+
 def _csv_folder(spark: SparkSession, rows: DataFrame, tag: str) -> str:
     """Rows as CSV files in a folder of their own in the shared checkpoint folder."""
     path = stored_path(spark, tag)

@@ -78,6 +78,27 @@ def reweighted_city_ranks(spark: SparkSession, sf_dir: str, weights=(0.2, 0.5, 0
                      "new_rank", "rank_change")
 
 
+def zero_weight_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-73 with all weights 0: the default weights in one variant, scores of 0 in the other."""
+    hs = hotspot_city(spark, sf_dir)
+    both = scores.reweighted_score(hs, 0.0, 0.0, 0.0).withColumnRenamed("custom_hotspot_score", "default_score")
+    both = scores.reweighted_score(both, 0.0, 0.0, 0.0, zero_total="zero").withColumnRenamed("custom_hotspot_score", "zero_score")
+    return both.select("City", "default_score", "zero_score")
+
+
+def comparison_chosen(spark: SparkSession, sf_dir: str, names=("NATION_3", "NATION_7", "NATION_11", "nowhere")) -> DataFrame:
+    """O-23 + O-77d: the destinations of a list compared; names that don't occur add nothing."""
+    return scores.comparison_frame(hotspot_city(spark, sf_dir), "City", F.col("City").isin(*names))
+
+
+def place_insights_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-63a: the insight rows with the predicted review count and popularity rank of the forest."""
+    from revlens.plans import ml
+    frame = joins.place_insight_frame(place_insights(spark, sf_dir), predictions=ml.place_predictions(spark, sf_dir))
+    return frame.select("Place", "City", "review_count", "hotspot_score", "hidden_gem_score", "risk_score",
+                        "predicted_review_count", "popularity_rank")
+
+
 def place_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-63a + O-74/O-75: hotspot places with city, hidden-gem, risk, confidence."""
     hs = hotspots(td.reviews_num(spark, sf_dir), "Place", with_city=True)

@@ -9,6 +9,7 @@ from revlens.functions.columns import five_star_proxy
 from revlens.operators import aggregates as agg
 from revlens.operators import joins, ml
 from revlens.session import materialize
+from revlens.sources import files
 from revlens.sources import testdata as td
 
 _MODELS: dict = {}
@@ -32,12 +33,13 @@ def place_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str):
-    """Fit once per session and data set (the queries below share the forest)."""
+    """Fit once per session and input files (the queries below share the forest); new or changed files are fitted anew."""
+    identity = files.input_identity(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
     hit = _MODELS.get(sf_dir)
-    if hit is None or hit[0] is not spark or spark.sparkContext._jsc.sc().isStopped():
+    if hit is None or hit[0] != (spark, identity) or spark.sparkContext._jsc.sc().isStopped():
         feats = materialize(ml.engineer_features(place_features(spark, sf_dir)))
         train, test = ml.hash_split(feats, "Place")
-        hit = _MODELS[sf_dir] = (spark, ml.train_forest(train), train, test, feats)
+        hit = _MODELS[sf_dir] = ((spark, identity), ml.train_forest(train), train, test, feats)
     return hit[1:]
 
 

@@ -282,6 +282,10 @@ SELECT 'place' AS level, City || '/' || Place AS key, COUNT(DISTINCT Name) AS un
 UNION ALL SELECT 'city', City, COUNT(DISTINCT Name), TRUE FROM reviews GROUP BY City
 UNION ALL SELECT 'state', cs.State, COUNT(DISTINCT Name), TRUE FROM reviews JOIN city_state cs ON reviews.City = cs.City GROUP BY cs.State""")
 
+_reg("coerced_ratings", _num() + """
+SELECT City, COUNT(*) AS rows, ROUND(AVG(GREATEST(COALESCE(CAST(Rating AS DOUBLE), 3.0), 1.0)), 4) AS avg_rating,
+       MIN(GREATEST(COALESCE(CAST(Rating AS DOUBLE), 3.0), 1.0)) AS min_rating FROM reviews_raw GROUP BY City""")
+
 _reg("csv_rejects", _num() + """
 SELECT 'good' AS kind, City, COUNT(*) AS rows, ROUND(AVG(Rating), 4) AS avg_rating FROM reviews_raw WHERE Rating IS NOT NULL GROUP BY City
 UNION ALL SELECT 'rejected', NULL, COUNT(*), NULL FROM reviews_raw WHERE Rating IS NULL""")
@@ -308,6 +312,10 @@ rr AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY custom_hotspot_score DESC, Cit
 SELECT City, hotspot_score, custom_hotspot_score, old_rank, new_rank,
        CAST(old_rank - new_rank AS BIGINT) AS rank_change FROM rr""")
 
+_reg("zero_weight_ranks", _hs("City") + """
+SELECT City, ROUND(0.5 * COALESCE(rating_score, 0.0) + 0.3 * COALESCE(volume_score, 0.0) + 0.2 * COALESCE(sentiment_score, 0.0), 6) AS default_score,
+       0.0 AS zero_score FROM hs""")
+
 _INSIGHTS = _hs("Place").replace("WITH ", "WITH ", 1) + """,
 pc AS (SELECT Place, City, COUNT(*) AS n FROM reviews GROUP BY Place, City),
 pc_ranked AS (SELECT Place, City, ROW_NUMBER() OVER (PARTITION BY Place ORDER BY n DESC, City) AS rn FROM pc),
@@ -446,6 +454,23 @@ UNION ALL SELECT City, 'review_count', review_count FROM n
 UNION ALL SELECT City, 'avg_polarity', avg_polarity FROM n
 UNION ALL SELECT City, 'hotspot_score', hotspot_score FROM n""")
 
+_reg("comparison_chosen", _hs("City") + """,
+sel AS (SELECT hs.City, COALESCE(hs.avg_rating, 0.0) AS m0,
+               COALESCE(ln(1 + GREATEST(CAST(hs.review_count AS DOUBLE), 0.0)), 0.0) AS m1,
+               COALESCE(hs.avg_polarity, 0.0) AS m2, COALESCE(hs.hotspot_score, 0.0) AS m3
+        FROM hs WHERE hs.City IN ('NATION_3', 'NATION_7', 'NATION_11', 'nowhere')),
+b AS (SELECT MIN(m0) a0, MAX(m0) b0, MIN(m1) a1, MAX(m1) b1, MIN(m2) a2, MAX(m2) b2, MIN(m3) a3, MAX(m3) b3 FROM sel),
+n AS (SELECT City,
+        ROUND(CASE WHEN b0 = a0 THEN 0.0 ELSE (m0 - a0) / (b0 - a0) END, 6) AS avg_rating,
+        ROUND(CASE WHEN b1 = a1 THEN 0.0 ELSE (m1 - a1) / (b1 - a1) END, 6) AS review_count,
+        ROUND(CASE WHEN b2 = a2 THEN 0.0 ELSE (m2 - a2) / (b2 - a2) END, 6) AS avg_polarity,
+        ROUND(CASE WHEN b3 = a3 THEN 0.0 ELSE (m3 - a3) / (b3 - a3) END, 6) AS hotspot_score
+      FROM sel, b)
+SELECT City AS Destination, 'avg_rating' AS Metric, avg_rating AS Value FROM n
+UNION ALL SELECT City, 'review_count', review_count FROM n
+UNION ALL SELECT City, 'avg_polarity', avg_polarity FROM n
+UNION ALL SELECT City, 'hotspot_score', hotspot_score FROM n""")
+
 _COORDS = """
 coords AS (
   SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_name
@@ -640,6 +665,10 @@ flt AS (SELECT * FROM search_s WHERE {_FILTER})
 SELECT doc_id, City, Place, substr(Review, 1, 400) AS Review, Rating, polarity, sentiment
 FROM flt ORDER BY doc_id LIMIT 50""")
 
+_reg("indexed_search", "WITH " + REVIEWS_TEXT_SQL + """
+SELECT k.keyword, doc_id, City, Place FROM reviews_text, (VALUES ('tionment'), ('Er'), ('zzzq'), ('es de')) AS k(keyword)
+WHERE contains(lower(Raw_Review), lower(k.keyword))""")
+
 _reg("aspect_mentions_all", _SENT + f""",
 {_substring_aspects(_dims.SEARCH_ASPECTS, 'search_s')}
 SELECT * FROM am""")

@@ -14,6 +14,9 @@ QUERIES = {
     "hotspot_place": dest.hotspot_place,
     "state_hotspots": dest.state_hotspots,
     "reweighted_city_ranks": dest.reweighted_city_ranks,
+    "zero_weight_ranks": dest.zero_weight_ranks,
+    "comparison_chosen": dest.comparison_chosen,
+    "place_insights_predicted": dest.place_insights_predicted,
     "place_insights": dest.place_insights,
     "hidden_gems": dest.hidden_gems,
     "risk_places": dest.risk_places,
@@ -68,6 +71,7 @@ QUERIES = {
     "review_sample_properties": an.review_sample_properties,
     "reviewer_sketch_error": an.reviewer_sketch_error,
     "reviewer_sketch_levels": an.reviewer_sketch_levels,
+    "coerced_ratings": an.coerced_ratings,
     "csv_rejects": an.csv_rejects,
     "incremental_cities": an.incremental_cities,
     "record_export": an.record_export,
@@ -84,6 +88,7 @@ QUERIES = {
     "reviews_with_place_sentiment": tx.reviews_with_place_sentiment,
     "review_search_aspects": tx.review_search_aspects,
     "review_search_summary": tx.review_search_summary,
+    "indexed_search": tx.indexed_search,
     "review_search_rows": tx.review_search_rows,
     "aspect_mentions_all": tx.aspect_mentions_all,
     "aspect_mentions_common": tx.aspect_mentions_common,

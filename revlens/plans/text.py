@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens import constants as K
 from revlens.functions.columns import at_least, ci_equals, contains_literal, normalise_text, truncate_text
-from revlens.operators import aggregates as agg
+from revlens.operators import aggregates as agg, search
 from revlens.operators import joins, text
 from revlens.session import materialize
 from revlens.sources import dimensions as dims
@@ -186,3 +186,14 @@ def hotspot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scores.hotspot_score(merged)
     return ranking.sequential_rank(scored, "hotspot_score", "Place", "rank").select(
         "Place", *HOTSPOT_COLS)
+
+
+def indexed_search(spark: SparkSession, sf_dir: str, keywords=("tionment", "Er", "zzzq", "es de")) -> DataFrame:
+    """O-22 + O-25: reviews that hold each keyword, found through a trigram index of the texts (short keywords scan)."""
+    rows = td.reviews_text_docs(spark, sf_dir).select("doc_id", "City", "Place", F.col("Raw_Review").alias("Review"))
+    index = search.build_index(rows, "doc_id", "Review")
+    out = None
+    for word in keywords:
+        hits = search.search(index, word).select(F.lit(word).alias("keyword"), "doc_id", "City", "Place")
+        out = hits if out is None else out.unionByName(hits)
+    return out

@@ -72,3 +72,30 @@ def test_one_pass_equals_one_test_per_keyword(spark):
             low = (t or "").lower()
             has = (lambda k: k in low) if mode == "substring" else (lambda k: re.search(rf"(?<!\w){re.escape(k)}(?!\w)", low) is not None)  # noqa: B023
             assert got[i] == [any(map(has, kws)) for kws in aspects.values()], (mode, t)
+
+
+def test_trigram_search_equals_a_scan(spark, monkeypatch):
+    import random
+
+    from revlens.operators import search
+    rng = random.Random(6)
+    words = ["station", "Stadion", "naïve", "tic", "a.b", "x\ny", "ÉTÉ", "%_%"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(300)] + [(900, None), (901, ""), (902, "ab")]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    index = search.build_index(df, "id", "t")
+    for listed in (1000, 3):
+        monkeypatch.setattr(search, "LISTED", listed)
+        for word in ("stat", "TION", "été", "a.b", "x\ny", "%_%", "ab", "", "t n", "missing", "tic stadion"):
+            got = sorted(r["id"] for r in search.search(index, word).collect())
+            assert got == [i for i, t in rows if t is not None and word.lower() in t.lower()], word
+
+
+def test_trigram_search_reads_few_texts(spark):
+    from revlens.operators import search
+    df = spark.range(0, 50_000, 1, 8).select("id", F.concat(F.lit("some filler text "), F.md5(F.col("id").cast("string").cast("binary"))).alias("t"))
+    index = search.build_index(df, "id", "t")
+    word = df.filter("id = 31234").head()["t"][20:32]
+    assert search.candidates(index, word).count() <= 3
+    assert [r["id"] for r in search.search(index, word).collect()] == [31234]
+    assert search.search(index, word)._jdf.queryExecution().executedPlan().toString().count("PushedFilters: [In(id, [") + \
+        search.search(index, word)._jdf.queryExecution().executedPlan().toString().count("PushedFilters: [IsNotNull(id), EqualTo(id,") > 0
