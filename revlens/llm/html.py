@@ -29,6 +29,7 @@ WINDOW = 3        # lines in a window
 SURGE = 86        # characters in a window at which text may begin
 SHARE = 0.25      # a stretch is kept if it weighs so much of the heaviest one
 BONUS = 2         # times that a marked stretch weighs against an unmarked one
+GAP = 6           # lines between two stretches, at most, that belong to the text around them
 LINK_SHARE = 0.5  # a line with more of its text in links weighs nothing
 
 # Element names by their role.
@@ -197,8 +198,12 @@ def _least(mark: int, best: int) -> float:
     return SHARE
 
 
-def stretches(w: list[int], marks: list[int]) -> list[tuple[int, int]]:
-    """Line ranges of the text that is kept; none runs over the border of a marked element."""
+def stretches(w: list[int], marks: list[int], inner: list[bool]) -> list[tuple[int, int]]:
+    """Line ranges of the text that is kept; none runs over the border of a marked element.
+
+    A light stretch stays if only a few lines, none of them boilerplate, lie
+    between it and one that is kept: a closing paragraph after a list of links.
+    """
     edges = [0, *(i for i in range(1, len(w)) if marks[i] != marks[i - 1]), len(w)]
     parts = list(zip(edges, edges[1:], strict=False))
     raised = [x * BONUS if mark else x for x, mark in zip(w, marks, strict=True)]
@@ -211,7 +216,18 @@ def stretches(w: list[int], marks: list[int]) -> list[tuple[int, int]]:
         return []
     best = max(found, key=lambda x: sum(raised[x[0]:x[1]]))
     heaviest, mark = sum(w[best[0]:best[1]]), marks[best[0]]
-    return [(a, b) for a, b in found if _is_main(mark) and marks[a] == mark or sum(w[a:b]) >= _least(marks[a], mark) * heaviest]
+    kept = [_is_main(mark) and marks[a] == mark or sum(w[a:b]) >= _least(marks[a], mark) * heaviest for a, b in found]
+    for way in (range(1, len(found)), range(len(found) - 2, -1, -1)):
+        for i in way:
+            near = i - 1 if way.step > 0 else i + 1
+            kept[i] = kept[i] or kept[near] and _joined(found[min(i, near)], found[max(i, near)], marks, inner)
+    return [x for x, k in zip(found, kept, strict=True) if k]
+
+
+def _joined(one: tuple[int, int], two: tuple[int, int], marks: list[int], inner: list[bool]) -> bool:
+    """Whether what lies between two stretches belongs to the text."""
+    gap = range(one[1], two[0])
+    return len(gap) <= GAP and len({marks[i] for i in range(one[1] - 1, two[0] + 1)}) == 1 and all(inner[i] for i in gap)
 
 
 def _from_heading(start: int, least: int, lines: list[tuple[str, int, bool, int, bool]], w: list[int]) -> int:
@@ -229,15 +245,17 @@ def _from_heading(start: int, least: int, lines: list[tuple[str, int, bool, int,
 def main_text(page: str) -> str:
     """The kept lines, joined by newlines."""
     lines = Lines(page).lines
-    w = weights(lines)
-    kept, end = [], 0
-    for a, b in stretches(w, [x[3] for x in lines]):
-        if lines[a][3] and not _is_main(lines[a][3]):
-            kept += [lines[i][0] for i in range(a, b) if lines[i][2]]
+    w, marks, inner = weights(lines), [x[3] for x in lines], [x[2] for x in lines]
+    kept, end, last = [], 0, None
+    for a, b in stretches(w, marks, inner):
+        if marks[a] and not _is_main(marks[a]):
+            kept += [lines[i][0] for i in range(a, b) if inner[i]]
+        elif last and _joined(last, (a, b), marks, inner):
+            kept += [lines[i][0] for i in range(last[1], b) if w[i] or i < a]  # what lies between goes with them
         else:
             first = _from_heading(a, end, lines, w)
             kept += [lines[i][0] for i in range(first, b) if w[i] or i < a]
-        end = b
+        end, last = b, (a, b)
     return "\n".join(kept)
 
 

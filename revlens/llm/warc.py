@@ -29,6 +29,7 @@ from revlens.llm.store import folder, stored
 
 FRAME_BYTES = 1 << 20     # a frame is closed when it holds so many bytes
 BUNDLE_BYTES = 256 << 20  # a bundle is closed when it holds so many compressed bytes
+FRAMES_A_TASK = 16        # frames, about, that a task reads
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the public seekable format and of the WARC revisit profile.
@@ -253,13 +254,19 @@ def _make(spark: SparkSession, base: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
 
 
+def _tasks(index: DataFrame) -> int:
+    """Tasks to read the frames in: a row of a few bytes stands for a frame, so they aren't merged by bytes."""
+    frames = index.select("bundle", "frame").distinct().count()
+    return max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), frames // FRAMES_A_TASK)
+
+
 def read_bundles(index: DataFrame) -> DataFrame:
     """Every record of the bundles that an index names, a frame at a time, each payload checked against its digest."""
     found = index.select("bundle").distinct().mapInArrow(_list_frames, "bundle string, frame int, at long, size long")
-    return found.repartition("bundle", "frame").mapInArrow(_read_frames, RECORD_SCHEMA)
+    return found.repartition(_tasks(index), "bundle", "frame").mapInArrow(_read_frames, RECORD_SCHEMA)
 
 
 def read_records(index: DataFrame, page_ids: DataFrame) -> DataFrame:
     """The records of some page ids: for each, one seek, one frame and one offset."""
     want = index.join(page_ids.select(F.col(page_ids.columns[0]).cast("long").alias("page_id")).distinct(), "page_id", "left_semi")
-    return want.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_read_offsets, RECORD_SCHEMA)
+    return want.repartition(_tasks(index), "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_read_offsets, RECORD_SCHEMA)

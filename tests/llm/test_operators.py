@@ -357,6 +357,16 @@ def test_html_unmarked_headline(head):
     assert got.startswith("Short") and "By A. Writer\n1 May\n" + BODY[0].strip() in got
 
 
+def test_html_unmarked_closing_paragraph_after_links():
+    long = "A long paragraph of the text, with many words that say what the page is about. " * 12
+    last = "And here is a closing paragraph that is short beside the first one but belongs to the text all the same."
+    links = "".join(f"<li><a href=x>Source number {i}</a></li>" for i in range(3))
+    got = html.main_text(f"<div id=top><a href=a>Home</a> <a href=b>About</a></div><div><p>{long}</p><ul>{links}</ul><p>{last}</p></div><footer>Copyright notice of the owner, all rights reserved, and more of it than one would like to read here.</footer>")
+    assert got.split("\n") == [long.strip(), "Source number 0", "Source number 1", "Source number 2", last]
+    far = "".join(f"<p><a href=x>Another link {i}</a></p>" for i in range(20))
+    assert last not in html.main_text(f"<div><p>{long}</p>{far}<p>{last}</p></div>"), "far below, behind a long list of links, it is another text"
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>")], "page_id long, url string, html string")
     assert sorted([tuple(r) for r in html.extract_text(pages).collect()], key=str) == [(1, "u", ""), (None, None, "x")]
