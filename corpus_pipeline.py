@@ -43,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard.similar_sets(docs.select(mark.alias("doc_id"), "text"), k=5, num=80, den=100)
     groups = groups.select(F.col("doc_id").alias("mark"), F.col("component_id").alias("top")).distinct()
     named = stored(groups.join(docs.select("doc_id", mark).distinct(), "mark"), "groups")
-    first = named.groupBy("top").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    gone = named.join(first, "top").filter("mark <> first.mark").select("mark")
+    first = named.groupBy("top").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.mark")
+    gone = named.join(first, "mark", "left_anti").select("mark")  # by the row, not by the group: no group is a hot key
     return marked.join(gone, "mark", "left_anti").select("row.*")
 
 
