@@ -11,21 +11,19 @@ RISK_MIN_REVIEWS = 800                             # minimum reviews of the risk
 INSIGHT_LIST_SIZE = 25                             # hidden-gem and risk list length
 TOP_N = 20                                         # top cities / places
 CITY_MIN_REVIEWS, PLACE_MIN_REVIEWS = 100, 10      # strict minimum for the ranked top-n
-STATE_TOP_DEFAULT, STATE_TOP_MAX = 10, 30          # per-state top-n and its cap
-SIMILAR_DEFAULT, SIMILAR_MAX = 10, 50              # similar places returned and cap
+STATE_TOP_DEFAULT = 10                             # per-state top-n
+SIMILAR_DEFAULT = 10                               # similar places returned
 HISTOGRAM_BINS = 50
-SEARCH_LIMIT, SEARCH_LIMIT_MAX = 50, 200           # matching reviews returned and cap
+SEARCH_LIMIT = 50                                  # matching reviews returned
 TEXT_PREVIEW_CHARS = 400
 NAME_SEARCH_LIMIT = 40
 FREQUENT_VALUES = 80
-MAP_TOP_CITIES = 60
 MAP_MIN_WEIGHT = 0.05                              # heat weight floor
 MAP_RADIUS = (6.0, 22.0)                           # base, scale of the marker radius
 SCALED_BANDS = (0.33, 0.66)                        # low < 0.33 <= mid < 0.66 <= high
 RATING_BANDS = (3.0, 4.0)                          # low < 3 <= mid < 4 <= high
 TREND_BANDS = (0.33, 0.66)                         # Low <= 0.33 < Medium <= 0.66 < High
 TREND_MONTHS = 3                                   # interest window before the latest record
-TREND_TOP = 20                                     # keywords with a trend score
 TREND_WEIGHTS = (0.0, 1.0)                         # existing score, trend score
 LIVE_ZERO_RANGE = 0.5                              # trend min-max value when all live scores are equal
 FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 8, "seed": 42}
