@@ -207,6 +207,97 @@ def test_decontaminate_finds_reworded_items(spark, none):
     assert sorted(map(str, (r["doc_id"] for r in left.collect()))) == ["3", "5", "6", "7", "None"]
 
 
+NAMES = ["Tom", "Mary Jane", "Ana Lucia Cruz", "Ivo"]
+PLACES = ["New York", "Oslo", "Rio de Janeiro", "Bath"]
+NUMBERS = ["two hundred", "7", "twenty-five", "5 million"]
+PRICES = ["$5", "90 cents", "€7", "three dollars"]
+
+
+def test_decontaminate_finds_slots_of_several_words(spark):
+    item = "Janet sells 16 eggs every morning at the market in Boston for 2 dollars each, and Bob buys 3 of them on a Friday"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    ask = "{} sells {} eggs every morning at the market in {} for {} each, and {} buys {} of them on a {}"
+    rows, found = [], set()
+    for n, (who, where, many, price) in enumerate((a, b, c, d) for a in NAMES for b in PLACES for c in NUMBERS for d in PRICES):
+        rows.append((n, "Q. " + ask.format(who, many, where, price, "Zoe", "11", "Sunday")))
+        if where != "Rio de Janeiro":  # "de" stands in lower case: two names and a word
+            found.add(n)
+    rows.append((1000, ask.format("Mary Jane", "two hundred", "New York", "$5", "Mary Jane", "4", "Sunday")))  # one name for two, windows apart
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    ids = {r["doc_id"] for r in got}
+    assert found <= ids and 1000 not in ids
+    assert all(r["n_reworded"] > 0 for r in got)
+
+
+def _canonical(text, lower):
+    """Tokens as (type or word, value), word by word."""
+    import re
+    out, gap = [], True
+    fresh = True
+    for word in text.split():
+        body = word.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))
+        if not body:
+            gap, fresh = True, fresh or any(c in ".!?:;" for c in word)
+            continue
+        at = word.index(body)
+        head, tail, low = word[:at], word[at + len(body):], body.lower()
+        fresh = fresh or any(c in ".!?:;" for c in head)
+        clean = not gap and not head
+        kind = None
+        spelt = low in decontaminate.NUMBER_WORDS
+        if spelt or re.fullmatch(r"[0-9]+([.,:/][0-9]+)*(st|nd|rd|th)?", low):
+            kind = "amount" if head.endswith("$") or tail.startswith("%") else "number"
+        elif low in decontaminate.UNITS:
+            kind = "unit"
+        elif low in decontaminate.PLAIN or fresh and low in lower:
+            pass
+        elif body[0].isupper() and body[1:] == low[1:]:
+            kind = "name"
+        before = out[-1] if out else None
+        if clean and before and (kind == "name" == before[0] or before[0] in ("number", "amount") and not before[2] and (spelt or kind == "unit")):
+            out[-1] = ("amount" if kind == "unit" else before[0], before[1] + " " + low, kind == "unit")
+        else:
+            out.append((kind, low, False))
+        gap, fresh = bool(tail), any(c in ".!?:;" for c in tail)
+    return [(k, v) for k, v, _ in out]
+
+
+def test_tokens_equal_brute_force():
+    rng = np.random.default_rng(4)
+    words = ["Mary", "Jane", "two", "hundred", "5", "$5", "5%", "dollars", "km", "eggs,", "Eggs", "the", "The", "sells.", "(New", "York)", "twelve,", "3.5", "--", "Boston", "million"]
+    lower = {"eggs", "sells"}
+    cells = np.zeros(1 << decontaminate.LOWER_BITS, bool)
+    cells[decontaminate._lower_cells(decontaminate.W.Block([b"eggs sells"]).codes)] = True
+    names = {1: "number", 2: "unit", 3: "name", 4: "amount", 0: None}
+    for _ in range(400):
+        texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(3)]
+        t = decontaminate.Tokens([x.encode() for x in texts], cells)
+        of = t.of[t.first]
+        for i, text in enumerate(texts):
+            want = _canonical(text, lower)
+            assert [names[k] for k in t.kind[of == i].tolist()] == [k for k, _ in want], text
+            values = t.value[of == i].tolist()
+            assert len(set(zip(values, (v for _, v in want), strict=True))) == len({v for _, v in want}) == len(set(values))
+
+
+def test_decontaminate_recall_on_reparameterised_items(spark):
+    """Every benchmark item with three slots put in, asked again with other values."""
+    texts = [(r["item_id"], r["text"].split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").filter("text is not null").collect()]
+    rng = np.random.default_rng(5)
+    items, docs = [], []
+    for i, words in texts:
+        at = sorted(rng.choice(len(words), 3, replace=False).tolist(), reverse=True)
+        for rows, values in ((items, ("Janet", "16", "2 dollars")), (docs, (NAMES[i % 4], NUMBERS[i // 4 % 4], PRICES[i // 16 % 4]))):
+            out = list(words)
+            for a, v in zip(at, values, strict=True):
+                out.insert(a, v)
+            rows.append((i, ("" if rows is items else "Before it comes this. ") + " ".join(out)))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    right = {r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}
+    assert len(right) >= 0.9 * len(texts)
+    assert all(r["doc_id"] == r["item_id"] for r in found)
+
+
 def test_decontaminate_finds_items_of_mostly_slots(spark):
     texts = {1: "What is 12 percent of 450 dollars plus 30 dollars?", 2: "Convert 12 km to miles", 3: "Tom paid Ann 5 dollars",
              4: "Pay 5 kg 6 kg 7 kg or 8 kg 9 kg and 10 kg 11 kg by 12 kg now", 5: "12 13 14 15 16 17", 6: "Is 5 of 6 in 7 at 8"}
