@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from revlens.functions.columns import five_star_proxy
 from revlens.operators import aggregates as agg
-from revlens.operators import joins, ml
-from revlens.session import materialize
+from revlens.operators import forest, joins, ml
+from revlens.session import materialize, stored_path
 from revlens.sources import files
 from revlens.sources import testdata as td
 
@@ -77,3 +77,22 @@ def place_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-53 on prediction residuals."""
     return agg.histogram(test_predictions(spark, sf_dir), "residual", 50)
+
+
+def forest_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-81 + O-86: places whose score from the stored leaf table is the model's own, by primary city.
+
+    The forest is saved, its leaves become a table, and every place is scored
+    by the range join with it.
+    """
+    model, _, _, feats = _fitted(spark, sf_dir)
+    path = stored_path(spark, "forest")
+    ml.save_model(model, path)
+    nodes = forest.forest_nodes(spark, path)
+    n = len(ml.FEATURE_COLS)
+    leaves = materialize(forest.forest_leaves(nodes, n, ml.FOREST["maxDepth"]))
+    scored = forest.score_forest(feats, "Place", ml.FEATURE_COLS, leaves, *forest.forest_thresholds(nodes, n), prediction="from_table")
+    own = model.transform(feats).select("Place", "primary_city", "prediction")
+    same = (F.abs(F.col("from_table") - F.col("prediction")) <= F.lit(1e-9)) & (F.col("n_trees") == ml.FOREST["numTrees"])
+    return (own.join(scored, "Place", "left").groupBy("primary_city")
+            .agg(F.count(F.lit(1)).alias("n_places"), F.count_if(same).alias("n_equal")))

