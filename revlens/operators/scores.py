@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from revlens import constants as K
 from revlens.functions.columns import as_col, log1p_nonneg, scaled_band, trend_band
+from revlens.operators.neighbours import nearest_rows
 
 __all__ = [
     "HOTSPOT_WEIGHTS", "minmax_columns", "hotspot_score", "reweighted_score", "place_insights",
-    "hidden_gems", "risk_places", "similar_places", "similar_places_dashboard", "daily_interest",
+    "hidden_gems", "risk_places", "similar_places", "similar_to_each", "similar_places_dashboard", "daily_interest",
     "trend_scores", "realtime_scores",
     "score_breakdown", "comparison_frame", "map_points",
 ]
@@ -158,6 +159,18 @@ def similar_places(hotspot_places: DataFrame, seed: str, top_n: int = K.SIMILAR_
     return out.orderBy(F.desc("similarity"), order, key).limit(int(top_n)).select(*cols)
 
 
+def similar_to_each(hotspot_places: DataFrame, top_n: int = K.SIMILAR_DEFAULT, key: str = "Place", order: str = "rank") -> DataFrame:
+    """O-76 for every place at once: the web variant's features and similarity, exact.
+
+    One search through cells with distance bounds instead of a scan for each
+    seed. Similarities equal to nine decimals go by ``order`` and the key.
+    """
+    df = hotspot_places.dropna(subset=SIMILARITY_FEATURES)
+    feats = {f"_f{i}": (log1p_nonneg(c) if c == "review_count" else F.col(c).cast("double")) for i, c in enumerate(SIMILARITY_FEATURES)}
+    near = nearest_rows(minmax_columns(df, feats, zero_range=0.0), key, list(feats), int(top_n), [order])
+    return near.select(key, F.col("position").cast("long").alias("position"), F.col("neighbour").alias("similar_place"), F.round("similarity", 4).alias("similarity"))
+
+
 def similar_places_dashboard(places: DataFrame, seed: str, top_n: int = 10, key: str = "Place",
                              decimals: int = 4) -> DataFrame:
     """O-76 (dashboard variant): rating, log volume, shifted sentiment,

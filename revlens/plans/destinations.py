@@ -174,6 +174,11 @@ def similar_places(spark: SparkSession, sf_dir: str, seed: str = "part#1", top_n
     return scores.similar_places(materialize(hotspot_place(spark, sf_dir)), seed, top_n)
 
 
+def similar_to_each_place(spark: SparkSession, sf_dir: str, top_n: int = K.SIMILAR_DEFAULT) -> DataFrame:
+    """O-76 for every place: its most similar places."""
+    return scores.similar_to_each(materialize(hotspot_place(spark, sf_dir)), top_n)
+
+
 def state_top_cities(spark: SparkSession, sf_dir: str, n: int = K.STATE_TOP_DEFAULT) -> DataFrame:
     """O-66: top-n cities by hotspot score inside every state (n is the caller's)."""
     hs = joins.map_city_state(hotspot_city(spark, sf_dir), dims.city_state_from_regions(spark, sf_dir))

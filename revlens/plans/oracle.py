@@ -358,7 +358,7 @@ _reg("filter_values", _num() + """,
 v AS (SELECT 'City' AS field, City AS value FROM reviews UNION SELECT 'Place', Place FROM reviews)
 SELECT field, value, ROW_NUMBER() OVER (PARTITION BY field ORDER BY value) AS position FROM v""")
 
-_reg("similar_places", _hs("Place") + """,
+_SIMILAR = """,
 f AS (SELECT *, avg_rating AS f0, ln(1 + GREATEST(CAST(review_count AS DOUBLE), 0.0)) AS f1,
              avg_polarity AS f2, hotspot_score AS f3, rating_std AS f4
       FROM hs WHERE avg_rating IS NOT NULL AND review_count IS NOT NULL AND avg_polarity IS NOT NULL
@@ -371,7 +371,9 @@ n AS (SELECT f.*,
         CASE WHEN b2 = a2 THEN 0.0 ELSE (f2 - a2) / (b2 - a2) END AS g2,
         CASE WHEN b3 = a3 THEN 0.0 ELSE (f3 - a3) / (b3 - a3) END AS g3,
         CASE WHEN b4 = a4 THEN 0.0 ELSE (f4 - a4) / (b4 - a4) END AS g4
-      FROM f, b),
+      FROM f, b)"""
+
+_reg("similar_places", _hs("Place") + _SIMILAR + """,
 seed AS (SELECT * FROM n
          WHERE lower(Place) = 'part#1' OR contains(lower(Place), 'part#1')
          ORDER BY CASE WHEN lower(Place) = 'part#1' THEN 0 ELSE 1 END, rank, Place LIMIT 1),
@@ -383,6 +385,15 @@ d AS (SELECT n.Place, n.rank, n.avg_rating, n.review_count, n.avg_polarity, n.ho
 SELECT Place, ROUND(similarity, 4) AS similarity, avg_rating, review_count, avg_polarity, hotspot_score
 FROM d ORDER BY d.similarity DESC, rank, Place LIMIT 10""")
 
+_reg("similar_to_each_place", _hs("Place") + _SIMILAR + """,
+d AS (SELECT s.Place, n.Place AS similar_place, n.rank,
+             1.0 / (1.0 + SQRT((n.g0 - s.g0) * (n.g0 - s.g0) + (n.g1 - s.g1) * (n.g1 - s.g1)
+                                     + (n.g2 - s.g2) * (n.g2 - s.g2) + (n.g3 - s.g3) * (n.g3 - s.g3)
+                                     + (n.g4 - s.g4) * (n.g4 - s.g4))) AS similarity
+      FROM n s JOIN n ON n.Place <> s.Place),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY Place ORDER BY ROUND(similarity, 9) DESC, rank, similar_place) AS position FROM d)
+SELECT Place, position, similar_place, ROUND(similarity, 4) AS similarity FROM r WHERE position <= 10""")
+
 _STATE_TOP_CITIES = _hs("City") + "," + _CITY_STATE + """,
 stc AS (SELECT cs.State, hs.City, hs.avg_rating, hs.review_count, hs.avg_polarity, hs.hotspot_score,
                CAST(ROW_NUMBER() OVER (PARTITION BY cs.State ORDER BY hs.hotspot_score DESC, hs.City) AS INTEGER)

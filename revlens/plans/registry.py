@@ -28,6 +28,7 @@ QUERIES = {
     "state_map_rows": dest.state_map_rows,
     "comparison_raw": dest.comparison_raw,
     "similar_places": dest.similar_places,
+    "similar_to_each_place": dest.similar_to_each_place,
     "state_top_cities": dest.state_top_cities,
     "state_top_places": dest.state_top_places,
     "state_detail_summary": dest.state_detail_summary,
