@@ -13,12 +13,16 @@ the balance, but a page that marks only teasers keeps its unmarked body.
 A kept <article> loses only its boilerplate lines, and a <main> that holds the
 heaviest stretch keeps all its stretches, whatever they weigh. Elsewhere a
 stretch starts at a heading up to WINDOW lines before its surge point.
+
+Reader comments are known by the names of their elements, and by structure:
+blocks that follow the text and each begin with a name and a time.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +35,9 @@ SHARE = 0.25      # a stretch is kept if it weighs so much of the heaviest one
 BONUS = 2         # times that a marked stretch weighs against an unmarked one
 GAP = 6           # lines between two stretches, at most, that belong to the text around them
 LINK_SHARE = 0.5  # a line with more of its text in links weighs nothing
+BYLINE = 80       # characters of a line, at most, that says who wrote a comment and when
+LEAD = 3          # lines, at most, in which a comment says so
+ACTION = 40       # characters of a line, at most, that offers to answer a comment
 
 # Element names by their role.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
@@ -45,7 +52,20 @@ cookies disqus footer header login masthead menu modal nav navbar navigation new
 promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar
 widget""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-
+MONTHS = """jan january januar janvier enero feb february februar février febrero mar march märz mars marzo apr april avril abril
+may mai mayo jun june juni juin junio jul july juli juillet julio aug august août agosto sep sept september septembre septiembre
+oct okt october oktober octobre octubre nov november novembre noviembre dec dez december dezember décembre diciembre""".split()
+THREADS = frozenset("discussion discussions thread threads responses reactions conversation kommentare commentaires comentarios".split())
+TITLES = "comments? responses? replies reactions? discussion conversation kommentare? commentaires? comentarios? antworten respuestas".split()
+ANSWERS = "reply report quote permalink antworten melden répondre signaler responder".split()
+
+_WHEN = re.compile(rf"""\b\d{{4}}-\d\d?-\d\d?\b|\b\d\d?([./])\s?\d\d?\1\s?\d{{2,4}}\b|\b\d\d?:\d\d\b
+    |\b\d\d?(?:st|nd|rd|th|\.)?\s(?:de\s)?(?:{"|".join(MONTHS)})\b|\b(?:{"|".join(MONTHS)})\.?\s\d\d?\b
+    |\b(?:\d+|an?|one)\s(?:second|sec|minute|min|hour|hr|day|week|month|year)s?\sago\b|\byesterday\b
+    |\bvor\s\d+\s\w|\bil\sy\sa\s\d+\s\w|\bhace\s\d+\s\w|\b(?:says|said|wrote|writes|schrieb|écrit|escribió)\s?:$""", re.X | re.I)
+_TITLE = re.compile(rf"(?:(?:\d+|no|all|reader|readers['’]|user|latest) )?(?:{'|'.join(TITLES)})(?: ?\(?\d+\)?)?:?", re.I)
+_COMMENT = re.compile("comment|kommentar|comentario", re.I)
+_ACTION = re.compile(rf"(?:{'|'.join(ANSWERS)})\b|.*\b(?:{'|'.join(ANSWERS)})$", re.I)
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -71,6 +91,11 @@ def _is_outer(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _in_thread(attrs: str) -> bool:
+    """Whether an element's class or id may name a list of comments; a section of an article may have such a name too."""
+    return any(k.lower() in ("class", "id") and THREADS & set(_PART.split(v.strip("\"'").lower())) for k, v in _ATTR.findall(attrs)) if attrs else False
+
+
 class Lines:
     """The lines of a page: text, characters in links, whether they hold main text, the marked element they lie in, whether a heading.
 
@@ -82,10 +107,14 @@ class Lines:
         self.lines: list[tuple[str, int, bool, int, bool]] = []
         self._parts: list[str] = []
         self._linked = 0
-        self._stack: list[tuple[str, bool, int, bool]] = []  # name, no main text, marked element, hides by its own attributes
+        self._stack: list[tuple[str, bool, int, bool, int]] = []  # name, no main text, marked element, hides by its own attributes, block
         self._links = 0
         self._marks = 0
+        self.blocks: list[tuple[int, str, bool]] = [(0, "", False)]  # the block around it, name, named like a list of comments
+        self.where: list[int] = []  # the block of each line
         self._scan(page)
+        for i in sorted(comment_lines(self.lines, self.where, self.blocks)):
+            self.lines[i] = (*self.lines[i][:2], False, *self.lines[i][3:])
 
     def _text(self, raw: str) -> None:
         if raw:
@@ -97,9 +126,10 @@ class Lines:
         if self._parts:
             text = " ".join(entities.unescape("".join(self._parts)).split())
             if text:
-                _, outer, mark, _ = self._stack[-1] if self._stack else ("", False, 0, False)
+                _, outer, mark, _, block = self._stack[-1] if self._stack else ("", False, 0, False, 0)
                 heading = any(x[0] in HEADINGS for x in self._stack)
                 self.lines.append((text, min(self._linked, len(text)), not outer, mark, heading))
+                self.where.append(block)
             self._parts, self._linked = [], 0
 
     def _scan(self, page: str) -> None:
@@ -138,7 +168,10 @@ class Lines:
             return at
         if name == "p" and self._stack and self._stack[-1][0] == "p":
             self._pop("p")
-        _, outer, mark, _ = self._stack[-1] if self._stack else ("", False, 0, False)
+        _, outer, mark, _, block = self._stack[-1] if self._stack else ("", False, 0, False, 0)
+        if name in BLOCKS:
+            self.blocks.append((block, name, _in_thread(attrs)))
+            block = len(self.blocks) - 1
         if name in ("article", "main") and not mark:
             outer = any(x[3] for x in self._stack)  # an unclosed menu doesn't swallow the article, a list of comments does
         if name == "main" and not mark or name == "article" and (not mark or _is_main(mark)):
@@ -147,7 +180,7 @@ class Lines:
         if name == "a":
             self._links += 1
         hides = _is_outer(name, attrs, mark > 0)
-        self._stack.append((name, outer or hides, mark, hides and name not in OUTER))
+        self._stack.append((name, outer or hides, mark, hides and name not in OUTER, block))
         return at
 
     def _pop(self, name: str) -> None:
@@ -161,6 +194,82 @@ class Lines:
         self._links = sum(x[0] == "a" for x in self._stack) if name == "a" or self._links else 0
 
 
+def _lead(lines: list[tuple[str, int, bool, int, bool]], stamped: list[bool], a: int, b: int) -> int | None:
+    """The line among the first ones of a block that says when it was written, if text follows it."""
+    for i in range(a, min(a + LEAD, b - 1)):
+        if len(lines[i][0]) > (ACTION if lines[i][4] else BYLINE):
+            return None
+        if stamped[i]:
+            return i
+    return None
+
+
+def comment_lines(lines: list[tuple[str, int, bool, int, bool]], where: list[int], blocks: list[tuple[int, str, bool]]) -> set[int]:
+    """Lines of reader comments by their structure, after text that weighs enough for a surge.
+
+    Comments are blocks of one name inside another block, at least half of
+    the blocks from the first to the last of them, that each begin with a time
+    and go on. A further sign is asked for: a title of comments before them, a
+    name of the block around them, an offer to answer in most of them; or,
+    outside an <article>, three of them with different names before the time.
+    Under a title of comments that a time follows (two, if the title may be
+    that of a section), lines that aren't dealt into blocks are comments too,
+    up to the next heading.
+    """
+    stamped = [inner and len(t) <= BYLINE and bool(_WHEN.search(t)) for t, _, inner, _, _ in lines]
+    if not any(stamped):
+        return set()
+    first, last = [len(lines)] * len(blocks), [-1] * len(blocks)
+    for i, k in enumerate(where):
+        first[k], last[k] = min(first[k], i), i
+    inside = defaultdict(list)
+    for k in range(len(blocks) - 1, 0, -1):  # a block is numbered after the one around it
+        if last[k] >= 0:
+            p = blocks[k][0]
+            first[p], last[p] = min(first[p], first[k]), max(last[p], last[k])
+            inside[p].append(k)
+    before = [0]
+    for x in weights(lines):
+        before.append(before[-1] + x)
+    titles = {i for i, x in enumerate(lines) if x[2] and len(x[0]) <= ACTION and _TITLE.fullmatch(x[0]) and before[i] > SURGE}
+    found: set[int] = set()
+    for p, kids in inside.items():
+        kids = [k for k in reversed(kids) if blocks[k][1] not in HEADINGS and blocks[k][1] not in OUTER]
+        leads = {k: at for k in kids if (at := _lead(lines, stamped, first[k], last[k] + 1)) is not None}
+        if len(leads) < 2 or len({blocks[k][1] for k in leads}) > 1:
+            continue
+        items, a = list(leads), first[next(iter(leads))]
+        b = last[items[-1]] + 1
+        if before[a] <= SURGE or 2 * len(items) < sum(a <= first[k] < b for k in kids):
+            continue
+        title = next((i for i in range(a - 1, max(first[p], a - LEAD) - 2, -1) if i in titles), None)
+        answers = sum(any(len(lines[i][0]) <= ACTION and _ACTION.match(lines[i][0]) for i in range(first[k], last[k] + 1)) for k in items)
+        if title is None and not blocks[p][2] and 2 * answers <= len(items):
+            who = {_who(lines, first[k], leads[k]) for k in items}
+            if lines[a][3] and not _is_main(lines[a][3]) or len(items) < 3 or len(who) < 2 or "" in who:
+                continue
+        found.update(range(a if title is None else title, b))
+    for i in titles - found:
+        if any(stamped[i + 1:i + 1 + LEAD]):
+            p = where[i]
+            while last[p] == i and p:
+                p = blocks[p][0]
+            end = i + 1
+            while end <= last[p] and (not lines[end][4] or any(stamped[end:end + LEAD])):
+                end += 1
+            if _COMMENT.search(lines[i][0]) or sum(stamped[i + 1:end]) > 1:
+                found.update(range(i, end))
+    return found
+
+
+def _who(lines: list[tuple[str, int, bool, int, bool]], a: int, at: int) -> str:
+    """What stands before the time of a comment if it may be a name, else nothing."""
+    text = " ".join(lines[i][0] for i in range(a, at + 1))
+    m = _WHEN.search(text)
+    name = text[:m.start()].strip(" ,|·–—-") if m else ""
+    return name if len(name) <= ACTION and any(c.isalpha() for c in name) and not any(lines[i][4] for i in range(a, at + 1)) else ""
+
+
 def _escaped(text: str) -> str:
     """Text that unescaping gives back as it is."""
     return text.replace("&", "&amp;")

@@ -458,6 +458,40 @@ def test_html_unmarked_closing_paragraph_after_links():
     assert last not in html.main_text(f"<div><p>{long}</p>{far}<p>{last}</p></div>"), "far below, behind a long list of links, it is another text"
 
 
+def _comment(who, when, text, tag="div", more=""):
+    return f"<{tag}><b>{who}</b> <span>{when}</span><p>{text}</p>{more}</{tag}>"
+
+
+LONG = "A long paragraph of the article tells what happened in the town that day, and goes on for more than enough. " * 2
+TWO = _comment("Anna", "3 May 2020", "I liked this text very much, thanks for the long work.") + _comment("Bob Hill", "2 hours ago", "I did not like it. " * 12)
+
+
+@pytest.mark.parametrize("page", [
+    f"<div><h1>Title of it</h1><p>By Eve, 1 May 2020</p><p>{LONG}</p><div id=discussion>{TWO}</div><p>{LONG}</p></div>",  # named
+    f"<article><h1>Title of it</h1><p>By Eve, 1 May 2020</p><p>{LONG}</p><h2>2 Comments</h2>{TWO}<p>{LONG}</p></article>",  # titled
+    f"<article><h1>Title of it</h1><p>By Eve, 1 May 2020</p><p>{LONG}</p><p>Comments</p><p>Anna, 3.5.2020</p><p>Nice.</p><h6>x</h6><p>{LONG}</p></article>",  # no blocks
+    f"<main><h1>Title of it</h1><p>By Eve, 1 May 2020</p><p>{LONG}</p><ul>"  # answers
+    + "".join(_comment(x, "il y a 2 heures", LONG, "li", "<p>Reply</p>") for x in ("Al", "Al")) + f"</ul><p>{LONG}</p></main>",
+    f"<div><h1>Title of it</h1><p>By Eve, 1 May 2020</p><p>{LONG}</p></div><ul>"  # names and times alone, outside an article
+    + "".join(_comment(x, "2020-05-03", LONG, "li") for x in ("Al", "Bo", "Cy")) + f"</ul><p>{LONG}</p>",
+])
+def test_html_reader_comments_by_structure(page):
+    long = LONG.strip()
+    assert [x for x in html.main_text(page).split("\n") if x != "x"] == ["Title of it", "By Eve, 1 May 2020", long, long]
+
+
+@pytest.mark.parametrize("body", [
+    f"<h2>Discussion</h2><p>Updated 3 May 2020</p><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section>",
+    "<ul>" + "".join(f"<li><b>{t}</b><p>{LONG}</p></li>" for t in ("10:45", "11:45", "12:45")) + "</ul>",  # a live report
+    "".join(_comment(x, "3 May 2020", LONG) for x in ("Berlin", "Rome", "Oslo")),  # a diary, in an article
+    f"<p>Comments are welcome.</p><p>{LONG}</p><p>Report of 3 May 2020</p><p>{LONG}</p>",
+])
+def test_html_dated_parts_of_an_article_stay(body):
+    page = f"<article><p>{LONG}</p>{body}<p>The end.</p></article>"
+    assert html.main_text(page) == "\n".join(x[0] for x in html.Lines(page).lines)
+    assert all(x[2] for x in html.Lines(page).lines)
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>")], "page_id long, url string, html string")
     assert sorted([tuple(r) for r in html.extract_text(pages).collect()], key=str) == [(1, "u", ""), (None, None, "x")]
