@@ -28,7 +28,7 @@ CITY_STATE_SCHEMA = "City string, State string"
 def clean_input(spark: SparkSession, csv_path: str, out_dir: str) -> DataFrame:
     """O-01 + O-11..O-14 once, stored as Parquet with a stable review id."""
     def build():
-        raw = files.read_reviews_csv(spark, csv_path)
+        raw = files.read_reviews_csv(spark, csv_path, multiline=None)
         return files.clean_reviews(raw).withColumn("review_id", F.monotonically_increasing_id())
     return files.build_once(spark, f"{out_dir}/_reviews_clean", build, files.input_identity(spark, csv_path))
 

@@ -39,8 +39,7 @@ def rating_sentiment_inputs(reviews: DataFrame, key: str, with_city: bool = Fals
         F.round(F.avg("subjectivity"), 4).alias("avg_subjectivity"))
 
 
-def hotspots(reviews: DataFrame, key: str, distributed_rank: bool = True, with_city: bool = False,
-             extra: tuple[str, ...] = ()) -> DataFrame:
+def hotspots(reviews: DataFrame, key: str, with_city: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """O-39/O-44 -> O-61 -> O-70/71/72 -> O-69a for one key (City or Place).
 
     ``extra`` keeps further columns of :func:`rating_sentiment_inputs`.
@@ -49,18 +48,18 @@ def hotspots(reviews: DataFrame, key: str, distributed_rank: bool = True, with_c
     base = materialize(rating_sentiment_inputs(reviews, key, with_city))
     base = base.withColumn("avg_polarity", F.coalesce(F.col("avg_polarity"), F.lit(0.0)))
     scored = scores.hotspot_score(base)
-    ranked = ranking.sequential_rank(scored, "hotspot_score", key, "rank", distributed=distributed_rank)
+    ranked = ranking.sequential_rank(scored, "hotspot_score", key, "rank")
     return ranked.select(key, *HOTSPOT_COLS, *(["primary_city"] if with_city else []), *extra)
 
 
 def hotspot_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: rank cities by hotspot score."""
-    return hotspots(td.reviews_num(spark, sf_dir), "City", distributed_rank=False)
+    return hotspots(td.reviews_num(spark, sf_dir), "City")
 
 
 def hotspot_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places by hotspot score (a table that grows with the data: distributed rank)."""
-    return hotspots(td.reviews_num(spark, sf_dir), "Place", distributed_rank=True)
+    """Places by hotspot score."""
+    return hotspots(td.reviews_num(spark, sf_dir), "Place")
 
 
 def state_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ def reweighted_city_ranks(spark: SparkSession, sf_dir: str, weights=(0.2, 0.5, 0
     """O-73 + O-69a/c: user weights, new rank, rank change (old - new)."""
     hs = hotspot_city(spark, sf_dir)
     rw = scores.reweighted_score(hs, *weights)
-    rw = ranking.sequential_rank(rw, "custom_hotspot_score", "City", "new_rank", distributed=False)
+    rw = ranking.sequential_rank(rw, "custom_hotspot_score", "City", "new_rank")
     rw = ranking.rank_change(rw, "rank", "new_rank")
     return rw.select("City", "hotspot_score", "custom_hotspot_score", F.col("rank").alias("old_rank"),
                      "new_rank", "rank_change")
@@ -250,7 +249,7 @@ def state_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-63b: hotspot cities with the sentiment columns they lack, from the same stored aggregate."""
-    hs = hotspots(td.reviews_num(spark, sf_dir), "City", distributed_rank=False, extra=("avg_subjectivity",))
+    hs = hotspots(td.reviews_num(spark, sf_dir), "City", extra=("avg_subjectivity",))
     sentiment = hs.select("City", "avg_subjectivity", polarity_label("avg_polarity").alias("dominant_sentiment"))
     return joins.enrich_missing_columns(hs.drop("avg_subjectivity"), sentiment, "City")
 

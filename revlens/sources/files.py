@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +22,25 @@ __all__ = [
 ]
 
 
-def read_reviews_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_reviews_csv(spark: SparkSession, path: str, multiline: bool | None = True) -> DataFrame:
     """O-01: typed CSV scan, header, UTF-8, PERMISSIVE.
 
     Quoted fields may hold newlines and doubled quotes, so ``multiLine`` and
-    ``escape='"'`` are on by default. multiLine files are not splittable: at
-    scale, convert once to Parquet with :func:`build_once` and scan that.
+    ``escape='"'`` are on by default. multiLine files are not splittable: with
+    ``multiline=None`` the lines are looked through once, and only files in
+    which a quoted field runs over a line's end are read as a whole.
     """
-    return (spark.read.schema(schemas.REVIEWS)
-            .option("header", True).option("encoding", "UTF-8")
-            .option("multiLine", multiline).option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+    def scan(paths: str | list[str], whole: bool) -> DataFrame:
+        return (spark.read.schema(schemas.REVIEWS)
+                .option("header", True).option("encoding", "UTF-8")
+                .option("multiLine", whole).option("escape", '"')
+                .option("mode", "PERMISSIVE")
+                .csv(paths))
+    if multiline is not None:
+        return scan(path, multiline)
+    split, whole = _by_line_breaks(spark, path)
+    parts = [scan(files, multi) for files, multi in ((split, False), (whole, True)) if files]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.REVIEWS)
 
 
 def read_reviews_columns(spark: SparkSession, path: str, columns: list[str],
@@ -54,6 +63,14 @@ def files_with_line_breaks(spark: SparkSession, path: str) -> list[str]:
     return [r["file"] for r in lines.filter("odd").select("file").distinct().collect()]
 
 
+def _by_line_breaks(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Paths of CSV files that can be split, and of those that are read as a whole."""
+    whole = set(files_with_line_breaks(spark, path))
+    every = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()
+    names = [r["file"] for r in every]  # as URIs: blanks are escaped
+    return [unquote(x) for x in names if x not in whole], [unquote(x) for x in names if x in whole]
+
+
 def read_reviews_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """O-01/O-02 with nothing lost: (good rows, rejected rows as (file, record)).
 
@@ -62,15 +79,13 @@ def read_reviews_checked(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     quoted line breaks are read as a whole (``multiLine``); the others are
     split. The input is parsed once and stored.
     """
-    whole = files_with_line_breaks(spark, path)
+    split, whole = _by_line_breaks(spark, path)
     schema = T.StructType([*schemas.REVIEWS.fields, T.StructField("_bad", T.StringType(), True)])
 
     def scan(files: list[str], multiline: bool) -> DataFrame:
         return (spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("escape", '"')
                 .option("multiLine", multiline).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
                 .csv(files).withColumn("_file", F.col("_metadata.file_path")))
-    split = [r["file"] for r in spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()
-             if r["file"] not in set(whole)]
     parts = [scan(files, multi) for files, multi in ((split, False), (whole, True)) if files]
     if not parts:
         empty = spark.createDataFrame([], schemas.REVIEWS)

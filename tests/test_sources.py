@@ -19,6 +19,20 @@ def test_csv_multiline_and_doubled_quotes(spark, tmp_dir):
     assert pruned.columns == ["City", "Rating"] and pruned.count() == 2
 
 
+def test_csv_files_without_line_breaks_are_split(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "review files")
+    os.makedirs(path)
+    head = "City,Place,Review,Rating,Name,Date,Raw_Review\n"
+    for name, row in (("a", 'Agra,Taj,"line one\nline ""two""",4.5,u1,,raw\n'), ("b b", 'Delhi,Fort,"says ""hi"" twice",3.0,u2,,raw2\n')):
+        with open(os.path.join(path, f"{name}.csv"), "w", encoding="utf-8") as f:
+            f.write(head + row * 3)
+    split, whole = files._by_line_breaks(spark, path)
+    assert len(split) == len(whole) == 1 and whole[0].endswith("a.csv")
+    every = files.read_reviews_csv(spark, path, multiline=None)
+    assert sorted(map(tuple, every.collect()), key=str) == sorted(map(tuple, files.read_reviews_csv(spark, path).collect()), key=str)
+    assert every.count() == 6
+
+
 def test_optional_source_defaults(spark, tmp_dir):
     df = files.read_optional(spark, os.path.join(tmp_dir, "absent"), schemas.SENTIMENT_SCORES,
                              defaults={"extra": 0.0})
