@@ -31,6 +31,8 @@ FEATURE_COLS = ["avg_rating", "rating_std", "avg_polarity", "avg_subjectivity",
 TARGET = "log_popularity"
 FOREST = K.FOREST
 CV_TREES = K.CV_TREES
+PART_ROWS = 250_000   # rows of a training partition, which is kept with a count and a node of each tree for every row
+AT_ONCE_ROWS = 500_000  # training rows up to which the folds are fitted at the same time
 
 
 def engineer_features(df: DataFrame) -> DataFrame:
@@ -46,12 +48,30 @@ def hash_split(df: DataFrame, key: str, test_pct: int = K.TEST_PERCENT, seed: in
     return df.filter(bucket >= test_pct), df.filter(bucket < test_pct)
 
 
+def _dealt(train: DataFrame, n: int) -> DataFrame:
+    """Features and target in even partitions: as many as cores, or a multiple of it where they would pass PART_ROWS rows.
+
+    Every partition sends the statistics of all nodes of a level, so their
+    number follows the cores and not the files of the input. Rows are dealt and
+    ordered by their hash: the forest depends on the rows and the cores only.
+    """
+    cores = max(1, train.sparkSession.sparkContext.defaultParallelism)
+    turns = max(1, -(-n // (PART_ROWS * cores)))
+    hashed = train.select("features", TARGET, F.xxhash64(*train.columns).alias("_hash"))
+    return hashed.repartition(cores * turns, "_hash").sortWithinPartitions("_hash").select("features", TARGET)
+
+
 def train_forest(train: DataFrame, num_trees: int = FOREST["numTrees"]) -> RandomForestRegressionModel:
-    """O-81: 200 trees, depth 10, min leaf 8, every feature considered at each split."""
+    """O-81: 200 trees, depth 10, min leaf 8, every feature considered at each split.
+
+    The node that a row has reached is kept for each tree, so a level doesn't
+    walk the trees from their roots; all levels of a forest are few enough to
+    need no checkpoint between them.
+    """
     rf = RandomForestRegressor(featuresCol="features", labelCol=TARGET, numTrees=num_trees,
                                maxDepth=FOREST["maxDepth"], minInstancesPerNode=FOREST["minInstancesPerNode"],
-                               featureSubsetStrategy="all", seed=FOREST["seed"])
-    return rf.fit(train)
+                               featureSubsetStrategy="all", seed=FOREST["seed"], cacheNodeIds=True, checkpointInterval=-1)
+    return rf.fit(_dealt(train, train.count()))
 
 
 def regression_metrics(pred: DataFrame, label: str = TARGET, prediction: str = "prediction",
@@ -69,8 +89,9 @@ def cross_validate(train: DataFrame, key: str, folds: int = K.CV_FOLDS, seed: in
                    num_trees: int = CV_TREES) -> DataFrame:
     """O-83: k-fold R^2 on the training part: mean and population std (4 dp).
 
-    The folds are fitted at the same time: each fit is a chain of jobs that
-    leaves cores idle at its narrow steps.
+    Folds of up to AT_ONCE_ROWS training rows are fitted at the same time: each
+    fit is a chain of jobs that leaves cores idle at its narrow steps. More rows
+    fill the cores by themselves, and one fold after the other keeps one copy of them.
     """
     fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(folds))
     t = train.withColumn("_fold", fold)
@@ -79,7 +100,7 @@ def cross_validate(train: DataFrame, key: str, folds: int = K.CV_FOLDS, seed: in
         model = train_forest(t.filter(F.col("_fold") != k), num_trees)
         return regression_metrics(model.transform(t.filter(F.col("_fold") == k))).select(F.lit(k).alias("fold"), F.col("r2"))
 
-    with ThreadPoolExecutor(folds) as pool:
+    with ThreadPoolExecutor(folds if t.count() <= AT_ONCE_ROWS else 1) as pool:
         scores = list(pool.map(inheritable_thread_target(train.sparkSession)(score), range(folds)))
     allf = reduce(DataFrame.unionByName, scores)
     return allf.agg(F.round(F.avg("r2"), 4).alias("cv_r2_mean"), F.round(F.stddev_pop("r2"), 4).alias("cv_r2_std"))

@@ -66,3 +66,13 @@ def test_forest_table_scores_as_the_model_does(spark, tmp_dir):
     assert all(abs(r.prediction - own[r.Place]) < 1e-9 for r in got)
     empty = forest.score_forest(rows.limit(0), "Place", ml.FEATURE_COLS, leaves, cuts, order)
     assert empty.count() == 0
+
+
+def test_training_partitions_depend_on_rows_and_not_on_their_files(spark):
+    f = ml.engineer_features(mlplan.place_features(spark, SF_SMALL)).localCheckpoint()
+    few, many = (ml._dealt(f.repartition(n, "review_count"), 200).select(ml.TARGET).rdd.glom().collect() for n in (1, 23))
+    assert few == many and sum(map(len, few)) == f.count()  # rows are drawn for the trees by their place
+    # training runs in as many partitions as there are cores, more only for many rows
+    cores = spark.sparkContext.defaultParallelism
+    assert len(few) == cores
+    assert ml._dealt(f, ml.PART_ROWS * cores + 1).rdd.getNumPartitions() == 2 * cores
