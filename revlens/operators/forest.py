@@ -5,7 +5,8 @@ SQL) operators. A leaf is a box, lower < x <= upper in each feature. All bounds
 come from the forest's thresholds, at most ``maxBins`` - 1 for each feature, so
 boxes and rows are compared by the numbers of thresholds below them. Boxes are
 listed under the cells of the features that split most, and rows meet only the
-boxes of their own cell.
+boxes of their own cell. The list is many times the forest, which its estimated
+size doesn't show: both sides are dealt by cell and neither is broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 __all__ = ["forest_nodes", "forest_leaves", "forest_thresholds", "score_forest"]
 
-CELL_FEATURES = 2  # features whose intervals make up a cell: at most maxBins ** 2 cells
+CELL_FEATURES = 4  # features whose intervals make up a cell
+CELL_PARTS = 8     # intervals of each: at most CELL_PARTS ** CELL_FEATURES cells
 
 
 def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +29,7 @@ def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
     return n.select(F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), F.col("nodeData.prediction").alias("prediction"),
                     F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
                     F.col("nodeData.split.featureIndex").alias("feature"),
-                    F.element_at("nodeData.split.leftCategoriesOrThreshold", 1).alias("threshold"))
+                    F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
 
 
 def _bounded(bounds: str, feature: Column, value: Column, pick) -> Column:
@@ -38,20 +40,18 @@ def forest_leaves(nodes: DataFrame, n_features: int, max_depth: int) -> DataFram
     """(tree, node, prediction, lower, upper): each leaf with its bounds per feature.
 
     The boxes of a level come from those of the level above by one join with
-    the nodes, from the roots down.
+    the nodes, from the roots down; a leaf stays as it is.
     """
     open_ = F.array(*[F.lit(float("-inf"))] * n_features), F.array(*[F.lit(float("inf"))] * n_features)
     level = nodes.filter(F.col("node") == 0).select("tree", "node", open_[0].alias("lower"), open_[1].alias("upper"))
-    leaves = []
-    for depth in range(max_depth + 1):
-        at = level.join(nodes, ["tree", "node"])
-        leaves.append(at.filter(F.col("left") < 0).select("tree", "node", "prediction", "lower", "upper"))
-        if depth == max_depth:
-            break
-        below = F.array(F.struct(F.col("left").alias("node"), "lower", _bounded("upper", F.col("feature"), F.col("threshold"), F.least).alias("upper")),
-                        F.struct(F.col("right").alias("node"), _bounded("lower", F.col("feature"), F.col("threshold"), F.greatest).alias("lower"), "upper"))
-        level = at.filter(F.col("left") >= 0).select("tree", F.inline(below))
-    return reduce(DataFrame.unionByName, leaves)
+    splits = nodes.drop("prediction")
+    below = F.array(F.struct(F.col("left").alias("node"), "lower", _bounded("upper", F.col("feature"), F.col("threshold"), F.least).alias("upper")),
+                    F.struct(F.col("right").alias("node"), _bounded("lower", F.col("feature"), F.col("threshold"), F.greatest).alias("lower"), "upper"))
+    for _ in range(max_depth):
+        at = level.join(splits, ["tree", "node"])
+        level = at.select("tree", F.inline(F.when(F.col("left") < 0, F.array(F.struct("node", "lower", "upper"))).otherwise(below)))
+    leaves = nodes.filter(F.col("left") < 0).select("tree", "node", "prediction")
+    return level.join(leaves, ["tree", "node"]).select("tree", "node", "prediction", "lower", "upper")
 
 
 def forest_thresholds(nodes: DataFrame, n_features: int) -> tuple[list[list[float]], list[int]]:
@@ -76,18 +76,24 @@ def score_forest(rows: DataFrame, key: str, features: list[str], leaves: DataFra
                  prediction: str = "prediction") -> DataFrame:
     """(key, prediction, n_trees): the mean over the trees of the one leaf that holds a row.
 
-    Range join of rows and leaves: equality on the cell, bounds on the other
+    Range join of rows and leaves: equality on the cell, bounds on the
     features. A row's leaves meet in one task, so the mean is formed before
     the shuffle. Rows with a null feature are in no leaf and have no result;
     NaN lies above every threshold.
     """
-    cell, rest = order[:CELL_FEATURES], order[CELL_FEATURES:]
-    used = [f for f in rest if cuts[f]]
-    x = rows.dropna(subset=features).select(F.col(key).alias("row_key"), *[_below(cuts[f], F.col(c).cast("double")).alias(f"b{f}") for f, c in enumerate(features)])
-    span = {f: (_below(cuts[f], F.col("lower")[f], inclusive=True), _below(cuts[f], F.col("upper")[f])) for f in cell + used}
+    used = [f for f in order if cuts[f]]
+    cell = used[:CELL_FEATURES]
+
+    def part(f: int, code: Column) -> Column:  # neighbouring intervals of a feature with more than CELL_PARTS go together
+        return code if len(cuts[f]) < CELL_PARTS else F.floor(code * CELL_PARTS / (len(cuts[f]) + 1)).cast("int")
+
+    x = rows.dropna(subset=features).select(F.col(key).alias("row_key"), *[_below(cuts[f], F.col(features[f]).cast("double")).alias(f"b{f}") for f in used])
+    x = x.select("*", *[part(f, F.col(f"b{f}")).alias(f"c{f}") for f in cell])
+    span = {f: (_below(cuts[f], F.col("lower")[f], inclusive=True), _below(cuts[f], F.col("upper")[f])) for f in used}
     boxes = leaves.select("tree", F.col("prediction").alias("leaf"), *[c.alias(f"{side}{f}") for f, pair in span.items() for side, c in zip(("lo", "hi"), pair, strict=True)])
     for f in cell:
-        boxes = boxes.withColumn(f"b{f}", F.explode(F.sequence(f"lo{f}", f"hi{f}"))).drop(f"lo{f}", f"hi{f}")
+        boxes = boxes.select("*", F.explode(F.sequence(part(f, F.col(f"lo{f}")), part(f, F.col(f"hi{f}")))).alias(f"c{f}"))
     inside = [x[f"b{f}"].between(boxes[f"lo{f}"], boxes[f"hi{f}"]) for f in used]
-    met = x.join(boxes, reduce(and_, [x[f"b{f}"] == boxes[f"b{f}"] for f in cell] + inside))
+    same = [x[f"c{f}"] == boxes[f"c{f}"] for f in cell]
+    met = x.join(boxes.hint("shuffle_hash"), reduce(and_, same + inside)) if used else x.crossJoin(boxes)  # without a split each tree is one leaf
     return met.groupBy(F.col("row_key").alias(key)).agg(F.avg("leaf").alias(prediction), F.count(F.lit(1)).alias("n_trees"))

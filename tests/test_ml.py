@@ -76,3 +76,14 @@ def test_training_partitions_depend_on_rows_and_not_on_their_files(spark):
     cores = spark.sparkContext.defaultParallelism
     assert len(few) == cores
     assert ml._dealt(f, ml.PART_ROWS * cores + 1).rdd.getNumPartitions() == 2 * cores
+
+
+def test_boxes_of_the_forest_are_never_broadcast(spark, tmp_dir):
+    f = ml.engineer_features(mlplan.place_features(spark, SF_SMALL)).localCheckpoint()
+    path = os.path.join(tmp_dir, "model")
+    ml.save_model(ml.train_forest(f, num_trees=2), path)
+    nodes = forest.forest_nodes(spark, path)
+    n = len(ml.FEATURE_COLS)
+    leaves = forest.forest_leaves(nodes, n, ml.FOREST["maxDepth"]).localCheckpoint()
+    plan = forest.score_forest(f, "Place", ml.FEATURE_COLS, leaves, *forest.forest_thresholds(nodes, n))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
