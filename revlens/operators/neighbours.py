@@ -1,12 +1,12 @@
 """Exact nearest neighbours of every row (O-76 for all seeds).
 
-Equal points are one point with the first of their rows, and points are put
-into cells that are split until few are left in each. Pairs of a cell of seeds
-and a cell of candidates go down level by level: the box distances give an upper
-bound for the k-th neighbour of every seed in the cell, and a candidate cell
-whose nearest corner is farther is dropped. Only points of the cells that remain
-are compared. The bounds drop no neighbour, so the result is that of comparing
-all with all, ties included.
+Equal points are one point with the first of their rows. A tree of median
+splits, fitted on a bounded sample, deals the points into cells of about
+CELL_POINTS. The k-th nearest point of its own cell bounds how far a seed has to
+look; it then visits the cells whose box lies nearer and takes the best k rows of
+each, and the best k of all remain. The sample decides the cost only: every point
+is placed, and no bound drops a neighbour, so the result is that of comparing all
+with all, ties included.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +23,22 @@ from revlens.session import materialize
 
 __all__ = ["nearest_rows"]
 
-LEVELS = 6        # a level halves the ranks of each feature: at most 64 intervals of equal numbers of points
-CELL_POINTS = 32  # a cell with more points is split, down to the last level
-TIE = 9           # similarities equal to this many decimals are ties
-SLACK = 2e-8      # distance that a tie may hide
+CELL_POINTS = 128      # points of a cell
+SAMPLE_POINTS = 8      # sampled points of a cell
+SAMPLE_LIMIT = 2**20   # sampled points of all cells; beyond 16 million points cells grow, results don't change
+GROUP_CELLS = 64       # cells whose common box is compared first
+TIE = 9                # similarities equal to this many decimals are ties
 
 
 def _sum_squares(gaps: list[Column]) -> Column:
     return F.sqrt(reduce(add, [g * g for g in gaps]))
 
 
+def _slack(d: Column) -> Column:
+    """Distance beyond ``d`` that a tie may hide: similarities there differ by at most two units of the last decimal."""
+    return F.lit(2.0 * 10**-TIE) * (F.lit(1.0) + d) * (F.lit(1.0) + d)
+
+
 def _box_gaps(dims: range, a: str, b: str) -> tuple[Column, Column]:
     """(least, greatest) distance of two boxes; ``a`` and ``b`` are prefixes of their lo / hi columns."""
     lo, hi = (lambda p, i: F.col(f"{p}lo{i}")), (lambda p, i: F.col(f"{p}hi{i}"))
@@ -39,49 +47,62 @@ def _box_gaps(dims: range, a: str, b: str) -> tuple[Column, Column]:
     return _sum_squares(least), _sum_squares(most)
 
 
-def _cuts_below(cuts: list[float], x: Column) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c < x))
-
-
-def _with_codes(points: DataFrame, dims: range) -> DataFrame:
-    """Points with the code of their cell at each level; intervals follow the quantiles of each feature."""
-    shares = [i / 2**LEVELS for i in range(1, 2**LEVELS)]
-    cuts = points.agg(*[F.percentile_approx(f"x{i}", shares).alias(f"c{i}") for i in dims]).first()  # 63 numbers for each feature
-    interval = [_cuts_below(cuts[i] or [], F.col(f"x{i}")) for i in dims]
-    points = points.select("point", *[f"x{i}" for i in dims], *[b.cast("long").alias(f"_b{i}") for i, b in zip(dims, interval, strict=True)])
-    code = [reduce(add, [F.shiftright(f"_b{i}", LEVELS - level) * F.lit(2 ** (LEVELS * i)) for i in dims]) for level in range(LEVELS + 1)]
-    return points.select("point", *[f"x{i}" for i in dims], F.array(*code).alias("codes"))
-
-
-def _cells(coded: DataFrame, dims: range) -> DataFrame:
-    """(level, code, parent, n, lo, hi): cells whose parent had to be split, with the box of their points."""
-    at = coded.select("codes", *[f"x{i}" for i in dims], F.posexplode("codes").alias("level", "code"))
-    parent = F.when(F.col("level") > 0, F.get("codes", F.col("level") - 1))
-    cells = (at.withColumn("parent", parent).groupBy("level", "code", "parent")
-             .agg(F.count(F.lit(1)).alias("n"), *[F.min(f"x{i}").alias(f"lo{i}") for i in dims], *[F.max(f"x{i}").alias(f"hi{i}") for i in dims]))
-    cells = materialize(cells)
-    split = cells.filter(F.col("n") > CELL_POINTS).select((F.col("level") + 1).alias("level"), F.col("code").alias("parent"))
-    return cells.join(split, ["level", "parent"], "left_semi").unionByName(cells.filter("level = 0"))
-
-
-def _cell_pairs(cells: DataFrame, leaves: DataFrame, dims: range, k: int) -> DataFrame:
-    """Pairs of final cells: seeds of ``level, code`` may have neighbours in ``b_level, b_code``, none farther than ``bound``."""
+def _split_tree(sample: np.ndarray) -> tuple[dict[str, list], int]:
+    """Nodes of the tree over the sample (dim, cut, children, cell, grp by node) and its depth; leaves point to themselves."""
+    tree: dict[str, list] = {"dim": [], "cut": [], "low": [], "high": [], "cell": [], "grp": []}
+    depth, cells, groups = 0, 0, 0
+    todo = [(sample, 0, -1, "", -1)]
+    while todo:
+        pts, level, parent, side, group = todo.pop()
+        node = len(tree["dim"])
+        if parent >= 0:
+            tree[side][parent] = node
+        if group < 0 and len(pts) <= SAMPLE_POINTS * GROUP_CELLS:
+            group, groups = groups, groups + 1
+        spread = pts.max(0) - pts.min(0) if len(pts) else np.zeros(sample.shape[1])
+        leaf = len(pts) <= SAMPLE_POINTS or not spread.max() > 0
+        dim, cut = int(spread.argmax()), 0.0
+        if not leaf:
+            x = pts[:, dim]
+            cut = float(np.partition(x, len(x) // 2)[len(x) // 2])
+            if not (x > cut).any():
+                cut = float(x[x < cut].max())
+        for name, value in {"dim": dim, "cut": cut, "low": node, "high": node, "cell": cells if leaf else -1, "grp": -1}.items():
+            tree[name].append(value)
+        if leaf:
+            if group < 0:
+                group, groups = groups, groups + 1
+            tree["grp"][node], cells, depth = group, cells + 1, max(depth, level)
+        else:
+            todo += [(pts[x <= cut], level + 1, node, "low", group), (pts[x > cut], level + 1, node, "high", group)]
+    return tree, depth
+
+
+def _placed(points: DataFrame, xs: list[str]) -> DataFrame:
+    """Points with their cell and its group, walked down a tree that a sample fixes."""
+    n = points.count()
+    share = min(1.0, SAMPLE_POINTS / CELL_POINTS, SAMPLE_LIMIT / max(n, 1))
+    drawn = points.filter(F.pmod(F.xxhash64(*xs), F.lit(2**20)) < F.lit(int(np.ceil(share * 2**20)))).select(*xs)
+    sample = drawn.toPandas().to_numpy(dtype="float64").reshape(-1, len(xs))
+    tree, depth = _split_tree(sample)
+    nodes = pd.DataFrame({"_node": np.arange(len(tree["dim"])), **tree})
+    nodes = materialize(points.sparkSession.createDataFrame(nodes, "_node int, dim int, cut double, low int, high int, cell int, grp int"))
+    step = F.broadcast(nodes.select("_node", "dim", "cut", "low", "high"))  # fewer than 2 nodes for each sampled point
+    at = points.withColumn("_node", F.lit(0))
+    for _ in range(depth):
+        at = at.join(step, "_node").select(*points.columns, F.when(F.get(F.array(*xs), F.col("dim")) <= F.col("cut"), F.col("low")).otherwise(F.col("high")).alias("_node"))
+    return at.join(F.broadcast(nodes.select("_node", "cell", "grp")), "_node").drop("_node")
+
+
+def _cell_pairs(cells: DataFrame, dims: range) -> DataFrame:
+    """(cell, b_cell, box of b_cell): cells that a point of ``cell`` may have to visit; groups of cells are compared first."""
     sides = [f"{s}{i}" for s in ("lo", "hi") for i in dims]
-    cell = Window.partitionBy("level", "code")
-    root = cells.filter("level = 0").select(F.struct("level", "code", "n", *sides)).scalar()
-    pairs = leaves.select("level", "code", *[F.col(c).alias(f"a_{c}") for c in sides], root.alias("_r"))
-    pairs = pairs.select("*", *[F.col(f"_r.{c}").alias(f"b_{c}") for c in ["level", "code", "n", *sides]]).drop("_r")
-    for level in range(1, LEVELS + 1):
-        below = cells.filter(F.col("level") == level).select(F.col("parent").alias("_up"), *[F.col(c).alias(f"_{c}") for c in ["level", "code", "n", *sides]])
-        down = pairs.join(below, (F.col("b_level") == level - 1) & (F.col("b_code") == F.col("_up")), "left")
-        pairs = down.select("level", "code", *[f"a_{c}" for c in sides],
-                            *[F.when(F.col("_up").isNotNull(), F.col(f"_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in ["level", "code", "n", *sides]])
-        least, most = _box_gaps(dims, "a_", "b_")
-        pairs = pairs.withColumns({"_least": least, "_most": most})
-        enough = F.sum("b_n").over(cell.orderBy("_most", "b_level", "b_code")) >= k
-        pairs = (pairs.withColumn("_enough", F.when(enough, F.col("_most"))).withColumn("bound", F.min("_enough").over(cell))
-                 .filter(F.col("bound").isNull() | (F.col("_least") <= F.col("bound") + SLACK)).drop("_least", "_most", "_enough"))
-    return pairs
+    groups = cells.groupBy("grp").agg(*[F.min(f"lo{i}").alias(f"g_lo{i}") for i in dims], *[F.max(f"hi{i}").alias(f"g_hi{i}") for i in dims])
+    mine = cells.select("cell", "reach", *[F.col(c).alias(f"a_{c}") for c in sides])
+    near = lambda p: F.col("reach").isNull() | (_box_gaps(dims, "a_", p)[0] <= F.col("reach"))
+    theirs = cells.select(F.col("cell").alias("b_cell"), "grp", *[F.col(c).alias(f"b_{c}") for c in sides])
+    met = mine.crossJoin(groups).filter(near("g_")).drop(*[f"g_{c}" for c in sides])
+    return met.join(theirs, "grp").filter(near("b_")).select("cell", "b_cell", *[f"b_{c}" for c in sides])
 
 
 def nearest_rows(rows: DataFrame, key: str, features: list[str], n: int, order: list[str]) -> DataFrame:
@@ -101,27 +122,35 @@ def nearest_rows(rows: DataFrame, key: str, features: list[str], n: int, order:
     named = materialize(base.join(points, xs).select("key", "ord", "point"))
     first = (named.withColumn("_n", F.row_number().over(Window.partitionBy("point").orderBy("ord", "key")))
              .filter(F.col("_n") <= k).drop("_n"))  # later rows of a point come after k equal ones everywhere
-    coded = materialize(_with_codes(points, dims))
-    cells = materialize(_cells(coded, dims))
-    leaves = cells.filter((F.col("n") <= CELL_POINTS) | (F.col("level") == LEVELS))
-    placed = materialize(coded.select("point", *xs, F.posexplode("codes").alias("level", "code")).join(leaves.select("level", "code"), ["level", "code"]))
-    pairs = _cell_pairs(cells, leaves, dims, k)
-    others = placed.select(F.col("level").alias("b_level"), F.col("code").alias("b_code"), F.col("point").alias("other"), *[F.col(x).alias(f"o{x}") for x in xs])
-    gap = _sum_squares([F.col(x) - F.col(f"o{x}") for x in xs])
-    # the k-th point of a seed's own cell is a nearer bound than boxes give, where the cell has as many
-    own = placed.join(others, (F.col("level") == F.col("b_level")) & (F.col("code") == F.col("b_code"))).select("point", gap.alias("reach"))
-    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("point").orderBy("reach"))).filter(F.col("_n") == k).drop("_n")
-    seeds = placed.join(own, "point", "left").join(pairs, ["level", "code"]).withColumn("reach", F.least("reach", "bound") + SLACK)
-    far = _sum_squares([F.greatest(F.lit(0.0), F.col(f"b_lo{i}") - F.col(f"x{i}"), F.col(f"x{i}") - F.col(f"b_hi{i}")) for i in dims])
-    seeds = seeds.filter(F.col("reach").isNull() | (far <= F.col("reach"))).select("point", *xs, "reach", "b_level", "b_code")
-    near = (seeds.join(others, ["b_level", "b_code"]).withColumn("gap", gap).filter(F.col("reach").isNull() | (F.col("gap") <= F.col("reach")))
-            .select("point", "other", (F.lit(1.0) / (F.lit(1.0) + F.col("gap"))).alias("similarity")))
-    tied = F.round("similarity", TIE)
-    near = near.withColumn("_r", F.rank().over(Window.partitionBy("point").orderBy(tied.desc()))).filter(F.col("_r") <= k).drop("_r")
-    best = near.join(first.withColumnRenamed("point", "other"), "other")
-    best = (best.withColumn("_n", F.row_number().over(Window.partitionBy("point").orderBy(tied.desc(), "ord", "key")))
-            .filter(F.col("_n") <= k).groupBy("point")
-            .agg(F.array_sort(F.collect_list(F.struct("_n", F.col("key").alias("neighbour"), "similarity"))).alias("list")))  # at most k
+    heads = first.groupBy("point").agg(F.collect_list(F.struct("ord", "key")).alias("rows"))
+    placed = materialize(_placed(points, xs).join(heads, "point"))
+    dist = lambda p: _sum_squares([F.col(x) - p[x] for x in xs])
+    # the k-th nearest of its own cell bounds how far a point has to look
+    members = placed.groupBy("cell", "grp").agg(F.collect_list(F.struct("point", *xs)).alias("all"))
+    seeds = members.select("cell", "grp", "all", F.explode("all").alias("_s")).select("cell", "grp", "all", "_s.*")
+    reach = F.get(F.sort_array(F.transform("all", dist)), F.lit(k - 1))
+    seeds = materialize(seeds.select("point", "cell", "grp", *xs, (reach + _slack(reach)).alias("reach")))
+    boxes = [f(f"x{i}").alias(f"{s}{i}") for s, f in (("lo", F.min), ("hi", F.max)) for i in dims]
+    # cells of fewer than k points look as far as the other end of their group's box, if that has k
+    groups = seeds.groupBy("grp").agg(F.count(F.lit(1)).alias("_points"), *[b.alias(f"g_{n_}") for b, n_ in zip(boxes, [f"{s}{i}" for s in ("lo", "hi") for i in dims], strict=True)])
+    far = _sum_squares([F.greatest(F.col(f"x{i}") - F.col(f"g_lo{i}"), F.col(f"g_hi{i}") - F.col(f"x{i}")) for i in dims])
+    seeds = (seeds.join(groups, "grp").withColumn("reach", F.coalesce("reach", F.when(F.col("_points") >= k, far + _slack(far))))
+             .drop("_points", *[f"g_{s}{i}" for s in ("lo", "hi") for i in dims]))
+    widest = F.when(F.count_if(F.col("reach").isNull()) == 0, F.max("reach")).alias("reach")
+    pairs = _cell_pairs(materialize(seeds.groupBy("cell", "grp").agg(widest, *boxes)), dims)
+    edge = _sum_squares([F.greatest(F.lit(0.0), F.col(f"b_lo{i}") - F.col(f"x{i}"), F.col(f"x{i}") - F.col(f"b_hi{i}")) for i in dims])
+    visits = (seeds.join(materialize(pairs), "cell").filter(F.col("reach").isNull() | (edge <= F.col("reach")))
+              .select("point", *xs, F.coalesce("reach", F.lit(float("inf"))).alias("reach"), F.col("b_cell").alias("cell")))
+    # of each visited cell the best k rows: those of the nearest points, as similar, order and key have it
+    others = placed.groupBy("cell").agg(F.collect_list(F.struct(*xs, "rows")).alias("all"))
+    within = F.filter("all", lambda p: dist(p) <= F.col("reach"))
+
+    def listed(p: Column) -> Column:
+        similarity = F.lit(1.0) / (F.lit(1.0) + dist(p))
+        return F.transform(p["rows"], lambda r: F.struct((-F.round(similarity, TIE)).alias("tied"), r["ord"].alias("ord"), r["key"].alias("neighbour"), similarity.alias("similarity")))
+
+    found = visits.join(others.hint("shuffle_hash"), "cell").select("point", F.slice(F.sort_array(F.flatten(F.transform(within, listed))), 1, k).alias("list"))
+    best = found.filter(F.size("list") > 0).groupBy("point").agg(F.slice(F.sort_array(F.flatten(F.collect_list("list"))), 1, k).alias("list"))
     mine = named.join(best, "point").select("key", F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("key")), 1, n).alias("list"))
     out = mine.select(F.col("key").alias(key), F.posexplode("list").alias("_p", "_x"))
     return out.select(key, (F.col("_p") + 1).alias("position"), F.col("_x.neighbour").alias("neighbour"), F.col("_x.similarity").alias("similarity"))

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from revlens.operators import neighbours
 from revlens.operators.neighbours import nearest_rows
 
 
@@ -47,3 +48,13 @@ def test_nearest_rows_equal_brute_force(spark, kind):
 def test_nearest_rows_of_no_rows(spark):
     df = spark.createDataFrame([], "name string, rank int, a double, b double")
     assert nearest_rows(df, "name", ["a", "b"], 5, ["rank"]).count() == 0
+
+
+def test_cells_split_few_distinct_and_far_values_alike(spark):
+    rng = random.Random(3)
+    # one feature of four values, one far point, one crowded spot: every cell stays small and holds its points
+    pts = [(rng.choice((0.0, 0.1, 0.2, 1.0)), rng.random() * 1e-3, rng.random()) for _ in range(6000)] + [(1e3, 1e3, 1e3)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "point long, x0 double, x1 double, x2 double")
+    cells = neighbours._placed(df, ["x0", "x1", "x2"]).groupBy("cell").count().collect()
+    assert sum(r["count"] for r in cells) == 6001 and max(r["count"] for r in cells) <= 4 * neighbours.CELL_POINTS
+    assert len(cells) >= 6001 / neighbours.CELL_POINTS / 2
