@@ -99,3 +99,25 @@ def test_trigram_search_reads_few_texts(spark):
     assert [r["id"] for r in search.search(index, word).collect()] == [31234]
     assert search.search(index, word)._jdf.queryExecution().executedPlan().toString().count("PushedFilters: [In(id, [") + \
         search.search(index, word)._jdf.queryExecution().executedPlan().toString().count("PushedFilters: [IsNotNull(id), EqualTo(id,") > 0
+
+
+def test_trigrams_are_taken_once_and_never_shuffled(spark, monkeypatch):
+    from revlens.operators import search
+    stored, kept = [], search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df: stored.append(df) or kept(df))
+    rows = [(i, f"Text {i % 7} naïve 😀{i}\nend") for i in range(200)] + [(900, None), (901, ""), (902, "ab"), (903, "abc")]
+    index = search.build_index(spark.createDataFrame(rows, "id long, t string").repartition(4), "id", "t")
+    plan = stored[1]._jdf.queryExecution().executedPlan().toString()  # the rows of trigrams
+    assert "Generate" in plan and "Exchange" not in plan
+    want = {(t.lower()[k:k + 3], i) for i, t in rows if t for k in range(len(t) - 2)}
+    want = spark.createDataFrame(sorted(want), "g string, id long").select(F.xxhash64("g").alias("gram"), "id")
+    assert want.exceptAll(index.grams).isEmpty()
+    assert index.grams.exceptAll(want).join(want, "gram", "left_semi").isEmpty()  # nothing but halves of surrogate pairs
+
+
+def test_equal_hashes_of_trigrams_lose_no_text(spark):
+    from revlens.operators import search
+    index = search.build_index(spark.createDataFrame([(1, "abcd"), (2, "abc")], "id long, t string"), "id", "t")
+    clash = index.grams.filter("id = 1").limit(1)  # as if another trigram of the text had the hash of one that is sought
+    index = search.TrigramIndex(index.texts, index.grams.unionAll(clash), "id", "t")
+    assert [r["id"] for r in search.search(index, "abcd").collect()] == [1]
