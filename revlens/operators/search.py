@@ -1,13 +1,13 @@
 """Keyword search over an inverted index of trigrams (O-22, O-25).
 
 The index is two stored tables: the texts, range-partitioned and sorted by key,
-and one row per (trigram, key). Each part of the texts writes the rows of its
-own trigrams, sorted by trigram: they are taken from the text once and never
-shuffled, a trigram that nearly every text has is spread over all files, and a
-look-up skips the other trigrams in each file. Trigrams are kept as 64-bit
-hashes, which sort as numbers. A keyword's texts hold all its trigrams; those
-candidates are looked up by key and verified on the text, so results equal a
-scan.
+and one row per (trigram, key). Texts are dealt by key into parts of bounded
+size, and each part writes the rows of its own trigrams, sorted by trigram: they
+are taken from the text once and never shuffled, a trigram that nearly every
+text has is spread over all files, and a look-up skips the other trigrams in
+each file. Trigrams are kept as 64-bit hashes, which sort as numbers. A
+keyword's texts hold all its trigrams; those candidates are looked up by key and
+verified on the text, so results equal a scan.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from revlens.session import materialize
 __all__ = ["TrigramIndex", "build_index", "search"]
 
 GRAM = 3
+PART_BYTES = 1 << 24  # text that one task takes trigrams from; stored files pack far more into one split
 LISTED = 1000  # candidates whose keys are written into the filter; more are joined
 
 
@@ -44,7 +45,9 @@ def _grams(text: Column) -> Column:
 def build_index(df: DataFrame, key: str, text: str) -> TrigramIndex:
     """Index the texts of a table with one row per key; null texts have no trigrams and are never found."""
     texts = materialize(df.repartitionByRange(key).sortWithinPartitions(key))
-    grams = texts.select(F.explode(_grams(F.col(text))).alias("gram"), key).select(F.xxhash64("gram").alias("gram"), key)
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    grams = texts.repartition(parts, key).select(F.explode(_grams(F.col(text))).alias("gram"), key).select(F.xxhash64("gram").alias("gram"), key)
     return TrigramIndex(texts, materialize(grams.sortWithinPartitions("gram")), key, text)
 
 
