@@ -1,10 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from revlens.operators import neighbours
 from revlens.operators.neighbours import nearest_rows
+from revlens.session import co_partitioned
 
 
 def _brute(rows, n):
@@ -58,3 +61,49 @@ def test_cells_split_few_distinct_and_far_values_alike(spark):
     cells = neighbours._placed(df, ["x0", "x1", "x2"]).groupBy("cell").count().collect()
     assert sum(r["count"] for r in cells) == 6001 and max(r["count"] for r in cells) <= 4 * neighbours.CELL_POINTS
     assert len(cells) >= 6001 / neighbours.CELL_POINTS / 2
+
+
+def test_distances_are_compiled_and_blocks_stay_in_their_task(spark, monkeypatch):
+    plans, stored = [], neighbours.materialize
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(neighbours, "materialize", kept)
+    df = spark.createDataFrame(_rows("spread"), "name string, rank int, a double, b double, c double")
+    out = nearest_rows(df, "name", ["a", "b", "c"], 5, ["rank"])
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not any("lambdafunction" in p for p in plans)  # lambdas of array functions are interpreted, one element at a time
+    lists = next(p for p in plans if "row_number" in p and "b_cell" in p)
+    assert "REPARTITION_BY_NUM" in lists and "ENSURE_REQUIREMENTS" not in lists  # visits and found rows are never shuffled
+
+
+def test_reach_holds_enough_rows_and_few_more(spark):
+    # a dense core and sparse outskirts, from where a loose bound takes in the core
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.02, (3000, 3)), rng.normal(0, 0.5, (1000, 3))])
+    xs = ["x0", "x1", "x2"]
+    df = spark.createDataFrame([(i, f"p{i}", 1, *map(float, p)) for i, p in enumerate(x)], "point long, key string, r int, x0 double, x1 double, x2 double")
+    placed = neighbours._placed(df, xs)
+    parts = placed.agg(F.max("grp")).first()[0] + 1
+    got = {r["point"]: r["reach"] for r in neighbours._reaches(placed, xs, 6, parts).collect()}
+    assert sorted(got) == list(range(len(x)))
+    held = [int((np.sqrt(((x - x[i]) ** 2).sum(1)) <= got[i]).sum()) for i in range(len(x))]
+    assert min(held) >= 6 and sum(held) / len(held) <= 6 * 4
+
+
+def test_units_are_those_of_the_rounded_value(spark):
+    halves = [(0.1234567885,), (0.1234567895,), (0.5,), (1.0,), (1 / 3,), (0.9999999995,), (0.99999999949,), (1e-12,), (0.7000000005,), (0.2500000015,)]
+    df = spark.createDataFrame(halves + [(random.Random(i).random(),) for i in range(500)], "s double")
+    rows = df.select(neighbours._units(F.col("s")).alias("u"), F.round("s", neighbours.TIE).alias("r")).collect()
+    assert all(r["u"] == round(r["r"] * 10**neighbours.TIE) for r in rows)
+
+
+def test_co_partitioned_puts_the_setting_back(spark):
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), co_partitioned(spark):
+        assert spark.conf.get(name) == "false"
+        raise ValueError
+    assert spark.conf.get(name) == before
