@@ -57,10 +57,10 @@ def _units(similarity: Column) -> Column:
     return F.floor(F.when(near_half, F.round(similarity, TIE) * F.lit(10.0**TIE)).otherwise(scaled) + F.lit(0.5))
 
 
-def _split_tree(sample: np.ndarray) -> tuple[dict[str, list], int]:
-    """Nodes of the tree over the sample (dim, cut, children; cell, pool and grp of leaves) and its depth; leaves point to themselves."""
-    tree: dict[str, list] = {"dim": [], "cut": [], "low": [], "high": [], "cell": [], "pool": [], "grp": []}
-    depth, cells, pools, groups = 0, 0, 0, 0
+def _split_tree(sample: np.ndarray) -> tuple[dict[str, list], int, int]:
+    """Nodes of the tree over the sample (dim, cut, children; grp, pool and cell from where they begin), steps down to a group, and on to a cell."""
+    tree: dict[str, list] = {"dim": [], "cut": [], "low": [], "high": [], "cell": [], "pool": [], "grp": [], "top": []}
+    down, on, cells, pools, groups = 0, 0, 0, 0, 0
     pooled = SAMPLE_POINTS * POOL_CELLS
     block = max(pooled, min(SAMPLE_POINTS * GROUP_CELLS, len(sample) // GROUPS))
     todo = [(sample, 0, -1, "", -1, -1)]
@@ -70,8 +70,9 @@ def _split_tree(sample: np.ndarray) -> tuple[dict[str, list], int]:
         if parent >= 0:
             tree[side][parent] = node
         leaf = len(pts) <= SAMPLE_POINTS or bool((pts == pts[0]).all())
-        if group < 0 and (leaf or len(pts) <= block):
-            group, groups = groups, groups + 1
+        top = group < 0
+        if top and (leaf or len(pts) <= block):
+            group, groups, down, level = groups, groups + 1, max(down, level), 0
         if pool < 0 and (leaf or len(pts) <= pooled):
             pool, pools = pools, pools + 1
         spread = pts.max(0) - pts.min(0) if len(pts) else np.zeros(sample.shape[1])
@@ -81,31 +82,40 @@ def _split_tree(sample: np.ndarray) -> tuple[dict[str, list], int]:
             cut = float(np.partition(x, len(x) // 2)[len(x) // 2])
             if not (x > cut).any():
                 cut = float(x[x < cut].max())
-        for name, value in {"dim": dim, "cut": cut, "low": node, "high": node, "cell": cells if leaf else -1, "pool": pool if leaf else -1, "grp": group if leaf else -1}.items():
+        for name, value in {"dim": dim, "cut": cut, "low": node, "high": node, "cell": cells if leaf else -1, "pool": pool, "grp": group, "top": top}.items():
             tree[name].append(value)
         if leaf:
-            cells, depth = cells + 1, max(depth, level)
+            cells, on = cells + 1, max(on, level)
         else:
             todo += [(pts[x <= cut], level + 1, node, "low", group, pool), (pts[x > cut], level + 1, node, "high", group, pool)]
-    return tree, depth
+    return tree, down, on
+
+
+def _walked(at: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
+    """``_node`` after so many steps; outer joins, as inner ones would test each step for null, which makes the code too long to be compiled."""
+    rest = [c for c in at.columns if c != "_node"]
+    step = F.broadcast(nodes.select("_node", "dim", "cut", "low", "high"))  # fewer than 2 nodes for each sampled point
+    for _ in range(steps):
+        at = at.join(step, "_node", "left").select(*rest, F.when(F.get("_x", F.col("dim")) <= F.col("cut"), F.col("low")).otherwise(F.col("high")).alias("_node"))
+    return at
 
 
 def _placed(rows: DataFrame, xs: list[str], points: DataFrame | None = None) -> DataFrame:
-    """Rows with their cell and its group, walked down a tree that a sample of ``points`` (the rows without copies) fixes."""
+    """Rows with their cell, pool and group, dealt by group and walked down a tree that a sample of ``points`` (the rows without copies) fixes."""
     points = rows if points is None else points
     n = points.count()
     share = min(1.0, SAMPLE_POINTS / CELL_POINTS, SAMPLE_LIMIT / max(n, 1))
     drawn = points.filter(F.pmod(F.xxhash64(*xs), F.lit(2**20)) < F.lit(int(np.ceil(share * 2**20)))).select(*xs)
     sample = drawn.toPandas().to_numpy(dtype="float64").reshape(-1, len(xs))
-    tree, depth = _split_tree(sample)
+    tree, down, on = _split_tree(sample)
     nodes = pd.DataFrame({"_node": np.arange(len(tree["dim"])), **tree})
-    nodes = materialize(rows.sparkSession.createDataFrame(nodes, "_node int, dim int, cut double, low int, high int, cell int, pool int, grp int"))
-    step = F.broadcast(nodes.select("_node", "dim", "cut", "low", "high"))  # fewer than 2 nodes for each sampled point
+    nodes = materialize(rows.sparkSession.createDataFrame(nodes, "_node int, dim int, cut double, low int, high int, cell int, pool int, grp int, top boolean"))
+    stay = lambda c: F.when(F.col("grp") < 0, F.col(c)).otherwise(F.col("_node")).alias(c)
     at = rows.select(*rows.columns, F.array(*xs).alias("_x"), F.lit(0).alias("_node"))
-    for _ in range(depth):  # outer joins: inner ones would test each step for null, and the code gets too long to be compiled
-        at = at.join(step, "_node", "left").select(*rows.columns, "_x", F.when(F.get("_x", F.col("dim")) <= F.col("cut"), F.col("low")).otherwise(F.col("high")).alias("_node"))
-    at = at.join(F.broadcast(nodes.select("_node", "cell", "pool", "grp")), "_node").drop("_node", "_x")
-    return at.repartition(max(tree["grp"]) + 1, "grp").sortWithinPartitions("cell")  # rows that are compared lie together
+    at = _walked(at, nodes.filter("top").select("_node", "dim", "cut", stay("low"), stay("high")), down)
+    at = at.join(F.broadcast(nodes.filter("top").select("_node", "grp")), "_node").repartition(max(tree["grp"]) + 1, "grp")
+    at = _walked(at, nodes.filter("grp >= 0"), on).join(F.broadcast(nodes.filter("cell >= 0").select("_node", "cell", "pool")), "_node")
+    return at.drop("_node", "_x").sortWithinPartitions("cell")  # rows that are compared lie together
 
 
 def _cell_pairs(cells: DataFrame, dims: range, parts: int) -> DataFrame:
