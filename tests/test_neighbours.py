@@ -93,6 +93,21 @@ def test_reach_holds_enough_rows_and_few_more(spark):
     assert min(held) >= 6 and sum(held) / len(held) <= 6 * 4
 
 
+def test_walk_is_split_between_groups_and_cells():
+    # about 20 steps in one piece are more code than the JVM compiles
+    sample = np.random.default_rng(2).normal(size=(2**17, 2))
+    tree, down, on = neighbours._split_tree(sample)
+    assert down + on >= 15 and max(down, on) <= 11
+    node = np.zeros(len(sample), dtype=int)
+    cols = {c: np.array(v) for c, v in tree.items()}
+    for steps, ends in ((down, cols["grp"] >= 0), (on, cols["cell"] >= 0)):
+        for _ in range(steps):
+            below = np.where(sample[np.arange(len(sample)), cols["dim"][node]] <= cols["cut"][node], cols["low"][node], cols["high"][node])
+            node = np.where(ends[node], node, below)
+        assert ends[node].all()  # all have arrived
+    assert np.bincount(cols["cell"][node]).max() <= neighbours.SAMPLE_POINTS
+
+
 def test_units_are_those_of_the_rounded_value(spark):
     halves = [(0.1234567885,), (0.1234567895,), (0.5,), (1.0,), (1 / 3,), (0.9999999995,), (0.99999999949,), (1e-12,), (0.7000000005,), (0.2500000015,)]
     df = spark.createDataFrame(halves + [(random.Random(i).random(),) for i in range(500)], "s double")
